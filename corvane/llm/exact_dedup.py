@@ -55,7 +55,7 @@ class Run:
 
     def __init__(self, digests: np.ndarray, ids: np.ndarray, counts: np.ndarray, filter_: np.ndarray | None = None):
         order = np.lexsort((ids, *digests.T[::-1]))
-        self.digests, self.ids, self.counts = digests[order], ids[order], counts[order]
+        self.digests, self.ids, self.counts = digests[order].astype(">u8"), ids[order], counts[order]
         self.filter = bloom(self.digests[:, 0].astype(np.uint64)) if filter_ is None else filter_
 
     @property
