@@ -15,7 +15,13 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"), keep="largest")
 
 
-QUERIES = {"op3_exact_dedup": op3_exact_dedup}
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
+QUERIES = {"op6_near_dedup": op6_near_dedup, "op3_exact_dedup": op3_exact_dedup}
 
 SQL = {
     "op3_exact_dedup": """
