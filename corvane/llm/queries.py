@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,13 +16,26 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"), keep="largest")
 
 
+def _remainder(mod: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify, train
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = train(docs, _remainder(5) != 0)
+    found = identify(docs, model)
+    return found.select("doc_id", (_remainder(5) == 0).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
-QUERIES = {"op6_near_dedup": op6_near_dedup, "op3_exact_dedup": op3_exact_dedup}
+QUERIES = {"op5_language_id": op5_language_id, "op6_near_dedup": op6_near_dedup, "op3_exact_dedup": op3_exact_dedup}
 
 SQL = {
     "op3_exact_dedup": """
