@@ -16,6 +16,12 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def _remainder(mod: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod
 
@@ -35,7 +41,7 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
-QUERIES = {"op5_language_id": op5_language_id, "op6_near_dedup": op6_near_dedup, "op3_exact_dedup": op3_exact_dedup}
+QUERIES = {"op4_decontaminate": op4_decontaminate, "op5_language_id": op5_language_id, "op6_near_dedup": op6_near_dedup, "op3_exact_dedup": op3_exact_dedup}
 
 SQL = {
     "op3_exact_dedup": """

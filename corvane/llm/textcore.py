@@ -77,8 +77,8 @@ def slices(offsets: np.ndarray, size: int = PIECE) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
-def words(buf: np.ndarray, breaks: np.ndarray | None = None, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, end) of every run of bytes that are no ASCII white space.
+def words(buf: np.ndarray, breaks: np.ndarray | None = None, lower: bool = True, space: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of every run of bytes that are no white space (``space``; ASCII's by default).
 
     ``breaks``: byte positions at which a word ends besides (document starts).
     ASCII capitals count as small letters when ``lower``.
@@ -89,14 +89,14 @@ def words(buf: np.ndarray, breaks: np.ndarray | None = None, lower: bool = True)
     while at < n:
         stop = min(n, at + PIECE)
         if stop < n:  # back to a place where no word goes on
-            back = np.flatnonzero(IS_SPACE[buf[at:stop]])
+            back = np.flatnonzero(space[buf[at:stop]])
             if len(back):
                 stop = at + int(back[-1]) + 1
             else:
-                while stop < n and not IS_SPACE[buf[stop]]:
+                while stop < n and not space[buf[stop]]:
                     stop += 1
         piece = buf[at:stop]
-        inside = ~IS_SPACE[piece]
+        inside = ~space[piece]
         first = inside.copy()
         first[1:] &= ~inside[:-1]
         last = inside.copy()
