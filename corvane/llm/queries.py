@@ -16,6 +16,12 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mixed
+
+    return mixed(_table(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contaminated
 
@@ -41,9 +47,43 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
-QUERIES = {"op4_decontaminate": op4_decontaminate, "op5_language_id": op5_language_id, "op6_near_dedup": op6_near_dedup, "op3_exact_dedup": op3_exact_dedup}
+QUERIES = {"op2_mixing": op2_mixing, "op4_decontaminate": op4_decontaminate, "op5_language_id": op5_language_id, "op6_near_dedup": op6_near_dedup, "op3_exact_dedup": op3_exact_dedup}
 
 SQL = {
+    "op2_mixing": r"""
+        WITH d AS (SELECT doc_id, 'dom' || (coalesce(try_cast(regexp_extract(source, '([0-9]+)', 1) AS BIGINT), 0) % 4)::VARCHAR AS domain,
+                 coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source,
+                 len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS tokens FROM documents),
+        leaf AS (SELECT domain, lang, source, sum(tokens)::BIGINT AS tokens, sum(tokens) * 2.0::DOUBLE AS supply FROM d GROUP BY ALL),
+        top0 AS (SELECT domain, sum(supply) AS supply, (SELECT sum(tokens) FROM leaf) * 0.6::DOUBLE AS budget FROM leaf GROUP BY domain),
+        top_w AS (SELECT *, CASE domain WHEN 'dom0' THEN 4.0::DOUBLE WHEN 'dom1' THEN 3.0 WHEN 'dom2' THEN 2.0 WHEN 'dom3' THEN 1.0 ELSE 1.0 END AS w, supply / CASE domain WHEN 'dom0' THEN 4.0::DOUBLE WHEN 'dom1' THEN 3.0 WHEN 'dom2' THEN 2.0 WHEN 'dom3' THEN 1.0 ELSE 1.0 END AS lv FROM top0),
+        top_s AS (SELECT *, sum(w) OVER () - sum(w) OVER ( ORDER BY lv RANGE UNBOUNDED PRECEDING) AS wide,
+                 sum(supply) OVER ( ORDER BY lv RANGE UNBOUNDED PRECEDING) AS below FROM top_w),
+        top_f AS (SELECT *, below + CASE WHEN wide > 1e-12 THEN lv * wide ELSE 0 END <= budget + 1e-9 AS is_full FROM top_s),
+        top AS (SELECT *, CASE WHEN is_full THEN supply ELSE least(supply,
+                 (budget - sum(CASE WHEN is_full THEN supply ELSE 0 END) OVER ()) * w / sum(CASE WHEN is_full THEN 0 ELSE w END) OVER ()) END AS share FROM top_f),
+        mid0 AS (SELECT a.domain, a.lang, a.supply, t.share AS budget FROM (SELECT domain, lang, sum(supply) AS supply FROM leaf GROUP BY ALL) a JOIN top t USING (domain)),
+        mid_w AS (SELECT *, CASE lang WHEN 'en' THEN 5.0::DOUBLE WHEN 'de' THEN 2.0 WHEN 'fr' THEN 2.0 WHEN 'es' THEN 1.0 ELSE 1.0 END AS w, supply / CASE lang WHEN 'en' THEN 5.0::DOUBLE WHEN 'de' THEN 2.0 WHEN 'fr' THEN 2.0 WHEN 'es' THEN 1.0 ELSE 1.0 END AS lv FROM mid0),
+        mid_s AS (SELECT *, sum(w) OVER (PARTITION BY domain) - sum(w) OVER (PARTITION BY domain ORDER BY lv RANGE UNBOUNDED PRECEDING) AS wide,
+                 sum(supply) OVER (PARTITION BY domain ORDER BY lv RANGE UNBOUNDED PRECEDING) AS below FROM mid_w),
+        mid_f AS (SELECT *, below + CASE WHEN wide > 1e-12 THEN lv * wide ELSE 0 END <= budget + 1e-9 AS is_full FROM mid_s),
+        mid AS (SELECT *, CASE WHEN is_full THEN supply ELSE least(supply,
+                 (budget - sum(CASE WHEN is_full THEN supply ELSE 0 END) OVER (PARTITION BY domain)) * w / sum(CASE WHEN is_full THEN 0 ELSE w END) OVER (PARTITION BY domain)) END AS share FROM mid_f),
+        low0 AS (SELECT l.*, m.share AS budget FROM leaf l JOIN mid m USING (domain, lang)),
+        low_w AS (SELECT *, 1.0::DOUBLE AS w, supply / 1.0::DOUBLE AS lv FROM low0),
+        low_s AS (SELECT *, sum(w) OVER (PARTITION BY domain, lang) - sum(w) OVER (PARTITION BY domain, lang ORDER BY lv RANGE UNBOUNDED PRECEDING) AS wide,
+                 sum(supply) OVER (PARTITION BY domain, lang ORDER BY lv RANGE UNBOUNDED PRECEDING) AS below FROM low_w),
+        low_f AS (SELECT *, below + CASE WHEN wide > 1e-12 THEN lv * wide ELSE 0 END <= budget + 1e-9 AS is_full FROM low_s),
+        low AS (SELECT *, CASE WHEN is_full THEN supply ELSE least(supply,
+                 (budget - sum(CASE WHEN is_full THEN supply ELSE 0 END) OVER (PARTITION BY domain, lang)) * w / sum(CASE WHEN is_full THEN 0 ELSE w END) OVER (PARTITION BY domain, lang)) END AS share FROM low_f),
+        b AS (SELECT domain, lang, source, tokens AS supply_tokens, floor(share + 1e-6)::BIGINT AS budget FROM low),
+        e AS (SELECT *, CASE WHEN supply_tokens > 0 THEN budget // supply_tokens ELSE 0 END AS n_full FROM b),
+        o AS (SELECT d.*, e.budget, e.n_full, e.budget - e.n_full * e.supply_tokens AS rest,
+                 md5('7:' || e.n_full::VARCHAR || ':' || d.doc_id::VARCHAR) AS k FROM d JOIN e USING (domain, lang, source))
+        SELECT doc_id, domain AS mix_domain, lang AS mix_lang, source AS mix_source, tokens AS mix_tokens, budget AS mix_budget,
+               n_full + CASE WHEN sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY k, doc_id ROWS UNBOUNDED PRECEDING) <= rest THEN 1 ELSE 0 END AS mix_copies
+        FROM o
+    """,
     "op3_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
