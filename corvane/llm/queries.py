@@ -47,7 +47,13 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
-QUERIES = {"op2_mixing": op2_mixing, "op4_decontaminate": op4_decontaminate, "op5_language_id": op5_language_id, "op6_near_dedup": op6_near_dedup, "op3_exact_dedup": op3_exact_dedup}
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import removed_repeats
+
+    return removed_repeats(_table(spark, sf_dir, "documents")).drop("edges")
+
+
+QUERIES = {"op8_suffix_dedup": op8_suffix_dedup, "op2_mixing": op2_mixing, "op4_decontaminate": op4_decontaminate, "op5_language_id": op5_language_id, "op6_near_dedup": op6_near_dedup, "op3_exact_dedup": op3_exact_dedup}
 
 SQL = {
     "op2_mixing": r"""
