@@ -8,10 +8,10 @@ similarity.  With a branch rate of about 1/threshold a pair at the threshold
 survives in one tree with probability 0.8, in ``trees`` of them almost surely.
 Sets depend on no other set while they walk, so the first levels take one pass.
 
-Nodes compare their members with one leader first; members that verified links
-already join need no further comparison among themselves.  What still lies in
-different components is compared exhaustively in small nodes, and larger nodes
-branch further.  Every link is confirmed on whole shingle sets.
+Each set is first compared with one leader; members that verified links already
+join need no further comparison among themselves.  What still lies in different
+components of a node is compared exhaustively where that is little; larger nodes
+compare one member a component with their leader and branch further.  Every link is confirmed on whole shingle sets.
 """
 
 from __future__ import annotations
@@ -169,12 +169,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, trees:
     sets = classes.select("id", "n", "sig")
 
     def gathered(walked: DataFrame) -> DataFrame:
-        """The members of nodes of two or more, with the node's size and leader."""
-        shared = walked.groupBy("node").agg(F.count("*").alias("size"), F.min("id").alias("leader")).where("size > 1")
+        """The members of nodes of two or more, with the node's leader."""
+        shared = walked.groupBy("node").agg(F.count("*").alias("size"), F.min("id").alias("leader")).where("size > 1").drop("size")
         return written(walked.join(shared, "node"))
 
     members = gathered(sets.select("id", "sig").mapInArrow(plant(trees), "node long, id long"))
-    texts = written(docs.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id"))
+    met = members.select("id").distinct()
+    sets = written(sets.join(met, "id"))
+    texts = written(docs.join(met.withColumnRenamed("id", "doc_id"), "doc_id"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         sig = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
@@ -184,27 +186,34 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, trees:
         near = near.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b")
         return near.mapInArrow(confirmed(shingle, percent), "a long, b long")
 
-    stars = members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    links = cut(verified(stars))
+    def reach(links: DataFrame) -> DataFrame:
+        return cut(components(links)).withColumnRenamed("node", "id")
+
+    def place(members: DataFrame, reached: DataFrame) -> DataFrame:
+        return members.join(reached, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+    # One link a set first: what that joins needs no comparison among itself.
+    links = cut(verified(members.where("id <> leader").groupBy(F.col("id").alias("b")).agg(F.min("leader").alias("a"))))
+    reached = reach(links)
     for turn in range(ROUNDS + 1):
-        reached = cut(components(links))
-        placed = members.join(reached.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        split = placed.groupBy("node").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("node")
-        placed = cut(placed.join(split, "node").select("node", "id", "size", "component"))
-        last = turn == ROUNDS
-        # Past the last round nodes of any size are compared, across their components only.
-        close = placed if last else placed.where(F.col("size") <= small_node)
+        placed = place(members.select("node", "id"), reached)
+        groups = placed.groupBy("node", "component").agg(F.count("*").alias("n"), F.min("id").alias("rep"))
+        nodes = groups.groupBy("node").agg(F.count("*").alias("kinds"), F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n")).alias("square"), F.min("rep").alias("leader")).where("kinds > 1")
+        # Past the last round nodes of any size are compared whole, across their components only.
+        wide = F.col("size") * F.col("size") - F.col("square") > (small_node * small_node if turn < ROUNDS else 1 << 62)
+        nodes = cut(nodes.withColumn("wide", wide))
+        close = placed.join(nodes.where("not wide").select("node"), "node")
         left, right = close.select("node", F.col("id").alias("a"), F.col("component").alias("ca")), close.select("node", F.col("id").alias("b"), F.col("component").alias("cb"))
-        pairs = left.join(right, "node").where("a < b and ca <> cb").select("a", "b").distinct()
-        wide = placed.where(F.col("size") > small_node)
-        if last or not wide.take(1):
-            links = cut(links.union(verified(pairs)))
-            break
-        walked = wide.select("node", "id").join(sets.select("id", "sig"), "id").select("node", "id", "sig").mapInArrow(branch(LEVELS + turn * MORE_LEVELS), "node long, id long")
-        members = gathered(walked)
-        stars = members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))
+        pairs = left.join(right, "node").where("a < b and ca <> cb").select("a", "b")
+        stars = groups.join(nodes.where("wide").select("node", "leader"), "node").where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b"))
         links = cut(links.union(verified(pairs.union(stars).distinct())))
-    reached = cut(components(links)).withColumnRenamed("node", "id")
+        reached = reach(links)
+        if not nodes.where("wide").take(1):
+            break
+        crowd = place(members.select("node", "id").join(nodes.where("wide").select("node"), "node"), reached)
+        mixed = crowd.groupBy("node").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("node")
+        walked = crowd.join(mixed, "node").select("node", "id").join(sets.select("id", "sig"), "id").select("node", "id", "sig")
+        members = gathered(walked.mapInArrow(branch(LEVELS + turn * MORE_LEVELS), "node long, id long"))
     of_class = classes.select("k1", "k2", "id").join(reached, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component_id"))
     out = sketches.where("n > 0").select("doc_id", "n", "k1", "k2").join(of_class, ["k1", "k2"]).select("doc_id", "n", "component_id")
     out = out.union(sketches.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
