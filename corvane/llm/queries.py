@@ -53,7 +53,13 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed_repeats(_table(spark, sf_dir, "documents")).drop("edges")
 
 
-QUERIES = {"op8_suffix_dedup": op8_suffix_dedup, "op2_mixing": op2_mixing, "op4_decontaminate": op4_decontaminate, "op5_language_id": op5_language_id, "op6_near_dedup": op6_near_dedup, "op3_exact_dedup": op3_exact_dedup}
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scanned
+
+    return scanned(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op9_secrets": op9_secrets, "op8_suffix_dedup": op8_suffix_dedup, "op2_mixing": op2_mixing, "op4_decontaminate": op4_decontaminate, "op5_language_id": op5_language_id, "op6_near_dedup": op6_near_dedup, "op3_exact_dedup": op3_exact_dedup}
 
 SQL = {
     "op2_mixing": r"""
