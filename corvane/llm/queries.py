@@ -59,7 +59,19 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op9_secrets": op9_secrets, "op8_suffix_dedup": op8_suffix_dedup, "op2_mixing": op2_mixing, "op4_decontaminate": op4_decontaminate, "op5_language_id": op5_language_id, "op6_near_dedup": op6_near_dedup, "op3_exact_dedup": op3_exact_dedup}
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import VOCABULARY, load_vocabulary, token_counts
+
+    return token_counts(_table(spark, sf_dir, "documents"), load_vocabulary(VOCABULARY))
+
+
+def op10_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentence_dedup import removed_sentences
+
+    return removed_sentences(_table(spark, sf_dir, "documents")).drop("edges")
+
+
+QUERIES = {"op7_token_counts": op7_token_counts, "op10_sentence_dedup": op10_sentence_dedup, "op9_secrets": op9_secrets, "op8_suffix_dedup": op8_suffix_dedup, "op2_mixing": op2_mixing, "op4_decontaminate": op4_decontaminate, "op5_language_id": op5_language_id, "op6_near_dedup": op6_near_dedup, "op3_exact_dedup": op3_exact_dedup}
 
 SQL = {
     "op2_mixing": r"""

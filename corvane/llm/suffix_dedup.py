@@ -31,12 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .packed import FOUND, PACKED, SEGMENT, SPAN, WINDOW, column, deal, first_of_equal, found, packed_batch, packed_rows, unplanes
 from .store import buckets, written
 from .textcore import _BASE, _INVERSE, BYTE_HASH, _power, slices, splitmix, utf8
 
 LENGTH = 100
 GRAM = 32
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 SHARD_BYTES = 2 << 20
 #: A gram is hot from so many sampled places, or this share of all of them, on.
 SAMPLE = 16
@@ -209,47 +210,6 @@ def pieces(buf: np.ndarray, off: np.ndarray, length: int) -> Iterator[tuple[np.n
                 at = stop - length + 1
 
 
-def _planes(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize).T).tobytes()
-
-
-def _unplanes(data: bytes, dtype: str) -> np.ndarray:
-    size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(dtype).ravel()
-
-
-PACKED = "bucket int, kind int, x binary, y binary, doc binary, place binary, n binary"
-FOUND = "kind int, doc_id long, place long, n long, shard long"
-SEGMENT, WINDOW, SPAN = 0, 1, 2
-
-
-def _first_of_equal(x: np.ndarray, y: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order, lead, first): rows by (x, y, doc, place); lead of a group, and the index of the lead for each."""
-    order = np.lexsort((place, doc, y, x))
-    x, y = x[order], y[order]
-    lead = np.ones(len(x), bool)
-    lead[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-    return order, lead, np.maximum.accumulate(np.where(lead, np.arange(len(x)), 0))
-
-
-def _rows(bucket: np.ndarray, kind: int, x: np.ndarray, y: np.ndarray, doc: np.ndarray, place: np.ndarray, n: np.ndarray) -> Iterator[tuple]:
-    """One packed row a bucket; columns stay in their order."""
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-    for part in np.split(order, cuts):
-        if len(part):
-            yield int(bucket[part[0]]), kind, _planes(x[part]), _planes(y[part]), _planes(doc[part]), _planes(place[part].astype(np.int64)), _planes(n[part].astype(np.int16))
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:])], names=["bucket", "kind", "x", "y", "doc", "place", "n"])
-
-
-def _deal(x: np.ndarray, parts: int) -> np.ndarray:
-    return ((x >> np.uint64(32)).astype(np.int64) * parts >> 32).astype(np.int32)
-
-
 def split(parts: int, length: int, gram: int, hot: Callable[[], np.ndarray]) -> Callable:
     """Documents to packed segments, strings of hot grams, and spans settled within a block."""
 
@@ -264,15 +224,15 @@ def split(parts: int, length: int, gram: int, hot: Callable[[], np.ndarray]) ->
                 f, c, first, n, sums = segments(piece, bounds, length, gram)
                 owner = np.searchsorted(bounds, first, "right") - 1
                 doc, place = ids[rows[owner]], first - bounds[owner] + shift[owner]
-                order, lead, head = _first_of_equal(f, c, doc, place)
+                order, lead, head = first_of_equal(f, c, doc, place)
                 out: list[tuple] = []
                 f, c, doc, place, n, first = (v[order] for v in (f, c, doc, place, n, first))
                 later = ~lead & ((doc != doc[head]) | (place != place[head]))
                 z = np.zeros(int(later.sum()), np.uint64)
-                out += _rows(_deal(splitmix(doc[later].astype(np.uint64)), parts), SPAN, z, z, doc[later], place[later], n[later])
+                out += packed_rows(deal(splitmix(doc[later].astype(np.uint64)), parts), SPAN, z, z, doc[later], place[later], n[later])
                 full = np.isin(f, crowded) & lead if len(crowded) else np.zeros(len(f), bool)
                 rest = lead & ~full
-                out += _rows(_deal(f[rest], parts), SEGMENT, f[rest], c[rest], doc[rest], place[rest], n[rest])
+                out += packed_rows(deal(f[rest], parts), SEGMENT, f[rest], c[rest], doc[rest], place[rest], n[rest])
                 if full.any():
                     count = n[full]
                     step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
@@ -281,22 +241,18 @@ def split(parts: int, length: int, gram: int, hot: Callable[[], np.ndarray]) ->
                         one = (sums[p + length] - sums[p]) * _power(_INVERSE, len(piece) + 1)[p]
                     wdoc, wplace = np.repeat(doc[full], count), np.repeat(place[full], count) + step
                     x, y = splitmix(one), splitmix(np.repeat(f[full], count) ^ one)
-                    order, lead, head = _first_of_equal(x, y, wdoc, wplace)
+                    order, lead, head = first_of_equal(x, y, wdoc, wplace)
                     x, y, wdoc, wplace = (v[order] for v in (x, y, wdoc, wplace))
                     later = ~lead & ((wdoc != wdoc[head]) | (wplace != wplace[head]))
                     ones = np.ones(len(x), np.int64)
                     z = np.zeros(int(later.sum()), np.uint64)
-                    out += _rows(_deal(splitmix(wdoc[later].astype(np.uint64)), parts), SPAN, z, z, wdoc[later], wplace[later], ones[later])
-                    out += _rows(_deal(x[lead], parts), WINDOW, x[lead], y[lead], wdoc[lead], wplace[lead], ones[lead])
-                yield _batch(out)
+                    out += packed_rows(deal(splitmix(wdoc[later].astype(np.uint64)), parts), SPAN, z, z, wdoc[later], wplace[later], ones[later])
+                    out += packed_rows(deal(x[lead], parts), WINDOW, x[lead], y[lead], wdoc[lead], wplace[lead], ones[lead])
+                yield packed_batch(out)
 
     return run
 
 
-def _found(kind: int, doc: np.ndarray, place: np.ndarray, n: np.ndarray, shard: np.ndarray | int = 0) -> pd.DataFrame:
-    return pd.DataFrame({"kind": np.full(len(doc), kind, np.int32), "doc_id": doc, "place": place, "n": n.astype(np.int64), "shard": np.broadcast_to(np.asarray(shard, np.int64), doc.shape)})
-
-
 def merged_runs(runs: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray]:
     """Runs (x, y, doc, place), each sorted by (x, y): the (doc, place) of every string that another run, or its own, has earlier.
 
@@ -338,25 +294,20 @@ def settle(length: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        wide = lambda k, rows: (np.concatenate([_unplanes(v, d) for v in rows[k]]) if len(rows) else np.zeros(0, d))
         rows = pdf[pdf.kind == SPAN]
-        d = "<i8"
-        out.append(_found(SPAN, wide("doc", rows), wide("place", rows), np.concatenate([_unplanes(v, "<i2") for v in rows["n"]]) if len(rows) else np.zeros(0)))
+        out.append(found(SPAN, column(rows, "doc", "<i8"), column(rows, "place", "<i8"), column(rows, "n", "<i4")))
         rows = pdf[pdf.kind == WINDOW]
         if len(rows):
-            doc, place = merged_runs([(_unplanes(r.x, "<u8"), _unplanes(r.y, "<u8"), _unplanes(r.doc, "<i8"), _unplanes(r.place, "<i8")) for r in rows.itertuples()])
-            out.append(_found(SPAN, doc, place, np.ones(len(doc))))
+            doc, place = merged_runs([(unplanes(r.x, "<u8"), unplanes(r.y, "<u8"), unplanes(r.doc, "<i8"), unplanes(r.place, "<i8")) for r in rows.itertuples()])
+            out.append(found(SPAN, doc, place, np.ones(len(doc))))
         rows = pdf[pdf.kind == SEGMENT]
         if len(rows):
-            d = "<u8"
-            f, c = wide("x", rows), wide("y", rows)
-            d = "<i8"
-            doc, place = wide("doc", rows), wide("place", rows)
-            n = np.concatenate([_unplanes(v, "<i2") for v in rows["n"]])
-            order, lead, head = _first_of_equal(f, c, doc, place)
+            f, c = column(rows, "x", "<u8"), column(rows, "y", "<u8")
+            doc, place, n = column(rows, "doc", "<i8"), column(rows, "place", "<i8"), column(rows, "n", "<i4")
+            order, lead, head = first_of_equal(f, c, doc, place)
             f, doc, place, n = (v[order] for v in (f, doc, place, n))
             later = ~lead & ((doc != doc[head]) | (place != place[head]))
-            out.append(_found(SPAN, doc[later], place[later], n[later]))
+            out.append(found(SPAN, doc[later], place[later], n[later]))
             f, doc, place, n = (v[lead] for v in (f, doc, place, n))
             new = np.ones(len(f), bool)
             new[1:] = f[1:] != f[:-1]
@@ -369,7 +320,7 @@ def settle(length: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
                 lead[1:] = group[1:] != group[:-1]
                 first = np.maximum.accumulate(np.where(lead, np.arange(len(group)), 0))
                 shard = (filled[first] - n[first] - length + 1) // SHARD_BYTES  # by where its gram begins
-                out.append(_found(SEGMENT, doc, place, n, (int(pdf.bucket.iloc[0]) << 32) + shard))
+                out.append(found(SEGMENT, doc, place, n, (int(pdf.bucket.iloc[0]) << 32) + shard))
         return pd.concat(out, ignore_index=True)
 
     return run
@@ -473,11 +424,11 @@ def removed_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     crowded = spark.sparkContext.broadcast(hot_grams(docs, length, gram))
     packed = docs.mapInArrow(split(parts, length, gram, lambda: crowded.value), PACKED)
     done = settle(length)
-    found = written(packed.groupBy("bucket").applyInPandas(lambda pdf: done(pdf), FOUND))
-    open_ = found.where(F.col("kind") == SEGMENT).groupBy("doc_id").agg(F.collect_list(F.struct("place", "n", "shard")).alias("open"))
+    settled = written(packed.groupBy("bucket").applyInPandas(lambda pdf: done(pdf), FOUND))
+    open_ = settled.where(F.col("kind") == SEGMENT).groupBy("doc_id").agg(F.collect_list(F.struct("place", "n", "shard")).alias("open"))
     bytes_ = docs.join(open_, "doc_id").select("doc_id", "text", "open").mapInArrow(cut_out(length), "shard long, doc_id long, place long, bytes binary")
     compared = sorted_shard(length)
     more = bytes_.groupBy("shard").applyInPandas(lambda pdf: compared(pdf), "doc_id long, place long, n long")
-    spans = found.where(F.col("kind") == SPAN).select("doc_id", "place", "n").union(more)
+    spans = settled.where(F.col("kind") == SPAN).select("doc_id", "place", "n").union(more)
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("place", "n")).alias("spans"))
     return docs.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(removal(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, edges array<long>")
