@@ -30,7 +30,7 @@ COORDINATES = 96
 TREES = 8
 LEVELS = 6
 MORE_LEVELS = 3
-SMALL_NODE = 32
+SMALL_NODE = 64
 ROUNDS = 6
 #: Standard errors of the signature's estimate by which a candidate may miss the threshold.
 SLACK = 4.5
@@ -186,15 +186,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, trees:
         near = near.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b")
         return near.mapInArrow(confirmed(shingle, percent), "a long, b long")
 
-    def reach(links: DataFrame) -> DataFrame:
+    def reach(links: DataFrame, before: DataFrame | None = None) -> DataFrame:
+        """(id, component) once ``links`` are added; ``before`` stands for the links so far."""
+        if before is not None:
+            if not links.take(1):
+                return before
+            links = links.union(before.where("id <> component").select("component", "id"))
         return cut(components(links)).withColumnRenamed("node", "id")
 
     def place(members: DataFrame, reached: DataFrame) -> DataFrame:
         return members.join(reached, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
     # One link a set first: what that joins needs no comparison among itself.
-    links = cut(verified(members.where("id <> leader").groupBy(F.col("id").alias("b")).agg(F.min("leader").alias("a"))))
-    reached = reach(links)
+    reached = reach(cut(verified(members.where("id <> leader").groupBy(F.col("id").alias("b")).agg(F.min("leader").alias("a")))))
     for turn in range(ROUNDS + 1):
         placed = place(members.select("node", "id"), reached)
         groups = placed.groupBy("node", "component").agg(F.count("*").alias("n"), F.min("id").alias("rep"))
@@ -206,8 +210,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, trees:
         left, right = close.select("node", F.col("id").alias("a"), F.col("component").alias("ca")), close.select("node", F.col("id").alias("b"), F.col("component").alias("cb"))
         pairs = left.join(right, "node").where("a < b and ca <> cb").select("a", "b")
         stars = groups.join(nodes.where("wide").select("node", "leader"), "node").where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b"))
-        links = cut(links.union(verified(pairs.union(stars).distinct())))
-        reached = reach(links)
+        reached = reach(cut(verified(pairs.union(stars).distinct())), reached)
         if not nodes.where("wide").take(1):
             break
         crowd = place(members.select("node", "id").join(nodes.where("wide").select("node"), "node"), reached)
