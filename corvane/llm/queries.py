@@ -71,7 +71,13 @@ def op10_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed_sentences(_table(spark, sf_dir, "documents")).drop("edges")
 
 
-QUERIES = {"op7_token_counts": op7_token_counts, "op10_sentence_dedup": op10_sentence_dedup, "op9_secrets": op9_secrets, "op8_suffix_dedup": op8_suffix_dedup, "op2_mixing": op2_mixing, "op4_decontaminate": op4_decontaminate, "op5_language_id": op5_language_id, "op6_near_dedup": op6_near_dedup, "op3_exact_dedup": op3_exact_dedup}
+def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .katz import katz_scores
+
+    return katz_scores(_table(spark, sf_dir, "documents"), _remainder(5) != 1)
+
+
+QUERIES = {"op1_katz": op1_katz, "op7_token_counts": op7_token_counts, "op10_sentence_dedup": op10_sentence_dedup, "op9_secrets": op9_secrets, "op8_suffix_dedup": op8_suffix_dedup, "op2_mixing": op2_mixing, "op4_decontaminate": op4_decontaminate, "op5_language_id": op5_language_id, "op6_near_dedup": op6_near_dedup, "op3_exact_dedup": op3_exact_dedup}
 
 SQL = {
     "op2_mixing": r"""
