@@ -27,7 +27,7 @@ from .textcore import slices, splitmix, utf8
 ORDER = 5
 SAMPLE_DOCS = 300
 SAMPLE_CHARS = 8000
-SLICE = 4 << 20
+SLICE = 3 << 19
 MARK = np.uint64(32)
 UNDETERMINED = "und"
 _tables: dict[str, np.ndarray] = {}
