@@ -10,8 +10,9 @@ Sets depend on no other set while they walk, so the first levels take one pass.
 
 Each set is first compared with one leader; members that verified links already
 join need no further comparison among themselves.  What still lies in different
-components of a node is compared exhaustively where that is little; larger nodes
-compare one member a component with their leader and branch further.  Every link is confirmed on whole shingle sets.
+components of a node is compared exhaustively, within one task, in nodes of
+bounded size; larger nodes compare one member a component with their leader and
+branch further.  Every link is confirmed on whole shingle sets.
 """
 
 from __future__ import annotations
@@ -30,7 +31,9 @@ COORDINATES = 96
 TREES = 8
 LEVELS = 6
 MORE_LEVELS = 3
-SMALL_NODE = 64
+#: Nodes of up to so many sets and bytes of text are compared in one task.
+NODE_SETS = 2048
+NODE_BYTES = 24 << 20
 ROUNDS = 6
 #: Standard errors of the signature's estimate by which a candidate may miss the threshold.
 SLACK = 4.5
@@ -151,7 +154,89 @@ def confirmed(shingle: int, percent: int) -> Callable:
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, trees: int = TREES, small_node: int = SMALL_NODE) -> DataFrame:
+def by_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each node, from batches sorted by their first column."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        node = batch.column(0).to_numpy()
+        cuts = np.flatnonzero(node[1:] != node[:-1]) + 1
+        if held and held[0].column(0)[0].as_py() != node[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        edges = [0, *cuts.tolist(), batch.num_rows]
+        for i, j in zip(edges[:-1], edges[1:], strict=True):
+            held.append(batch.slice(i, j - i))
+            if j < batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def plausible(percent: int) -> Callable:
+    """(node, id, component, n, sig) to the members that sizes and signatures allow a link to another component of the node."""
+    p = percent / 100
+    least = (p - SLACK * np.sqrt(p * (1 - p) / COORDINATES)) * COORDINATES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in by_node(batches):
+            component, n, sig = rows.column(2).to_numpy(), rows.column(3).to_numpy(), _matrix(rows.column(4))
+            z = len(n)
+            active = np.zeros(z, bool)
+            step = max(1, (1 << 22) // (z * COORDINATES))
+            for i in range(0, z, step):
+                j = min(z, i + step)
+                ok = (component[i:j, None] != component) & (100 * np.minimum(n[i:j, None], n) >= percent * np.maximum(n[i:j, None], n))
+                if ok.any():
+                    ok &= (sig[i:j, None, :] == sig).sum(2) >= least
+                    active[i:j] |= ok.any(1)
+            if active.any():
+                yield from rows.select([0, 1, 2]).filter(pa.array(active)).combine_chunks().to_batches()
+
+    return run
+
+
+def compared(shingle: int, percent: int) -> Callable:
+    """(node, id, component, text) to links between components of each node, on whole sets.
+
+    Every member outside the largest component meets all members of other
+    components; links that others already imply within the node are left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in by_node(batches):
+            ids, component = rows.column(1).to_numpy(), rows.column(2).to_numpy()
+            buf, off = utf8(rows.column(3))
+            parts = [(i, *doc_shingles(buf, off[i : j + 1], shingle)) for i, j in slices(off)]
+            size = np.concatenate([np.diff(at) for _, _, at in parts])
+            owner = np.repeat(np.arange(len(ids)), size)
+            _, gram = np.unique(np.concatenate([g for _, g, _ in parts]), return_inverse=True)
+            order = np.argsort(gram, kind="stable")
+            posting, count = owner[order], np.bincount(gram)
+            begin = np.cumsum(count) - count
+            at = np.concatenate([[0], np.cumsum(size)])
+            _, label, members = np.unique(component, return_inverse=True, return_counts=True)
+            links = []
+            for i in np.flatnonzero(label != members.argmax()):
+                other = label != label[i]
+                if not other.any():
+                    continue
+                mine = gram[at[i] : at[i + 1]]
+                spread = np.repeat(begin[mine] - np.cumsum(count[mine]) + count[mine], count[mine]) + np.arange(int(count[mine].sum()))
+                shared = np.bincount(posting[spread], minlength=len(ids))
+                for j in np.flatnonzero(other & (100 * shared >= percent * (size + size[i] - shared))):
+                    if label[j] != label[i]:
+                        links.append((ids[i], ids[j]))
+                        label[label == label[j]] = label[i]
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], names=["a", "b"])
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, trees: int = TREES, node_sets: int = NODE_SETS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Documents are linked when the Jaccard similarity of their sets of distinct
@@ -176,7 +261,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, trees:
     members = gathered(sets.select("id", "sig").mapInArrow(plant(trees), "node long, id long"))
     met = members.select("id").distinct()
     sets = written(sets.join(met, "id"))
-    texts = written(docs.join(met.withColumnRenamed("id", "doc_id"), "doc_id"))
+    texts = written(docs.join(met.withColumnRenamed("id", "doc_id"), "doc_id").withColumn("bytes", F.octet_length("text")))
+    bytes_of = texts.select(F.col("doc_id").alias("id"), "bytes")
 
     def verified(pairs: DataFrame) -> DataFrame:
         sig = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
@@ -201,17 +287,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, trees:
     reached = reach(cut(verified(members.where("id <> leader").groupBy(F.col("id").alias("b")).agg(F.min("leader").alias("a")))))
     for turn in range(ROUNDS + 1):
         placed = place(members.select("node", "id"), reached)
-        groups = placed.groupBy("node", "component").agg(F.count("*").alias("n"), F.min("id").alias("rep"))
-        nodes = groups.groupBy("node").agg(F.count("*").alias("kinds"), F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n")).alias("square"), F.min("rep").alias("leader")).where("kinds > 1")
-        # Past the last round nodes of any size are compared whole, across their components only.
-        wide = F.col("size") * F.col("size") - F.col("square") > (small_node * small_node if turn < ROUNDS else 1 << 62)
-        nodes = cut(nodes.withColumn("wide", wide))
-        close = placed.join(nodes.where("not wide").select("node"), "node")
-        left, right = close.select("node", F.col("id").alias("a"), F.col("component").alias("ca")), close.select("node", F.col("id").alias("b"), F.col("component").alias("cb"))
-        pairs = left.join(right, "node").where("a < b and ca <> cb").select("a", "b")
+        groups = placed.join(bytes_of, "id").groupBy("node", "component").agg(F.count("*").alias("n"), F.min("id").alias("rep"), F.sum("bytes").alias("bytes"))
+        nodes = groups.groupBy("node").agg(F.count("*").alias("kinds"), F.sum("n").alias("size"), F.sum("bytes").alias("bytes"), F.min("rep").alias("leader")).where("kinds > 1")
+        nodes = cut(nodes.withColumn("wide", (F.col("size") > node_sets) | (F.col("bytes") > NODE_BYTES)))
+        close = placed.join(nodes.where("not wide").select("node"), "node").join(sets, "id").select("node", "id", "component", "n", "sig")
+        active = close.repartition("node").sortWithinPartitions("node").mapInArrow(plausible(percent), "node long, id long, component long")
+        active = active.join(texts.select(F.col("doc_id").alias("id"), "text"), "id").select("node", "id", "component", "text")
+        found = active.repartition("node").sortWithinPartitions("node").mapInArrow(compared(shingle, percent), "a long, b long")
         stars = groups.join(nodes.where("wide").select("node", "leader"), "node").where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b"))
-        reached = reach(cut(verified(pairs.union(stars).distinct())), reached)
-        if not nodes.where("wide").take(1):
+        crowded = nodes.where("wide").take(1)
+        if crowded and turn == ROUNDS:  # what so many levels did not part is compared pair by pair, across components
+            left, right = (placed.join(nodes.where("wide").select("node"), "node").select("node", F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+            stars = left.join(right, "node").where("a < b and ca <> cb").select("a", "b")
+        reached = reach(cut(found.union(verified(stars.distinct())) if crowded else found), reached)
+        if not crowded or turn == ROUNDS:
             break
         crowd = place(members.select("node", "id").join(nodes.where("wide").select("node"), "node"), reached)
         mixed = crowd.groupBy("node").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("node")
