@@ -39,7 +39,7 @@ from .textcore import slices, splitmix, utf8, words
 SMALL = 5
 #: Larger counts give up this part of one occurrence, so that no history is without backoff mass.
 TAIL = 0.05
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 END = splitmix(np.uint64(0xE4D))
 START = splitmix(np.uint64(0x57A))
 LOG10 = np.log(10.0)
@@ -343,7 +343,7 @@ def katz_scores(docs: DataFrame, learn: Column, parts: int | None = None) -> Dat
     Rows without a doc_id are left out; repeated rows get, and teach, a row
     each.  Without training text all tokens are unknown words of probability 1.
     """
-    parts = parts or buckets(docs.sparkSession)
+    parts = parts or buckets(docs.sparkSession, times=3)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn")).where("doc_id is not null")
     uni = unigrams(rows, parts)
     tables, last = bucket_tables(parts, uni), finished(uni)
