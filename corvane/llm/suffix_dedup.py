@@ -420,7 +420,7 @@ def removed_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
-    parts = buckets(spark)
+    parts = buckets(spark, times=3)
     crowded = spark.sparkContext.broadcast(hot_grams(docs, length, gram))
     packed = docs.mapInArrow(split(parts, length, gram, lambda: crowded.value), PACKED)
     done = settle(length)
