@@ -12,8 +12,8 @@ w, counts, discounts and sends back
 
 - to the block, one row of sums for each document (finished terms and counts
   of terms whose discount is not yet known),
-- to the bucket of each history h, how many of its bigrams it has with each
-  small count, their unigram mass, and which documents need its backoff weight.
+- to the bucket of each history h, which of its bigrams have which small count and how frequent
+  their words are, and which documents need its backoff weight.
 
 Every bucket sends its counts of counts along with each of these rows, so the
 receivers know the corpus-wide discounts without another pass.  The log
@@ -39,7 +39,7 @@ from .textcore import slices, splitmix, utf8, words
 SMALL = 5
 #: Larger counts give up this part of one occurrence, so that no history is without backoff mass.
 TAIL = 0.05
-BLOCK = 2 << 20
+BLOCK = 4 << 20
 END = splitmix(np.uint64(0xE4D))
 START = splitmix(np.uint64(0x57A))
 LOG10 = np.log(10.0)
@@ -244,22 +244,23 @@ def bucket_tables(parts: int, uni: Unigrams) -> Callable[[pd.DataFrame], pd.Data
             need_doc.append(doc[miss])
             need_times.append(times[miss].astype(np.uint32))
         # For the histories: what this bucket's words take of each.
-        sh, sk, sp = pair_h[seen], kinds[seen], p1[seen]
+        sh, sk, sc = pair_h[seen], kinds[seen], of_word[seen]
         nh, nb, nd, nt = map(np.concatenate, (need_h, need_block, need_doc, need_times))
         order, norder = np.argsort(sh, kind="stable"), np.argsort(nh, kind="stable")
-        sh, sk, sp = sh[order], sk[order].astype(np.uint8), sp[order]
+        sh, sk, sc = sh[order], sk[order].astype(np.uint8), sc[order].astype(np.uint32)
         nh, nb, nd, nt = nh[norder], nb[norder], nd[norder], nt[norder]
         cut, ncut = (np.searchsorted(deal(v, parts), np.arange(parts + 1)) for v in (sh, nh))
         blocks, nb = np.unique(nb, return_inverse=True)
         for b in range(parts):
             s, t = slice(cut[b], cut[b + 1]), slice(ncut[b], ncut[b + 1])
-            out.append((HISTORY, b, int(pdf.key.iloc[0]), [planes(sh[s]), sk[s].tobytes(), planes(sp[s]), planes(nh[t]), blocks.astype(np.int64).tobytes(), planes(nb[t].astype(np.uint32)), planes(nd[t]), planes(nt[t]), stamp]))
+            each_h, times_h = np.unique(sh[s], return_counts=True)
+            out.append((HISTORY, b, int(pdf.key.iloc[0]), [planes(each_h), planes(times_h.astype(np.uint32)), sk[s].tobytes(), planes(sc[s]), planes(nh[t]), blocks.astype(np.int64).tobytes(), planes(nb[t].astype(np.uint32)), planes(nd[t]), planes(nt[t]), stamp]))
         return _frame(out)
 
     return run
 
 
-def backoff_weights(pdf: pd.DataFrame) -> pd.DataFrame:
+def backoff_weights(pdf: pd.DataFrame, uni: Unigrams) -> pd.DataFrame:
     """A bucket's histories: the logarithm of each backoff weight, times the history's count, to who asked.
 
     The count is what the history's token already subtracted in its document.
@@ -267,9 +268,9 @@ def backoff_weights(pdf: pd.DataFrame) -> pd.DataFrame:
     rows = list(pdf[pdf.kind == HISTORY].itertuples())
     coc = np.sum([np.frombuffer(r.data[-1], np.float64) for r in rows], axis=0)
     star = discounts(coc)
-    h = np.concatenate([unplanes(r.data[0], "<u8") for r in rows])
-    kind = np.concatenate([np.frombuffer(r.data[1], np.uint8) for r in rows])
-    p1 = np.concatenate([unplanes(r.data[2], "<f8") for r in rows])
+    h = np.concatenate([np.repeat(unplanes(r.data[0], "<u8"), unplanes(r.data[1], "<u4")) for r in rows])
+    kind = np.concatenate([np.frombuffer(r.data[2], np.uint8) for r in rows])
+    p1 = uni.probability(np.concatenate([unplanes(r.data[3], "<u4") for r in rows]).astype(np.int64))
     keys, inverse = np.unique(h, return_inverse=True)
     given = np.append(np.arange(1, SMALL + 1) - star, TAIL)  # of a count 1 .. SMALL, and of a larger one
     free = np.bincount(inverse, given[kind.astype(np.int64) - 1], minlength=len(keys))
@@ -278,11 +279,11 @@ def backoff_weights(pdf: pd.DataFrame) -> pd.DataFrame:
         log_weight = np.log(free) - np.log(np.maximum(rest, 1e-12))  # log(count * alpha); the count cancels in the document
     sums: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
     for r in rows:
-        nh = unplanes(r.data[3], "<u8")
+        nh = unplanes(r.data[4], "<u8")
         if not len(nh) or not len(keys):
             continue
-        blocks = np.frombuffer(r.data[4], np.int64)
-        nb, nd, nt = unplanes(r.data[5], "<u4"), unplanes(r.data[6], "<u4"), unplanes(r.data[7], "<u4")
+        blocks = np.frombuffer(r.data[5], np.int64)
+        nb, nd, nt = unplanes(r.data[6], "<u4"), unplanes(r.data[7], "<u4"), unplanes(r.data[8], "<u4")
         at = np.minimum(np.searchsorted(keys, nh), len(keys) - 1)
         value = np.where(keys[at] == nh, log_weight[at], 0.0) * nt  # an unknown history backs off whole
         for b in np.unique(nb):
@@ -295,10 +296,10 @@ def backoff_weights(pdf: pd.DataFrame) -> pd.DataFrame:
     return _frame(out)
 
 
-def gathered(pdf: pd.DataFrame) -> pd.DataFrame:
+def gathered(pdf: pd.DataFrame, uni: Unigrams) -> pd.DataFrame:
     """Second exchange: sums of one block become one row, histories give weights."""
     if (pdf.kind == HISTORY).any():
-        return backoff_weights(pdf)
+        return backoff_weights(pdf, uni)
     head = pdf[pdf.kind == HEAD].iloc[0]
     n = len(head.data[1])
     total = np.zeros((4 + SMALL, n))
@@ -350,5 +351,5 @@ def katz_scores(docs: DataFrame, learn: Column, parts: int | None = None) -> Dat
     sent = rows.mapInArrow(send_bigrams(parts), ROW)
     # The key of a head row is its block: any bucket passes it on.
     answered = sent.groupBy(F.when(F.col("kind") == HEAD, -1 - F.col("key")).otherwise(F.col("key")).alias("k")).applyInPandas(lambda pdf: tables(pdf), ROW)
-    collected = answered.groupBy((F.col("kind") == HISTORY).alias("of_history"), "key").applyInPandas(lambda pdf: gathered(pdf), ROW)
+    collected = answered.groupBy((F.col("kind") == HISTORY).alias("of_history"), "key").applyInPandas(lambda pdf: gathered(pdf, uni), ROW)
     return collected.groupBy("key").applyInPandas(lambda pdf: last(pdf), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
