@@ -14,6 +14,11 @@ NGRAM_CEILING = 100_000_000
 LOW_FREQUENCY = 1000
 
 
+def half_up(value: Column, digits: int = 6) -> Column:
+    """Rounded half up on the decimal value, whatever the last bits of the double say."""
+    return F.round(value.cast("decimal(18,9)"), digits).cast("double")
+
+
 def log_axis(value: Column, scale: int) -> Column:
     """log1p against log1p(scale), rounded half up to 6 digits, in 0 .. 1; 0 for values of 0 or less."""
     return F.when(value.isNull(), None).when(value <= 0, 0.0).otherwise(F.least(F.round(F.log1p(value) / math.log1p(scale), 6), F.lit(1.0)))
@@ -25,11 +30,11 @@ def open_log_axis(value: Column, ceiling: int) -> Column:
 
 
 def coverage(frequency_axis: Column, pair_axis: Column) -> Column:
-    return F.round((frequency_axis + pair_axis) / 2, 6)
+    return half_up((frequency_axis + pair_axis) / 2)
 
 
 def corpus_risk(frequency_axis: Column, pair_axis: Column, low: Column, zero: Column, cover: Column) -> Column:
-    return F.round(((1 - frequency_axis) + (1 - pair_axis) + low.cast("double") + zero.cast("double") + (1 - cover)) / 5, 6)
+    return half_up(((1 - frequency_axis) + (1 - pair_axis) + low.cast("double") + zero.cast("double") + (1 - cover)) / 5)
 
 
 def clip(value: Column, eps: float = 1e-6) -> Column:
