@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import small_batches
 from .textcore import runs, slices, splitmix, utf8, words
 
 BITS = 128
@@ -179,6 +180,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, percen
     item is one window.  Items with fewer words than ``shingle`` are one
     shingle.  Equal items are reported each; repeated rows get a row each.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import buckets
+from .store import buckets, small_batches
 from .textcore import splitmix
 
 MEMTABLE_BYTES = 16 << 20
@@ -140,6 +140,7 @@ def compact(pdf: pd.DataFrame) -> pd.DataFrame:
 def index(docs: DataFrame, keep: str = "smallest", parts: int | None = None, digest: Callable[[bytes], bytes] = sha256) -> DataFrame:
     """The compacted index of (doc_id, text): digest, id, n, hit."""
     spark = docs.sparkSession
+    small_batches(spark)
     parts = parts or buckets(spark)
     return (
         docs.select("doc_id", "text")

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .packed import deal, planes, unplanes
-from .store import buckets
+from .store import buckets, small_batches
 from .textcore import slices, splitmix, utf8, words
 
 #: Counts up to here are discounted after Good and Turing.
@@ -344,6 +344,7 @@ def katz_scores(docs: DataFrame, learn: Column, parts: int | None = None) -> Dat
     Rows without a doc_id are left out; repeated rows get, and teach, a row
     each.  Without training text all tokens are unknown words of probability 1.
     """
+    small_batches(docs.sparkSession)
     parts = parts or buckets(docs.sparkSession, times=3)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn")).where("doc_id is not null")
     uni = unigrams(rows, parts)

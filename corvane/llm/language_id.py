@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import small_batches
 from .textcore import slices, splitmix, utf8
 
 ORDER = 5
@@ -272,6 +273,7 @@ def identify(docs: DataFrame, model: dict[str, Any], carry: list[str] | None = N
     text everything is ``und``.  Repeated rows get a row each.
     """
     carry = carry or []
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join(["doc_id long", "lang_pred string", "score double", "cross_entropy double", "rejected boolean", *(f"`{c}` {fields[c]}" for c in carry)])

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import components, cut, written
+from .store import components, cut, small_batches, written
 from .textcore import doc_shingles, slices, splitmix, utf8
 
 COORDINATES = 96
@@ -247,6 +247,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, trees:
     doc_id are left out, and rows that share one must share a text.  Other
     columns are not looked at.  An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     sketches = written(docs.mapInArrow(sketch(shingle), "doc_id long, n long, k1 long, k2 long, sig binary"))
     # Equal sets are one class from here on, whatever their number.

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .packed import FOUND, PACKED, SEGMENT, SPAN, column, deal, first_of_equal, found, packed_batch, packed_rows
-from .store import buckets
+from .store import buckets, small_batches
 from .suffix_dedup import removal
 from .textcore import slices, splitmix, utf8
 
@@ -116,6 +116,7 @@ def removed_sentences(docs: DataFrame, sizes: tuple[tuple[int, int], ...] = RUNS
     them.  Rows without a doc_id are left out; rows that share one count as
     one place and must share a text.  Other columns are not looked at.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
     spans = docs.mapInArrow(split(buckets(docs.sparkSession), sizes), PACKED).groupBy("bucket").applyInPandas(lambda pdf: settle(pdf), FOUND)
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("place", "n")).alias("spans"))

@@ -42,6 +42,13 @@ def buckets(spark: SparkSession, least: int = 8, times: int = 1) -> int:
     return max(least, times * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Fewer rows an Arrow batch than the default for long texts: each executor core holds a batch twice, outside the heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every end of ``links`` (a, b): the smallest id reachable.
 

@@ -32,13 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .packed import FOUND, PACKED, SEGMENT, SPAN, WINDOW, column, deal, first_of_equal, found, packed_batch, packed_rows, unplanes
-from .store import buckets, written
+from .store import buckets, small_batches, written
 from .textcore import _BASE, _INVERSE, BYTE_HASH, _power, slices, splitmix, utf8
 
 LENGTH = 100
 GRAM = 32
 BLOCK = 1 << 20
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 #: A gram is hot from so many sampled places, or this share of all of them, on.
 SAMPLE = 16
 HOT_PLACES = 2000
@@ -419,6 +419,7 @@ def removed_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     share a text.  Other columns are not looked at.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
     parts = buckets(spark, times=3)
     crowded = spark.sparkContext.broadcast(hot_grams(docs, length, gram))
