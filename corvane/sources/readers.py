@@ -46,11 +46,11 @@ def read_optional(spark: SparkSession, path: str) -> DataFrame | None:
 
 def read_shards(spark: SparkSession, path: str, schema: str, name: str = "shard.json") -> tuple[DataFrame, DataFrame]:
     """(good rows, one row per unreadable shard) of every file of that name below a folder."""
-    rows = (
-        spark.read.schema(f"{schema}, _bad string").option("recursiveFileLookup", True).option("pathGlobFilter", name).option("multiLine", True)
-        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path).withColumn("shard", F.input_file_name())
-    )
-    return rows.where("_bad is null").drop("_bad"), rows.where("_bad is not null").select("shard").distinct()
+    text = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).text(path)
+    parsed = F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    rows = text.select(parsed.alias("r"), F.input_file_name().alias("shard"))
+    good = F.col("r").isNotNull() & F.col("r._bad").isNull()
+    return rows.where(good).select("r.*", "shard").drop("_bad"), rows.where(~good).select("shard")
 
 
 def read_half_floats(spark: SparkSession, path: str, columns: dict[str, str], batch_rows: int = 1024) -> DataFrame:
