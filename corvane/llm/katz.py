@@ -15,8 +15,9 @@ w, counts, discounts and sends back
 - to the bucket of each history h, which of its bigrams have which small count and how frequent
   their words are, and which documents need its backoff weight.
 
-Every bucket sends its counts of counts along with each of these rows, so the
-receivers know the corpus-wide discounts without another pass.  The log
+Every bucket sends its totals and counts of counts along with each of these
+rows, so the receivers know the corpus-wide discounts without another pass; what
+depends on them travels as the number of terms of each small count.  The log
 probability is a sum, so the terms of one token may be added in different
 places; that is the recursion, unrolled over the tables.
 """
@@ -39,7 +40,10 @@ from .textcore import slices, splitmix, utf8, words
 SMALL = 5
 #: Larger counts give up this part of one occurrence, so that no history is without backoff mass.
 TAIL = 0.05
-BLOCK = 4 << 20
+#: Tokens that travel together.
+BLOCK = 2_000_000
+#: Fixed point of sums that travel.
+POINT = float(1 << 32)
 END = splitmix(np.uint64(0xE4D))
 START = splitmix(np.uint64(0x57A))
 LOG10 = np.log(10.0)
@@ -85,54 +89,55 @@ def tokens_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return word, before, np.repeat(np.arange(n), size)
 
 
-def _docs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(doc_id, learn, bytes, offsets) for blocks of documents."""
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(doc_id, learn, word, word before, document) for blocks of BLOCK tokens or somewhat more."""
+    held: list[tuple] = []
+    docs = size = 0
     for batch in batches:
         buf, off = utf8(batch.column(1))
         ids, learn = batch.column(0).to_numpy(), np.asarray(batch.column(2).to_pylist(), bool)
-        for i, j in slices(off, BLOCK):
-            yield ids[i:j], learn[i:j], buf, off[i : j + 1]
+        for i, j in slices(off):
+            word, before, doc = tokens_of(buf, off[i : j + 1])
+            held.append((ids[i:j], learn[i:j], word, before, (doc + docs).astype(np.uint32)))
+            docs, size = docs + j - i, size + len(word)
+            if size >= BLOCK:
+                yield tuple(map(np.concatenate, zip(*held, strict=True)))
+                held, docs, size = [], 0, 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
 
 
-def count_words(parts: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, learn, buf, off in _docs(batches):
-            word, _, doc = tokens_of(buf, off)
-            keys, n = np.unique(word[learn[doc]], return_counts=True)
-            bucket = deal(keys, parts)
-            rows = [(int(b), planes(keys[bucket == b]), planes(n[bucket == b].astype(np.int32))) for b in np.unique(bucket)]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["bucket", "word", "n"])
+class Unigrams:
+    """Discounted unigram counts; ``unknown`` is the count that is left for the one unknown word."""
 
-    return run
+    def __init__(self, total: int, types: int, texts: int, n: np.ndarray):
+        self.total, self.types, self.texts = total, types, texts
+        self.star = discounts(n)
+        given = float((n[:SMALL] * (np.arange(1, SMALL + 1) - self.star)).sum()) + TAIL * (types - n[:SMALL].sum())
+        self.unknown = given if total and given > 0 else 1.0
 
+    def probability(self, counts: np.ndarray) -> np.ndarray:
+        return np.where(counts > 0, reduced(np.maximum(counts, 1), self.star), self.unknown) / max(self.total, 1)
 
-def counts_of_counts(pdf: pd.DataFrame) -> pd.DataFrame:
-    keys = np.concatenate([unplanes(x, "<u8") for x in pdf["word"]])
-    keys, inverse = np.unique(keys, return_inverse=True)
-    n = np.bincount(inverse, np.concatenate([unplanes(x, "<i4") for x in pdf["n"]]))
-    row = {"types": len(n), "total": int(n.sum()), "texts": int(n[keys == END].sum())} | {f"n{r}": int((n == r).sum()) for r in range(1, SMALL + 2)}
-    return pd.DataFrame([row])
 
+def stamp_of(bigram_counts: np.ndarray, word_counts: np.ndarray, texts: int) -> bytes:
+    """A bucket's share of the corpus totals."""
+    few = lambda c: np.bincount(np.minimum(c[c > 0], SMALL + 2), minlength=SMALL + 3)[1 : SMALL + 2]
+    return np.concatenate([few(bigram_counts), few(word_counts), [word_counts.sum(), (word_counts > 0).sum(), texts]]).astype(np.float64).tobytes()
 
-class Unigrams:
-    """Discounted unigram probabilities; ``unknown`` is what is left for the one unknown word."""
 
-    def __init__(self, total: int, types: int, texts: int, n: list[int]):
-        self.total, self.types, self.texts = total, types, texts
-        self.star = discounts(np.array(n, float))
-        counts = np.arange(1, SMALL + 1)
-        given = float((np.array(n[:SMALL]) * (counts - self.star)).sum()) + TAIL * (types - sum(n[:SMALL]))
-        self.unknown = given / total if total and given > 0 else 1.0
-
-    def probability(self, counts: np.ndarray) -> np.ndarray:
-        return np.where(counts > 0, reduced(np.maximum(counts, 1), self.star) / max(self.total, 1), self.unknown)
+def totals(stamps: list[bytes]) -> tuple[np.ndarray, Unigrams]:
+    """(discounted bigram counts, unigrams) from the stamps of all buckets."""
+    x = np.sum([np.frombuffer(v, np.float64) for v in stamps], axis=0)
+    k = SMALL + 1
+    return discounts(x[:k]), Unigrams(int(x[2 * k]), int(x[2 * k + 1]), int(x[2 * k + 2]), x[k : 2 * k])
 
 
 # One row of the exchange between blocks and buckets.
 ROW = "kind int, key long, source long, data array<binary>"
 _SCHEMA = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("source", pa.int64()), ("data", pa.list_(pa.binary()))])
 HEAD, BIGRAMS, SUMS, HISTORY, WEIGHTS = range(5)
+WAITS = 2 * SMALL + 3
 
 
 def _emit(rows: list[tuple[int, int, int, list[bytes]]]) -> pa.RecordBatch:
@@ -152,10 +157,10 @@ def send_bigrams(parts: int) -> Callable:
 
         context = TaskContext.get()
         block = (context.partitionId() if context else 0) << 24
-        for ids, learn, buf, off in _docs(batches):
-            word, before, doc = tokens_of(buf, off)
-            order = np.lexsort((doc, before, word))
-            word, before, doc = word[order], before[order], doc[order].astype(np.uint32)
+        for ids, learn, word, before, doc in _blocks(batches):
+            n_tokens = np.bincount(doc, minlength=len(ids)).astype(np.uint32)
+            order = np.lexsort((before, word))  # stable: documents stay in order
+            word, before, doc = word[order], before[order], doc[order]
             new_word = np.ones(len(word), bool)
             new_word[1:] = word[1:] != word[:-1]
             new_pair = new_word.copy()
@@ -167,7 +172,7 @@ def send_bigrams(parts: int) -> Callable:
             at_pair, at_word = np.flatnonzero(new_pair), np.flatnonzero(new_word)
             docs_of_pair = np.diff(np.append(np.searchsorted(at_doc, at_pair), len(at_doc)))
             pairs_of_word = np.diff(np.append(np.searchsorted(at_pair, at_word), len(at_pair)))
-            rows = [(HEAD, block, block, [planes(ids), learn.tobytes()])]
+            rows = [(HEAD, block, block, [planes(ids), learn.tobytes(), planes(n_tokens)])]
             bucket = deal(word[at_word], parts)  # words are sorted, so buckets are stretches
             cuts = np.searchsorted(bucket, np.arange(parts + 1))
             pair_cut = np.append(0, np.cumsum(pairs_of_word))
@@ -185,7 +190,7 @@ def send_bigrams(parts: int) -> Callable:
     return run
 
 
-def bucket_tables(parts: int, uni: Unigrams) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def bucket_tables(parts: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """A bucket's tables from its bigrams; sums for blocks, and counts and requests for histories."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -215,16 +220,18 @@ def bucket_tables(parts: int, uni: Unigrams) -> Callable[[pd.DataFrame], pd.Data
         new[1:] = pair_w[1:] != pair_w[:-1]
         owner = np.cumsum(new) - 1
         of_word = np.bincount(owner, count).astype(np.int64)[owner]  # training count of its word
-        p1 = uni.probability(of_word)
         seen = count > 0
         kinds = np.where(seen, np.minimum(count, SMALL + 1), 0)
-        coc = np.bincount(np.minimum(count, SMALL + 2), minlength=SMALL + 3)[1 : SMALL + 2].astype(np.float64)
-        stamp = coc.tobytes()
         ends = pair_w == END
-        # Finished parts of each occurrence; discounts of small counts come later.
-        term = np.where(seen, np.where(kinds > SMALL, np.log(np.maximum(count - TAIL, 1e-300)), 0.0), np.log(p1))
+        first = np.flatnonzero(new)
+        stamp = stamp_of(count, of_word[first], int(of_word[first][pair_w[first] == END].sum()))
+        # Finished parts of each occurrence; the discounts of small counts come later.
+        top = np.where(seen, count, of_word)
+        term = np.where(top > SMALL, np.log(np.maximum(top - TAIL, 1.0)), 0.0)
         term -= np.where((of_word > 0) & ~ends, np.log(np.maximum(of_word, 1)), 0.0)  # as the next token's history
-        base = np.log((of_word + 0.5) / (uni.total + 0.5 * (uni.types + 1)))
+        base = np.log(of_word + 0.5)
+        # Which later discount an occurrence waits for: 1 .. SMALL of a bigram, then 0 .. SMALL + 1 of the word of one not seen.
+        waits = np.where(seen, np.where(kinds > SMALL, 0, kinds), SMALL + 1 + np.minimum(of_word, SMALL + 1))
         need_h, need_block, need_doc, need_times = [], [], [], []
         at = 0
         for r, n in zip(rows, sizes, strict=True):
@@ -235,9 +242,10 @@ def bucket_tables(parts: int, uni: Unigrams) -> Callable[[pd.DataFrame], pd.Data
             each = np.repeat(mine, per)
             docs, slot = np.unique(doc, return_inverse=True)
             add = lambda v, slot=slot, times=times, docs=docs: np.bincount(slot, v * times, minlength=len(docs))
-            small = [add(kinds[each] == k).astype(np.uint32) for k in range(1, SMALL + 1)]
-            total, known = add(np.ones(len(each))).astype(np.uint32), add(of_word[each] > 0).astype(np.uint32)
-            out.append((SUMS, r.source, int(pdf.key.iloc[0]), [planes(docs), planes(add(term[each])), planes(add(base[each])), planes(total), planes(known), *map(planes, small), stamp]))
+            fixed = lambda v: planes(np.rint(v * POINT).astype(np.int64))
+            known = add(of_word[each] > 0).astype(np.uint32)
+            later = np.bincount(slot * WAITS + waits[each], times, minlength=len(docs) * WAITS).reshape(-1, WAITS)[:, 1:].astype(np.uint32)
+            out.append((SUMS, r.source, int(pdf.key.iloc[0]), [planes(docs), fixed(add(term[each])), fixed(add(base[each])), planes(known), planes(np.ascontiguousarray(later.T).ravel()), stamp]))
             miss = ~seen[each]
             need_h.append(pair_h[each[miss]])
             need_block.append(np.full(int(miss.sum()), r.source))
@@ -260,14 +268,13 @@ def bucket_tables(parts: int, uni: Unigrams) -> Callable[[pd.DataFrame], pd.Data
     return run
 
 
-def backoff_weights(pdf: pd.DataFrame, uni: Unigrams) -> pd.DataFrame:
+def backoff_weights(pdf: pd.DataFrame) -> pd.DataFrame:
     """A bucket's histories: the logarithm of each backoff weight, times the history's count, to who asked.
 
     The count is what the history's token already subtracted in its document.
     """
     rows = list(pdf[pdf.kind == HISTORY].itertuples())
-    coc = np.sum([np.frombuffer(r.data[-1], np.float64) for r in rows], axis=0)
-    star = discounts(coc)
+    star, uni = totals([r.data[-1] for r in rows])
     h = np.concatenate([np.repeat(unplanes(r.data[0], "<u8"), unplanes(r.data[1], "<u4")) for r in rows])
     kind = np.concatenate([np.frombuffer(r.data[2], np.uint8) for r in rows])
     p1 = uni.probability(np.concatenate([unplanes(r.data[3], "<u4") for r in rows]).astype(np.int64))
@@ -292,46 +299,40 @@ def backoff_weights(pdf: pd.DataFrame, uni: Unigrams) -> pd.DataFrame:
     out = []
     for block, parts in sums.items():
         docs, slot = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        out.append((WEIGHTS, block, 0, [planes(docs), planes(np.bincount(slot, np.concatenate([p[1] for p in parts]))), coc.tobytes()]))
+        out.append((WEIGHTS, block, 0, [planes(docs), planes(np.bincount(slot, np.concatenate([p[1] for p in parts])))]))
     return _frame(out)
 
 
-def gathered(pdf: pd.DataFrame, uni: Unigrams) -> pd.DataFrame:
-    """Second exchange: sums of one block become one row, histories give weights."""
+def gathered(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Second exchange: sums of one block become its documents' scores but for the backoff weights, histories give those."""
     if (pdf.kind == HISTORY).any():
-        return backoff_weights(pdf, uni)
-    head = pdf[pdf.kind == HEAD].iloc[0]
-    n = len(head.data[1])
-    total = np.zeros((4 + SMALL, n))
-    coc = np.zeros(SMALL + 1)
-    for r in pdf[pdf.kind == SUMS].itertuples():
+        return backoff_weights(pdf)
+    head, rows = pdf[pdf.kind == HEAD].iloc[0], list(pdf[pdf.kind == SUMS].itertuples())
+    n_tokens = unplanes(head.data[2], "<u4")
+    star, uni = totals([r.data[-1] for r in rows])
+    log_later = np.concatenate([np.log(star), [np.log(uni.unknown)], np.log(uni.star), [0.0]])
+    unseen = np.concatenate([np.zeros(SMALL), np.ones(SMALL + 2)])  # these are counts, not yet probabilities
+    log_later = log_later - unseen * np.log(max(uni.total, 1))
+    score, base, known = np.zeros(len(n_tokens)), np.zeros(len(n_tokens)), np.zeros(len(n_tokens), np.int64)
+    for r in rows:
         docs = unplanes(r.data[0], "<u4")
-        for i, (x, t) in enumerate(zip(r.data[1 : 5 + SMALL], ["<f8", "<f8"] + ["<u4"] * (2 + SMALL), strict=True)):
-            total[i, docs] += unplanes(x, t)
-        coc += np.frombuffer(r.data[-1], np.float64)
-    return _frame([(HEAD, head.key, head.source, list(head.data)), (SUMS, head.key, 0, [total.tobytes(), coc.tobytes()])])
-
-
-def finished(uni: Unigrams) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        head, row = pdf[pdf.kind == HEAD].iloc[0], pdf[pdf.kind == SUMS].iloc[0]
-        ids, learn = unplanes(head.data[0], "<i8"), np.frombuffer(head.data[1], bool)
-        total = np.frombuffer(row.data[0], np.float64).reshape(4 + SMALL, -1)
-        star = discounts(np.frombuffer(row.data[1], np.float64))
-        score = total[0] + (total[4:] * np.log(star)[:, None]).sum(0) - np.log(max(uni.texts, 1))  # the history of first tokens
-        for r in pdf[pdf.kind == WEIGHTS].itertuples():
-            score[unplanes(r.data[0], "<u4")] += unplanes(r.data[1], "<f8")
-        return pd.DataFrame({"doc_id": ids, "held_out": ~learn, "n_tokens": total[2].astype(np.int64), "n_known": total[3].astype(np.int64), "train_tokens": uni.total, "base_score": total[1] / LOG10, "score": score / LOG10})
-
-    return run
+        later = unplanes(r.data[4], "<u4").reshape(WAITS - 1, -1)
+        score[docs] += unplanes(r.data[1], "<i8") / POINT + log_later @ later
+        base[docs] += unplanes(r.data[2], "<i8") / POINT
+        known[docs] += unplanes(r.data[3], "<u4")
+    score -= np.log(max(uni.texts, 1))  # the history of first tokens
+    base -= n_tokens * np.log(max(uni.total + 0.5 * (uni.types + 1), 1e-300))
+    return _frame([(SUMS, head.key, uni.total, [*head.data, planes(score), planes(base), planes(known)])])
 
 
-def unigrams(rows: DataFrame, parts: int) -> Unigrams:
-    """First pass: how many words have each small count. Only those few numbers come to the driver."""
-    schema = ", ".join(f"{c} long" for c in ["types", "total", "texts", *(f"n{r}" for r in range(1, SMALL + 2))])
-    got = rows.mapInArrow(count_words(parts), "bucket int, word binary, n binary").groupBy("bucket").applyInPandas(lambda pdf: counts_of_counts(pdf), schema).groupBy().sum().first()
-    values = [int(x or 0) for x in got]
-    return Unigrams(values[1], values[0], values[2], values[3:])
+def finished(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A block's documents with the backoff weights added."""
+    row = pdf[pdf.kind == SUMS].iloc[0]
+    ids, learn, n_tokens = unplanes(row.data[0], "<i8"), np.frombuffer(row.data[1], bool), unplanes(row.data[2], "<u4")
+    score, base, known = unplanes(row.data[3], "<f8").copy(), unplanes(row.data[4], "<f8"), unplanes(row.data[5], "<i8")
+    for r in pdf[pdf.kind == WEIGHTS].itertuples():
+        score[unplanes(r.data[0], "<u4")] += unplanes(r.data[1], "<f8")
+    return pd.DataFrame({"doc_id": ids, "held_out": ~learn, "n_tokens": n_tokens.astype(np.int64), "n_known": known, "train_tokens": int(row.source), "base_score": base / LOG10, "score": score / LOG10})
 
 
 def katz_scores(docs: DataFrame, learn: Column, parts: int | None = None) -> DataFrame:
@@ -345,12 +346,11 @@ def katz_scores(docs: DataFrame, learn: Column, parts: int | None = None) -> Dat
     each.  Without training text all tokens are unknown words of probability 1.
     """
     small_batches(docs.sparkSession)
-    parts = parts or buckets(docs.sparkSession, times=3)
+    parts = parts or buckets(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn")).where("doc_id is not null")
-    uni = unigrams(rows, parts)
-    tables, last = bucket_tables(parts, uni), finished(uni)
+    tables = bucket_tables(parts)
     sent = rows.mapInArrow(send_bigrams(parts), ROW)
     # The key of a head row is its block: any bucket passes it on.
     answered = sent.groupBy(F.when(F.col("kind") == HEAD, -1 - F.col("key")).otherwise(F.col("key")).alias("k")).applyInPandas(lambda pdf: tables(pdf), ROW)
-    collected = answered.groupBy((F.col("kind") == HISTORY).alias("of_history"), "key").applyInPandas(lambda pdf: gathered(pdf, uni), ROW)
-    return collected.groupBy("key").applyInPandas(lambda pdf: last(pdf), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    collected = answered.groupBy((F.col("kind") == HISTORY).alias("of_history"), "key").applyInPandas(lambda pdf: gathered(pdf), ROW)
+    return collected.groupBy("key").applyInPandas(lambda pdf: finished(pdf), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
