@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .packed import FOUND, PACKED, SEGMENT, SPAN, WINDOW, column, deal, first_of_equal, found, packed_batch, packed_rows, unplanes
-from .store import buckets, small_batches, written
+from .store import buckets, small_batches
 from .textcore import _BASE, _INVERSE, BYTE_HASH, _power, slices, splitmix, utf8
 
 LENGTH = 100
@@ -425,7 +425,8 @@ def removed_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     crowded = spark.sparkContext.broadcast(hot_grams(docs, length, gram))
     packed = docs.mapInArrow(split(parts, length, gram, lambda: crowded.value), PACKED)
     done = settle(length)
-    settled = written(packed.groupBy("bucket").applyInPandas(lambda pdf: done(pdf), FOUND))
+    # Read twice below; Spark reuses the exchange, so only the settling is done again.
+    settled = packed.groupBy("bucket").applyInPandas(lambda pdf: done(pdf), FOUND)
     open_ = settled.where(F.col("kind") == SEGMENT).groupBy("doc_id").agg(F.collect_list(F.struct("place", "n", "shard")).alias("open"))
     bytes_ = docs.join(open_, "doc_id").select("doc_id", "text", "open").mapInArrow(cut_out(length), "shard long, doc_id long, place long, bytes binary")
     compared = sorted_shard(length)
