@@ -90,7 +90,7 @@ def map_trivia(rows: DataFrame) -> DataFrame:
 
 def map_extractive(rows: DataFrame, answers: str = "answers.text") -> DataFrame:
     """(question, list of answers): the first is primary."""
-    clean = F.filter(F.transform(answers, F.trim), lambda x: x != "")
+    clean = F.filter(F.transform(answers, lambda x: F.trim(x)), lambda x: x != "")
     return _mapped(rows, F.get(clean, F.lit(0)), clean)
 
 
@@ -112,7 +112,7 @@ def map_tagged(rows: DataFrame) -> DataFrame:
 
 
 def _mapped(rows: DataFrame, primary, aliases) -> DataFrame:
-    clean = F.array_sort(F.array_distinct(F.filter(F.transform(aliases, F.trim), lambda x: x.isNotNull() & (x != ""))))
+    clean = F.array_sort(F.array_distinct(F.filter(F.transform(aliases, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))))
     full = F.when(F.array_contains(clean, primary), clean).otherwise(F.concat(F.array(primary), clean))
     keep = [c for c in rows.columns if c.endswith("_id")]
     out = rows.select(*keep, F.trim("question").alias("question"), primary.alias("primary_answer"), full.alias("aliases"))
