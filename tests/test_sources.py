@@ -94,8 +94,9 @@ def test_stream_collects_shards_once(spark, tmp_path):
 
 
 def test_rates_stream_like_batch(spark, sf_dir, tmp_path):
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events.repartition(3).write.parquet(str(tmp_path / "events"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "events"))
     q = label_rates(stream).writeStream.format("memory").queryName("rates").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     batch = label_rates(spark.read.parquet(f"{sf_dir}/events.parquet"))
