@@ -203,7 +203,7 @@ def dataset_mapping(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT date_trunc('day', ts) AS day, count(*) AS n_events, round(avg((event_type = 'purchase')::INT), 6) AS purchase_rate FROM events GROUP BY day")
 def daily_label_rates(spark: SparkSession, sf: str) -> DataFrame:
     """Windowed rates, the same code for batch and stream."""
-    return label_rates(table(spark, sf, "events")).select(F.col("window.start").alias("day"), "n_events", F.round("purchase_rate", 6).alias("purchase_rate"))
+    return label_rates(table(spark, sf, "events")).select(F.col("window.start").cast("timestamp_ntz").alias("day"), "n_events", F.round("purchase_rate", 6).alias("purchase_rate"))
 
 
 @query("SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS avg_discount, count(*) AS n_lines FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL")

@@ -28,5 +28,6 @@ def collect_shards(spark: SparkSession, source: str, schema: str, target: str, c
 
 def label_rates(events: DataFrame, window: str = "1 day", late: str = "2 days") -> DataFrame:
     """Rows and share of purchases per window and type, for a batch or a stream with late rows (an extension of ours)."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = rows.withWatermark("ts", late) if events.isStreaming else rows
     return rows.groupBy(F.window("ts", window)).agg(F.count("*").alias("n_events"), F.avg((F.col("event_type") == "purchase").cast("double")).alias("purchase_rate"))
