@@ -226,7 +226,7 @@ def calibrate(model: dict[str, Any], samples: dict[str, list[str]]) -> dict[str,
             best, temperature = loss, float(t)
     mid = float(np.median(h))
     long = h[n >= 50] if (n >= 50).any() else h
-    return model | {"temperature": temperature, "bound": float(long.max() + max(long.max() - mid, 0.5)), "short": 4.0}
+    return model | {"temperature": temperature, "bound": float(long.max() + max(long.max() - mid, 1.0)), "short": 4.0}
 
 
 def predict(model: dict[str, Any]) -> Callable:
@@ -256,8 +256,15 @@ def predict(model: dict[str, Any]) -> Callable:
 def train(docs: DataFrame, learn: Column, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> dict[str, Any]:
     """A model from the rows of (doc_id, text, lang) that ``learn`` holds for."""
     labelled = docs.where(learn & F.col("lang").isNotNull() & (F.length("text") <= sample_chars) & (F.length("text") > 0))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = labelled.select("doc_id", "lang").withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= min(sample_docs, 1000)).select("doc_id", "lang", "turn")
+    counts = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    if not counts:
+        return calibrate(fit({}), {})
+    # A hash thins each language to some times its sample before rows are ordered, so no task orders a language.
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 4.0 * sample_docs / n + 100.0 / n))])[F.col("lang")]
+    key = F.xxhash64("doc_id")
+    thinned = labelled.where(F.pmod(key, F.lit(1 << 30)) < share * float(1 << 30))
+    order = Window.partitionBy("lang").orderBy(F.pmod(key, F.lit(1 << 30)), key, "doc_id")
+    picked = thinned.select("doc_id", "lang").withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= min(sample_docs, 1000)).select("doc_id", "lang", "turn")
     rows = docs.select("doc_id", "text", "lang").join(F.broadcast(picked), ["doc_id", "lang"]).where(F.length("text") <= sample_chars).select("lang", "text", "turn").collect()
     part = lambda held: {lang: [r.text for r in rows if r.lang == lang and (r.turn % 5 == 0) == held] for lang in {r.lang for r in rows}}
     return calibrate(fit(part(False)), part(True))
