@@ -37,6 +37,16 @@ def first_of_equal(x: np.ndarray, y: np.ndarray, doc: np.ndarray, place: np.ndar
     return order, lead, np.maximum.accumulate(np.where(lead, np.arange(len(x)), 0))
 
 
+def strung(doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, first place, how many) of stretches of neighbouring places."""
+    order = np.lexsort((place, doc))
+    doc, place = doc[order], place[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + 1)
+    first = np.flatnonzero(new)
+    return doc[first], place[first], np.diff(np.append(first, len(doc)))
+
+
 def packed_rows(bucket: np.ndarray, kind: int, x: np.ndarray, y: np.ndarray, doc: np.ndarray, place: np.ndarray, n: np.ndarray) -> Iterator[tuple]:
     """One packed row a bucket; columns stay in their order."""
     order = np.argsort(bucket, kind="stable")

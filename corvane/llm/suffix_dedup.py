@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packed import FOUND, PACKED, SEGMENT, SPAN, WINDOW, column, deal, first_of_equal, found, packed_batch, packed_rows, unplanes
+from .packed import FOUND, PACKED, SEGMENT, SPAN, WINDOW, column, deal, first_of_equal, found, packed_batch, packed_rows, strung, unplanes
 from .store import buckets, small_batches
 from .textcore import _BASE, _INVERSE, BYTE_HASH, _power, slices, splitmix, utf8
 
@@ -232,7 +232,7 @@ def split(parts: int, length: int, gram: int, hot: Callable[[], np.ndarray]) ->
                 out += packed_rows(deal(splitmix(doc[later].astype(np.uint64)), parts), SPAN, z, z, doc[later], place[later], n[later])
                 full = np.isin(f, crowded) & lead if len(crowded) else np.zeros(len(f), bool)
                 rest = lead & ~full
-                out += packed_rows(deal(f[rest], parts), SEGMENT, f[rest], c[rest], doc[rest], place[rest], n[rest])
+                out += packed_rows(deal(splitmix(f[rest]), parts), SEGMENT, f[rest], c[rest], doc[rest], place[rest], n[rest])  # picked grams have small hashes: mixed again
                 if full.any():
                     count = n[full]
                     step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
@@ -245,8 +245,9 @@ def split(parts: int, length: int, gram: int, hot: Callable[[], np.ndarray]) ->
                     x, y, wdoc, wplace = (v[order] for v in (x, y, wdoc, wplace))
                     later = ~lead & ((wdoc != wdoc[head]) | (wplace != wplace[head]))
                     ones = np.ones(len(x), np.int64)
-                    z = np.zeros(int(later.sum()), np.uint64)
-                    out += packed_rows(deal(splitmix(wdoc[later].astype(np.uint64)), parts), SPAN, z, z, wdoc[later], wplace[later], ones[later])
+                    sdoc, splace, sn = strung(wdoc[later], wplace[later])
+                    z = np.zeros(len(sdoc), np.uint64)
+                    out += packed_rows(deal(splitmix(sdoc.astype(np.uint64)), parts), SPAN, z, z, sdoc, splace, sn)
                     out += packed_rows(deal(x[lead], parts), WINDOW, x[lead], y[lead], wdoc[lead], wplace[lead], ones[lead])
                 yield packed_batch(out)
 
@@ -299,7 +300,7 @@ def settle(length: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
         rows = pdf[pdf.kind == WINDOW]
         if len(rows):
             doc, place = merged_runs([(unplanes(r.x, "<u8"), unplanes(r.y, "<u8"), unplanes(r.doc, "<i8"), unplanes(r.place, "<i8")) for r in rows.itertuples()])
-            out.append(found(SPAN, doc, place, np.ones(len(doc))))
+            out.append(found(SPAN, *strung(doc, place)))
         rows = pdf[pdf.kind == SEGMENT]
         if len(rows):
             f, c = column(rows, "x", "<u8"), column(rows, "y", "<u8")
