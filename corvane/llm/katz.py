@@ -41,7 +41,7 @@ SMALL = 5
 #: Larger counts give up this part of one occurrence, so that no history is without backoff mass.
 TAIL = 0.05
 #: Tokens that travel together.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 #: Fixed point of sums that travel.
 POINT = float(1 << 32)
 END = splitmix(np.uint64(0xE4D))
@@ -136,7 +136,7 @@ def totals(stamps: list[bytes]) -> tuple[np.ndarray, Unigrams]:
 # One row of the exchange between blocks and buckets.
 ROW = "kind int, key long, source long, data array<binary>"
 _SCHEMA = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("source", pa.int64()), ("data", pa.list_(pa.binary()))])
-HEAD, BIGRAMS, SUMS, HISTORY, WEIGHTS = range(5)
+HEAD, BIGRAMS, SUMS, HISTORY, WEIGHTS, TABLE = range(6)
 WAITS = 2 * SMALL + 3
 
 
@@ -190,24 +190,52 @@ def send_bigrams(parts: int) -> Callable:
     return run
 
 
-def bucket_tables(parts: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def unpacked(rows: list) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray], list[int]]:
+    """Word, word before, training count and number of each packed row's bigrams."""
+    word, before, train, sizes = [], [], [], []
+    for r in rows:
+        word.append(np.repeat(unplanes(r.data[0], "<u8"), unplanes(r.data[1], "<u4")))
+        before.append(unplanes(r.data[2], "<u8"))
+        per = unplanes(r.data[3], "<u4").astype(np.int64)
+        doc, times = unplanes(r.data[4], "<u4"), unplanes(r.data[5], "<u4")
+        train.append(np.add.reduceat(times * np.frombuffer(r.data[6], bool)[doc], np.cumsum(per) - per).astype(np.int64))
+        sizes.append(len(word[-1]))
+    return word, before, train, sizes
+
+
+def stored_table(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A bucket's part of the model as one row: its words, how many bigrams each ends, their histories and counts."""
+    rows = list(pdf[pdf.kind == BIGRAMS].itertuples())
+    if not rows:
+        return _frame([])
+    w, h, c = map(np.concatenate, unpacked(rows)[:3])
+    order = np.lexsort((h, w))
+    w, h, c = w[order], h[order], c[order]
+    new = np.ones(len(w), bool)
+    new[1:] = (w[1:] != w[:-1]) | (h[1:] != h[:-1])
+    first = np.flatnonzero(new)
+    w, h, c = w[first], h[first], np.add.reduceat(c, first)
+    w, h, c = w[c > 0], h[c > 0], c[c > 0]
+    words_, pairs = np.unique(w, return_counts=True)
+    return _frame([(TABLE, int(pdf.key.iloc[0]), 0, [planes(words_), planes(pairs.astype(np.uint32)), planes(h), planes(c)])])
+
+
+def bucket_tables(parts: int, learns: bool = True) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """A bucket's tables from its bigrams; sums for blocks, and counts and requests for histories."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int, int, list[bytes]]] = [(HEAD, r.key, r.source, list(r.data)) for r in pdf[pdf.kind == HEAD].itertuples()]
         rows = list(pdf[pdf.kind == BIGRAMS].itertuples())
-        if not rows:
+        if not rows and not (pdf.kind == TABLE).any():
             return _frame(out)
-        word, before, train, sizes = [], [], [], []
-        for r in rows:
-            w = np.repeat(unplanes(r.data[0], "<u8"), unplanes(r.data[1], "<u4"))
-            per = unplanes(r.data[3], "<u4").astype(np.int64)
-            doc, times = unplanes(r.data[4], "<u4"), unplanes(r.data[5], "<u4")
-            learn = np.frombuffer(r.data[6], bool)
-            word.append(w)
+        stored = list(pdf[pdf.kind == TABLE].itertuples())
+        word, before, train, sizes = unpacked(rows)
+        if not learns:
+            train = [np.zeros_like(x) for x in train]
+        for r in stored:
+            word.append(np.repeat(unplanes(r.data[0], "<u8"), unplanes(r.data[1], "<u4")))
             before.append(unplanes(r.data[2], "<u8"))
-            train.append(np.add.reduceat(times * learn[doc], np.cumsum(per) - per).astype(np.int64))
-            sizes.append(len(w))
+            train.append(unplanes(r.data[3], "<i8"))
         w, h, c = np.concatenate(word), np.concatenate(before), np.concatenate(train)
         order = np.lexsort((h, w))
         new = np.ones(len(w), bool)
@@ -232,7 +260,7 @@ def bucket_tables(parts: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
         base = np.log(of_word + 0.5)
         # Which later discount an occurrence waits for: 1 .. SMALL of a bigram, then 0 .. SMALL + 1 of the word of one not seen.
         waits = np.where(seen, np.where(kinds > SMALL, 0, kinds), SMALL + 1 + np.minimum(of_word, SMALL + 1))
-        need_h, need_block, need_doc, need_times = [], [], [], []
+        need_h, need_block, need_doc, need_times = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
         at = 0
         for r, n in zip(rows, sizes, strict=True):
             mine = pair[at : at + n]
@@ -335,22 +363,38 @@ def finished(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": ids, "held_out": ~learn, "n_tokens": n_tokens.astype(np.int64), "n_known": known, "train_tokens": int(row.source), "base_score": base / LOG10, "score": score / LOG10})
 
 
-def katz_scores(docs: DataFrame, learn: Column, parts: int | None = None) -> DataFrame:
+def _rows(docs: DataFrame, learn: Column) -> DataFrame:
+    small_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn")).where("doc_id is not null")
+
+
+def katz_tables(docs: DataFrame, learn: Column, parts: int) -> DataFrame:
+    """The model's tables, a row a bucket of words (key, data), to write and score with later.
+
+    Words are dealt into ``parts`` buckets by hash; scoring needs the same number.
+    """
+    sent = _rows(docs, learn).where("learn").mapInArrow(send_bigrams(parts), ROW).where(F.col("kind") == BIGRAMS)
+    return sent.groupBy("key").applyInPandas(lambda pdf: stored_table(pdf), ROW)
+
+
+def katz_scores(docs: DataFrame, learn: Column, parts: int | None = None, tables: DataFrame | None = None) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the documents that ``learn`` holds for and scores all.  Words
     stand between ASCII white space, ASCII capitals as small letters; each text
     closes with an end token, so a null or empty text has that one.  base_score
     is the add-one-half unigram score, score the Katz model's, both in log10.
+    With stored ``tables`` these are the model, and ``learn`` only names rows.
     Rows without a doc_id are left out; repeated rows get, and teach, a row
     each.  Without training text all tokens are unknown words of probability 1.
     """
-    small_batches(docs.sparkSession)
-    parts = parts or buckets(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn")).where("doc_id is not null")
-    tables = bucket_tables(parts)
+    parts = parts or buckets(docs.sparkSession, times=2)
+    rows = _rows(docs, learn)
+    settle = bucket_tables(parts, tables is None)
     sent = rows.mapInArrow(send_bigrams(parts), ROW)
+    if tables is not None:
+        sent = sent.union(tables)
     # The key of a head row is its block: any bucket passes it on.
-    answered = sent.groupBy(F.when(F.col("kind") == HEAD, -1 - F.col("key")).otherwise(F.col("key")).alias("k")).applyInPandas(lambda pdf: tables(pdf), ROW)
+    answered = sent.groupBy(F.when(F.col("kind") == HEAD, -1 - F.col("key")).otherwise(F.col("key")).alias("k")).applyInPandas(lambda pdf: settle(pdf), ROW)
     collected = answered.groupBy((F.col("kind") == HISTORY).alias("of_history"), "key").applyInPandas(lambda pdf: gathered(pdf), ROW)
     return collected.groupBy("key").applyInPandas(lambda pdf: finished(pdf), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
