@@ -51,31 +51,39 @@ def may_hold(filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 class Run:
-    """Sorted digests (rows of four big-endian words) with identifiers and counts."""
+    """Sorted digests (rows of four big-endian words) with identifiers, counts, and whether another entry has the digest."""
 
-    def __init__(self, digests: np.ndarray, ids: np.ndarray, counts: np.ndarray, filter_: np.ndarray | None = None):
+    def __init__(self, digests: np.ndarray, ids: np.ndarray, counts: np.ndarray, hit: np.ndarray | None = None, filter_: np.ndarray | None = None):
         order = np.lexsort((ids, *digests.T[::-1]))
         self.digests, self.ids, self.counts = digests[order].astype(">u8"), ids[order], counts[order]
-        self.filter = bloom(self.digests[:, 0].astype(np.uint64)) if filter_ is None else filter_
-
-    @property
-    def keys(self) -> np.ndarray:
-        return self.digests[:, 0].astype(np.uint64)
+        self.hit = np.zeros(len(ids), bool) if hit is None else hit[order]
+        same = (self.digests[1:] == self.digests[:-1]).all(1)
+        self.hit[1:] |= same
+        self.hit[:-1] |= same
+        self.keys = self.digests[:, 0].astype(np.uint64)
+        self.filter = bloom(self.keys) if filter_ is None else filter_
 
     def holds(self, other: Run) -> np.ndarray:
-        """Which digests of ``other`` this run has: filter first, then binary search."""
+        """Which digests of ``other`` this run has: the filter first, then binary search."""
         out = np.zeros(len(other.ids), bool)
         may = np.flatnonzero(may_hold(self.filter, other.keys))
-        if len(may) and len(self.ids):
-            mine, theirs = np.ascontiguousarray(self.digests).view("V32").ravel(), np.ascontiguousarray(other.digests[may]).view("V32").ravel()
-            mine, theirs = np.array([x.tobytes() for x in mine], object), np.array([x.tobytes() for x in theirs], object)
-            at = np.searchsorted(mine, theirs)
-            out[may] = (at < len(mine)) & (mine[np.minimum(at, len(mine) - 1)] == theirs)
+        at, stop = (np.searchsorted(self.keys, other.keys[may], side) for side in ("left", "right"))
+        while len(may):
+            live = at < stop
+            may, at, stop = may[live], at[live], stop[live]
+            out[may] |= (self.digests[at] == other.digests[may]).all(1)
+            at = at + 1
         return out
 
 
 def merged(runs: list[Run]) -> Run:
-    return Run(*(np.concatenate([getattr(r, k) for r in runs]) for k in ("digests", "ids", "counts")))
+    """One run of several; digests that two of them hold are hits."""
+    out = runs[0]
+    for run in runs[1:]:
+        old, new = out.hit | run.holds(out), run.hit | out.holds(run)
+        both = [np.concatenate([getattr(out, k), getattr(run, k)]) for k in ("digests", "ids", "counts")]
+        out = Run(*both, np.concatenate([old, new]))
+    return out
 
 
 def flush(table: dict[bytes, list[list]], run: int, parts: int) -> pa.RecordBatch | None:
@@ -124,17 +132,13 @@ def memtables(parts: int, best: Callable[[int, int], int], digest: Callable[[byt
 def compact(pdf: pd.DataFrame) -> pd.DataFrame:
     """The runs of one range as rows (digest, id, n, hit); hit: some other entry has the digest."""
     tier = [
-        Run(np.frombuffer(r.digests, ">u8").reshape(-1, 4), np.frombuffer(r.ids, np.int64), np.frombuffer(r.counts, np.int64), np.frombuffer(r.filter, np.uint8))
+        Run(np.frombuffer(r.digests, ">u8").reshape(-1, 4), np.frombuffer(r.ids, np.int64), np.frombuffer(r.counts, np.int64), None, np.frombuffer(r.filter, np.uint8))
         for r in pdf.sort_values("run").itertuples()
     ]
     while len(tier) > 1:
-        tier = [merged(tier[i : i + FAN_IN]) if len(tier[i : i + FAN_IN]) > 1 else tier[i] for i in range(0, len(tier), FAN_IN)]
+        tier = [merged(tier[i : i + FAN_IN]) for i in range(0, len(tier), FAN_IN)]
     run = tier[0]
-    same = (run.digests[1:] == run.digests[:-1]).all(1)
-    hit = np.zeros(len(run.ids), bool)
-    hit[1:] |= same
-    hit[:-1] |= same
-    return pd.DataFrame({"digest": [x.tobytes() for x in np.ascontiguousarray(run.digests)], "id": run.ids, "n": run.counts, "hit": hit})
+    return pd.DataFrame({"digest": [x.tobytes() for x in np.ascontiguousarray(run.digests)], "id": run.ids, "n": run.counts, "hit": run.hit})
 
 
 def index(docs: DataFrame, keep: str = "smallest", parts: int | None = None, digest: Callable[[bytes], bytes] = sha256) -> DataFrame:

@@ -326,3 +326,13 @@ def test_secret_query(make):
     assert got[11].n_assign == 0 and got[11].n_decoded == 1
     assert got[1].spans == "" and got[1].base_sha256 == hashlib.sha256(b"").hexdigest()
     assert len(got) == len(rows) and secrets.scanned(make([])).count() == 0
+
+
+def test_katz_with_stored_tables(spark, make, texts, tmp_path):
+    docs = make([(i, t) for i, t, _ in texts[:60]] + ODD)
+    katz.katz_tables(docs, remainder(5) != 1, 6).write.partitionBy("key").parquet(str(tmp_path / "tables"))
+    tables = spark.read.parquet(str(tmp_path / "tables")).select("kind", F.col("key").cast("long").alias("key"), "source", "data")
+    one = {r.doc_id: r for r in katz.katz_scores(docs, remainder(5) != 1, 6).collect()}
+    two = {r.doc_id: r for r in katz.katz_scores(docs, remainder(5) != 1, 6, tables).collect()}
+    assert set(one) == set(two)
+    assert all((one[i].n_known, one[i].train_tokens, one[i].held_out) == (two[i].n_known, two[i].train_tokens, two[i].held_out) and math.isclose(one[i].score, two[i].score, rel_tol=1e-9) for i in one)
