@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import small_batches
-from .textcore import slices, splitmix, utf8
+from .textcore import IS_SPACE, slices, splitmix, utf8
 
 ORDER = 5
 SAMPLE_DOCS = 300
@@ -189,6 +189,19 @@ def word_scores(model: dict[str, Any], symbols: np.ndarray, starts: np.ndarray)
 def text_scores(model: dict[str, Any], buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(log probability of each text for each language, characters of each text)."""
     n = len(offsets) - 1
+    if n == 1 and offsets[1] - offsets[0] > 2 * SLICE:  # a long text goes in pieces cut at white space
+        total, size, at = np.zeros((1, len(model["langs"]))), np.zeros(1), int(offsets[0])
+        while at < offsets[1]:
+            stop = min(int(offsets[1]), at + SLICE)
+            while stop < offsets[1] and not IS_SPACE[buf[stop]]:
+                stop += 1
+            if stop - at > 2 * SLICE:  # one enormous word, or a script without spaces: between two characters
+                stop = at + SLICE
+                while (buf[stop] & 0xC0) == 0x80:
+                    stop += 1
+            part, k = text_scores(model, buf, np.array([at, stop]))
+            total, size, at = total + part, size + k, stop
+        return total, size
     symbols, starts, token, text, length = word_table(buf, offsets)
     if not len(token):
         return np.zeros((n, len(model["langs"]))), np.zeros(n)

@@ -15,6 +15,7 @@ import binascii
 import bz2
 import hashlib
 import html
+import io
 import lzma
 import re
 import zlib
@@ -70,7 +71,7 @@ def inflate(data: bytes) -> bytes | None:
         if data[:4] == b"\x28\xb5\x2f\xfd":
             import zstandard
 
-            return zstandard.ZstdDecompressor().decompressobj().decompress(data)[:LAYER_BYTES]
+            return zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data)).read(LAYER_BYTES)
     except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
         return None
     except Exception as error:  # zstandard raises a type of its own

@@ -119,6 +119,26 @@ def test_language_odd_texts(make, texts):
     assert language_id.identify(make([]), model).count() == 0
 
 
+def test_long_text_in_pieces(monkeypatch):
+    model = language_id.fit({"a": ["abba abc cab"], "b": ["été où là"]})
+    text = ("abba été où " * 300).encode()
+    buf, off = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    whole = language_id.text_scores(model, buf, off)
+    for size in (100, 37):
+        monkeypatch.setattr(language_id, "SLICE", size)
+        parts = language_id.text_scores(model, buf, off)
+        assert np.allclose(whole[0], parts[0]) and whole[1] == parts[1]
+    long = ("é" * 500).encode()
+    assert language_id.text_scores(model, np.frombuffer(long, np.uint8), np.array([0, len(long)]))[1] > 0
+
+
+def test_zstandard_layer():
+    import zstandard
+
+    text = b64(zstandard.ZstdCompressor().compress(SECRET.encode()))
+    assert any(s[0] == "assign" for s in secrets.all_spans(text)[1])
+
+
 def test_kneser_ney_sums_to_one():
     model = language_id.fit({"a": ["abba abc cab", "bab a"]})
     letters = "abc"
