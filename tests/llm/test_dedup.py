@@ -218,3 +218,20 @@ def test_sentence_spans(make, texts):
         want[i] = (len(b), sum(m), sum(1 for j in range(len(m)) if m[j] and not (j and m[j - 1])), hashlib.sha256(kept).hexdigest())
     assert got == want
     assert removed_sentences(make([])).count() == 0
+
+
+def test_repeated_rows_and_null_ids_everywhere(make):
+    text = " ".join(f"w{i}" for i in range(60)) + ". Second sentence of some words here. Third one with a few words more."
+    rows = [(5, text), (5, text), (7, text), (None, text), (9, text.replace("w7 ", "z7 "))]
+    near = sorted((r.doc_id, r.component_id, r.kept) for r in near_duplicates(make(rows), shingle=2).collect())
+    assert near == [(5, 5, True), (5, 5, True), (7, 5, False), (9, 5, False)]
+    bytes_ = sorted((r.doc_id, r.n_removed == r.n_bytes) for r in removed_repeats(make(rows)).collect())
+    assert [x[0] for x in bytes_] == [5, 5, 7, 9] and bytes_[2][1] and not bytes_[0][1] and not bytes_[1][1]
+    spans = sorted((r.doc_id, r.n_removed > 0) for r in removed_sentences(make(rows)).collect())
+    assert spans == [(5, False), (5, False), (7, True), (9, True)]
+
+
+def test_near_ties_and_many_equal_sets(make):
+    rows = [(i, "a b c d e f") for i in range(40, 0, -1)] + [(100, "A  B c d E f"), (101, "x y z u v w")]
+    got = {r.doc_id: r.component_id for r in near_duplicates(make(rows), shingle=5).collect()}
+    assert got == {**{i: 1 for i in range(1, 41)}, 100: 1, 101: 101}
