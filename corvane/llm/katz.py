@@ -34,14 +34,14 @@ from pyspark.sql import functions as F
 
 from .packed import deal, planes, unplanes
 from .store import buckets, small_batches
-from .textcore import slices, splitmix, utf8, words
+from .textcore import release, slices, splitmix, utf8, words
 
 #: Counts up to here are discounted after Good and Turing.
 SMALL = 5
 #: Larger counts give up this part of one occurrence, so that no history is without backoff mass.
 TAIL = 0.05
 #: Tokens that travel together.
-BLOCK = 1_000_000
+BLOCK = 800_000
 #: Fixed point of sums that travel.
 POINT = float(1 << 32)
 END = splitmix(np.uint64(0xE4D))
@@ -101,8 +101,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...
             held.append((ids[i:j], learn[i:j], word, before, (doc + docs).astype(np.uint32)))
             docs, size = docs + j - i, size + len(word)
             if size >= BLOCK:
-                yield tuple(map(np.concatenate, zip(*held, strict=True)))
+                full = tuple(map(np.concatenate, zip(*held, strict=True)))
                 held, docs, size = [], 0, 0
+                yield full
+                del full
     if held:
         yield tuple(map(np.concatenate, zip(*held, strict=True)))
 
@@ -161,6 +163,7 @@ def send_bigrams(parts: int) -> Callable:
             n_tokens = np.bincount(doc, minlength=len(ids)).astype(np.uint32)
             order = np.lexsort((before, word))  # stable: documents stay in order
             word, before, doc = word[order], before[order], doc[order]
+            del order
             new_word = np.ones(len(word), bool)
             new_word[1:] = word[1:] != word[:-1]
             new_pair = new_word.copy()
@@ -184,7 +187,11 @@ def send_bigrams(parts: int) -> Callable:
                     p0, p1 = pair_cut[w0], pair_cut[w1]
                     d0, d1 = doc_cut[p0], doc_cut[p1]
                     rows.append((BIGRAMS, b, block, [planes(word[at_word[w0:w1]]), planes(pairs_of_word[w0:w1].astype(np.uint32)), planes(before[at_pair[p0:p1]]), planes(docs_of_pair[p0:p1].astype(np.uint32)), planes(doc[at_doc[d0:d1]]), planes(times[d0:d1].astype(np.uint32)), flags]))
-            yield _emit(rows)
+            batch = _emit(rows)
+            del rows
+            yield batch
+            del batch
+            release()
             block += 1
 
     return run
@@ -291,7 +298,9 @@ def bucket_tables(parts: int, learns: bool = True) -> Callable[[pd.DataFrame], p
             s, t = slice(cut[b], cut[b + 1]), slice(ncut[b], ncut[b + 1])
             each_h, times_h = np.unique(sh[s], return_counts=True)
             out.append((HISTORY, b, int(pdf.key.iloc[0]), [planes(each_h), planes(times_h.astype(np.uint32)), sk[s].tobytes(), planes(sc[s]), planes(nh[t]), blocks.astype(np.int64).tobytes(), planes(nb[t].astype(np.uint32)), planes(nd[t]), planes(nt[t]), stamp]))
-        return _frame(out)
+        frame = _frame(out)
+        release()
+        return frame
 
     return run
 
@@ -388,7 +397,7 @@ def katz_scores(docs: DataFrame, learn: Column, parts: int | None = None, tables
     Rows without a doc_id are left out; repeated rows get, and teach, a row
     each.  Without training text all tokens are unknown words of probability 1.
     """
-    parts = parts or buckets(docs.sparkSession, times=2)
+    parts = parts or buckets(docs.sparkSession, times=1.5)
     rows = _rows(docs, learn)
     settle = bucket_tables(parts, tables is None)
     sent = rows.mapInArrow(send_bigrams(parts), ROW)

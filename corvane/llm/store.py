@@ -37,9 +37,9 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def buckets(spark: SparkSession, least: int = 8, times: int = 1) -> int:
+def buckets(spark: SparkSession, least: int = 8, times: float = 1) -> int:
     """How many buckets to deal keys into: as many as the cluster has shuffle partitions, or some times that for what takes much memory a byte."""
-    return max(least, times * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return max(least, round(times * int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -6,6 +6,7 @@ white space, so memory follows the piece, not the text.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -157,6 +158,14 @@ def doc_shingles(buf: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarr
     return grams, np.searchsorted(owner, np.arange(len(count) + 1))
 
 
+def release() -> None:
+    """Gives freed memory back to the system, where the C library can: large arrays come and go in workers that live on."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def digest64(text: str) -> int:
     """A seed from a string."""
     return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little")

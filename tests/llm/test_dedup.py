@@ -228,7 +228,7 @@ def test_repeated_rows_and_null_ids_everywhere(make):
     bytes_ = sorted((r.doc_id, r.n_removed == r.n_bytes) for r in removed_repeats(make(rows)).collect())
     assert [x[0] for x in bytes_] == [5, 5, 7, 9] and bytes_[2][1] and not bytes_[0][1] and not bytes_[1][1]
     spans = sorted((r.doc_id, r.n_removed > 0) for r in removed_sentences(make(rows)).collect())
-    assert spans == [(5, False), (5, False), (7, True), (9, True)]
+    assert spans == [(5, False), (5, False), (7, True), (9, False)]  # 9 shares two sentences of 14 words only
 
 
 def test_near_ties_and_many_equal_sets(make):
