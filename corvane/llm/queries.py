@@ -80,6 +80,27 @@ def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op1_katz": op1_katz, "op7_token_counts": op7_token_counts, "op10_sentence_dedup": op10_sentence_dedup, "op9_secrets": op9_secrets, "op8_suffix_dedup": op8_suffix_dedup, "op2_mixing": op2_mixing, "op4_decontaminate": op4_decontaminate, "op5_language_id": op5_language_id, "op6_near_dedup": op6_near_dedup, "op3_exact_dedup": op3_exact_dedup}
 
 SQL = {
+    "op4_decontaminate": r"""
+        WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x01-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents), i AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x01-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+        dg AS (SELECT doc_id, len(w) AS size, unnest(range(greatest(len(w) - 4, 0))) AS p, unnest(list_transform(range(1, greatest(len(w) - 3, 1)), lambda k: array_to_string(w[k:k+4], ' '))) AS g FROM d),
+        ig AS (SELECT item_id, n, g, count(*) AS c FROM (SELECT item_id, len(w) AS n, unnest(list_transform(range(1, greatest(len(w) - 3, 1)), lambda k: array_to_string(w[k:k+4], ' '))) AS g FROM i) GROUP BY ALL),
+        c AS (SELECT DISTINCT dg.doc_id, dg.size, ig.item_id, ig.n, least(ig.n, dg.size) - 4 AS width FROM dg JOIN ig USING (g)),
+        x AS (SELECT c.doc_id, c.item_id, c.n, c.width, s.p, q.g, count(*) AS k FROM c JOIN dg s ON s.doc_id = c.doc_id AND s.p + c.width + 4 <= c.size JOIN dg q ON q.doc_id = c.doc_id AND q.p BETWEEN s.p AND s.p + c.width - 1 GROUP BY ALL),
+        y AS (SELECT x.doc_id, x.item_id, x.p, sum(least(x.k, ig.c)) AS shared, any_value(x.width + x.n - 4) AS total FROM x JOIN ig ON ig.item_id = x.item_id AND ig.g = x.g GROUP BY ALL),
+        z AS (SELECT *, shared::DOUBLE / (total - shared)::DOUBLE AS similarity FROM y WHERE 100 * shared >= 80 * (total - shared))
+        SELECT doc_id, item_id, arg_max(p, (similarity, -p))::BIGINT AS first_word, max(similarity) AS similarity, count(*) AS n_windows FROM z GROUP BY doc_id, item_id
+    """,
+    "op6_near_dedup": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS g FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), t AS (SELECT s.doc_id, s.g, n.n FROM s JOIN n USING (doc_id)),
+        e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+              GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+        l AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+        r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.doc_id)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+        FROM (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id) LEFT JOIN n USING (doc_id)
+    """,
     "op2_mixing": r"""
         WITH d AS (SELECT doc_id, 'dom' || (coalesce(try_cast(regexp_extract(source, '([0-9]+)', 1) AS BIGINT), 0) % 4)::VARCHAR AS domain,
                  coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source,

@@ -7,7 +7,6 @@ white space, so memory follows the piece, not the text.
 from __future__ import annotations
 
 import ctypes
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -166,6 +165,3 @@ def release() -> None:
         trim(0)
 
 
-def digest64(text: str) -> int:
-    """A seed from a string."""
-    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little")
