@@ -7,7 +7,7 @@ weights that make each distribution sum to 1 exactly.
 
 Tables and texts meet without shipping texts.  A block of documents sends each
 bucket of words its distinct bigrams (h, w) with the documents they occur in,
-packed; the bucket, which is the partition of the model's tables for its words
+packed (hot words are spread over several buckets by history); the bucket, which is the partition of the model's tables for its words
 w, counts, discounts and sends back
 
 - to the block, one row of sums for each document (finished terms and counts
@@ -38,6 +38,8 @@ from .textcore import release, slices, splitmix, utf8, words
 
 #: Counts up to here are discounted after Good and Turing.
 SMALL = 5
+#: One document in so many is looked at for hot words.
+SAMPLE = 16
 #: Larger counts give up this part of one occurrence, so that no history is without backoff mass.
 TAIL = 0.05
 #: Tokens that travel together.
@@ -151,8 +153,62 @@ def _frame(rows: list[tuple[int, int, int, list[bytes]]]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["kind", "key", "source", "data"]).astype({"kind": np.int32, "key": np.int64, "source": np.int64})
 
 
-def send_bigrams(parts: int) -> Callable:
-    """Blocks of documents to packed distinct bigrams for each bucket of the second word."""
+class Hot:
+    """Words too frequent for one bucket, and over how many buckets each is spread, by its histories.
+
+    Every bucket of such a word gets the word's own count from every block; the
+    first one, its home, answers for it in the corpus totals.
+    """
+
+    def __init__(self, words_: np.ndarray, spread: np.ndarray, parts: int):
+        order = np.argsort(words_)
+        self.words, self.spread, self.parts = words_[order], spread[order].astype(np.int64), parts
+        owner = np.repeat(np.arange(len(self.words)), self.spread)
+        salt = np.arange(len(owner)) - np.repeat(np.cumsum(self.spread) - self.spread, self.spread)
+        places = np.unique(np.column_stack([self.place(self.words[owner], salt), owner]), axis=0) if len(owner) else np.zeros((0, 2), np.int64)
+        self.bucket, self.owner = places[:, 0], places[:, 1]
+        self.home = self.place(self.words, np.zeros(len(self.words), np.int64))
+
+    def place(self, word: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        return deal(splitmix(word ^ splitmix(salt.astype(np.uint64))), self.parts)
+
+    def find(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index of each word, whether it is hot)."""
+        if not len(self.words):
+            return np.zeros(len(word), np.int64), np.zeros(len(word), bool)
+        at = np.minimum(np.searchsorted(self.words, word), len(self.words) - 1)
+        return at, self.words[at] == word
+
+    def deal(self, word: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """The bucket of each bigram."""
+        out = deal(word, self.parts)
+        at, hot = self.find(word)
+        if hot.any():
+            out[hot] = self.place(word[hot], (splitmix(before[hot]) % self.spread[at[hot]].astype(np.uint64)).astype(np.int64))
+        return out
+
+
+def hot_words(rows: DataFrame, parts: int) -> Hot:
+    """Words with more tokens than half a bucket's share, from a sample of the documents: it decides only where rows go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, off = utf8(batch.column(1))
+            for i, j in slices(off):
+                keys, n = np.unique(tokens_of(buf, off[i : j + 1])[0], return_counts=True)
+                often = n * 8 * parts > n.sum()  # a piece's own shares vary, so it keeps some that are less hot
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(keys[often].view(np.int64), 0)), pa.array(np.append(n[often], n.sum())), pa.array(np.append(np.zeros(int(often.sum()), np.int32), np.int32(1)))], names=["w", "n", "all"])
+
+    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
+    counts = sample.mapInArrow(run, "w long, n long, all int").groupBy("w", "all").agg(F.sum("n").alias("n"))
+    got = counts.orderBy(F.desc("all"), F.desc("n")).limit(4 * parts + 1).collect()
+    total = sum(r.n for r in got if r["all"])
+    hot = [(r.w, r.n / total) for r in got if not r["all"] and r.n * 2 * parts > total]
+    return Hot(np.array([w for w, _ in hot], np.int64).view(np.uint64), np.array([min(parts, int(2 * parts * x) + 1) for _, x in hot], np.int64), parts)
+
+
+def send_bigrams(parts: int, hot: Hot) -> Callable:
+    """Blocks of documents to packed distinct bigrams for each bucket, of the second word unless that is hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -161,11 +217,18 @@ def send_bigrams(parts: int) -> Callable:
         block = (context.partitionId() if context else 0) << 24
         for ids, learn, word, before, doc in _blocks(batches):
             n_tokens = np.bincount(doc, minlength=len(ids)).astype(np.uint32)
-            order = np.lexsort((before, word))  # stable: documents stay in order
-            word, before, doc = word[order], before[order], doc[order]
+            where = hot.deal(word, before)
+            at, crowded = hot.find(word)
+            mine = np.bincount(at[crowded], learn[doc[crowded]], minlength=len(hot.words)).astype(np.uint32)
+            send = mine[hot.owner] > 0
+            hot_bucket, hot_word, hot_count = hot.bucket[send], hot.words[hot.owner[send]], mine[hot.owner[send]]
+            hot_cuts = np.searchsorted(hot_bucket, np.arange(parts + 1))
+            del at, crowded
+            order = np.lexsort((before, word, where))  # stable: documents stay in order
+            word, before, doc, where = word[order], before[order], doc[order], where[order]
             del order
             new_word = np.ones(len(word), bool)
-            new_word[1:] = word[1:] != word[:-1]
+            new_word[1:] = (word[1:] != word[:-1]) | (where[1:] != where[:-1])
             new_pair = new_word.copy()
             new_pair[1:] |= before[1:] != before[:-1]
             new_doc = new_pair.copy()
@@ -176,17 +239,17 @@ def send_bigrams(parts: int) -> Callable:
             docs_of_pair = np.diff(np.append(np.searchsorted(at_doc, at_pair), len(at_doc)))
             pairs_of_word = np.diff(np.append(np.searchsorted(at_pair, at_word), len(at_pair)))
             rows = [(HEAD, block, block, [planes(ids), learn.tobytes(), planes(n_tokens)])]
-            bucket = deal(word[at_word], parts)  # words are sorted, so buckets are stretches
-            cuts = np.searchsorted(bucket, np.arange(parts + 1))
+            cuts = np.searchsorted(where[at_word], np.arange(parts + 1))
             pair_cut = np.append(0, np.cumsum(pairs_of_word))
             doc_cut = np.append(0, np.cumsum(docs_of_pair))
             flags = learn.tobytes()
             for b in range(parts):
                 w0, w1 = cuts[b], cuts[b + 1]
-                if w1 > w0:
+                more = slice(hot_cuts[b], hot_cuts[b + 1])
+                if w1 > w0 or more.stop > more.start:
                     p0, p1 = pair_cut[w0], pair_cut[w1]
                     d0, d1 = doc_cut[p0], doc_cut[p1]
-                    rows.append((BIGRAMS, b, block, [planes(word[at_word[w0:w1]]), planes(pairs_of_word[w0:w1].astype(np.uint32)), planes(before[at_pair[p0:p1]]), planes(docs_of_pair[p0:p1].astype(np.uint32)), planes(doc[at_doc[d0:d1]]), planes(times[d0:d1].astype(np.uint32)), flags]))
+                    rows.append((BIGRAMS, b, block, [planes(word[at_word[w0:w1]]), planes(pairs_of_word[w0:w1].astype(np.uint32)), planes(before[at_pair[p0:p1]]), planes(docs_of_pair[p0:p1].astype(np.uint32)), planes(doc[at_doc[d0:d1]]), planes(times[d0:d1].astype(np.uint32)), flags, planes(hot_word[more]), planes(hot_count[more])]))
             batch = _emit(rows)
             del rows
             yield batch
@@ -205,13 +268,28 @@ def unpacked(rows: list) -> tuple[list[np.ndarray], list[np.ndarray], list[np.nd
         before.append(unplanes(r.data[2], "<u8"))
         per = unplanes(r.data[3], "<u4").astype(np.int64)
         doc, times = unplanes(r.data[4], "<u4"), unplanes(r.data[5], "<u4")
-        train.append(np.add.reduceat(times * np.frombuffer(r.data[6], bool)[doc], np.cumsum(per) - per).astype(np.int64))
+        learned = times * np.frombuffer(r.data[6], bool)[doc]
+        train.append(np.add.reduceat(learned, np.cumsum(per) - per).astype(np.int64) if len(per) else np.zeros(0, np.int64))
         sizes.append(len(word[-1]))
     return word, before, train, sizes
 
 
-def stored_table(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A bucket's part of the model as one row: its words, how many bigrams each ends, their histories and counts."""
+def crowd_counts(rows: list, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hot words and their training counts over all rows, from the columns ``first`` and the next."""
+    w = np.concatenate([np.zeros(0, np.uint64), *(unplanes(r.data[first], "<u8") for r in rows)])
+    c = np.concatenate([np.zeros(0, np.int64), *(unplanes(r.data[first + 1], "<u4").astype(np.int64) for r in rows)])
+    keys, inverse = np.unique(w, return_inverse=True)
+    return keys, np.bincount(inverse, c, minlength=len(keys)).astype(np.int64)
+
+
+def stored_hot(tables: DataFrame, parts: int) -> Hot:
+    """The hot words that stored tables were dealt by: a few for each bucket, in every row."""
+    row = tables.select("data").first()
+    return Hot(unplanes(row.data[6], "<u8"), unplanes(row.data[7], "<i8"), parts) if row else Hot(np.zeros(0, np.uint64), np.zeros(0, np.int64), parts)
+
+
+def stored_table(pdf: pd.DataFrame, hot: Hot) -> pd.DataFrame:
+    """A bucket's part of the model as one row: its words, how many bigrams each ends, their histories and counts, and the hot words."""
     rows = list(pdf[pdf.kind == BIGRAMS].itertuples())
     if not rows:
         return _frame([])
@@ -224,10 +302,11 @@ def stored_table(pdf: pd.DataFrame) -> pd.DataFrame:
     w, h, c = w[first], h[first], np.add.reduceat(c, first)
     w, h, c = w[c > 0], h[c > 0], c[c > 0]
     words_, pairs = np.unique(w, return_counts=True)
-    return _frame([(TABLE, int(pdf.key.iloc[0]), 0, [planes(words_), planes(pairs.astype(np.uint32)), planes(h), planes(c)])])
+    crowd, counts = crowd_counts(rows, 7)
+    return _frame([(TABLE, int(pdf.key.iloc[0]), 0, [planes(words_), planes(pairs.astype(np.uint32)), planes(h), planes(c), planes(crowd), planes(counts.astype(np.uint32)), planes(hot.words), planes(hot.spread)])])
 
 
-def bucket_tables(parts: int, learns: bool = True) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def bucket_tables(parts: int, hot: Hot, learns: bool = True) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """A bucket's tables from its bigrams; sums for blocks, and counts and requests for histories."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -254,12 +333,20 @@ def bucket_tables(parts: int, learns: bool = True) -> Callable[[pd.DataFrame], p
         new = np.ones(len(pair_w), bool)
         new[1:] = pair_w[1:] != pair_w[:-1]
         owner = np.cumsum(new) - 1
-        of_word = np.bincount(owner, count).astype(np.int64)[owner]  # training count of its word
+        own = np.bincount(owner, count).astype(np.int64)  # training count of each word
+        first = np.flatnonzero(new)
+        crowd, crowd_count = crowd_counts(rows, 7) if learns else crowd_counts(stored, 4)
+        at, crowded = hot.find(pair_w[first])
+        if crowded.any():  # of hot words this bucket has but some bigrams
+            at = np.minimum(np.searchsorted(crowd, pair_w[first][crowded]), max(len(crowd) - 1, 0))
+            own[crowded] = np.where(crowd[at] == pair_w[first][crowded], crowd_count[at], 0) if len(crowd) else 0
+        of_word = own[owner]
+        home = hot.home[hot.find(crowd)[0]] == int(pdf.key.iloc[0]) if len(hot.words) else np.zeros(len(crowd), bool)
+        answered = np.concatenate([pair_w[first][~crowded], crowd[home]]), np.concatenate([own[~crowded], crowd_count[home]])
         seen = count > 0
         kinds = np.where(seen, np.minimum(count, SMALL + 1), 0)
         ends = pair_w == END
-        first = np.flatnonzero(new)
-        stamp = stamp_of(count, of_word[first], int(of_word[first][pair_w[first] == END].sum()))
+        stamp = stamp_of(count, answered[1], int(answered[1][answered[0] == END].sum()))
         # Finished parts of each occurrence; the discounts of small counts come later.
         top = np.where(seen, count, of_word)
         term = np.where(top > SMALL, np.log(np.maximum(top - TAIL, 1.0)), 0.0)
@@ -289,15 +376,20 @@ def bucket_tables(parts: int, learns: bool = True) -> Callable[[pd.DataFrame], p
         # For the histories: what this bucket's words take of each.
         sh, sk, sc = pair_h[seen], kinds[seen], of_word[seen]
         nh, nb, nd, nt = map(np.concatenate, (need_h, need_block, need_doc, need_times))
-        order, norder = np.argsort(sh, kind="stable"), np.argsort(nh, kind="stable")
+        order, norder = np.lexsort((sc, sk, sh)), np.argsort(nh, kind="stable")
         sh, sk, sc = sh[order], sk[order].astype(np.uint8), sc[order].astype(np.uint32)
+        # Alike bigrams of a history travel as one with their number: a hot history has few kinds.
+        new = np.ones(len(sh), bool)
+        new[1:] = (sh[1:] != sh[:-1]) | (sk[1:] != sk[:-1]) | (sc[1:] != sc[:-1])
+        alike = np.diff(np.append(np.flatnonzero(new), len(sh))).astype(np.uint32)
+        sh, sk, sc = sh[new], sk[new], sc[new]
         nh, nb, nd, nt = nh[norder], nb[norder], nd[norder], nt[norder]
         cut, ncut = (np.searchsorted(deal(v, parts), np.arange(parts + 1)) for v in (sh, nh))
         blocks, nb = np.unique(nb, return_inverse=True)
         for b in range(parts):
             s, t = slice(cut[b], cut[b + 1]), slice(ncut[b], ncut[b + 1])
             each_h, times_h = np.unique(sh[s], return_counts=True)
-            out.append((HISTORY, b, int(pdf.key.iloc[0]), [planes(each_h), planes(times_h.astype(np.uint32)), sk[s].tobytes(), planes(sc[s]), planes(nh[t]), blocks.astype(np.int64).tobytes(), planes(nb[t].astype(np.uint32)), planes(nd[t]), planes(nt[t]), stamp]))
+            out.append((HISTORY, b, int(pdf.key.iloc[0]), [planes(each_h), planes(times_h.astype(np.uint32)), sk[s].tobytes(), planes(sc[s]), planes(alike[s]), planes(nh[t]), blocks.astype(np.int64).tobytes(), planes(nb[t].astype(np.uint32)), planes(nd[t]), planes(nt[t]), stamp]))
         frame = _frame(out)
         release()
         return frame
@@ -315,19 +407,20 @@ def backoff_weights(pdf: pd.DataFrame) -> pd.DataFrame:
     h = np.concatenate([np.repeat(unplanes(r.data[0], "<u8"), unplanes(r.data[1], "<u4")) for r in rows])
     kind = np.concatenate([np.frombuffer(r.data[2], np.uint8) for r in rows])
     p1 = uni.probability(np.concatenate([unplanes(r.data[3], "<u4") for r in rows]).astype(np.int64))
+    alike = np.concatenate([unplanes(r.data[4], "<u4") for r in rows])
     keys, inverse = np.unique(h, return_inverse=True)
     given = np.append(np.arange(1, SMALL + 1) - star, TAIL)  # of a count 1 .. SMALL, and of a larger one
-    free = np.bincount(inverse, given[kind.astype(np.int64) - 1], minlength=len(keys))
-    rest = 1.0 - np.bincount(inverse, p1, minlength=len(keys))
+    free = np.bincount(inverse, alike * given[kind.astype(np.int64) - 1], minlength=len(keys))
+    rest = 1.0 - np.bincount(inverse, alike * p1, minlength=len(keys))
     with np.errstate(divide="ignore", invalid="ignore"):
         log_weight = np.log(free) - np.log(np.maximum(rest, 1e-12))  # log(count * alpha); the count cancels in the document
     sums: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
     for r in rows:
-        nh = unplanes(r.data[4], "<u8")
+        nh = unplanes(r.data[5], "<u8")
         if not len(nh) or not len(keys):
             continue
-        blocks = np.frombuffer(r.data[5], np.int64)
-        nb, nd, nt = unplanes(r.data[6], "<u4"), unplanes(r.data[7], "<u4"), unplanes(r.data[8], "<u4")
+        blocks = np.frombuffer(r.data[6], np.int64)
+        nb, nd, nt = unplanes(r.data[7], "<u4"), unplanes(r.data[8], "<u4"), unplanes(r.data[9], "<u4")
         at = np.minimum(np.searchsorted(keys, nh), len(keys) - 1)
         value = np.where(keys[at] == nh, log_weight[at], 0.0) * nt  # an unknown history backs off whole
         for b in np.unique(nb):
@@ -382,8 +475,10 @@ def katz_tables(docs: DataFrame, learn: Column, parts: int) -> DataFrame:
 
     Words are dealt into ``parts`` buckets by hash; scoring needs the same number.
     """
-    sent = _rows(docs, learn).where("learn").mapInArrow(send_bigrams(parts), ROW).where(F.col("kind") == BIGRAMS)
-    return sent.groupBy("key").applyInPandas(lambda pdf: stored_table(pdf), ROW)
+    rows = _rows(docs, learn).where("learn")
+    hot = hot_words(rows, parts)
+    sent = rows.mapInArrow(send_bigrams(parts, hot), ROW).where(F.col("kind") == BIGRAMS)
+    return sent.groupBy("key").applyInPandas(lambda pdf: stored_table(pdf, hot), ROW)
 
 
 def katz_scores(docs: DataFrame, learn: Column, parts: int | None = None, tables: DataFrame | None = None) -> DataFrame:
@@ -399,8 +494,9 @@ def katz_scores(docs: DataFrame, learn: Column, parts: int | None = None, tables
     """
     parts = parts or buckets(docs.sparkSession, times=1.5)
     rows = _rows(docs, learn)
-    settle = bucket_tables(parts, tables is None)
-    sent = rows.mapInArrow(send_bigrams(parts), ROW)
+    hot = hot_words(rows, parts) if tables is None else stored_hot(tables, parts)
+    settle = bucket_tables(parts, hot, tables is None)
+    sent = rows.mapInArrow(send_bigrams(parts, hot), ROW)
     if tables is not None:
         sent = sent.union(tables)
     # The key of a head row is its block: any bucket passes it on.

@@ -76,6 +76,25 @@ def test_katz_equals_brute_force(make, texts, block, monkeypatch):
         assert math.isclose(r.base_score, base, rel_tol=1e-9, abs_tol=1e-6) and math.isclose(r.score, score, rel_tol=1e-9, abs_tol=1e-6)
 
 
+def test_katz_spreads_hot_words(spark, make, texts, monkeypatch):
+    monkeypatch.setattr(katz, "SAMPLE", 1)
+    monkeypatch.setattr(katz, "BLOCK", 3000)
+    rows = [(i, f"hot hot hot w{i % 7} " * 20) for i in range(60)] + [(100 + i, t) for i, t, _ in texts[:60]] + [(1000 + i, t) for i, t in ODD[:6]]
+    docs = make(rows)
+    hot = katz.hot_words(katz._rows(docs, F.lit(True)), 40)
+    assert len(hot.words) >= 3 and hot.spread.max() > 3
+    b = Brute(rows)
+    scored = katz.katz_scores(docs, remainder(5) != 1, 40)
+    tables = spark.createDataFrame(katz.katz_tables(docs, remainder(5) != 1, 40).collect(), katz.ROW)
+    for got in (scored.collect(), katz.katz_scores(docs, remainder(5) != 1, 40, tables).collect()):
+        got = {r.doc_id: r for r in got}
+        for i, ws in b.tokens.items():
+            base = sum(math.log10((b.c1[w] + 0.5) / (b.n + 0.5 * (b.v + 1))) for w in ws)
+            score = sum(math.log10(b.p2(h, w)) for h, w in zip([b" S"] + ws[:-1], ws, strict=True))
+            assert (got[i].n_known, got[i].train_tokens) == (sum(w in b.c1 for w in ws), b.n)
+            assert math.isclose(got[i].base_score, base, rel_tol=1e-9, abs_tol=1e-6) and math.isclose(got[i].score, score, rel_tol=1e-9, abs_tol=1e-6)
+
+
 def test_katz_is_normalised(texts):
     b = Brute([(i, t) for i, t, _ in texts])
     assert abs(sum(b.p1(w) for w in b.c1) + b.unknown - 1) < 1e-9
