@@ -323,13 +323,17 @@ def bucket_tables(parts: int, hot: Hot, learns: bool = True) -> Callable[[pd.Dat
             before.append(unplanes(r.data[2], "<u8"))
             train.append(unplanes(r.data[3], "<i8"))
         w, h, c = np.concatenate(word), np.concatenate(before), np.concatenate(train)
+        del word, before, train
         order = np.lexsort((h, w))
+        w, h = w[order], h[order]
         new = np.ones(len(w), bool)
-        new[1:] = (w[order][1:] != w[order][:-1]) | (h[order][1:] != h[order][:-1])
-        pair = np.empty(len(w), np.int64)
-        pair[order] = np.cumsum(new) - 1
-        count = np.bincount(pair, c).astype(np.int64)  # training count of each distinct bigram
-        pair_w, pair_h = w[order][new], h[order][new]
+        new[1:] = (w[1:] != w[:-1]) | (h[1:] != h[:-1])
+        pair = np.empty(len(w), np.int32)
+        pair[order] = np.cumsum(new, dtype=np.int32) - 1
+        del order
+        count = np.bincount(pair, c, minlength=int(new.sum())).astype(np.int64)  # training count of each distinct bigram
+        pair_w, pair_h = w[new], h[new]
+        del w, h, c
         new = np.ones(len(pair_w), bool)
         new[1:] = pair_w[1:] != pair_w[:-1]
         owner = np.cumsum(new) - 1
@@ -344,7 +348,7 @@ def bucket_tables(parts: int, hot: Hot, learns: bool = True) -> Callable[[pd.Dat
         home = hot.home[hot.find(crowd)[0]] == int(pdf.key.iloc[0]) if len(hot.words) else np.zeros(len(crowd), bool)
         answered = np.concatenate([pair_w[first][~crowded], crowd[home]]), np.concatenate([own[~crowded], crowd_count[home]])
         seen = count > 0
-        kinds = np.where(seen, np.minimum(count, SMALL + 1), 0)
+        kinds = np.where(seen, np.minimum(count, SMALL + 1), 0).astype(np.int8)
         ends = pair_w == END
         stamp = stamp_of(count, answered[1], int(answered[1][answered[0] == END].sum()))
         # Finished parts of each occurrence; the discounts of small counts come later.
@@ -353,7 +357,7 @@ def bucket_tables(parts: int, hot: Hot, learns: bool = True) -> Callable[[pd.Dat
         term -= np.where((of_word > 0) & ~ends, np.log(np.maximum(of_word, 1)), 0.0)  # as the next token's history
         base = np.log(of_word + 0.5)
         # Which later discount an occurrence waits for: 1 .. SMALL of a bigram, then 0 .. SMALL + 1 of the word of one not seen.
-        waits = np.where(seen, np.where(kinds > SMALL, 0, kinds), SMALL + 1 + np.minimum(of_word, SMALL + 1))
+        waits = np.where(seen, np.where(kinds > SMALL, 0, kinds), SMALL + 1 + np.minimum(of_word, SMALL + 1)).astype(np.int8)
         need_h, need_block, need_doc, need_times = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
         at = 0
         for r, n in zip(rows, sizes, strict=True):
