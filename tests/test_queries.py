@@ -32,7 +32,7 @@ def duck(sf_dir):
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(name, spark, sf_dir, duck):
-    ours, theirs = QUERIES[name](spark, sf_dir).toPandas(), duck.sql(SQL[name]).df()
+    ours, theirs = QUERIES[name](spark, sf_dir).toPandas(), duck.sql(SQL[name]).to_arrow_table().to_pandas()
     assert sorted(ours.columns) == sorted(theirs.columns)
     assert rows_of(ours) == rows_of(theirs)
 
