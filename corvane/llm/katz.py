@@ -16,7 +16,7 @@ w, counts, discounts and sends back
   their words are, and which documents need its backoff weight.
 
 Every bucket sends its totals and counts of counts along with each of these
-rows, so the receivers know the corpus-wide discounts without another pass; what
+rows, to every block and bucket, so the receivers know the corpus-wide discounts without another pass; what
 depends on them travels as the number of terms of each small count.  The log
 probability is a sum, so the terms of one token may be added in different
 places; that is the recursion, unrolled over the tables.
@@ -246,10 +246,10 @@ def send_bigrams(parts: int, hot: Hot) -> Callable:
             for b in range(parts):
                 w0, w1 = cuts[b], cuts[b + 1]
                 more = slice(hot_cuts[b], hot_cuts[b + 1])
-                if w1 > w0 or more.stop > more.start:
-                    p0, p1 = pair_cut[w0], pair_cut[w1]
-                    d0, d1 = doc_cut[p0], doc_cut[p1]
-                    rows.append((BIGRAMS, b, block, [planes(word[at_word[w0:w1]]), planes(pairs_of_word[w0:w1].astype(np.uint32)), planes(before[at_pair[p0:p1]]), planes(docs_of_pair[p0:p1].astype(np.uint32)), planes(doc[at_doc[d0:d1]]), planes(times[d0:d1].astype(np.uint32)), flags, planes(hot_word[more]), planes(hot_count[more])]))
+                p0, p1 = pair_cut[w0], pair_cut[w1]
+                d0, d1 = doc_cut[p0], doc_cut[p1]
+                # Also to buckets that get no bigram: a block needs the totals of all.
+                rows.append((BIGRAMS, b, block, [planes(word[at_word[w0:w1]]), planes(pairs_of_word[w0:w1].astype(np.uint32)), planes(before[at_pair[p0:p1]]), planes(docs_of_pair[p0:p1].astype(np.uint32)), planes(doc[at_doc[d0:d1]]), planes(times[d0:d1].astype(np.uint32)), flags if d1 > d0 else b"", planes(hot_word[more]), planes(hot_count[more])]))
             batch = _emit(rows)
             del rows
             yield batch

@@ -76,6 +76,20 @@ def test_katz_equals_brute_force(make, texts, block, monkeypatch):
         assert math.isclose(r.base_score, base, rel_tol=1e-9, abs_tol=1e-6) and math.isclose(r.score, score, rel_tol=1e-9, abs_tol=1e-6)
 
 
+def test_katz_totals_reach_blocks_of_one_short_document(spark, make, monkeypatch):
+    monkeypatch.setattr(katz, "BLOCK", 1)
+    rows = [(i, f"w{i} the w{i % 5} of") for i in range(12)] + [(100, None), (101, ""), (102, "the")]
+    b, docs = Brute(rows), make(rows, 15)
+    tables = spark.createDataFrame(katz.katz_tables(docs, remainder(5) != 1, 60).collect(), katz.ROW)
+    for scored in (katz.katz_scores(docs, remainder(5) != 1, 60), katz.katz_scores(docs, remainder(5) != 1, 60, tables)):
+        for r in scored.collect():
+            ws = b.tokens[r.doc_id]
+            base = sum(math.log10((b.c1[w] + 0.5) / (b.n + 0.5 * (b.v + 1))) for w in ws)
+            score = sum(math.log10(b.p2(h, w)) for h, w in zip([b" S"] + ws[:-1], ws, strict=True))
+            assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ws), sum(w in b.c1 for w in ws), b.n)
+            assert math.isclose(r.base_score, base, rel_tol=1e-9, abs_tol=1e-6) and math.isclose(r.score, score, rel_tol=1e-9, abs_tol=1e-6)
+
+
 def test_katz_spreads_hot_words(spark, make, texts, monkeypatch):
     monkeypatch.setattr(katz, "SAMPLE", 1)
     monkeypatch.setattr(katz, "BLOCK", 3000)
