@@ -5,9 +5,11 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corvane.llm.exact_dedup import Run, exact_dedup, may_hold
+from corvane.llm import near_dedup
 from corvane.llm.near_dedup import near_duplicates
 from corvane.llm.sentence_dedup import RUNS, removed_sentences, sentences
 from corvane.llm.store import components
@@ -95,6 +97,30 @@ def test_near_large_nodes_branch_and_agree(make):
     assert got == {i: v[1] for i, v in jaccard_components(rows, 2).items()}
 
 
+def test_near_nodes_part_no_pair_at_the_threshold():
+    rng = np.random.default_rng(5)
+    z, shared, own = 20_000, 80, 10  # 80 of 100 in common
+    grams = rng.integers(0, 1 << 64, (z, shared + 2 * own), np.uint64)
+    one, two = (near_dedup.signatures(np.ascontiguousarray(x).ravel(), np.arange(z + 1) * (shared + own)) for x in (grams[:, :-own], grams[:, own:][:, ::-1]))
+    ids = np.arange(z)
+    met = np.zeros(z, bool)
+    agree = (one == two).mean(0)
+    assert abs(agree - 0.8).max() < 0.015
+    for batch in zip(*(near_dedup.plant(near_dedup.TREES)([pa.RecordBatch.from_arrays([pa.array(ids), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "sig"])]) for x in (one, two)), strict=True):
+        a, b = ({*zip(x.column(1).to_pylist(), x.column(0).to_pylist(), strict=True)} for x in batch)
+        met[[i for i, _ in a & b]] = True
+    assert met.all()
+
+
+def test_near_wide_nodes_lose_no_link(make):
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, edited(base, 0.12, rng)) for i in range(150)]  # most are unlike the leader, few link
+    want = {i: v[1] for i, v in jaccard_components(rows, 1).items()}
+    assert 1 < len(set(want.values())) < 150
+    assert {r.doc_id: r.component_id for r in near_duplicates(make(rows), shingle=1, node_sets=10).collect()} == want
+
+
 def test_near_empty_table(make):
     assert near_duplicates(make([])).count() == 0
 
