@@ -68,7 +68,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sentence_dedup import removed_sentences
 
-    return removed_sentences(_table(spark, sf_dir, "documents")).drop("edges")
+    return removed_sentences(_table(spark, sf_dir, "documents"), grow=True).drop("edges")
 
 
 def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:

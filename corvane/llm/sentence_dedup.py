@@ -5,7 +5,10 @@ hash over the whole corpus, and sentences that some run covers which is not
 the first of its kind are removed.  Short runs count only if they have enough
 words, so that a repeated "Yes." alone removes nothing, while long sentences
 need fewer neighbours: ``RUNS`` pairs a number of sentences with the words it
-needs at least.
+needs at least.  With ``grow``, where the longest of these falls short of its words,
+as in lists and verse, more sentences are taken on either side until it has them,
+so every repeated passage of so many sentences and words is covered.  Characters of scripts
+that put no spaces between words count as a word each.
 
 What repeats within a block of documents is settled there and travels once.
 """
@@ -30,6 +33,8 @@ from .textcore import slices, splitmix, utf8
 #: A sentence ends after . ! or ? with white space behind it, or at a line's end.
 SENTENCE = re.compile(rb"[^\n]*?(?:[.!?]+[\x20\x09\x0B-\x0D]+|\n+|\Z)")
 RUNS = ((3, 10), (2, 25), (1, 50))
+#: Thai to Lao, Myanmar, Khmer, kana, Han and their extensions.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 
 
 def sentences(text: bytes) -> list[tuple[int, int]]:
@@ -37,33 +42,47 @@ def sentences(text: bytes) -> list[tuple[int, int]]:
     return [(m.start(), m.end()) for m in SENTENCE.finditer(text) if m.end() > m.start()]
 
 
-def runs_of(text: bytes, sizes: tuple[tuple[int, int], ...]) -> Iterator[tuple[int, int, int, int]]:
+def size_of(words: list[bytes]) -> int:
+    """Words, or the characters of those in a script without spaces."""
+    return sum(1 if w.isascii() else max(1, len(UNSPACED.findall(w.decode("utf-8", "replace")))) for w in words)
+
+
+def runs_of(text: bytes, sizes: tuple[tuple[int, int], ...], grow: bool = False) -> Iterator[tuple[int, int, int, int]]:
     """(hash, second hash, start, length) of every run that counts."""
     rows = []
     for a, b in sentences(text):
         words = text[a:b].lower().split()
         if words:
-            d = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
-            rows.append((a, b, len(words), int.from_bytes(d[:8], "little"), int.from_bytes(d[8:], "little")))
+            line = b" ".join(words)
+            d = hashlib.blake2b(line, digest_size=16).digest()
+            rows.append((a, b, len(words) if line.isascii() else size_of(words), int.from_bytes(d[:8], "little"), int.from_bytes(d[8:], "little")))
     if not rows:
         return
     start, end, words, one, two = (np.array(v, np.uint64 if k > 2 else np.int64) for k, v in enumerate(zip(*rows, strict=True)))
-    for k, least in sizes:
+    total = np.concatenate([[0], np.cumsum(words)])
+    most, enough = max(sizes)
+    # A sentence has a word at least, so no grown run is longer than the words it needs.
+    for k, least, grown in [*((k, least, False) for k, least in sizes), *((k, enough, True) for k in range(most + 1, enough + 1) if grow)]:
         m = len(start) - k + 1
         if m <= 0:
             continue
-        total = np.concatenate([[0], np.cumsum(words)])
-        x = np.full(m, k, np.uint64)
+        size = total[k : k + m] - total[:m]
+        ok = size >= least
+        if grown:
+            ok &= (size - words[k - 1 : k - 1 + m] < least) | (size - words[:m] < least)
+        at = np.flatnonzero(ok)
+        if not len(at):
+            continue
+        x = np.full(len(at), k, np.uint64)
         y = x.copy()
         with np.errstate(over="ignore"):
             for i in range(k):
-                x = splitmix(x * np.uint64(3) + one[i : i + m])
-                y = splitmix(y * np.uint64(5) + two[i : i + m])
-        ok = total[k : k + m] - total[:m] >= least
-        yield from zip(x[ok], y[ok], start[:m][ok], (end[k - 1 : k - 1 + m] - start[:m])[ok], strict=True)
+                x = splitmix(x * np.uint64(3) + one[at + i])
+                y = splitmix(y * np.uint64(5) + two[at + i])
+        yield from zip(x, y, start[at], end[at + k - 1] - start[at], strict=True)
 
 
-def split(parts: int, sizes: tuple[tuple[int, int], ...]) -> Callable:
+def split(parts: int, sizes: tuple[tuple[int, int], ...], grow: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = utf8(batch.column(1))
@@ -71,7 +90,7 @@ def split(parts: int, sizes: tuple[tuple[int, int], ...]) -> Callable:
             for i, j in slices(off, 4 << 20):
                 got, owner = [], []
                 for d in range(i, j):
-                    own = list(runs_of(buf[off[d] : off[d + 1]].tobytes(), sizes))
+                    own = list(runs_of(buf[off[d] : off[d + 1]].tobytes(), sizes, grow))
                     got += own
                     owner += [d] * len(own)
                 if not got:
@@ -105,7 +124,7 @@ def settle(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out, ignore_index=True)
 
 
-def removed_sentences(docs: DataFrame, sizes: tuple[tuple[int, int], ...] = RUNS) -> DataFrame:
+def removed_sentences(docs: DataFrame, sizes: tuple[tuple[int, int], ...] = RUNS, grow: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, edges.
 
     Runs are equal when their sentences have the same words, ASCII capitals as
@@ -118,6 +137,6 @@ def removed_sentences(docs: DataFrame, sizes: tuple[tuple[int, int], ...] = RUNS
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
-    spans = docs.mapInArrow(split(buckets(docs.sparkSession), sizes), PACKED).groupBy("bucket").applyInPandas(lambda pdf: settle(pdf), FOUND)
+    spans = docs.mapInArrow(split(buckets(docs.sparkSession), sizes, grow), PACKED).groupBy("bucket").applyInPandas(lambda pdf: settle(pdf), FOUND)
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("place", "n")).alias("spans"))
     return docs.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(removal(1), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, edges array<long>")

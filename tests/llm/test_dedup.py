@@ -11,6 +11,7 @@ import pytest
 from corvane.llm.exact_dedup import Run, exact_dedup, may_hold
 from corvane.llm import near_dedup
 from corvane.llm.near_dedup import near_duplicates
+from corvane.llm.queries import op10_sentence_dedup
 from corvane.llm.sentence_dedup import RUNS, removed_sentences, sentences
 from corvane.llm.store import components
 from corvane.llm.suffix_dedup import common_prefixes, merged_runs, removed_repeats, repeats, suffix_array
@@ -246,6 +247,26 @@ def test_sentence_spans(make, texts):
     assert removed_sentences(make([])).count() == 0
 
 
+def test_sentence_spans_of_short_lines(spark, make, tmp_path):
+    rng = random.Random(3)
+    for most in (1, 3, 5):
+        lines = [" ".join(f"s{rng.randrange(10**6)}" for _ in range(rng.randint(1, most))) for _ in range(20)]
+        passage = "\n".join(lines) + "\n"
+        rows = [(1, "One of its own!\n" + passage + "End of one"), (2, "Two has other words?\n" + passage + "Close of two")]
+        got = {r.doc_id: (r.n_removed, list(r.edges)) for r in removed_sentences(make(rows), grow=True).collect()}
+        at = rows[1][1].index(passage)
+        assert got == {1: (0, []), 2: (len(passage), [at, at + len(passage)])}
+    assert [r.n_removed for r in removed_sentences(make([(1, "Yes.\nNo.\n" + "a"), (2, "Yes.\nNo.\n" + "b")]), grow=True).collect()] == [0, 0]
+    make(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.n_removed for r in op10_sentence_dedup(spark, str(tmp_path)).collect()} == {1: 0, 2: len(passage)}
+
+
+def test_sentence_spans_count_characters_without_spaces(make):
+    text = "".join(chr(0x4E00 + 37 * i % 5000) for i in range(60)) + "\n"
+    got = {r.doc_id: r.n_removed for r in removed_sentences(make([(1, "one\n" + text), (2, "two\n" + text)])).collect()}
+    assert got == {1: 0, 2: len(text.encode())}
+
+
 def test_repeated_rows_and_null_ids_everywhere(make):
     text = " ".join(f"w{i}" for i in range(60)) + ". Second sentence of some words here. Third one with a few words more."
     rows = [(5, text), (5, text), (7, text), (None, text), (9, text.replace("w7 ", "z7 "))]
