@@ -15,7 +15,6 @@ import binascii
 import bz2
 import hashlib
 import html
-import io
 import lzma
 import re
 import zlib
@@ -39,8 +38,18 @@ URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
 ONE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|(&#[^;]+;)")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-#: Decompressed data beyond this is not read on: a few bytes can stand for terabytes.
+WRAPPED = re.compile(r"(?:[A-Za-z0-9+/_-]{16,}\r?\n[\x20\t]*)+[A-Za-z0-9+/_-]+={0,2}")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+URL_BYTES = re.compile(r"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~!*'()/+-])+")
+BYTE = re.compile(r"""\\x([0-9A-Fa-f]{2})|\\u00([0-9A-Fa-f]{2})|\\U000000([0-9A-Fa-f]{2})|(&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)|\\([abfnrtv0'"\\])|([\x00-\xff])""")
+PLAIN = dict(zip("abfnrtv0'\"\\", b"\a\b\f\n\r\t\v\0'\"\\", strict=True))
+MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\0|\x28\xb5\x2f\xfd")
+#: Decompressed data is read to its end in windows of so many bytes, cut at white space, which share OVERLAP.
 LAYER_BYTES = 64 << 20
+OVERLAP = 1 << 16
+PIECE = 1 << 20
+#: Compressed streams one right in another; further ones could hold themselves.
+DEPTH = 64
 
 Span = tuple[str, int, int]
 
@@ -57,29 +66,116 @@ def scan(text: str) -> list[Span]:
     return out
 
 
-def inflate(data: bytes) -> bytes | None:
-    """What a gzip, zlib, bzip2, xz or zstandard stream holds; None for anything else."""
-    try:
-        if data[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(data, LAYER_BYTES)
-        if data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2], "big") % 31 == 0:
-            return zlib.decompressobj().decompress(data, LAYER_BYTES)
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, LAYER_BYTES)
-        if data[:6] == b"\xfd7zXZ\0":
-            return lzma.LZMADecompressor().decompress(data, LAYER_BYTES)
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            return zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data)).read(LAYER_BYTES)
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-        return None
-    except Exception as error:  # zstandard raises a type of its own
-        if type(error).__name__ != "ZstdError":
-            raise
+class Feed:
+    """Bytes from pieces, with a look ahead."""
+
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.held, self.used = pieces, b"", 0
+
+    def head(self, n: int) -> bytes:
+        while len(self.held) < n and (more := next(self.pieces, None)) is not None:
+            self.held += more
+        return self.held[:n]
+
+    def take(self, n: int) -> bytes:
+        self.head(1)
+        out, self.held = self.held[:n], self.held[n:]
+        self.used += len(out)
+        return out
+
+    def back(self, rest: bytes) -> None:
+        self.held, self.used = rest + self.held, self.used - len(rest)
+
+
+def opened(head: bytes):
+    """A decompressor for a gzip, zlib, bzip2, xz or zstandard stream; None for anything else."""
+    if head[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if head[:1] == b"\x78" and len(head) > 2 and int.from_bytes(head[:2], "big") % 31 == 0:
+        return zlib.decompressobj()
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if head[:6] == b"\xfd7zXZ\0":
+        return lzma.LZMADecompressor()
+    if head[:4] == b"\x28\xb5\x2f\xfd":
+        import zstandard
+
+        return zstandard.ZstdDecompressor().decompressobj()
     return None
 
 
+def inflated(feed: Feed) -> Iterator[bytes]:
+    """What the streams one after another hold, in pieces; ends at anything else and at damage."""
+    while (stream := opened(feed.head(6))) is not None:
+        bounded = not type(stream).__name__.startswith("Zstd")
+        try:
+            while not stream.eof and (data := feed.take(1 << 16 if bounded else 1 << 10)):
+                while True:
+                    out = stream.decompress(data, PIECE) if bounded else stream.decompress(data)
+                    if out:
+                        yield out
+                    if stream.eof or not bounded:
+                        break
+                    data = getattr(stream, "unconsumed_tail", b"")
+                    if not data and getattr(stream, "needs_input", len(out) < PIECE):
+                        break
+            if not stream.eof:
+                return
+            feed.back(stream.unused_data)
+        except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
+            return
+        except Exception as error:  # zstandard raises a type of its own
+            if type(error).__name__ != "ZstdError":
+                raise
+            return
+        while feed.head(1) == b"\0":  # padding between streams
+            feed.take(1)
+
+
+def windows(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """Pieces joined to windows of LAYER_BYTES, cut at white space where there is some, never in a character of UTF-8."""
+    held: list[bytes] = []
+    size = 0
+    for piece in pieces:
+        held.append(piece)
+        size += len(piece)
+        if size < LAYER_BYTES + OVERLAP:
+            continue
+        data = b"".join(held)
+        cut = max(data.rfind(b"\n"), data.rfind(b" ")) + 1
+        if cut <= OVERLAP:
+            cut = len(data)
+        start = cut - 1
+        while cut - start < 4 and data[start] & 0xC0 == 0x80:
+            start -= 1
+        if data[start] >= 0xC0 and cut - start < (2 if data[start] < 0xE0 else 3 if data[start] < 0xF0 else 4):
+            cut = start
+        yield data[:cut]
+        start = cut - OVERLAP
+        while start < cut and data[start] & 0xC0 == 0x80:
+            start += 1
+        held, size = [data[start:]], len(data) - start
+    if size:
+        yield b"".join(held)
+
+
+def texts_of(data: bytes) -> tuple[list[str], int]:
+    """(texts that bytes hold, compressed or not and one in another, how many bytes they take); a list of one text unless it is long."""
+    feed = Feed(iter([data]))
+    if opened(data[:6]) is None:
+        text = printable(data)
+        return ([text] if text else []), len(data)
+
+    def innermost(feed: Feed, depth: int = 0) -> Iterator[bytes]:
+        inner = Feed(inflated(feed))
+        if depth < DEPTH and opened(inner.head(6)) is not None:
+            yield from innermost(inner, depth + 1)
+        while out := inner.take(PIECE):
+            yield out
+
+    return [t for w in windows(innermost(feed)) if (t := printable(w))], feed.used
+
+
 def printable(data: bytes) -> str | None:
     """The text that bytes hold, if they are UTF-8 and nearly all of it can be read."""
     try:
@@ -181,18 +277,63 @@ def unwrapped(layer: Layer) -> Iterator[Layer]:
         yield out
     if ("\\" in text or "&#" in text) and (out := layer.replaced(ESCAPE, _escape_text)):
         yield out
+    for a, b, token in tokens64(text):
+        for skip in range(4):  # the token may begin with other characters
+            data = unbase64(token[skip:])
+            for inner in texts_of(data)[0] if data else ():
+                start, end = layer.origin(a, b)
+                yield Layer(inner, np.array([start]), np.array([end]))
+    for data, begin, finish in byte_runs(text):
+        at = 0
+        while (m := MAGIC.search(data, at)) is not None:
+            inner, used = texts_of(data[m.start() :])
+            at = m.start() + (max(used, 1) if inner else 1)
+            for t in inner:
+                start, end = layer.origin(int(begin[m.start()]), int(finish[at - 1]))
+                yield Layer(t, np.array([start]), np.array([end]))
+
+
+def tokens64(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, characters) of base64 in one run, and of runs that lines may have wrapped."""
     for m in BASE64.finditer(text):
-        data = unbase64(m[0])
-        if data is None:
-            continue
-        while (more := inflate(data)) is not None:  # compressed layers, one in another
-            if more == data:
-                break
-            data = more
-        inner = printable(data)
-        if inner is not None:
-            a, b = layer.origin(m.start(), m.end())
-            yield Layer(inner, np.array([a]), np.array([b]))
+        yield m.start(), m.end(), m[0]
+    if "\n" not in text:
+        return
+    for m in WRAPPED.finditer(text):
+        lines = [(m.start() + x.start(), m.start() + x.end()) for x in LINE.finditer(m[0])]
+        spans = {(0, len(lines)), (0, len(lines) - 1)}
+        i = 0
+        while i < len(lines):  # lines of one length and a last, shorter one
+            j, size = i + 1, lines[i][1] - lines[i][0]
+            while j < len(lines) and lines[j][1] - lines[j][0] == size:
+                j += 1
+            spans |= {(i, j), (i, j + 1)}
+            i = j
+        for i, j in sorted(spans):
+            if j - i > 1 and j <= len(lines):
+                yield lines[i][0], lines[j - 1][1], "".join(text[a:b] for a, b in lines[i:j])
+
+
+def byte_runs(text: str) -> Iterator[tuple[bytes, list[int], list[int]]]:
+    """Bytes written as %XX or as escapes, plain characters between, with the start and end of each."""
+    if "%" in text:
+        for m in URL_BYTES.finditer(text):
+            if "%" in m[0]:
+                runs = [(int(x[0][1:], 16) if x[0][0] == "%" else 0x20 if x[0] == "+" else ord(x[0]), m.start() + x.start(), m.start() + x.end()) for x in re.finditer(r"%..|.", m[0])]
+                data, begin, finish = map(list, zip(*runs, strict=True))
+                yield bytes(data), begin, finish
+    if "\\x" in text or "\\u00" in text or "\\U000000" in text or "&#" in text:
+        data, begin, finish = bytearray(), [], []
+        for m in BYTE.finditer(text):
+            code = int(m[1] or m[2] or m[3], 16) if m[1] or m[2] or m[3] else PLAIN[m[5]] if m[5] else ord(m[6]) if m[6] else int(m[4][3:-1], 16) if m[4][2] in "xX" else int(m[4][2:-1])
+            if (finish and finish[-1] != m.start()) or code > 255:
+                yield bytes(data), begin, finish
+                data, begin, finish = bytearray(), [], []
+            if code <= 255:
+                data.append(code)
+                begin.append(m.start())
+                finish.append(m.end())
+        yield bytes(data), begin, finish
 
 
 def all_spans(text: str) -> tuple[list[Span], list[Span], int]:

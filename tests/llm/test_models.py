@@ -5,11 +5,13 @@ import bz2
 import gzip
 import hashlib
 import itertools
+import lzma
 import math
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from urllib.parse import quote
 
 import numpy as np
 import pytest
@@ -354,6 +356,32 @@ def test_wrapped_secret_is_found_at_its_place(wrap):
     assert hits and all(9 <= a < b <= 9 + len(code) for _, a, b in hits)
 
 
+def wrapped(x, n=76):
+    code = b64(x)
+    return "\n".join(code[i : i + n] for i in range(0, len(code), n))
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress])
+def test_compressed_secret_in_any_writing(pack):
+    rng = random.Random(1)
+    data = pack(b"nothing here\n") + pack(f"{rng.randbytes(60).hex().upper()} {SECRET}\n".encode())
+    for code in (b64(data), "".join(f"%{c:02X}" for c in data), quote(data), "".join(f"\\x{c:02x}" for c in data), repr(data)[2:-1], "".join(f"&#{c};" for c in data), wrapped(data), "abc" + b64(data)):
+        text = f"é before {code} after"
+        hits = [s for s in secrets.all_spans(text)[1] if s[0] == "assign"]
+        assert hits and all(9 <= a < b <= 9 + len(code) for _, a, b in hits), code[:40]
+
+
+def test_secret_over_a_line_break_and_beyond_a_window(monkeypatch):
+    text = "x" * 40 + SECRET + "y" * 90
+    assert any(s[0] == "assign" for s in secrets.all_spans("key:\n" + wrapped(text, 64) + "\nend")[1])
+    monkeypatch.setattr(secrets, "LAYER_BYTES", 5000)
+    monkeypatch.setattr(secrets, "OVERLAP", 300)
+    monkeypatch.setattr(secrets, "PIECE", 700)
+    for fill in ("é", "é "):
+        for pack in (gzip.compress, bz2.compress, lzma.compress, zlib.compress, lambda x: gzip.compress(gzip.compress(x))):
+            assert any(s[0] == "assign" for s in secrets.all_spans(b64(pack((fill * 9001 + SECRET).encode())))[1])
+
+
 def test_decoding_stops_and_base_spans_stay():
     assert secrets.all_spans("%25" * 50 + "&amp;" + "\\u005c" * 9)[0] == []
     text = "token=password: token: abcdefgh1 AKIA" + "A" * 12 + " AKIASHORT " + "0123456789abcdef" * 2 + " PASSWD='abcdefgh'"
