@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ngrams, normalize_term
 
-MAX_WORDS = 8
 #: Up to so many asked terms their table goes to every task (some 10 MB).
 BROADCAST_TERMS = 200_000
 
@@ -33,7 +32,7 @@ def _asked(terms: DataFrame, column: str) -> DataFrame:
 
 def occurrences(corpus: DataFrame, asked: DataFrame) -> DataFrame:
     """(term, doc, position) of every occurrence of the asked terms."""
-    lengths = [r.words for r in asked.select("words").where(F.col("words") <= MAX_WORDS).distinct().collect()]
+    lengths = [r.words for r in asked.select("words").distinct().collect()]
     small = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     out = None
     for n in sorted(lengths) or [1]:

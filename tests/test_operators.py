@@ -99,6 +99,15 @@ def test_counts_and_pairs(spark):
     assert {(r.left, r.right): r.raw_count for r in corpus.count_pairs(docs, p, "window", 1).collect()}[("minster", "york")] == 1
 
 
+def test_corpus_counts_terms_of_any_length(spark):
+    long = " ".join(f"w{i}" for i in range(12))
+    docs = corpus.corpus_tokens(spark.createDataFrame([(1, f"a {long} b {long}"), (2, long), (3, long[:-1])], "doc_id long, text string"))
+    t = spark.createDataFrame([(long,), (f"absent {long}",), ("b",)], "term string")
+    assert {r.term: r.raw_count for r in corpus.count_entities(docs, t).collect()} == {long: 3, f"absent {long}": 0, "b": 1}
+    p = spark.createDataFrame([("b", long)], "left string, right string")
+    assert [r.raw_count for r in corpus.count_pairs(docs, p).collect()] == [1]
+
+
 def test_missing_count_nulls_the_row(spark):
     rows = spark.createDataFrame([("a", ["x", "y"]), ("b", ["x"]), ("c", [])], "candidate_id string, entities array<string>")
     counts = spark.createDataFrame([("x", 10)], "term string, raw_count long")
