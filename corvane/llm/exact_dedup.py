@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import buckets, small_batches
+from .store import buckets
 from .textcore import splitmix
 
 MEMTABLE_BYTES = 16 << 20
@@ -143,12 +143,9 @@ def compact(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def index(docs: DataFrame, keep: str = "smallest", parts: int | None = None, digest: Callable[[bytes], bytes] = sha256) -> DataFrame:
     """The compacted index of (doc_id, text): digest, id, n, hit."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    parts = parts or buckets(spark)
+    parts = parts or buckets(docs.sparkSession)
     return (
         docs.select("doc_id", "text")
-        .where("doc_id is not null")
         .mapInArrow(memtables(parts, min if keep == "smallest" else max, digest), RUN)
         .groupBy("part")
         .applyInPandas(lambda pdf: compact(pdf), "digest binary, id long, n long, hit boolean")
@@ -158,16 +155,19 @@ def index(docs: DataFrame, keep: str = "smallest", parts: int | None = None, dig
 def exact_dedup(docs: DataFrame, keep: str = "smallest", normalise: Callable[[Column], Column] | None = None, parts: int | None = None, digest: Callable[[bytes], bytes] = sha256) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Texts are equal when their bytes are, after ``normalise``.  A null text
-    counts as empty; rows without a doc_id are left out; rows that share a
-    doc_id and a text stand or fall together; an empty table gives no rows.
-    Other columns, whatever their names, are not looked at.
+    Texts are equal when their bytes are, after ``normalise``, whatever their
+    length.  A null text counts as empty.  Rows without a doc_id belong to
+    their group, but give way to any that has one; a group of nothing else has
+    no keep_id and is kept.  Rows that share a doc_id and a text stand or fall
+    together, so ties need no rule; an empty table gives no rows.  Other
+    columns, whatever their names, are not looked at.
     ``digest`` must give 32 bytes; for any but SHA-256, texts that share a
     digest without being equal are told apart by their bytes.
     """
     best = F.min if keep == "smallest" else F.max
+    nameless = F.lit((1 << 63) - 1 if keep == "smallest" else -(1 << 63)).cast("long")  # an id that any other beats
     text = F.coalesce(F.col("text"), F.lit(""))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (normalise(text) if normalise else text).alias("text")).where("doc_id is not null")
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), nameless).alias("doc_id"), (normalise(text) if normalise else text).alias("text"))
     found = index(docs, keep, parts, digest)
     tag = F.unhex(F.sha2("text", 256)) if digest is sha256 else F.udf(digest, "binary")(F.encode("text", "UTF-8"))
     keyed = docs.withColumn("digest", tag)
@@ -183,4 +183,5 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest", normalise: Callable[[Co
         mixed = keyed.join(digests.where("classes > 1").select("digest"), "digest", "left_semi")
         exact = mixed.groupBy("digest", "text").agg(best("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
         out = out.union(mixed.join(exact, ["digest", "text"]).select("doc_id", F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size"))
-    return out.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
+    named = lambda c: F.nullif(F.col(c), nameless).alias(c)
+    return out.select(named("doc_id"), named("keep_id"), F.col("group_size").cast("long").alias("group_size"), (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")

@@ -9,11 +9,14 @@ once a slice of texts, however often they occur.
 
 The models are fitted on a bounded sample of labelled rows: at most
 ``sample_docs`` whole texts a language, of at most ``sample_chars`` characters,
-picked by a hash of doc_id.
+picked by a hash of doc_id.  A language that has only longer texts gives its
+shortest ones, up to as many characters in all, and one at least.  One task fits
+and calibrates the models; the driver only passes them on.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -21,13 +24,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .store import small_batches
-from .textcore import IS_SPACE, slices, splitmix, utf8
+from .store import drop, quoted, written
+from .textcore import IS_SPACE, hashed, release, slices, splitmix, utf8
 
 ORDER = 5
 SAMPLE_DOCS = 300
 SAMPLE_CHARS = 8000
+#: Up to so many languages their counts are sent to every task.
+BROADCAST_LANGS = 10_000
 SLICE = 3 << 19
 MARK = np.uint64(32)
 UNDETERMINED = "und"
@@ -70,16 +76,7 @@ def word_table(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     if not len(s):
         z = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), z, z, z, z
-    with np.errstate(over="ignore"):
-        mixed = splitmix(points)
-        sums = np.zeros(len(points) + 1, np.uint64)
-        odd = np.uint64(0x9E3779B97F4A7C13)
-        power = np.ones(len(points), np.uint64)
-        np.multiply.accumulate(np.r_[np.uint64(1), np.full(max(len(points) - 1, 0), odd)], out=power)
-        np.cumsum(mixed * power, out=sums[1:])
-        inverse = np.uint64(pow(int(odd), -1, 1 << 64))
-        back = np.multiply.accumulate(np.r_[np.uint64(1), np.full(max(len(points) - 1, 0), inverse)])
-        h = (sums[e] - sums[s]) * back[s] + (e - s).astype(np.uint64)
+    h = hashed(points.view(np.uint8), 4 * s, 4 * e)
     _, sample, token = np.unique(h, return_index=True, return_inverse=True)
     length = e[sample] - s[sample]
     starts = np.r_[0, np.cumsum(length + 2)]
@@ -214,8 +211,8 @@ def calibrate(model: dict[str, Any], samples: dict[str, list[str]]) -> dict[str,
     """Adds temperature and rejection bound from texts that the counts have not seen.
 
     The bound: cross-entropy above which a text is unlike every language, as
-    the worst unseen sample text plus as much again as that lies above the
-    median, with an allowance for short texts.
+    the 99th percentile of the unseen sample texts plus as much again as that
+    lies above their median, with an allowance for short texts.
     """
     margins, right, entropy, sizes = [], [], [], []
     for i, lang in enumerate(model["langs"]):
@@ -239,10 +236,13 @@ def calibrate(model: dict[str, Any], samples: dict[str, list[str]]) -> dict[str,
             best, temperature = loss, float(t)
     mid = float(np.median(h))
     long = h[n >= 50] if (n >= 50).any() else h
-    return model | {"temperature": temperature, "bound": float(long.max() + max(long.max() - mid, 1.0)), "short": 4.0}
+    high = float(np.quantile(long, 0.99))
+    return model | {"temperature": temperature, "bound": high + max(high - mid, 1.0), "short": 4.0}
 
 
-def predict(model: dict[str, Any]) -> Callable:
+def predict(model: dict[str, Any], carry: list[str]) -> Callable:
+    names = ["doc_id", "lang_pred", "score", "cross_entropy", "rejected", *(c for c in carry if c != "doc_id")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs = np.array(model["langs"], object)
         for batch in batches:
@@ -259,28 +259,39 @@ def predict(model: dict[str, Any]) -> Callable:
                 known = (n > 0) & bool(len(langs))
                 rejected = ~known | (np.nan_to_num(entropy) > model["bound"] + model["short"] / np.sqrt(np.maximum(n, 1)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(name.tolist(), pa.string()), pa.array(np.where(known, sure, 0.0)), pa.array(np.where(known, entropy, 0.0)), pa.array(rejected), *[c.slice(i, j - i) for c in batch.columns[2:]]],
-                    names=["doc_id", "lang_pred", "score", "cross_entropy", "rejected", *batch.schema.names[2:]],
+                    [batch.column(0).slice(i, j - i), pa.array(name.tolist(), pa.string()), pa.array(np.where(known, sure, 0.0)), pa.array(np.where(known, entropy, 0.0)), pa.array(rejected), *(batch.column(c).slice(i, j - i) for c in names[5:])],
+                    names=names,
                 )
 
     return run
 
 
+def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pickled model of a whole sample (lang, turn, text); every fifth text of a language only calibrates."""
+    rows = sorted((r["lang"], r["turn"], r["text"]) for b in batches for r in b.to_pylist())
+    part = lambda held: {lang: [t for x, turn, t in rows if x == lang and (turn % 5 == 0) == held] for lang in {r[0] for r in rows}}
+    model = pickle.dumps(calibrate(fit(part(False)), part(True)))
+    release()
+    yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
+
+
 def train(docs: DataFrame, learn: Column, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> dict[str, Any]:
-    """A model from the rows of (doc_id, text, lang) that ``learn`` holds for."""
-    labelled = docs.where(learn & F.col("lang").isNotNull() & (F.length("text") <= sample_chars) & (F.length("text") > 0))
-    counts = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}
-    if not counts:
-        return calibrate(fit({}), {})
+    """A model from the rows of (doc_id, text, lang) that ``learn`` holds for; rows without a language or text teach nothing."""
+    size = F.length("text")
+    labelled = docs.where(learn & F.col("lang").isNotNull() & (size > 0)).select("doc_id", "text", "lang", size.alias("size"))
+    counts = written(labelled.groupBy("lang").agg(F.count_if(F.col("size") <= sample_chars).alias("short"), F.count("*").alias("all")))
+    few = counts.count() <= BROADCAST_LANGS
+    rows = labelled.join(F.broadcast(counts) if few else counts, "lang").where((F.col("size") > sample_chars) == (F.col("short") == 0))
     # A hash thins each language to some times its sample before rows are ordered, so no task orders a language.
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 4.0 * sample_docs / n + 100.0 / n))])[F.col("lang")]
-    key = F.xxhash64("doc_id")
-    thinned = labelled.where(F.pmod(key, F.lit(1 << 30)) < share * float(1 << 30))
-    order = Window.partitionBy("lang").orderBy(F.pmod(key, F.lit(1 << 30)), key, "doc_id")
-    picked = thinned.select("doc_id", "lang").withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= min(sample_docs, 1000)).select("doc_id", "lang", "turn")
-    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(picked), ["doc_id", "lang"]).where(F.length("text") <= sample_chars).select("lang", "text", "turn").collect()
-    part = lambda held: {lang: [r.text for r in rows if r.lang == lang and (r.turn % 5 == 0) == held] for lang in {r.lang for r in rows}}
-    return calibrate(fit(part(False)), part(True))
+    key = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    share = (4.0 * sample_docs + 100.0) / F.when(F.col("short") > 0, F.col("short")).otherwise(F.col("all"))
+    rows = rows.where(key < share * float(1 << 30))
+    order = Window.partitionBy("lang").orderBy(F.when(F.col("short") == 0, F.col("size")).otherwise(0), key, "doc_id", F.xxhash64("text"))
+    rows = rows.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= sample_docs)
+    rows = rows.withColumn("taken", F.sum("size").over(order)).where((F.col("turn") == 1) | (F.col("taken") <= sample_docs * sample_chars))
+    got = rows.select("lang", "turn", "text").repartition(1).mapInArrow(fitted, "model binary").first()
+    drop(counts)
+    return pickle.loads(got.model) if got else calibrate(fit({}), {})  # noqa: S301  the task's own bytes
 
 
 def identify(docs: DataFrame, model: dict[str, Any], carry: list[str] | None = None) -> DataFrame:
@@ -290,15 +301,18 @@ def identify(docs: DataFrame, model: dict[str, Any], carry: list[str] | None = N
     rejected.  Rejected are also texts whose cross-entropy a character lies
     above the calibrated bound.  score is the winner's share of the calibrated
     likelihoods.  Ties go to the first language by name; without any labelled
-    text everything is ``und``.  Repeated rows get a row each.
+    text everything is ``und``.  Repeated rows and rows without a doc_id get a
+    row each, an empty table gives none.  Long texts are scored whole, in
+    pieces cut between words.  Columns that are not carried are not looked at;
+    doc_id and text may be carried, other names must not clash with the above.
     """
     carry = carry or []
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join(["doc_id long", "lang_pred string", "score double", "cross_entropy double", "rejected boolean", *(f"`{c}` {fields[c]}" for c in carry)])
+    more = [c for c in carry if c not in ("doc_id", "text")]
+    own = T.StructType.fromDDL("doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean")
+    schema = T.StructType([*own, *(docs.schema[c] for c in carry if c != "doc_id")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from predict(shared.value)(batches)
+        yield from predict(shared.value, carry)(batches)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *map(quoted, more)).mapInArrow(run, schema)

@@ -13,8 +13,11 @@ join need no further comparison among themselves.  What still lies in different
 components of a node is compared exhaustively, within one task, in nodes of
 bounded size.  Larger nodes first compare one member a component with their
 leader; if several components are left, their members are dealt into blocks and
-every two blocks become a node, so that no pair is lost.  Every link is confirmed
-on whole shingle sets.
+every two blocks become a node, so that no pair is lost.  Links are looked for
+with 64-bit hashes of the shingles and each that is found is confirmed on the
+words of both whole texts.
+
+Every step is a job of its own over tables written to the shared folder.
 """
 
 from __future__ import annotations
@@ -26,16 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import components, cut, small_batches, written
-from .textcore import doc_shingles, slices, splitmix, utf8
+from .store import components, drop, written
+from .textcore import doc_shingles, slices, splitmix, utf8, word_shingles
 
 UNIT = 3
 UNITS = 5
 TREES = 8
 COORDINATES = UNIT * UNITS * TREES
 #: Nodes of up to so many sets and bytes of text are compared in one task.
-NODE_SETS = 2048
-NODE_BYTES = 24 << 20
+NODE_SETS = 1024
+NODE_BYTES = 16 << 20
 #: Standard errors of the signature's estimate by which a candidate may miss the threshold: 1.7e-8 of pairs at 0.8 miss it by more.
 SLACK = 6.0
 
@@ -63,13 +66,13 @@ def sketch(shingle: int) -> Callable:
         for batch in batches:
             buf, off = utf8(batch.column(1))
             for i, j in slices(off):
-                grams, at = doc_shingles(buf, off[i : j + 1], shingle)
+                grams, at, second = doc_shingles(buf, off[i : j + 1], shingle, lanes=2)
                 n = np.diff(at)
-                sums = []
+                sums = []  # one of each independent hash: 128 bits name a set
                 with np.errstate(over="ignore"):
-                    for salt in (1, 2):
-                        total = np.zeros(len(grams) + 1, np.uint64)
-                        np.cumsum(splitmix(grams ^ splitmix(np.uint64(salt))), out=total[1:])
+                    for lane in (grams, second):
+                        total = np.zeros(len(lane) + 1, np.uint64)
+                        np.cumsum(splitmix(lane), out=total[1:])
                         sums.append((total[at[1:]] - total[at[:-1]]).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), *map(pa.array, sums), pa.array([x.tobytes() for x in signatures(grams, at)], pa.binary())],
@@ -125,8 +128,15 @@ def likely(percent: int) -> Callable:
     return run
 
 
+def linked(one: bytes, two: bytes, shingle: int, percent: int) -> bool:
+    """Whether the shingles of two whole texts, as words, reach the threshold."""
+    a, b = word_shingles(one, shingle), word_shingles(two, shingle)
+    shared = len(a & b)
+    return shared > 0 and 100 * shared >= percent * (len(a) + len(b) - shared)
+
+
 def confirmed(shingle: int, percent: int) -> Callable:
-    """Pairs (a, b, text_a, text_b) whose whole shingle sets reach the threshold."""
+    """Pairs (a, b, text_a, text_b) whose whole shingle sets reach the threshold: by hashes first, then by words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,6 +150,8 @@ def confirmed(shingle: int, percent: int) -> Callable:
                 grams, owner = grams[order], owner[order]
                 shared = np.bincount(owner[1:][(grams[1:] == grams[:-1]) & (owner[1:] == owner[:-1])], minlength=j - i)
                 link = 100 * shared >= percent * (n1 + n2 - shared)
+                for d in np.flatnonzero(link):
+                    link[d] = linked(one[off1[i + d] : off1[i + d + 1]].tobytes(), two[off2[i + d] : off2[i + d + 1]].tobytes(), shingle, percent)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i)], names=["a", "b"]).filter(pa.array(link))
 
     return run
@@ -218,7 +230,7 @@ def compared(shingle: int, percent: int) -> Callable:
                 spread = np.repeat(begin[mine] - np.cumsum(count[mine]) + count[mine], count[mine]) + np.arange(int(count[mine].sum()))
                 shared = np.bincount(posting[spread], minlength=len(ids))
                 for j in np.flatnonzero(other & (100 * shared >= percent * (size + size[i] - shared))):
-                    if label[j] != label[i]:
+                    if label[j] != label[i] and linked(buf[off[i] : off[i + 1]].tobytes(), buf[off[j] : off[j + 1]].tobytes(), shingle, percent):
                         links.append((ids[i], ids[j]))
                         label[label == label[j]] = label[i]
             if links:
@@ -233,71 +245,75 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, trees:
     Documents are linked when the Jaccard similarity of their sets of distinct
     ``shingle``-word shingles (ASCII capitals as small letters, words between
     ASCII white space) is ``percent``/100 or more; component_id is the smallest
-    doc_id reachable over links.  A text with fewer words is one shingle; a
-    null, empty or blank text has no shingles and no link.  Rows without a
-    doc_id are left out, and rows that share one must share a text.  Other
-    columns are not looked at.  An empty table gives no rows.
+    doc_id reachable over links, so ties can't arise.  A text with fewer words
+    is one shingle; a null, empty or blank text has no shingles and no link.
+    Texts of any length are taken whole.  A row without a doc_id can't be named
+    by others: its component_id is null and it is kept.  Repeated rows get a
+    row each; rows that share a doc_id but no text are each judged by their own
+    text.  Other columns are not looked at.  An empty table gives no rows.
     """
-    small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = written(docs.mapInArrow(sketch(shingle), "doc_id long, n long, k1 long, k2 long, sig binary"))
+    named = "n > 0 and doc_id is not null"
     # Equal sets are one class from here on, whatever their number.
-    classes = written(sketches.where("n > 0").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n", "sig")).alias("x")).select("k1", "k2", F.col("x.doc_id").alias("id"), "x.n", "x.sig"))
-    sets = classes.select("id", "n", "sig")
-
-    def gathered(walked: DataFrame) -> DataFrame:
-        """The members of nodes of two or more, with the node's leader."""
-        shared = walked.groupBy("node").agg(F.count("*").alias("size"), F.min("id").alias("leader")).where("size > 1").drop("size")
-        return written(walked.join(shared, "node"))
-
-    members = gathered(sets.select("id", "sig").mapInArrow(plant(trees), "node long, id long"))
-    met = members.select("id").distinct()
-    sets = written(sets.join(met, "id"))
+    classes = sketches.where(named).groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n", "sig")).alias("x"))
+    classes = written(classes.select("k1", "k2", F.col("x.doc_id").alias("id"), "x.n", "x.sig"))
+    walked = classes.select("id", "sig").mapInArrow(plant(trees), "node long, id long")
+    shared = walked.groupBy("node").agg(F.count("*").alias("size"), F.min("id").alias("leader")).where("size > 1").drop("size")
+    members = written(walked.join(shared, "node"))
+    met = written(members.select("id").distinct())
+    sets = written(classes.select("id", "n", "sig").join(met, "id"))
     texts = written(docs.join(met.withColumnRenamed("id", "doc_id"), "doc_id").withColumn("bytes", F.octet_length("text")))
-    bytes_of = texts.select(F.col("doc_id").alias("id"), "bytes")
+    drop(met)
 
     def verified(pairs: DataFrame) -> DataFrame:
+        """The links among pairs (a, b), written."""
         sig = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
         text = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
         near = pairs.join(sig("a"), "a").join(sig("b"), "b").where(F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"))
-        near = near.select("a", "b", "sig_a", "sig_b").mapInArrow(likely(percent), "a long, b long")
-        near = near.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b")
-        return near.mapInArrow(confirmed(shingle, percent), "a long, b long")
-
-    def reach(links: DataFrame, before: DataFrame | None = None) -> DataFrame:
-        """(id, component) once ``links`` are added; ``before`` stands for the links so far."""
-        if before is not None:
-            if not links.take(1):
-                return before
-            links = links.union(before.where("id <> component").select("component", "id"))
-        return cut(components(links)).withColumnRenamed("node", "id")
+        near = written(near.select("a", "b", "sig_a", "sig_b").mapInArrow(likely(percent), "a long, b long"))
+        out = near.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b")
+        out = written(out.mapInArrow(confirmed(shingle, percent), "a long, b long"))
+        drop(near)
+        return out
 
     def place(members: DataFrame, reached: DataFrame) -> DataFrame:
-        return members.join(reached, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        """(node, id, component) of the nodes that hold several components, written."""
+        placed = members.join(reached, "id", "left").select("node", "id", F.coalesce("component", "id").alias("component"))
+        several = placed.groupBy("node").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("node")
+        return written(placed.join(several, "node"))
 
     # One link a set first: what that joins needs no comparison among itself.
-    reached = reach(cut(verified(members.where("id <> leader").groupBy(F.col("id").alias("b")).agg(F.min("leader").alias("a")))))
+    links = verified(members.where("id <> leader").groupBy(F.col("id").alias("b")).agg(F.min("leader").alias("a")))
+    reached = components(links).withColumnRenamed("node", "id")
+    members = members.select("node", "id")
     for last in (False, True):
-        placed = place(members.select("node", "id"), reached)
-        groups = placed.join(bytes_of, "id").groupBy("node", "component").agg(F.count("*").alias("n"), F.min("id").alias("rep"), F.sum("bytes").alias("bytes"))
-        nodes = groups.groupBy("node").agg(F.count("*").alias("kinds"), F.sum("n").alias("size"), F.sum("bytes").alias("bytes"), F.min("rep").alias("leader")).where("kinds > 1")
-        nodes = cut(nodes.withColumn("wide", F.lit(False) if last else (F.col("size") > node_sets) | (F.col("bytes") > NODE_BYTES)))
-        close = placed.join(nodes.where("not wide").select("node"), "node").join(sets, "id").select("node", "id", "component", "n", "sig")
-        active = close.repartition("node").sortWithinPartitions("node").mapInArrow(plausible(percent), "node long, id long, component long")
-        active = active.join(texts.select(F.col("doc_id").alias("id"), "text"), "id").select("node", "id", "component", "text")
-        found = active.repartition("node").sortWithinPartitions("node").mapInArrow(compared(shingle, percent), "a long, b long")
-        crowded = nodes.where("wide").take(1)
-        stars = groups.join(nodes.where("wide").select("node", "leader"), "node").where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b"))
-        reached = reach(cut(found.union(verified(stars.distinct())) if crowded else found), reached)
+        placed = place(members, reached)
+        sizes = texts.groupBy(F.col("doc_id").alias("id")).agg(F.max("bytes").alias("bytes"))
+        groups = written(placed.join(sizes, "id").groupBy("node", "component").agg(F.count("*").alias("n"), F.min("id").alias("rep"), F.sum("bytes").alias("bytes")))
+        nodes = groups.groupBy("node").agg(F.sum("n").alias("size"), F.sum("bytes").alias("bytes"), F.min("rep").alias("leader"))
+        nodes = written(nodes.withColumn("wide", F.lit(False) if last else (F.col("size") > node_sets) | (F.col("bytes") > NODE_BYTES)))
+        wide, close = nodes.where("wide"), nodes.where("not wide").select("node")
+        close = placed.join(close, "node").join(sets, "id").select("node", "id", "component", "n", "sig")
+        active = written(close.repartition("node").sortWithinPartitions("node").mapInArrow(plausible(percent), "node long, id long, component long"))
+        full = active.join(texts.select(F.col("doc_id").alias("id"), "text"), "id").select("node", "id", "component", "text")
+        links = links.union(written(full.repartition("node").sortWithinPartitions("node").mapInArrow(compared(shingle, percent), "a long, b long")))
+        crowded = bool(wide.take(1))
+        if crowded:
+            stars = groups.join(wide.select("node", "leader"), "node").where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b"))
+            links = links.union(verified(stars.distinct()))
+        reached = components(links).withColumnRenamed("node", "id")
+        drop(groups, active)
         if not crowded:
             break
         # Every two blocks of a wide node that still holds several components make a node; two blocks hold some four fifths of the bounds.
         blocks = F.ceil(2.5 * F.greatest(F.col("size") / node_sets, F.col("bytes") / NODE_BYTES)).cast("long")
-        crowd = place(members.select("node", "id").join(nodes.where("wide").select("node", blocks.alias("blocks")), "node"), reached)
-        mixed = crowd.groupBy("node").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("node")
-        dealt = crowd.join(mixed, "node").withColumn("mine", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        crowd = place(placed.select("node", "id").join(wide.select("node"), "node"), reached)
+        dealt = crowd.join(wide.select("node", blocks.alias("blocks")), "node").withColumn("mine", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         members = written(dealt.select(F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")).alias("node"), "id"))
     of_class = classes.select("k1", "k2", "id").join(reached, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component_id"))
-    out = sketches.where("n > 0").select("doc_id", "n", "k1", "k2").join(of_class, ["k1", "k2"]).select("doc_id", "n", "component_id")
-    out = out.union(sketches.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    out = sketches.where(named).select("doc_id", "n", "k1", "k2").join(of_class, ["k1", "k2"]).select("doc_id", "n", "component_id")
+    out = out.union(sketches.where(f"not ({named})").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))

@@ -1,40 +1,63 @@
-"""Lineage cuts and connected components over shared storage."""
+"""Written tables and connected components over shared storage."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+import weakref
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Links that one task unites (16 bytes each); longer tables are contracted until they are that short.
+UNITE = 2_000_000
 
 _own: dict[str, str] = {}
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set (tests)."""
+    """The cluster's shared folder; one of our own only where none is set and all runs on this machine (tests)."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
-        if "dir" not in _own:
-            _own["dir"] = tempfile.mkdtemp(prefix="corvane-shared-")
-        place = _own["dir"]
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(place)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        place = _own.get("dir") or _own.setdefault("dir", tempfile.mkdtemp(prefix="corvane-shared-"))
     return place
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def _file(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def written(df: DataFrame) -> DataFrame:
-    """A Parquet table in the shared folder, for what is too large to keep uncompressed."""
-    path = f"{shared_dir(df.sparkSession)}/corvane-{uuid.uuid4().hex}"
+    """A Parquet table in the shared folder, read back; it goes with ``drop`` or when the application ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/corvane-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    where, files = _file(spark, path)
+    files.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for table in tables:
+        if path := _paths.pop(table, None):
+            where, files = _file(table.sparkSession, path)
+            files.delete(where, True)
+
+
+def quoted(name: str) -> str:
+    """A column name, dots and all, for select and col."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def buckets(spark: SparkSession, least: int = 8, times: float = 1) -> int:
@@ -42,32 +65,56 @@ def buckets(spark: SparkSession, least: int = 8, times: float = 1) -> int:
     return max(least, round(times * int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Fewer rows an Arrow batch than the default for long texts: each executor core holds a batch twice, outside the heap."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+def united(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node reachable) for every end of some links."""
+    nodes, inverse = np.unique(np.concatenate([u, v]), return_inverse=True)
+    one, two = inverse[: len(u)], inverse[len(u) :]
+    root = np.arange(len(nodes))
+    while len(one):
+        a, b = root[one], root[two]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up := root[root], root):
+            root = up
+        apart = root[one] != root[two]
+        one, two = one[apart], two[apart]
+    return nodes, nodes[root]
+
+
+def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if held:
+        node, component = united(*map(np.concatenate, zip(*held, strict=True)))
+        yield from pa.table({"node": node, "component": component}).to_batches(1 << 16)
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, unite: int = UNITE) -> DataFrame:
     """(node, component) for every end of ``links`` (a, b): the smallest id reachable.
 
-    Alternates large-star and small-star steps; each step only takes minima
-    and joins on a node, and every round is cut in the shared folder.
+    While there are more than ``unite`` links, every node moves to the
+    neighbour (or itself) that comes first in an order drawn anew each round,
+    and links between the nodes that stay take the place of the former.  At
+    least half the nodes of a chain or tree go in a few rounds; a link always
+    moves one of its ends, so this ends.  What is left is united in one task.
     """
-    now = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    now, last = cut(now), None
-    for _ in range(rounds):
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        now = cut(small)
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == last:
-            break
-        last = seen
-    return now.groupBy("u").agg(F.min("v").alias("c")).select(F.col("u").alias("node"), F.col("c").alias("component")).union(
-        now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    ).groupBy("node").agg(F.min("component").alias("component"))
+    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    moves: list[DataFrame] = []
+    while edges.count() > unite:
+        turn = F.lit(len(moves))
+        first = lambda x: F.struct(F.xxhash64(x, turn).alias("h"), F.col(x).alias("x"))  # noqa: B023, E731
+        both = edges.union(edges.select("v", "u"))
+        near = both.groupBy("u").agg(F.min(first("v")).alias("near"))
+        moves.append(written(near.select(F.col("u").alias("node"), F.least(first("u"), "near")["x"].alias("to"))))
+        to = lambda x: moves[-1].select(F.col("node").alias(x), F.col("to").alias(f"{x}_to"))
+        moved = edges.join(to("u"), "u").join(to("v"), "v").where("u_to <> v_to")
+        after = written(moved.select(F.greatest("u_to", "v_to").alias("u"), F.least("u_to", "v_to").alias("v")).distinct())
+        drop(edges)
+        edges = after
+    out = written(edges.coalesce(1).mapInArrow(_unite, "node long, component long"))
+    drop(edges)
+    for move in reversed(moves):
+        above = out.select(F.col("node").alias("to"), "component")
+        out = move.join(above, "to", "left").select("node", F.coalesce("component", "to").alias("component"))
+    if moves:
+        least = out.groupBy("component").agg(F.min("node").alias("least"))
+        out = out.join(least, "component").select("node", F.col("least").alias("component"))
+    return out

@@ -12,9 +12,10 @@ strings that pick one gram form a segment.  Segments meet by their gram:
   suffix array of their bytes by Larsson-Sadakane refinement, common prefixes
   by Kasai's rule in its permuted form, and finds equal strings as runs of
   prefixes of ``length`` or more;
-- grams that very many places share (found on a sample, which only decides
-  where rows go) would overfill a shard: their strings travel as sorted runs
-  of 128-bit hashes, dealt out evenly, and runs are merged by binary search.
+- grams whose segments would overfill a shard are taken apart: their strings
+  travel as sorted runs of 128-bit hashes, dealt out evenly, and runs are
+  merged by binary search.  The most frequent grams, which would overfill a
+  bucket already, are known from a sample, which only decides where rows go.
 
 What repeats within a block of documents is settled there and travels once, so
 copies, however many, do not gather in one task.
@@ -32,17 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .packed import FOUND, PACKED, SEGMENT, SPAN, WINDOW, column, deal, first_of_equal, found, packed_batch, packed_rows, strung, unplanes
-from .store import buckets, small_batches
-from .textcore import _BASE, _INVERSE, BYTE_HASH, _power, slices, splitmix, utf8
+from .store import buckets
+from .textcore import eights, hashed, slices, splitmix, utf8
 
 LENGTH = 100
 GRAM = 32
 BLOCK = 1 << 20
-SHARD_BYTES = 1 << 20
-#: A gram is hot from so many sampled places, or this share of all of them, on.
+SHARD_BYTES = 1 << 19
+#: One document in so many is looked at for hot grams; fewer sampled places than LEAST don't make one.
 SAMPLE = 16
-HOT_PLACES = 2000
-HOT_SHARE = 50_000
+LEAST = 50
 _POSITION = np.uint64(0xFFFFFF)
 
 
@@ -154,17 +154,23 @@ def intervals(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return begin, end
 
 
+#: Columns of what goes to shards (bytes) and buckets (packed: kind in doc_id, x in bytes).
+CUT = ["shard", "doc_id", "place", "bytes", "y", "doc", "at", "n"]
+
+
 # --- segments ----------------------------------------------------------------
 
 
 def segments(piece: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(gram hash, content hash, first string, strings, prefix sums) of a piece; ``bounds`` are its documents' offsets."""
+    """(gram hash, content hashes of two lanes, first string, strings) of a piece; ``bounds`` are its documents' offsets."""
     n = len(piece)
-    with np.errstate(over="ignore"):
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(BYTE_HASH[piece] * _power(_BASE, n), out=sums[1:])
-        back = _power(_INVERSE, n + 1)
-        grams = splitmix((sums[gram:] - sums[: n + 1 - gram]) * back[: n + 1 - gram])
+    # Windows of eight bytes, then of twice as many until they cover a gram.
+    grams, size = splitmix(eights(piece)[: n - 7]), 8
+    while size < gram:
+        step = min(size, gram - size)
+        with np.errstate(over="ignore"):
+            grams = splitmix(grams[:-step] * np.uint64(0xC2B2AE3D27D4EB4F) + grams[step:])
+        size += step
     least = (grams & ~_POSITION) | np.arange(len(grams), dtype=np.uint64)
     width, reach = length - gram + 1, 1
     while reach * 2 <= width:
@@ -185,13 +191,19 @@ def segments(piece: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> t
     heads[bounds[:-1][bounds[:-1] < len(pick)]] = True
     new |= heads & ok
     first = np.flatnonzero(new)
-    if not len(first):
-        z = np.zeros(0, np.int64)
-        return z.astype(np.uint64), z.astype(np.uint64), z, z, sums
     stop = np.flatnonzero(ok & ~np.append(ok[1:] & ~new[1:], False)) + 1
-    with np.errstate(over="ignore"):
-        content = splitmix(((sums[stop + length - 1] - sums[first]) * back[first]) ^ splitmix((stop - first).astype(np.uint64)))
-    return grams[pick[first]], content, first, stop - first, sums
+    return grams[pick[first]], hashed(piece, first, stop + length - 1), hashed(piece, first, stop + length - 1, 1), first, stop - first
+
+
+def named(gram: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 128 bits that travel for a segment: 32 of its gram, 96 of its content."""
+    high = np.uint64(0xFFFFFFFF00000000)
+    return (gram & high) | (two >> np.uint64(32)), one
+
+
+def strings(piece: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each string of ``length`` bytes that begins at ``at``."""
+    return hashed(piece, at, at + length), hashed(piece, at, at + length, 1)
 
 
 def pieces(buf: np.ndarray, off: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -221,39 +233,39 @@ def split(parts: int, length: int, gram: int, hot: Callable[[], np.ndarray]) ->
             for piece, bounds, rows, shift in pieces(buf, off, length):
                 if len(piece) < length:
                     continue
-                f, c, first, n, sums = segments(piece, bounds, length, gram)
+                g, one, two, first, n = segments(piece, bounds, length, gram)
+                f, c = named(g, one, two)
                 owner = np.searchsorted(bounds, first, "right") - 1
                 doc, place = ids[rows[owner]], first - bounds[owner] + shift[owner]
                 order, lead, head = first_of_equal(f, c, doc, place)
                 out: list[tuple] = []
-                f, c, doc, place, n, first = (v[order] for v in (f, c, doc, place, n, first))
+                g, f, c, doc, place, n, first = (v[order] for v in (g, f, c, doc, place, n, first))
                 later = ~lead & ((doc != doc[head]) | (place != place[head]))
                 z = np.zeros(int(later.sum()), np.uint64)
                 out += packed_rows(deal(splitmix(doc[later].astype(np.uint64)), parts), SPAN, z, z, doc[later], place[later], n[later])
-                full = np.isin(f, crowded) & lead if len(crowded) else np.zeros(len(f), bool)
+                full = np.isin(g, crowded) & lead if len(crowded) else np.zeros(len(f), bool)
                 rest = lead & ~full
-                out += packed_rows(deal(splitmix(f[rest]), parts), SEGMENT, f[rest], c[rest], doc[rest], place[rest], n[rest])  # picked grams have small hashes: mixed again
+                out += packed_rows(deal(splitmix(g[rest]), parts), SEGMENT, f[rest], c[rest], doc[rest], place[rest], n[rest])  # picked grams have small hashes: mixed again
                 if full.any():
                     count = n[full]
                     step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-                    p = np.repeat(first[full], count) + step
-                    with np.errstate(over="ignore"):
-                        one = (sums[p + length] - sums[p]) * _power(_INVERSE, len(piece) + 1)[p]
-                    wdoc, wplace = np.repeat(doc[full], count), np.repeat(place[full], count) + step
-                    x, y = splitmix(one), splitmix(np.repeat(f[full], count) ^ one)
-                    order, lead, head = first_of_equal(x, y, wdoc, wplace)
-                    x, y, wdoc, wplace = (v[order] for v in (x, y, wdoc, wplace))
-                    later = ~lead & ((wdoc != wdoc[head]) | (wplace != wplace[head]))
-                    ones = np.ones(len(x), np.int64)
-                    sdoc, splace, sn = strung(wdoc[later], wplace[later])
-                    z = np.zeros(len(sdoc), np.uint64)
-                    out += packed_rows(deal(splitmix(sdoc.astype(np.uint64)), parts), SPAN, z, z, sdoc, splace, sn)
-                    out += packed_rows(deal(x[lead], parts), WINDOW, x[lead], y[lead], wdoc[lead], wplace[lead], ones[lead])
+                    out += apart(*strings(piece, np.repeat(first[full], count) + step, length), np.repeat(doc[full], count), np.repeat(place[full], count) + step, parts)
                 yield packed_batch(out)
 
     return run
 
 
+def apart(x: np.ndarray, y: np.ndarray, doc: np.ndarray, place: np.ndarray, parts: int) -> list[tuple]:
+    """Packed rows of single strings: those that repeat here as spans, the first of each kind as a sorted run for each bucket."""
+    order, lead, head = first_of_equal(x, y, doc, place)
+    x, y, doc, place = (v[order] for v in (x, y, doc, place))
+    later = ~lead & ((doc != doc[head]) | (place != place[head]))
+    sdoc, splace, sn = strung(doc[later], place[later])
+    z = np.zeros(len(sdoc), np.uint64)
+    out = list(packed_rows(deal(splitmix(sdoc.astype(np.uint64)), parts), SPAN, z, z, sdoc, splace, sn))
+    return out + list(packed_rows(deal(x[lead], parts), WINDOW, x[lead], y[lead], doc[lead], place[lead], np.ones(int(lead.sum()), np.int64)))
+
+
 def merged_runs(runs: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray]:
     """Runs (x, y, doc, place), each sorted by (x, y): the (doc, place) of every string that another run, or its own, has earlier.
 
@@ -310,6 +322,7 @@ def settle(length: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
             later = ~lead & ((doc != doc[head]) | (place != place[head]))
             out.append(found(SPAN, doc[later], place[later], n[later]))
             f, doc, place, n = (v[lead] for v in (f, doc, place, n))
+            f = f >> np.uint64(32)  # the gram
             new = np.ones(len(f), bool)
             new[1:] = f[1:] != f[:-1]
             group = np.cumsum(new) - 1
@@ -320,15 +333,18 @@ def settle(length: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
                 lead = np.ones(len(group), bool)
                 lead[1:] = group[1:] != group[:-1]
                 first = np.maximum.accumulate(np.where(lead, np.arange(len(group)), 0))
-                shard = (filled[first] - n[first] - length + 1) // SHARD_BYTES  # by where its gram begins
-                out.append(found(SEGMENT, doc, place, n, (int(pdf.bucket.iloc[0]) << 32) + shard))
+                begin = filled[first] - n[first] - length + 1
+                shard = begin // SHARD_BYTES  # by where its gram begins
+                # A gram that fills shards alone is compared string by string.
+                wide = np.maximum.reduceat(filled, np.flatnonzero(lead))[np.cumsum(lead) - 1] - begin > SHARD_BYTES
+                out.append(found(SEGMENT, doc, place, n, np.where(wide, -1, (int(pdf.bucket.iloc[0]) << 32) + shard)))
         return pd.concat(out, ignore_index=True)
 
     return run
 
 
-def cut_out(length: int) -> Callable:
-    """(text, places, ns, shards, doc_id) rows to one row a segment with its bytes."""
+def cut_out(length: int, parts: int) -> Callable:
+    """(doc_id, text, list of (place, n, shard)) to one row a segment with its bytes, for shards; of segments without a shard, packed strings for buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -338,14 +354,29 @@ def cut_out(length: int) -> Callable:
             place, n, shard = (flat.field(i).to_numpy() for i in range(3))
             row = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
             begin = off[row] + place
-            parts = [buf[a : a + k + length - 1].tobytes() for a, k in zip(begin, n, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(ids[row]), pa.array(place), pa.array(parts, pa.binary())], names=["shard", "doc_id", "place", "bytes"])
+            few = np.flatnonzero(shard >= 0)
+            held = [buf[a : a + k + length - 1].tobytes() for a, k in zip(begin[few], n[few], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(shard[few]), pa.array(ids[row[few]]), pa.array(place[few]), pa.array(held, pa.binary()), *[pa.nulls(len(few), pa.binary())] * 4], names=CUT)
+            for i in range(0, len(many := np.flatnonzero(shard < 0)), 4096):
+                of = many[i : i + 4096]
+                size = n[of] + length - 1
+                piece = np.concatenate([buf[a : a + k] for a, k in zip(begin[of], size, strict=True)])
+                step = np.arange(int(n[of].sum())) - np.repeat(np.cumsum(n[of]) - n[of], n[of])
+                rows = apart(*strings(piece, np.repeat(np.cumsum(size) - size, n[of]) + step, length), np.repeat(ids[row[of]], n[of]), np.repeat(place[of], n[of]) + step, parts)
+                cols = [[-1 - r[0] for r in rows], [r[1] for r in rows], [0] * len(rows), *([r[k] for r in rows] for k in (2, 3, 4, 5, 6))]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), *(pa.array(c, pa.binary()) for c in cols[3:])], names=CUT)
 
     return run
 
 
 def sorted_shard(length: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf.shard.iloc[0] < 0:
+            spans = pdf[pdf.doc_id == SPAN]
+            runs = [(unplanes(r.bytes, "<u8"), unplanes(r.y, "<u8"), unplanes(r.doc, "<i8"), unplanes(r.at, "<i8")) for r in pdf[pdf.doc_id == WINDOW].itertuples()]
+            late = strung(*merged_runs(runs)) if runs else (np.zeros(0, np.int64),) * 3
+            both = [np.concatenate([column(spans, k, t).astype(np.int64), v]) for k, t, v in zip(("doc", "at", "n"), ("<i8", "<i8", "<i4"), late, strict=True)]
+            return pd.DataFrame(dict(zip(("doc_id", "place", "n"), both, strict=True)))
         order = pdf[["doc_id", "place"]].to_numpy(np.int64)
         docs, begins, sizes = [], [], []
         for (doc, place), starts in zip(order, repeats(list(pdf["bytes"]), order, length), strict=True):
@@ -390,8 +421,8 @@ def removal(length: int) -> Callable:
     return run
 
 
-def hot_grams(docs: DataFrame, length: int, gram: int) -> np.ndarray:
-    """Grams that very many places share, from a sample of the documents."""
+def hot_grams(docs: DataFrame, length: int, gram: int, parts: int) -> np.ndarray:
+    """Grams with more places than a quarter of a bucket's share, at most 4 * ``parts`` of them, from a sample of the documents: it decides only where rows go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -405,33 +436,37 @@ def hot_grams(docs: DataFrame, length: int, gram: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(np.append(f[n > 1].view(np.int64), 0)), pa.array(np.append(n[n > 1], n.sum())), pa.array(np.append(np.zeros((n > 1).sum(), np.int32), np.int32(1)))], names=["f", "n", "all"])
 
     counts = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).mapInArrow(run, "f long, n long, all int").groupBy("f", "all").agg(F.sum("n").alias("n"))
-    counts = counts.where((F.col("n") >= HOT_PLACES) | (F.col("all") == 1)).orderBy(F.desc("all"), F.desc("n")).limit(HOT_SHARE).collect()
+    counts = counts.where((F.col("n") >= LEAST) | (F.col("all") == 1)).orderBy(F.desc("all"), F.desc("n")).limit(4 * parts + 1).collect()
     total = sum(r.n for r in counts if r["all"])
-    return np.array(sorted(r.f for r in counts if not r["all"] and r.n * HOT_SHARE >= total), np.int64).view(np.uint64)
+    return np.array(sorted(r.f for r in counts if not r["all"] and r.n * 4 * parts >= total), np.int64).view(np.uint64)
 
 
 def removed_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, edges.
 
     ``edges`` lists the beginning and end of each removed run in turn.  Texts
-    are taken as UTF-8 bytes; a null text counts as empty; a text shorter than
-    ``length`` keeps all its bytes.  Rows without a doc_id are left out; rows
-    that share one count as the same place, so neither is earlier, and must
-    share a text.  Other columns are not looked at.
+    are taken as UTF-8 bytes, whole; a null text counts as empty; a text shorter
+    than ``length`` keeps all its bytes.  Rows that share a doc_id count as the
+    same place, so neither is earlier, and must share a text, or spans of one
+    are cut from the other too.  Rows without a doc_id have no place in the
+    order: they keep their bytes and make no other's repeated.
+    Other columns are not looked at.  An empty table gives no rows.
     """
     spark = docs.sparkSession
-    small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    nulls, docs = docs.where("doc_id is null"), docs.where("doc_id is not null")
     parts = buckets(spark, times=3)
-    crowded = spark.sparkContext.broadcast(hot_grams(docs, length, gram))
+    crowded = spark.sparkContext.broadcast(hot_grams(docs, length, gram, parts))
     packed = docs.mapInArrow(split(parts, length, gram, lambda: crowded.value), PACKED)
     done = settle(length)
     # Read twice below; Spark reuses the exchange, so only the settling is done again.
     settled = packed.groupBy("bucket").applyInPandas(lambda pdf: done(pdf), FOUND)
     open_ = settled.where(F.col("kind") == SEGMENT).groupBy("doc_id").agg(F.collect_list(F.struct("place", "n", "shard")).alias("open"))
-    bytes_ = docs.join(open_, "doc_id").select("doc_id", "text", "open").mapInArrow(cut_out(length), "shard long, doc_id long, place long, bytes binary")
+    cut = docs.join(open_, "doc_id").select("doc_id", "text", "open").mapInArrow(cut_out(length, parts), "shard long, doc_id long, place long, bytes binary, y binary, doc binary, at binary, n binary")
     compared = sorted_shard(length)
-    more = bytes_.groupBy("shard").applyInPandas(lambda pdf: compared(pdf), "doc_id long, place long, n long")
+    more = cut.groupBy("shard").applyInPandas(lambda pdf: compared(pdf), "doc_id long, place long, n long")
     spans = settled.where(F.col("kind") == SPAN).select("doc_id", "place", "n").union(more)
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("place", "n")).alias("spans"))
-    return docs.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(removal(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, edges array<long>")
+    whole = docs.join(spans, "doc_id", "left").select("doc_id", "text", "spans")
+    whole = whole.union(nulls.select("doc_id", "text", F.lit(None).cast("array<struct<place:bigint,n:bigint>>")))
+    return whole.mapInArrow(removal(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, edges array<long>")

@@ -7,15 +7,17 @@ white space, so memory follows the piece, not the text.
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 PIECE = 1 << 21
-_M = np.uint64(0xFFFFFFFFFFFFFFFF)
-_BASE = 0x9E3779B97F4A7C13  # odd, 3 mod 8
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Runs of more bytes are hashed one by one with BLAKE2.
+LONG = 2048
+_ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+_TAIL = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
 def splitmix(x: np.ndarray | np.uint64) -> np.ndarray:
@@ -28,31 +30,10 @@ def splitmix(x: np.ndarray | np.uint64) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-BYTE_HASH = splitmix(np.arange(1, 257, dtype=np.uint64))
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept for the worker's life up to PIECE."""
-    key = str(base)
-    if key not in _powers or len(_powers[key]) < n:
-        size = max(n, 1)
-        out = np.empty(size, np.uint64)
-        out[0] = 1
-        done = 1
-        with np.errstate(over="ignore"):
-            while done < size:
-                take = min(done, size - done)
-                out[done : done + take] = out[:take] * np.uint64(pow(base, done, 1 << 64))
-                done += take
-        if size > 2 * PIECE:
-            return out
-        _powers[key] = out
-    return _powers[key][:n]
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -77,15 +58,45 @@ def slices(offsets: np.ndarray, size: int = PIECE) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
-def words(buf: np.ndarray, breaks: np.ndarray | None = None, lower: bool = True, space: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, end) of every run of bytes that are no white space (``space``; ASCII's by default).
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every offset on as a little-endian number, zeros behind the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+    """A 64-bit hash of each run of bytes; ``lane`` 1 is independent of lane 0.
+
+    Eight bytes at a time go through a full mixing step, so a collision is as
+    likely as chance has it, also for texts with structure.
+    """
+    odd, eight = _ODD[lane], eights(data)
+    size = ends - starts
+    with np.errstate(over="ignore"):
+        take = lambda at, left: (eight[at] & _TAIL[np.minimum(left, 8)]) * odd if lane else eight[at] & _TAIL[np.minimum(left, 8)]
+        out = splitmix(take(starts, size))
+        todo = np.flatnonzero((size > 8) & (size <= LONG))
+        step = 8
+        while len(todo):
+            out[todo] = splitmix(out[todo] ^ take(starts[todo] + step, size[todo] - step))
+            step += 8
+            todo = todo[size[todo] > step]
+        for i in np.flatnonzero(size > LONG):
+            out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, person=bytes([lane])).digest(), "little")
+        return splitmix(out + size.astype(np.uint64) * odd)
+
+
+def words(
+    buf: np.ndarray, breaks: np.ndarray | None = None, lower: bool = True, space: np.ndarray = IS_SPACE, lanes: int = 1
+) -> tuple[np.ndarray, ...]:
+    """(hash, start, end) of every run of bytes that are no white space (``space``; ASCII's by default); with two ``lanes`` a second hash at the end.
 
     ``breaks``: byte positions at which a word ends besides (document starts).
     ASCII capitals count as small letters when ``lower``.
     """
-    hashes, starts, ends = [], [], []
+    out: list[tuple[np.ndarray, ...]] = []
     at, n = 0, len(buf)
-    table = BYTE_HASH[LOWER] if lower else BYTE_HASH
     while at < n:
         stop = min(n, at + PIECE)
         if stop < n:  # back to a place where no word goes on
@@ -106,17 +117,13 @@ def words(buf: np.ndarray, breaks: np.ndarray | None = None, lower: bool = True,
             first[cut] |= inside[cut]
             last[cut - 1] |= inside[cut - 1]
         s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
-        with np.errstate(over="ignore"):
-            sums = np.zeros(len(piece) + 1, np.uint64)
-            np.cumsum(table[piece] * _power(_BASE, len(piece)), out=sums[1:])
-            h = splitmix((sums[e] - sums[s]) * _power(_INVERSE, len(piece))[s] + (e - s).astype(np.uint64))
-        hashes.append(h)
-        starts.append(s + at)
-        ends.append(e + at)
+        if lower:
+            piece = LOWER[piece]
+        out.append((hashed(piece, s, e), s + at, e + at, *(hashed(piece, s, e, lane) for lane in range(1, lanes))))
         at = stop
-    if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(hashes), np.concatenate(starts), np.concatenate(ends)
+    if not out:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), *(np.zeros(0, np.uint64) for _ in range(1, lanes))
+    return out[0] if len(out) == 1 else tuple(map(np.concatenate, zip(*out, strict=True)))
 
 
 def runs(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -127,34 +134,41 @@ def runs(hashes: np.ndarray, k: int) -> np.ndarray:
     out = hashes[:n].copy()
     with np.errstate(over="ignore"):
         for i in range(1, k):
-            out = splitmix(out * np.uint64(_BASE) + hashes[i : i + n])
+            out = splitmix(out * _ODD[0] + hashes[i : i + n])
     return out
 
 
-def doc_shingles(buf: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct k-word shingles of each text: (hashes, offsets into them).
+def doc_shingles(buf: np.ndarray, offsets: np.ndarray, k: int, lanes: int = 1) -> tuple[np.ndarray, ...]:
+    """Sorted distinct k-word shingles of each text: (hashes, offsets into them); with two ``lanes`` second hashes at the end.
 
     A text of fewer than k words has its whole sequence as one shingle; one
     without words has none.
     """
     base = int(offsets[0])
-    h, s, _ = words(buf[base : int(offsets[-1])], offsets[1:-1] - base)
+    h, s, _, *more = words(buf[base : int(offsets[-1])], offsets[1:-1] - base, lanes=lanes)
     first = np.searchsorted(s, offsets - base)
     count = np.diff(first)
     doc = np.repeat(np.arange(len(count)), count)
-    grams = runs(h, k)
-    keep = doc[: len(grams)] == doc[k - 1 :] if len(grams) else np.zeros(0, bool)
-    grams, owner = grams[keep], doc[: len(keep)][keep]
+    keep = doc[: max(len(h) - k + 1, 0)] == doc[k - 1 :] if len(h) >= k else np.zeros(0, bool)
+    owner = doc[: len(keep)][keep]
     short = np.flatnonzero((count > 0) & (count < k))
-    if len(short):
-        extra = np.array([runs(h[first[d] : first[d + 1]], int(count[d]))[0] for d in short], np.uint64)
-        grams, owner = np.concatenate([grams, extra]), np.concatenate([owner, short])
-    order = np.lexsort((grams, owner))
-    grams, owner = grams[order], owner[order]
-    new = np.ones(len(grams), bool)
-    new[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])
-    grams, owner = grams[new], owner[new]
-    return grams, np.searchsorted(owner, np.arange(len(count) + 1))
+    grams = []
+    for x in (h, *more):
+        g = runs(x, k)[keep]
+        grams.append(np.concatenate([g, np.array([runs(x[first[d] : first[d + 1]], int(count[d]))[0] for d in short], np.uint64)]) if len(short) else g)
+    owner = np.concatenate([owner, short])
+    order = np.lexsort((grams[0], owner))
+    grams, owner = [g[order] for g in grams], owner[order]
+    new = np.ones(len(owner), bool)
+    new[1:] = (grams[0][1:] != grams[0][:-1]) | (owner[1:] != owner[:-1])
+    grams, owner = [g[new] for g in grams], owner[new]
+    return grams[0], np.searchsorted(owner, np.arange(len(count) + 1)), *grams[1:]
+
+
+def word_shingles(text: bytes, k: int) -> set[tuple[bytes, ...]]:
+    """The same shingles as words themselves, for checks on real content."""
+    w = text.lower().split()
+    return set(zip(*(w[i:] for i in range(k)), strict=False)) if len(w) >= k else {tuple(w)} if w else set()
 
 
 def release() -> None:
@@ -163,5 +177,3 @@ def release() -> None:
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)
-
-

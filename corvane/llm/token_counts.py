@@ -21,7 +21,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import small_batches
 from .textcore import slices, utf8, words
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -141,6 +140,5 @@ def token_counts(docs: DataFrame, vocabulary: list[bytes], lead: bytes = b" ", l
     sequence of tokens found greedily makes up counts as one token and as
     unknown.  A null or empty text has none.  Repeated rows get a row each.
     """
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Automaton.build(vocabulary))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(counter(lambda: shared.value, lead, lower), "doc_id long, n_words long, n_tokens long, n_unknown long")

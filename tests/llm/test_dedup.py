@@ -32,8 +32,10 @@ def test_exact_groups(make, texts):
 
 
 def test_exact_repeated_rows_and_null_ids(make):
-    got = sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup(make([(1, "x"), (1, "x"), (2, "x"), (None, "x"), (3, "y")]), keep="largest").collect())
-    assert got == [(1, 2, 3, False), (1, 2, 3, False), (2, 2, 3, True), (3, 3, 1, True)]
+    got = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup(make([(1, "x"), (1, "x"), (2, "x"), (None, "x"), (3, "y"), (None, None)]), keep="largest").collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] is None))
+    assert got == [(1, 2, 4, False), (1, 2, 4, False), (2, 2, 4, True), (3, 3, 1, True), (None, 2, 4, False), (None, None, 1, True)]
+    got = {(r.doc_id, r.keep_id, r.kept) for r in exact_dedup(make([(None, "x"), (4, "x"), (5, "x")])).collect()}
+    assert got == {(None, 4, False), (4, 4, True), (5, 4, False)}
 
 
 def test_exact_empty_table(make):
@@ -199,7 +201,7 @@ def test_repeated_bytes(make, texts, hot, monkeypatch):
     import corvane.llm.suffix_dedup as module
 
     if hot:
-        monkeypatch.setattr(module, "HOT_PLACES", 2)
+        monkeypatch.setattr(module, "LEAST", 2)
         monkeypatch.setattr(module, "SAMPLE", 1)
     rows = short_rows(texts)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in removed_repeats(make(rows)).collect()}
@@ -270,15 +272,47 @@ def test_sentence_spans_count_characters_without_spaces(make):
 def test_repeated_rows_and_null_ids_everywhere(make):
     text = " ".join(f"w{i}" for i in range(60)) + ". Second sentence of some words here. Third one with a few words more."
     rows = [(5, text), (5, text), (7, text), (None, text), (9, text.replace("w7 ", "z7 "))]
-    near = sorted((r.doc_id, r.component_id, r.kept) for r in near_duplicates(make(rows), shingle=2).collect())
-    assert near == [(5, 5, True), (5, 5, True), (7, 5, False), (9, 5, False)]
-    bytes_ = sorted((r.doc_id, r.n_removed == r.n_bytes) for r in removed_repeats(make(rows)).collect())
-    assert [x[0] for x in bytes_] == [5, 5, 7, 9] and bytes_[2][1] and not bytes_[0][1] and not bytes_[1][1]
-    spans = sorted((r.doc_id, r.n_removed > 0) for r in removed_sentences(make(rows)).collect())
-    assert spans == [(5, False), (5, False), (7, True), (9, False)]  # 9 shares two sentences of 14 words only
+    near = sorted((r.doc_id or 0, r.component_id, r.kept) for r in near_duplicates(make(rows), shingle=2).collect())
+    assert near == [(0, None, True), (5, 5, True), (5, 5, True), (7, 5, False), (9, 5, False)]
+    bytes_ = sorted((r.doc_id or 0, r.n_removed == r.n_bytes) for r in removed_repeats(make(rows)).collect())
+    assert [x[0] for x in bytes_] == [0, 5, 5, 7, 9] and [x[1] for x in bytes_] == [False, False, False, True, False]
+    spans = sorted((r.doc_id or 0, r.n_removed > 0) for r in removed_sentences(make(rows)).collect())
+    assert spans == [(0, False), (5, False), (5, False), (7, True), (9, True)]
 
 
 def test_near_ties_and_many_equal_sets(make):
     rows = [(i, "a b c d e f") for i in range(40, 0, -1)] + [(100, "A  B c d E f"), (101, "x y z u v w")]
     got = {r.doc_id: r.component_id for r in near_duplicates(make(rows), shingle=5).collect()}
     assert got == {**{i: 1 for i in range(1, 41)}, 100: 1, 101: 101}
+
+
+def thue_morse(n, letters="ab"):
+    return "".join(letters[bin(i).count("1") & 1] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_near_tells_structured_words_apart(make, n):
+    one, two = thue_morse(n), thue_morse(n, "ba")
+    rows = [(1, f"{one} x"), (2, f"{two} x"), (3, f"{two} x"), (4, one), (5, two)]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(make(rows), shingle=2).collect()}
+    assert got == jaccard_components(rows, 2)
+    rows = [(1, one), (2, two), (3, one)]
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in removed_repeats(make(rows)).collect()} == brute_bytes(rows)
+
+
+def test_components_contract_long_tables_of_links(spark):
+    rng = random.Random(2)
+    links = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 60)] + [(rng.randrange(2000, 2400), rng.randrange(2000, 2400)) for _ in range(150)]
+    df = spark.createDataFrame(links, "a long, b long")
+    one, two = ({r.node: r.component for r in components(df, unite).collect()} for unite in (10**6, 40))
+    assert one == two and one[300] == 0 and one[1059] == 1000
+
+
+def test_wide_grams_are_compared_string_by_string(make, monkeypatch):
+    import corvane.llm.suffix_dedup as module
+
+    monkeypatch.setattr(module, "SHARD_BYTES", 600)
+    line = "One line of some sixty characters that many documents share so"
+    rows = [(i, f"{i * 7919 % 977} own words {i} {line} {i * 104729 % 991} and {'again' if i % 3 else 'more'} what follows is shared by some of them only, not by all of them, as it is longer than the hundred bytes that a string has here") for i in range(40)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in removed_repeats(make(rows)).collect()}
+    assert got == brute_bytes(rows) and sum(v[1] for v in got.values()) > 1000
