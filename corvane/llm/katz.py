@@ -49,6 +49,8 @@ POINT = float(1 << 32)
 END = splitmix(np.uint64(0xE4D))
 START = splitmix(np.uint64(0x57A))
 LOG10 = np.log(10.0)
+#: Stands for a missing doc_id where ids travel as numbers.
+NAMELESS = -(1 << 63)
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -167,6 +169,7 @@ class Hot:
         salt = np.arange(len(owner)) - np.repeat(np.cumsum(self.spread) - self.spread, self.spread)
         places = np.unique(np.column_stack([self.place(self.words[owner], salt), owner]), axis=0) if len(owner) else np.zeros((0, 2), np.int64)
         self.bucket, self.owner = places[:, 0], places[:, 1]
+        self.places = [self.bucket[self.owner == i] for i in range(len(self.words))]
         self.home = self.place(self.words, np.zeros(len(self.words), np.int64))
 
     def place(self, word: np.ndarray, salt: np.ndarray) -> np.ndarray:
@@ -179,8 +182,18 @@ class Hot:
         at = np.minimum(np.searchsorted(self.words, word), len(self.words) - 1)
         return at, self.words[at] == word
 
+    def everywhere(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index, bucket): every bucket of each word, one for most."""
+        at, hot = self.find(word)
+        index, bucket = [np.flatnonzero(~hot)], [deal(word[~hot], self.parts)]
+        for i in np.unique(at[hot]):
+            mine = np.flatnonzero(hot & (at == i))
+            index.append(np.repeat(mine, len(self.places[i])))
+            bucket.append(np.tile(self.places[i], len(mine)))
+        return np.concatenate(index), np.concatenate(bucket)
+
     def deal(self, word: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """The bucket of each bigram."""
+        """The bucket of each bigram, or of another pair of a word and what it is spread by."""
         out = deal(word, self.parts)
         at, hot = self.find(word)
         if hot.any():
@@ -189,13 +202,13 @@ class Hot:
 
 
 def hot_words(rows: DataFrame, parts: int) -> Hot:
-    """Words with more tokens than half a bucket's share, from a sample of the documents: it decides only where rows go."""
+    """Words with more tokens than half a bucket's share, the beginning of texts among them, from a sample of the documents: it decides only where rows go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = utf8(batch.column(1))
             for i, j in slices(off):
-                keys, n = np.unique(tokens_of(buf, off[i : j + 1])[0], return_counts=True)
+                keys, n = np.unique(np.append(tokens_of(buf, off[i : j + 1])[0], np.full(j - i, START)), return_counts=True)
                 often = n * 8 * parts > n.sum()  # a piece's own shares vary, so it keeps some that are less hot
                 yield pa.RecordBatch.from_arrays([pa.array(np.append(keys[often].view(np.int64), 0)), pa.array(np.append(n[often], n.sum())), pa.array(np.append(np.zeros(int(often.sum()), np.int32), np.int32(1)))], names=["w", "n", "all"])
 
@@ -282,14 +295,19 @@ def crowd_counts(rows: list, first: int) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.bincount(inverse, c, minlength=len(keys)).astype(np.int64)
 
 
-def stored_hot(tables: DataFrame, parts: int) -> Hot:
-    """The hot words that stored tables were dealt by: a few for each bucket, in every row."""
+def stored_hot(tables: DataFrame, parts: int | None) -> Hot:
+    """The buckets and hot words that stored tables were dealt by: they stand in every row."""
     row = tables.select("data").first()
-    return Hot(unplanes(row.data[6], "<u8"), unplanes(row.data[7], "<i8"), parts) if row else Hot(np.zeros(0, np.uint64), np.zeros(0, np.int64), parts)
+    if row is None:
+        return Hot(np.zeros(0, np.uint64), np.zeros(0, np.int64), parts or 8)
+    own = int.from_bytes(row.data[8], "little")
+    if parts not in (None, own):
+        raise ValueError(f"the stored tables have {own} buckets, not {parts}")
+    return Hot(unplanes(row.data[6], "<u8"), unplanes(row.data[7], "<i8"), own)
 
 
 def stored_table(pdf: pd.DataFrame, hot: Hot) -> pd.DataFrame:
-    """A bucket's part of the model as one row: its words, how many bigrams each ends, their histories and counts, and the hot words."""
+    """A bucket's part of the model as one row: its words, how many bigrams each ends, their histories and counts, and the hot words and number of buckets."""
     rows = list(pdf[pdf.kind == BIGRAMS].itertuples())
     if not rows:
         return _frame([])
@@ -303,7 +321,7 @@ def stored_table(pdf: pd.DataFrame, hot: Hot) -> pd.DataFrame:
     w, h, c = w[c > 0], h[c > 0], c[c > 0]
     words_, pairs = np.unique(w, return_counts=True)
     crowd, counts = crowd_counts(rows, 7)
-    return _frame([(TABLE, int(pdf.key.iloc[0]), 0, [planes(words_), planes(pairs.astype(np.uint32)), planes(h), planes(c), planes(crowd), planes(counts.astype(np.uint32)), planes(hot.words), planes(hot.spread)])])
+    return _frame([(TABLE, int(pdf.key.iloc[0]), 0, [planes(words_), planes(pairs.astype(np.uint32)), planes(h), planes(c), planes(crowd), planes(counts.astype(np.uint32)), planes(hot.words), planes(hot.spread), hot.parts.to_bytes(8, "little")])])
 
 
 def bucket_tables(parts: int, hot: Hot, learns: bool = True) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -377,18 +395,24 @@ def bucket_tables(parts: int, hot: Hot, learns: bool = True) -> Callable[[pd.Dat
             need_block.append(np.full(int(miss.sum()), r.source))
             need_doc.append(doc[miss])
             need_times.append(times[miss].astype(np.uint32))
-        # For the histories: what this bucket's words take of each.
+        # For the histories: what this bucket's words take of each, to every bucket of a hot one, whose requests are spread by document.
         sh, sk, sc = pair_h[seen], kinds[seen], of_word[seen]
         nh, nb, nd, nt = map(np.concatenate, (need_h, need_block, need_doc, need_times))
-        order, norder = np.lexsort((sc, sk, sh)), np.argsort(nh, kind="stable")
+        order = np.lexsort((sc, sk, sh))
         sh, sk, sc = sh[order], sk[order].astype(np.uint8), sc[order].astype(np.uint32)
         # Alike bigrams of a history travel as one with their number: a hot history has few kinds.
         new = np.ones(len(sh), bool)
         new[1:] = (sh[1:] != sh[:-1]) | (sk[1:] != sk[:-1]) | (sc[1:] != sc[:-1])
         alike = np.diff(np.append(np.flatnonzero(new), len(sh))).astype(np.uint32)
         sh, sk, sc = sh[new], sk[new], sc[new]
-        nh, nb, nd, nt = nh[norder], nb[norder], nd[norder], nt[norder]
-        cut, ncut = (np.searchsorted(deal(v, parts), np.arange(parts + 1)) for v in (sh, nh))
+        index, where = hot.everywhere(sh)
+        order = np.lexsort((index, where))  # histories stay in order
+        index, where = index[order], where[order]
+        sh, sk, sc, alike = sh[index], sk[index], sc[index], alike[index]
+        target = hot.deal(nh, splitmix(nb.astype(np.uint64)) ^ nd.astype(np.uint64))
+        order = np.lexsort((nh, target))
+        nh, nb, nd, nt, target = nh[order], nb[order], nd[order], nt[order], target[order]
+        cut, ncut = np.searchsorted(where, np.arange(parts + 1)), np.searchsorted(target, np.arange(parts + 1))
         blocks, nb = np.unique(nb, return_inverse=True)
         for b in range(parts):
             s, t = slice(cut[b], cut[b + 1]), slice(ncut[b], ncut[b + 1])
@@ -470,13 +494,13 @@ def finished(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _rows(docs: DataFrame, learn: Column) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn")).where("doc_id is not null")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NAMELESS).cast("long")).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
 
 
 def katz_tables(docs: DataFrame, learn: Column, parts: int) -> DataFrame:
     """The model's tables, a row a bucket of words (key, data), to write and score with later.
 
-    Words are dealt into ``parts`` buckets by hash; scoring needs the same number.
+    Words are dealt into ``parts`` buckets by hash; the tables know how many.
     """
     rows = _rows(docs, learn).where("learn")
     hot = hot_words(rows, parts)
@@ -491,13 +515,16 @@ def katz_scores(docs: DataFrame, learn: Column, parts: int | None = None, tables
     stand between ASCII white space, ASCII capitals as small letters; each text
     closes with an end token, so a null or empty text has that one.  base_score
     is the add-one-half unigram score, score the Katz model's, both in log10.
-    With stored ``tables`` these are the model, and ``learn`` only names rows.
-    Rows without a doc_id are left out; repeated rows get, and teach, a row
+    With stored ``tables`` these are the model, and ``learn`` only names rows;
+    their number of buckets holds.  Texts are read whole, however long.  Rows
+    without a doc_id are scored like others; whether they teach is for
+    ``learn`` to say, and null means no.  Repeated rows get, and teach, a row
     each.  Without training text all tokens are unknown words of probability 1.
+    Other columns are not looked at, but by ``learn``; an empty table gives no rows.
     """
-    parts = parts or buckets(docs.sparkSession, times=1.5)
     rows = _rows(docs, learn)
-    hot = hot_words(rows, parts) if tables is None else stored_hot(tables, parts)
+    hot = hot_words(rows, parts or buckets(docs.sparkSession, times=1.5)) if tables is None else stored_hot(tables, parts)
+    parts = hot.parts
     settle = bucket_tables(parts, hot, tables is None)
     sent = rows.mapInArrow(send_bigrams(parts, hot), ROW)
     if tables is not None:
@@ -505,4 +532,5 @@ def katz_scores(docs: DataFrame, learn: Column, parts: int | None = None, tables
     # The key of a head row is its block: any bucket passes it on.
     answered = sent.groupBy(F.when(F.col("kind") == HEAD, -1 - F.col("key")).otherwise(F.col("key")).alias("k")).applyInPandas(lambda pdf: settle(pdf), ROW)
     collected = answered.groupBy((F.col("kind") == HISTORY).alias("of_history"), "key").applyInPandas(lambda pdf: gathered(pdf), ROW)
-    return collected.groupBy("key").applyInPandas(lambda pdf: finished(pdf), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = collected.groupBy("key").applyInPandas(lambda pdf: finished(pdf), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NAMELESS).cast("long")))

@@ -68,7 +68,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sentence_dedup import removed_sentences
 
-    return removed_sentences(_table(spark, sf_dir, "documents"), grow=True).drop("edges")
+    return removed_sentences(_table(spark, sf_dir, "documents")).drop("edges")
 
 
 def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,6 +101,18 @@ SQL = {
         SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
         FROM (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id) LEFT JOIN n USING (doc_id)
     """,
+    "op10_sentence_dedup": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract(coalesce(text, ''), '^[\x20\x09-\x0D]*') AS lead FROM documents),
+        p AS (SELECT doc_id, lead, list_filter(string_split(regexp_replace(substr(text, len(lead) + 1), '([.!?][\x20\x09-\x0D]+|[\x20\x09\x0B-\x0D]*\n[\x20\x09-\x0D]*|[。！？][\x20\x09-\x0D]*)', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS p FROM d),
+        s AS (SELECT doc_id, unnest(range(1, len(p) + 1)) AS i, unnest(p) AS piece FROM p),
+        k AS (SELECT *, trim(regexp_replace(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS words FROM s),
+        r AS (SELECT doc_id, i, piece, words || chr(1) || lead(words) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM k),
+        f AS (SELECT *, run IS NOT NULL AND row_number() OVER (PARTITION BY run ORDER BY doc_id, i) > 1 AS later FROM r),
+        c AS (SELECT *, later OR coalesce(lag(later) OVER (PARTITION BY doc_id ORDER BY i), FALSE) AS gone FROM f),
+        e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), FALSE) AS opens FROM c),
+        a AS (SELECT doc_id, sum(CASE WHEN gone THEN strlen(piece) ELSE 0 END)::BIGINT AS n_removed, count_if(opens)::BIGINT AS n_spans, coalesce(string_agg(CASE WHEN NOT gone THEN piece END, '' ORDER BY i), '') AS kept FROM e GROUP BY doc_id)
+        SELECT doc_id, strlen(d.text)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(lead || coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN a USING (doc_id)
+    """,
     "op2_mixing": r"""
         WITH d AS (SELECT doc_id, 'dom' || (coalesce(try_cast(regexp_extract(source, '([0-9]+)', 1) AS BIGINT), 0) % 4)::VARCHAR AS domain,
                  coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source,

@@ -47,8 +47,15 @@ MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\0|\x
 LAYER_BYTES = 64 << 20
 OVERLAP = 1 << 16
 PIECE = 1 << 20
-#: Compressed streams one right in another; further ones could hold themselves.
+#: Compressed streams one right in another; a text whose streams go deeper, or are of a kind that can't be opened here, is marked as not read to its end.
 DEPTH = 64
+#: Control characters, what was no UTF-8, and the like; the shortest secret has 14 characters.
+UNREADABLE = re.compile("[^\\t\\n\\r\\x20-\\x7e\\xa0-\\ud7ff\\uf900-\\ufffc\\U00010000-\\U000e007f]+")
+LEAST_READABLE = 12
+
+
+class Unread(Exception):
+    """A compressed stream that was not read to its end."""
 
 Span = tuple[str, int, int]
 
@@ -97,7 +104,10 @@ def opened(head: bytes):
     if head[:6] == b"\xfd7zXZ\0":
         return lzma.LZMADecompressor()
     if head[:4] == b"\x28\xb5\x2f\xfd":
-        import zstandard
+        try:
+            import zstandard
+        except ImportError:
+            raise Unread from None
 
         return zstandard.ZstdDecompressor().decompressobj()
     return None
@@ -158,31 +168,35 @@ def windows(pieces: Iterator[bytes]) -> Iterator[bytes]:
         yield b"".join(held)
 
 
-def texts_of(data: bytes) -> tuple[list[str], int]:
-    """(texts that bytes hold, compressed or not and one in another, how many bytes they take); a list of one text unless it is long."""
+def texts_of(data: bytes, unread: list[int]) -> tuple[list[str], int]:
+    """(texts of the compressed streams that bytes begin with, one in another, how many bytes they take); counts up ``unread`` where a stream stays closed."""
     feed = Feed(iter([data]))
-    if opened(data[:6]) is None:
-        text = printable(data)
-        return ([text] if text else []), len(data)
+    try:
+        if opened(data[:6]) is None:
+            return [], 0
+    except Unread:
+        unread[0] += 1
+        return [], 0
 
-    def innermost(feed: Feed, depth: int = 0) -> Iterator[bytes]:
+    def innermost(feed: Feed, depth: int = 1) -> Iterator[bytes]:
         inner = Feed(inflated(feed))
-        if depth < DEPTH and opened(inner.head(6)) is not None:
+        try:
+            more = opened(inner.head(6)) is not None
+        except Unread:
+            more, depth = True, DEPTH
+        if more and depth >= DEPTH:
+            unread[0] += 1
+        elif more:
             yield from innermost(inner, depth + 1)
-        while out := inner.take(PIECE):
+        while out := inner.take(PIECE):  # what follows the streams, or is none
             yield out
 
-    return [t for w in windows(innermost(feed)) if (t := printable(w))], feed.used
+    return [t for w in windows(innermost(feed)) for t in readable(w)], feed.used
 
 
-def printable(data: bytes) -> str | None:
-    """The text that bytes hold, if they are UTF-8 and nearly all of it can be read."""
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    bad = sum(not (c.isprintable() or c in "\t\r\n") for c in text)
-    return text if text and bad * 20 <= len(text) else None
+def readable(data: bytes) -> list[str]:
+    """The stretches of bytes that are UTF-8 and can be read, LEAST characters or more: a secret may stand among others."""
+    return [t for t in UNREADABLE.split(data.decode("utf-8", "replace")) if len(t) >= LEAST_READABLE]
 
 
 def unbase64(token: str) -> bytes | None:
@@ -269,7 +283,7 @@ class Layer:
         return Layer(text, start, end) if len(start) else None
 
 
-def unwrapped(layer: Layer) -> Iterator[Layer]:
+def unwrapped(layer: Layer, unread: list[int]) -> Iterator[Layer]:
     """The layers right below one."""
     text = layer.text
     if "%" in text and (out := layer.replaced(URL, _bytes_text)):
@@ -279,17 +293,26 @@ def unwrapped(layer: Layer) -> Iterator[Layer]:
     for a, b, token in tokens64(text):
         for skip in range(4):  # the token may begin with other characters
             data = unbase64(token[skip:])
-            for inner in texts_of(data)[0] if data else ():
+            for inner in readable(data) if data else ():
+                start, end = layer.origin(a, b)
+                yield Layer(inner, np.array([start]), np.array([end]))
+            for inner, _, _ in streams_of(data or b"", unread):
                 start, end = layer.origin(a, b)
                 yield Layer(inner, np.array([start]), np.array([end]))
     for data, begin, finish in byte_runs(text):
-        at = 0
-        while (m := MAGIC.search(data, at)) is not None:
-            inner, used = texts_of(data[m.start() :])
-            at = m.start() + (max(used, 1) if inner else 1)
-            for t in inner:
-                start, end = layer.origin(int(begin[m.start()]), int(finish[at - 1]))
-                yield Layer(t, np.array([start]), np.array([end]))
+        for inner, i, j in streams_of(data, unread):
+            start, end = layer.origin(int(begin[i]), int(finish[j - 1]))
+            yield Layer(inner, np.array([start]), np.array([end]))
+
+
+def streams_of(data: bytes, unread: list[int]) -> Iterator[tuple[str, int, int]]:
+    """(text, start, end) of the compressed streams anywhere in some bytes."""
+    at = 0
+    while (m := MAGIC.search(data, at)) is not None:
+        inner, used = texts_of(data[m.start() :], unread)
+        at = m.start() + (max(used, 1) if inner else 1)
+        for t in inner:
+            yield t, m.start(), at
 
 
 def tokens64(text: str) -> Iterator[tuple[int, int, str]]:
@@ -335,13 +358,13 @@ def byte_runs(text: str) -> Iterator[tuple[bytes, list[int], list[int]]]:
         yield bytes(data), begin, finish
 
 
-def all_spans(text: str) -> tuple[list[Span], list[Span], int]:
-    """(base spans, base and decoded spans, layers unwrapped); both lists in order of start, kind, end."""
+def all_spans(text: str) -> tuple[list[Span], list[Span], int, int]:
+    """(base spans, base and decoded spans, layers unwrapped, compressed streams not read to their end); both lists in order of start, kind, end."""
     base = scan(text)
     found = set(base)
-    seen, work, layers = set(), [Layer(text)], 0
+    seen, work, layers, unread = set(), [Layer(text)], 0, [0]
     while work:
-        for inner in unwrapped(work.pop()):
+        for inner in unwrapped(work.pop(), unread):
             key = inner.key()
             if key in seen:
                 continue
@@ -350,7 +373,7 @@ def all_spans(text: str) -> tuple[list[Span], list[Span], int]:
             found.update((kind, *inner.origin(a, b)) for kind, a, b in scan(inner.text))
             work.append(inner)
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])
-    return sorted(base, key=order), sorted(found, key=order), layers
+    return sorted(base, key=order), sorted(found, key=order), layers, unread[0]
 
 
 def joined(spans: list[Span]) -> str:
@@ -361,23 +384,27 @@ def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for text in batch.column(1):
-            base, spans, layers = all_spans(text.as_py() or "")
+            base, spans, layers, unread = all_spans(text.as_py() or "")
             n = [sum(s[0] == k for s in base) for k in KINDS]
-            rows.append((*n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans) - len(base), layers))
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
-        types = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()] * 2
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_decoded", "n_layers"])
+            rows.append((*n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans) - len(base), layers, unread))
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
+        types = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()] * 3
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_decoded", "n_layers", "n_unread"])
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_decoded, n_layers.
+    """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_decoded, n_layers, n_unread.
 
     A null or empty text has no span.  Spans are kind:start:end in code points,
     end exclusive, by start, then kind; base_sha256 is over those that stand in
     the text itself.  A secret found in a layer is reported at the place of
     the encoded characters it comes from, for base64 at that of the whole
-    token; the same kind and place count once.  Repeated rows get a row each.
+    token; the same kind and place count once.  n_unread counts compressed
+    streams that were not read to their end: those nested more than DEPTH deep,
+    or of a kind whose library is missing; 0 says that all was read.  Texts are
+    scanned whole, however long.  Repeated rows and rows without a doc_id get a
+    row each, an empty table gives none; other columns are not looked at.
     """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _scanned, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_decoded long, n_layers long"
+        _scanned, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_decoded long, n_layers long, n_unread long"
     )

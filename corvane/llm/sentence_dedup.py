@@ -1,22 +1,19 @@
 """Substring dedup over sliding sentence spans.
 
-Every run of several consecutive sentences is hashed (128 bits), runs meet by
-hash over the whole corpus, and sentences that some run covers which is not
-the first of its kind are removed.  Short runs count only if they have enough
-words, so that a repeated "Yes." alone removes nothing, while long sentences
-need fewer neighbours: ``RUNS`` pairs a number of sentences with the words it
-needs at least.  With ``grow``, where the longest of these falls short of its words,
-as in lists and verse, more sentences are taken on either side until it has them,
-so every repeated passage of so many sentences and words is covered.  Characters of scripts
-that put no spaces between words count as a word each.
+Every run of RUN consecutive sentences is hashed (128 bits), runs meet by hash
+over the whole corpus, and sentences that some run covers which is not the
+first of its kind are removed.  A longer run repeats exactly where each run of
+two in it does, at the same or an earlier place, so runs of two stand for all
+runs of two or more; a single repeated sentence is no run.
+
+A sentence ends with a word that ends in . ! or ?, after the marks of scripts
+that put no space behind them, or at a line's end.
 
 What repeats within a block of documents is settled there and travels once.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,75 +25,65 @@ from pyspark.sql import functions as F
 from .packed import FOUND, PACKED, SEGMENT, SPAN, column, deal, first_of_equal, found, packed_batch, packed_rows
 from .store import buckets
 from .suffix_dedup import removal
-from .textcore import slices, splitmix, utf8
-
-#: A sentence ends after . ! or ? with white space behind it, or at a line's end.
-SENTENCE = re.compile(rb"[^\n]*?(?:[.!?]+[\x20\x09\x0B-\x0D]+|\n+|\Z)")
-RUNS = ((3, 10), (2, 25), (1, 50))
-#: Thai to Lao, Myanmar, Khmer, kana, Han and their extensions.
-UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
-
-
-def sentences(text: bytes) -> list[tuple[int, int]]:
-    """(start, end) of each sentence in bytes, with the white space behind it; they cover the text."""
-    return [(m.start(), m.end()) for m in SENTENCE.finditer(text) if m.end() > m.start()]
-
-
-def size_of(words: list[bytes]) -> int:
-    """Words, or the characters of those in a script without spaces."""
-    return sum(1 if w.isascii() else max(1, len(UNSPACED.findall(w.decode("utf-8", "replace")))) for w in words)
-
-
-def runs_of(text: bytes, sizes: tuple[tuple[int, int], ...], grow: bool = False) -> Iterator[tuple[int, int, int, int]]:
-    """(hash, second hash, start, length) of every run that counts."""
-    rows = []
-    for a, b in sentences(text):
-        words = text[a:b].lower().split()
-        if words:
-            line = b" ".join(words)
-            d = hashlib.blake2b(line, digest_size=16).digest()
-            rows.append((a, b, len(words) if line.isascii() else size_of(words), int.from_bytes(d[:8], "little"), int.from_bytes(d[8:], "little")))
-    if not rows:
-        return
-    start, end, words, one, two = (np.array(v, np.uint64 if k > 2 else np.int64) for k, v in enumerate(zip(*rows, strict=True)))
-    total = np.concatenate([[0], np.cumsum(words)])
-    most, enough = max(sizes)
-    # A sentence has a word at least, so no grown run is longer than the words it needs.
-    for k, least, grown in [*((k, least, False) for k, least in sizes), *((k, enough, True) for k in range(most + 1, enough + 1) if grow)]:
-        m = len(start) - k + 1
-        if m <= 0:
-            continue
-        size = total[k : k + m] - total[:m]
-        ok = size >= least
-        if grown:
-            ok &= (size - words[k - 1 : k - 1 + m] < least) | (size - words[:m] < least)
-        at = np.flatnonzero(ok)
-        if not len(at):
-            continue
-        x = np.full(len(at), k, np.uint64)
-        y = x.copy()
-        with np.errstate(over="ignore"):
-            for i in range(k):
-                x = splitmix(x * np.uint64(3) + one[at + i])
-                y = splitmix(y * np.uint64(5) + two[at + i])
-        yield from zip(x, y, start[at], end[at + k - 1] - start[at], strict=True)
-
-
-def split(parts: int, sizes: tuple[tuple[int, int], ...], grow: bool) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+from .textcore import slices, splitmix, utf8, words
+
+RUN = 2
+BLOCK = 4 << 20
+IS_END = np.zeros(256, bool)
+IS_END[list(b".!?")] = True
+#: Marks after which a sentence ends without white space.
+MARKS = ("。", "！", "？")
+
+
+def after_marks(piece: np.ndarray) -> np.ndarray:
+    """The offsets right behind each of MARKS."""
+    out = [np.zeros(0, np.int64)]
+    for a, b, c in (m.encode() for m in MARKS):
+        out.append(np.flatnonzero((piece[:-2] == a) & (piece[1:-1] == b) & (piece[2:] == c)) + 3)
+    return np.sort(np.concatenate(out))
+
+
+def sentences(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, start in it, end, two hashes) of each sentence of some texts, with the white space behind it."""
+    base = int(off[0])
+    piece, bounds = buf[base : int(off[-1])], off - base
+    marks = after_marks(piece)
+    h, s, e, h2 = words(piece, np.union1d(bounds[1:-1], marks[marks < len(piece)]), lanes=2)
+    if not len(h):
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+    text = np.searchsorted(bounds, s, "right") - 1
+    lines = np.concatenate([[0], np.cumsum(piece == 10)])
+    closes = IS_END[piece[e - 1]] | np.isin(e, marks)
+    closes[:-1] |= (lines[s[1:]] > lines[e[:-1]]) | (text[1:] != text[:-1])
+    first = np.flatnonzero(np.concatenate([[True], closes[:-1]]))
+    size = np.diff(np.append(first, len(h)))
+    place = splitmix((np.arange(len(h)) - np.repeat(first, size)).astype(np.uint64))
+    with np.errstate(over="ignore"):  # a word is mixed with its place before it is added
+        one, two = (splitmix(np.add.reduceat(splitmix(x + place), first) + size.astype(np.uint64)) for x in (h, h2))
+    text = text[first]
+    start = s[first]
+    end = np.append(start[1:], 0)
+    last = np.append(text[1:] != text[:-1], True)
+    end[last] = bounds[text[last] + 1]
+    return text, start - bounds[text], end - bounds[text], one, two
+
+
+def split(parts: int, run: int) -> Callable:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = utf8(batch.column(1))
             ids = batch.column(0).to_numpy()
-            for i, j in slices(off, 4 << 20):
-                got, owner = [], []
-                for d in range(i, j):
-                    own = list(runs_of(buf[off[d] : off[d + 1]].tobytes(), sizes, grow))
-                    got += own
-                    owner += [d] * len(own)
-                if not got:
+            for i, j in slices(off, BLOCK):
+                text, start, end, one, two = sentences(buf, off[i : j + 1])
+                m = len(text) - run + 1
+                if m <= 0:
                     continue
-                x, y, place, n = (np.array(v, t) for v, t in zip(zip(*got, strict=True), (np.uint64, np.uint64, np.int64, np.int64), strict=True))
-                doc = ids[np.array(owner)]
+                x, y = one[:m], two[:m]
+                with np.errstate(over="ignore"):
+                    for k in range(1, run):
+                        x, y = splitmix(x * np.uint64(3) + one[k : k + m]), splitmix(y * np.uint64(5) + two[k : k + m])
+                whole = text[:m] == text[run - 1 :]
+                x, y, place, n, doc = x[whole], y[whole], start[:m][whole], (end[run - 1 :] - start[:m])[whole], ids[i + text[:m][whole]]
                 order, lead, head = first_of_equal(x, y, doc, place)
                 x, y, doc, place, n = (v[order] for v in (x, y, doc, place, n))
                 later = ~lead & ((doc != doc[head]) | (place != place[head]))
@@ -108,7 +95,7 @@ def split(parts: int, sizes: tuple[tuple[int, int], ...], grow: bool) -> Callabl
                     ]
                 )
 
-    return run
+    return work
 
 
 def settle(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -124,18 +111,24 @@ def settle(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out, ignore_index=True)
 
 
-def removed_sentences(docs: DataFrame, sizes: tuple[tuple[int, int], ...] = RUNS, grow: bool = False) -> DataFrame:
+def removed_sentences(docs: DataFrame, run: int = RUN) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, edges.
 
-    Runs are equal when their sentences have the same words, ASCII capitals as
-    small letters, whatever the white space.  The first is the one with the
-    smallest doc_id, then the earliest.  n_removed counts bytes, n_spans
-    maximal removed stretches, ``edges`` lists where they begin and end.  A
-    null text counts as empty; texts with too few sentences for a run keep
-    them.  Rows without a doc_id are left out; rows that share one count as
-    one place and must share a text.  Other columns are not looked at.
+    Runs of ``run`` sentences are equal when their sentences have the same
+    words, ASCII capitals as small letters, whatever the white space.  The
+    first is the one with the smallest doc_id, then the earliest.  n_removed
+    counts bytes, n_spans maximal removed stretches, ``edges`` lists where they
+    begin and end.  A null text counts as empty; texts with too few sentences
+    for a run keep them; long texts are taken whole.  Rows that share a doc_id
+    count as one place and must share a text, or spans of one are cut from the
+    other too.  Rows without a doc_id have no place in the order: they keep
+    their text and make no other's repeated.  Other columns are not looked at.
+    An empty table gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
-    spans = docs.mapInArrow(split(buckets(docs.sparkSession), sizes, grow), PACKED).groupBy("bucket").applyInPandas(lambda pdf: settle(pdf), FOUND)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    nulls, docs = docs.where("doc_id is null"), docs.where("doc_id is not null")
+    spans = docs.mapInArrow(split(buckets(docs.sparkSession), run), PACKED).groupBy("bucket").applyInPandas(lambda pdf: settle(pdf), FOUND)
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("place", "n")).alias("spans"))
-    return docs.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(removal(1), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, edges array<long>")
+    whole = docs.join(spans, "doc_id", "left").select("doc_id", "text", "spans")
+    whole = whole.union(nulls.select("doc_id", "text", F.lit(None).cast("array<struct<place:bigint,n:bigint>>")))
+    return whole.mapInArrow(removal(1), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, edges array<long>")

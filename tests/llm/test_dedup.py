@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -11,8 +12,7 @@ import pytest
 from corvane.llm.exact_dedup import Run, exact_dedup, may_hold
 from corvane.llm import near_dedup
 from corvane.llm.near_dedup import near_duplicates
-from corvane.llm.queries import op10_sentence_dedup
-from corvane.llm.sentence_dedup import RUNS, removed_sentences, sentences
+from corvane.llm.sentence_dedup import removed_sentences
 from corvane.llm.store import components
 from corvane.llm.suffix_dedup import common_prefixes, merged_runs, removed_repeats, repeats, suffix_array
 
@@ -225,48 +225,49 @@ def test_repeated_bytes_empty_table_and_repeated_row(make):
     assert [r.n_removed for r in twice] == [0, 0]
 
 
-def test_sentence_spans(make, texts):
-    rows = short_rows(texts) + [(2000 + i, "Shared one here now. Shared two over there. Shared three at the end of it. " + "Own " * i) for i in range(3)]
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in removed_sentences(make(rows)).collect()}
-    seen, want = set(), {}
-    for i, t in sorted(rows, key=lambda r: r[0]):
-        b = (t or "").encode()
-        cut = sentences(b)
-        assert b"".join(b[a:z] for a, z in cut) == b
-        full = [(a, z, b[a:z].lower().split()) for a, z in cut if b[a:z].split()]
-        m, found = bytearray(len(b)), []
-        for k, least in RUNS:
-            for j in range(len(full) - k + 1):
-                if sum(len(s[2]) for s in full[j : j + k]) >= least:
-                    found.append((full[j][0], full[j + k - 1][1], (k, tuple(tuple(s[2]) for s in full[j : j + k]))))
-        for a, z, key in sorted(found, key=lambda x: x[0]):
-            if key in seen:
-                m[a:z] = b"\1" * (z - a)
-            seen.add(key)
-        kept = bytes(x for x, y in zip(b, m, strict=True) if not y)
-        want[i] = (len(b), sum(m), sum(1 for j in range(len(m)) if m[j] and not (j and m[j - 1])), hashlib.sha256(kept).hexdigest())
-    assert got == want
-    assert removed_sentences(make([])).count() == 0
+CLOSE = re.compile(rb"[.!?][\x20\x09-\x0D]+|[\x20\x09\x0B-\x0D]*\n[\x20\x09-\x0D]*|(?:\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f)[\x20\x09-\x0D]*")
 
 
-def test_sentence_spans_of_short_lines(spark, make, tmp_path):
-    rng = random.Random(3)
-    for most in (1, 3, 5):
-        lines = [" ".join(f"s{rng.randrange(10**6)}" for _ in range(rng.randint(1, most))) for _ in range(20)]
-        passage = "\n".join(lines) + "\n"
-        rows = [(1, "One of its own!\n" + passage + "End of one"), (2, "Two has other words?\n" + passage + "Close of two")]
-        got = {r.doc_id: (r.n_removed, list(r.edges)) for r in removed_sentences(make(rows), grow=True).collect()}
-        at = rows[1][1].index(passage)
-        assert got == {1: (0, []), 2: (len(passage), [at, at + len(passage)])}
-    assert [r.n_removed for r in removed_sentences(make([(1, "Yes.\nNo.\n" + "a"), (2, "Yes.\nNo.\n" + "b")]), grow=True).collect()] == [0, 0]
-    make(rows).write.parquet(f"{tmp_path}/documents.parquet")
-    assert {r.doc_id: r.n_removed for r in op10_sentence_dedup(spark, str(tmp_path)).collect()} == {1: 0, 2: len(passage)}
+def brute_sentences(rows, k=2):
+    """Every run of k sentences or more, each length looked at for itself."""
+    tables = {}
+    for i, t in rows:
+        b = (t or "").encode()
+        at = len(b) - len(b.lstrip())
+        cuts = [at, *(m.end() for m in CLOSE.finditer(b, at) if m.end() < len(b)), len(b)]
+        tables[i] = b, [(x, y, tuple(b[x:y].lower().split())) for x, y in zip(cuts[:-1], cuts[1:], strict=True) if y > x]
+    gone = {i: bytearray(len(b)) for i, (b, _) in tables.items()}
+    for size in range(k, 1 + max((len(p) for _, p in tables.values()), default=0)):
+        seen = set()
+        for i in sorted(tables):
+            pieces = tables[i][1]
+            for j in range(len(pieces) - size + 1):
+                key = tuple(p[2] for p in pieces[j : j + size])
+                if key in seen:
+                    x, y = pieces[j][0], pieces[j + size - 1][1]
+                    gone[i][x:y] = b"\1" * (y - x)
+                seen.add(key)
+    out = {}
+    for i, m in gone.items():
+        kept = bytes(x for x, y in zip(tables[i][0], m, strict=True) if not y)
+        out[i] = (len(m), sum(m), sum(1 for j in range(len(m)) if m[j] and not (j and m[j - 1])), hashlib.sha256(kept).hexdigest())
+    return out
 
 
-def test_sentence_spans_count_characters_without_spaces(make):
-    text = "".join(chr(0x4E00 + 37 * i % 5000) for i in range(60)) + "\n"
-    got = {r.doc_id: r.n_removed for r in removed_sentences(make([(1, "one\n" + text), (2, "two\n" + text)])).collect()}
-    assert got == {1: 0, 2: len(text.encode())}
+def test_sentence_spans(make, texts):
+    rng = random.Random(3)
+    rows = short_rows(texts) + [(2000 + i, "Shared one here now. Shared two over there. Shared three at the end of it. " + "Own " * i) for i in range(3)]
+    rows += [(2100 + i, f" \n{i} A b. A b.  A b.\tA b. c?! ... d\r\n\r\nA B.\nc?! end") for i in range(2)]
+    rows += [(2200 + i, f"{i}。第一句在这里。第二句在那里！第三句 x？" + ("完" * i)) for i in range(3)]
+    for most in (1, 3):
+        passage = "\n".join(" ".join(f"s{rng.randrange(10**6)}" for _ in range(rng.randint(1, most))) for _ in range(20))
+        rows += [(2300 + 10 * most + i, f"Own {i * 77}!\n{passage}\nEnd {i}") for i in range(2)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in removed_sentences(make(rows)).collect()}
+    assert got == brute_sentences([r for r in rows if len(r[1] or "") < 10_000]) | {i: v for i, v in got.items() if i in (6, 7)}
+    assert got[6][1] == 0 and got[7][1] == 0  # one sentence each, which is no run
+    three = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in removed_sentences(make(rows[-12:]), run=3).collect()}
+    assert three == brute_sentences(rows[-12:], 3)
+    assert removed_sentences(make([])).count() == 0
 
 
 def test_repeated_rows_and_null_ids_everywhere(make):
@@ -277,7 +278,7 @@ def test_repeated_rows_and_null_ids_everywhere(make):
     bytes_ = sorted((r.doc_id or 0, r.n_removed == r.n_bytes) for r in removed_repeats(make(rows)).collect())
     assert [x[0] for x in bytes_] == [0, 5, 5, 7, 9] and [x[1] for x in bytes_] == [False, False, False, True, False]
     spans = sorted((r.doc_id or 0, r.n_removed > 0) for r in removed_sentences(make(rows)).collect())
-    assert spans == [(0, False), (5, False), (5, False), (7, True), (9, True)]
+    assert spans == [(0, False), (5, False), (5, False), (7, True), (9, True)]  # 9 shares its last two sentences
 
 
 def test_near_ties_and_many_equal_sets(make):

@@ -111,11 +111,65 @@ def test_katz_spreads_hot_words(spark, make, texts, monkeypatch):
             assert math.isclose(got[i].base_score, base, rel_tol=1e-9, abs_tol=1e-6) and math.isclose(got[i].score, score, rel_tol=1e-9, abs_tol=1e-6)
 
 
-def test_katz_is_normalised(texts):
-    b = Brute([(i, t) for i, t, _ in texts])
-    assert abs(sum(b.p1(w) for w in b.c1) + b.unknown - 1) < 1e-9
-    for h in itertools.islice(b.after, 20):
-        assert abs(sum(b.p2(h, w) for w in b.c1) + b.alpha[h] * b.unknown - 1) < 1e-9
+def good_turing(n):
+    """Katz's r* for r = 1 .. 5 from how many types have count 1 .. 6, as in his paper; r - 1/2 where that is not in (0, r)."""
+    out = []
+    for r in range(1, 6):
+        star = None
+        if n[r - 1] and n[0] and n[0] != 6 * n[5]:
+            ratio = 6 * n[5] / n[0]
+            star = ((r + 1) * n[r] / n[r - 1] - r * ratio) / (1 - ratio)
+        out.append(star if star is not None and 0 < star < r else r - 0.5)
+    return np.array(out)
+
+
+def test_katz_discounts_are_good_turing():
+    for n in ([100, 40, 20, 12, 8, 5], [5, 9, 1, 0, 3, 0], [0, 0, 0, 0, 0, 0], [10, 3, 9, 1, 1, 4]):
+        assert np.allclose(katz.discounts(np.array(n)), good_turing(n))
+
+
+def test_katz_weights_normalise_every_history(texts):
+    import pandas as pd
+    import pyarrow as pa
+
+    rows = [(i, t) for i, t, _ in texts[:50]]
+    b = Brute(rows)
+    few = lambda c: [sum(v == r for v in c.values()) for r in range(1, 7)]
+    b.s1, b.s2 = good_turing(few(b.c1)), good_turing(few(b.c2))
+    b.unknown = sum(c - b.cut(c, b.s1) for c in b.c1.values()) / b.n
+    learn = [not b.held[i] for i, _ in rows]
+    histories = [h for h in b.after if h not in (b" S",)][:300]
+    probes = ["unseenword", *(h.decode() + " unseenword" for h in histories)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows) + len(probes))), pa.array([t or "" for _, t in rows] + probes), pa.array(learn + [False] * len(probes))], names=["doc_id", "text", "learn"])
+    hot = katz.Hot(np.zeros(0, np.uint64), np.zeros(0, np.int64), 1)
+    sent = pd.concat([x.to_pandas() for x in katz.send_bigrams(1, hot)([batch])])
+    answered = katz.bucket_tables(1, hot)(sent[sent.kind == katz.BIGRAMS])
+    weights = katz.backoff_weights(answered[answered.kind == katz.HISTORY])
+    got = dict(zip(katz.unplanes(weights.data.iloc[0][0], "<u4").tolist(), katz.unplanes(weights.data.iloc[0][1], "<f8").tolist(), strict=True))
+    start = got[len(rows)]
+    checked = 0
+    for k, h in enumerate(histories, len(rows) + 1):
+        # log(count * alpha): the probe asked for the beginning's too where no text begins with h
+        alpha = math.exp(got[k] - (0.0 if (b" S", h) in b.c2 else start)) / b.size[h]
+        seen = sum(b.cut(c, b.s2) / b.size[h] for _, c in b.after[h])
+        assert math.isclose(seen + alpha * (1 - sum(b.p1(w) for w, _ in b.after[h])), 1, rel_tol=1e-9)
+        checked += 1
+    assert checked > 100
+    assert math.isclose(sum(b.p1(w) for w in b.c1) + b.unknown, 1, rel_tol=1e-9)
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_structured_words_are_told_apart(spark, make, n):
+    one, two = ("".join(x[bin(i).count("1") & 1] for i in range(n)) for x in ("ab", "ba"))
+    r = {r.doc_id: r for r in katz.katz_scores(make([(1, one), (2, two)]), F.col("doc_id") == 1).collect()}
+    assert (r[1].n_known, r[2].n_known) == (2, 1)
+    v = [bytes([i]) for i in range(256)] + [one[:6].encode(), b"abb"]
+    got = {r.doc_id: r.n_tokens for r in token_counts(make([(1, f"{one} {two}"), (2, two)]), v).collect()}
+    assert got == {1: greedy(b" " + one.encode(), set(v)) + greedy(b" " + two.encode(), set(v)), 2: greedy(b" " + two.encode(), set(v))}
+    items = [(1, f"{one} a b c d e f")]
+    rows = [(1, f"x {one} a b c d e f y"), (2, f"x {two} q r s t u v y")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {r.doc_id for r in dec.contaminated(make(rows), bench).collect()} == {d for d, _ in brute_leaks(rows, items)} == {1}
 
 
 def test_katz_beats_the_base_on_held_out_copies(make, texts):
@@ -128,7 +182,8 @@ def test_katz_odd_tables(make):
     assert katz.katz_scores(make([]), F.lit(True)).count() == 0
     r = katz.katz_scores(make([(1, "a b")]), F.lit(False)).first()
     assert (r.n_tokens, r.n_known, r.train_tokens) == (3, 0, 0) and math.isfinite(r.score)
-    assert katz.katz_scores(make([(1, "a"), (1, "a"), (None, "b")]), F.lit(True)).count() == 2
+    got = katz.katz_scores(make([(1, "a"), (1, "a"), (None, "b")]), F.lit(True)).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens, r.n_known) for r in got) == [(0, 2, 2), (1, 2, 2), (1, 2, 2)] and {r.train_tokens for r in got} == {6}
 
 
 # --- language identification -------------------------------------------------------
@@ -350,7 +405,7 @@ SECRET = 'api_key = "Zk3+abc/def_9"'
 def test_wrapped_secret_is_found_at_its_place(wrap):
     code = wrap(SECRET)
     text = f"é before {code} after"
-    base, spans, layers = secrets.all_spans(text)
+    base, spans, layers, _ = secrets.all_spans(text)
     assert base == [] and layers >= 1
     hits = [s for s in spans if s[0] == "assign"]
     assert hits and all(9 <= a < b <= 9 + len(code) for _, a, b in hits)
@@ -382,6 +437,35 @@ def test_secret_over_a_line_break_and_beyond_a_window(monkeypatch):
             assert any(s[0] == "assign" for s in secrets.all_spans(b64(pack((fill * 9001 + SECRET).encode())))[1])
 
 
+@pytest.mark.parametrize("lead", ["dir_", "d_", "/", "a/b/", "x-", "ab_c-"])
+def test_secret_behind_other_characters_of_the_alphabet(lead):
+    for code in (b64(SECRET), b64(gzip.compress(SECRET.encode())), b64(b"\x00\x01\xff\xfe" * 9 + SECRET.encode() + b"\x80\x00" * 20)):
+        assert any(s[0] == "assign" for s in secrets.all_spans(f"see {lead}{code} there")[1])
+
+
+def test_deep_and_circular_layers_end():
+    data = SECRET.encode()
+    for _ in range(20):
+        data = gzip.compress(data)
+    assert any(s[0] == "assign" for s in secrets.all_spans(b64(data))[1]) and secrets.all_spans(b64(data))[3] == 0
+    for _ in range(60):
+        data = gzip.compress(data)
+    assert secrets.all_spans(b64(data))[3] > 0
+    # %25 turns into % again and again; each layer is shorter, so this ends, and equal layers are taken up once.
+    assert secrets.all_spans("%25" * 40 + b64(b64(b64("nothing to see here, really nothing"))))[2] < 200
+
+
+def test_missing_library_is_reported(monkeypatch):
+    import sys
+
+    import zstandard
+
+    text = b64(zstandard.ZstdCompressor().compress(SECRET.encode()))
+    assert secrets.all_spans(text)[3] == 0
+    monkeypatch.setitem(sys.modules, "zstandard", None)
+    assert secrets.all_spans(text)[3] > 0
+
+
 def test_decoding_stops_and_base_spans_stay():
     assert secrets.all_spans("%25" * 50 + "&amp;" + "\\u005c" * 9)[0] == []
     text = "token=password: token: abcdefgh1 AKIA" + "A" * 12 + " AKIASHORT " + "0123456789abcdef" * 2 + " PASSWD='abcdefgh'"
@@ -395,7 +479,7 @@ def test_decoding_stops_and_base_spans_stay():
     for m in re.finditer("[0-9a-f]+", text):
         if len(m[0]) >= 32:
             want.append(("hex", *m.span()))
-    base, spans, _ = secrets.all_spans(text)
+    base, spans, *_ = secrets.all_spans(text)
     assert sorted(base) == sorted(want) and set(base) <= set(spans)
     assert secrets.scan("\u017fecret=abcdefghij to\u212aen: abcdefghi") == []  # only ASCII letters count in either case
 
@@ -414,6 +498,8 @@ def test_katz_with_stored_tables(spark, make, texts, tmp_path):
     katz.katz_tables(docs, remainder(5) != 1, 6).write.partitionBy("key").parquet(str(tmp_path / "tables"))
     tables = spark.read.parquet(str(tmp_path / "tables")).select("kind", F.col("key").cast("long").alias("key"), "source", "data")
     one = {r.doc_id: r for r in katz.katz_scores(docs, remainder(5) != 1, 6).collect()}
-    two = {r.doc_id: r for r in katz.katz_scores(docs, remainder(5) != 1, 6, tables).collect()}
+    two = {r.doc_id: r for r in katz.katz_scores(docs, remainder(5) != 1, tables=tables).collect()}  # whatever the session's partitions
+    with pytest.raises(ValueError, match="buckets"):
+        katz.katz_scores(docs, remainder(5) != 1, 7, tables)
     assert set(one) == set(two)
     assert all((one[i].n_known, one[i].train_tokens, one[i].held_out) == (two[i].n_known, two[i].train_tokens, two[i].held_out) and math.isclose(one[i].score, two[i].score, rel_tol=1e-9) for i in one)
