@@ -75,3 +75,24 @@ def top_two(values: Column) -> Column:
 def margin(values: Column) -> Column:
     """Largest less second largest; null for fewer than two."""
     return F.when(F.size(values) >= 2, F.get(top_two(values), F.lit(0)) - F.get(top_two(values), F.lit(1)))
+
+
+def spearman_p(rho: Column, n: Column) -> Column:
+    """Two-sided p of a rank correlation over n pairs by Student's t with n - 2 degrees of freedom, in closed form.
+
+    With sin(a) = |rho| the distribution is a finite sum of powers of cos(a)^2;
+    null for fewer than three pairs.
+    """
+    d, s = (n - 2).cast("int"), F.least(F.abs(rho), F.lit(1.0))
+    c = 1 - s * s
+    steps = lambda last: F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+
+    def series(first: Column, ratio, last: Column) -> Column:
+        zero = F.struct(first.alias("term"), first.alias("total"))
+        step = lambda a, k: F.struct((a["term"] * ratio(k) * c).alias("term"), (a["total"] + a["term"] * ratio(k) * c).alias("total"))
+        return F.aggregate(steps(last), zero, step)["total"]
+
+    even = s * series(F.lit(1.0), lambda k: (2 * k - 1) / (2.0 * k), F.floor(d / 2).cast("int") - 1)
+    odd = F.asin(s) + F.when(d > 1, s * series(F.sqrt(c), lambda k: 2.0 * k / (2 * k + 1), F.floor((d - 3) / 2).cast("int"))).otherwise(0.0)
+    inside = F.when(d % 2 == 0, even).otherwise(odd * (2 / math.pi))
+    return F.when((d >= 1) & rho.isNotNull(), F.greatest(1 - inside, F.lit(0.0)))

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 # Results depend on these lists.
 STOPWORDS = (
-    "a an and are as at be by did do for from had has have how if in into is it its of on or that the their them to "
-    "was what when where which who why with would you your"
-).split()
+    "a", "an", "and", "are", "as", "at", "be", "by", "did", "do", "for", "from", "had", "has",
+    "have", "how", "if", "in", "into", "is", "it", "its", "of", "on", "or", "that", "the", "their",
+    "them", "to", "was", "what", "when", "where", "which", "who", "why", "with", "would", "you", "your",
+)
 DISCOURSE_PREFIXES = ("yes, ", "no, ", "actually, ", "actually,", "so the answer is ", "the answer is ")
 FORBIDDEN_ANSWER_PATTERNS = (
     r"\b(?:steam|stream)\s+of\s+consciousness\b",
@@ -25,9 +26,17 @@ FORBIDDEN_ANSWER_PATTERNS = (
     r"\bsingle-select problem\b",
     r"\bwhich one of the following\b",
 )
+QUOTED_PHRASE = r'"([^"]{3,})"'
+CAPITAL_PHRASE = r"\b(?:[A-Z][A-Za-z0-9'\-]+(?:\s+[A-Z][A-Za-z0-9'\-]+){0,3})\b"
+WORD = r"[A-Za-z0-9']+"
+LIST_OF_LISTS = r"(?s)\[\s*\[.*?\]\s*\]"
+ENTITIES_PREFIX = r"(?i)^entities\s*:\s*"
 TERMINAL_MARKS = (".", "?", "!", "。", "؟", "！", "？")
 PROMPT_TEMPLATE = "Answer the following question in a single brief but complete sentence.\nQuestion: %s\nAnswer:"
 MAX_ENTITIES = 8
+#: A word in single quotes, and the marks of a literal that JSON writes otherwise.
+LITERAL_STRING = r"'([^'\"\\]*)'"
+LITERAL_MARKS = ((r'\(\s*(?=")', "["), (r'(?<=")\s*,?\s*\)', "]"), (r'(?<="),\s*\]', "]"), (r"\bNone\b", "null"))
 #: White space beyond ASCII, which engines' \s leaves out.
 WIDE_SPACE = "[\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\u001c-\u001f]"
 
@@ -55,7 +64,7 @@ def word_set(text: Column) -> Column:
 
 def word_tokens(text: Column) -> Column:
     """Lower-case tokens of letters, digits and apostrophes."""
-    return F.transform(F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9']+"), F.lit(0)), F.lower)
+    return F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower)
 
 
 def space_tokens(text: Column) -> Column:
@@ -64,10 +73,10 @@ def space_tokens(text: Column) -> Column:
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    """Contiguous n-grams joined by a space; none for shorter token lists."""
-    return F.when(F.size(tokens) < n, F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    )
+    """Contiguous n-grams joined by a space; none for shorter token lists. Words are picked one by one: a slice would copy the whole list each time."""
+    at = F.sequence(F.lit(0), F.greatest(F.size(tokens) - n, F.lit(0)))
+    grams = F.transform(at, lambda i: F.concat_ws(" ", *[F.get(tokens, i + k) for k in range(n)]))
+    return F.when(F.size(tokens) < n, F.array().cast("array<string>")).otherwise(grams)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -95,8 +104,8 @@ def gold_candidates(*lists: Column) -> Column:
 
 def phrase_candidates(text: Column) -> Column:
     """Entities by rule: quoted phrases, capitalised runs, long words; normalised, distinct, at most eight."""
-    quoted = F.regexp_extract_all(text, F.lit(r'"([^"]{3,})"'), F.lit(1))
-    capital = F.regexp_extract_all(text, F.lit(r"\b(?:[A-Z][A-Za-z0-9'\-]+(?:\s+[A-Z][A-Za-z0-9'\-]+){0,3})\b"), F.lit(0))
+    quoted = F.regexp_extract_all(text, F.lit(QUOTED_PHRASE), F.lit(1))
+    capital = F.regexp_extract_all(text, F.lit(CAPITAL_PHRASE), F.lit(0))
     stop = F.array(*[F.lit(w) for w in STOPWORDS])
     long_words = F.slice(F.filter(word_tokens(text), lambda t: (F.length(t) >= 5) & ~F.array_contains(stop, t)), 1, 2 * MAX_ENTITIES)
     terms = F.transform(F.concat(quoted, capital, long_words), normalize_term)
@@ -118,9 +127,28 @@ def normalize_entities(values: Column) -> Column:
     return F.array_distinct(F.filter(bare, lambda v: v.isNotNull() & (v != "")))
 
 
+def _json_list(body: Column) -> Column:
+    """array<array<string>> from a JSON list of lists or of strings (a list of one each); null for anything else."""
+    outer = F.from_json(body, "array<string>")
+    inner = lambda x: F.when(x.startswith("["), F.from_json(x, "array<string>")).otherwise(F.array(x))
+    clean = lambda t: F.transform(F.filter(t, lambda v: v.isNotNull()), lambda v: F.trim(v))
+    lists = F.transform(F.filter(outer, lambda x: x.isNotNull()), lambda x: clean(inner(x)))
+    return F.when(F.ltrim(body).startswith("["), F.filter(lists, lambda t: t.isNotNull()))
+
+
+def _as_json(literal: Column) -> Column:
+    """Lists and tuples of quoted words as another language writes them, in JSON."""
+    out = F.regexp_replace(literal, LITERAL_STRING, '"$1"')
+    for pattern, put in LITERAL_MARKS:
+        out = F.regexp_replace(out, pattern, put)
+    return out
+
+
 def parse_triplets(text: Column) -> Column:
-    """array<array<string>> from JSON text, also when other text surrounds it; null when there is none."""
-    return F.from_json(F.regexp_extract(text, r"(?s)(\[\s*\[.*\]\s*\])", 1), "array<array<string>>")
+    """array<array<string>> from a model's answer: JSON, else a literal with single quotes or tuples, else the first list of lists within other text; null when there is none."""
+    body = F.regexp_replace(F.trim(text), ENTITIES_PREFIX, "")
+    part = F.regexp_extract(body, LIST_OF_LISTS, 0)
+    return F.coalesce(_json_list(body), _json_list(_as_json(body)), _json_list(part), _json_list(_as_json(part)))
 
 
 def triplet_entities(triplets: Column, role: Column) -> Column:
@@ -129,6 +157,10 @@ def triplet_entities(triplets: Column, role: Column) -> Column:
     return F.flatten(F.transform(full, lambda t: F.when((role != "question") & (F.size(t) >= 3), F.array(F.get(t, F.lit(0)), F.get(t, F.lit(2)))).otherwise(F.array(F.get(t, F.lit(0))))))
 
 
+def has_tagged_answer(text: Column, opening: str = "<answer>", closing: str = "<context>") -> Column:
+    return F.regexp_like(text, F.lit(rf"(?s){opening}\s*(.*?)\s*{closing}"))
+
+
 def tagged_answer(text: Column, opening: str = "<answer>", closing: str = "<context>", fallback: int = 80) -> Column:
     """What stands between two tags, else the first characters."""
     found = F.regexp_extract(text, rf"(?s){opening}\s*(.*?)\s*{closing}", 1)

@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import written
 from .ranking import global_rank
 
 # Labels and upper bounds of the cutoff bins.
 THREE_BINS = (("low_support", 0.333333), ("medium_support", 0.666667), ("high_support", None))
 FIVE_BINS = (("very_low_support", 0.2), ("low_support", 0.4), ("mid_support", 0.6), ("high_support", 0.8), ("very_high_support", None))
-TEN_BINS = tuple((f"decile_{10 * i:02d}_{10 * i + 10:02d}", (i + 1) / 10 if i < 9 else None) for i in range(10))
+TEN_BINS = (
+    ("decile_00_10", 0.1), ("decile_10_20", 0.2), ("decile_20_30", 0.3), ("decile_30_40", 0.4), ("decile_40_50", 0.5),
+    ("decile_50_60", 0.6), ("decile_60_70", 0.7), ("decile_70_80", 0.8), ("decile_80_90", 0.9), ("decile_90_100", None),
+)
+#: Up to so many labels their table is sent to every task.
+BROADCAST_LABELS = 10_000
 
 
 def rank_bins(df: DataFrame, score: str, tie: list[str], bins: int, name: str) -> DataFrame:
@@ -54,8 +60,8 @@ def interval_bin(value: Column, intervals: list[dict]) -> Column:
 def label_ordinal(df: DataFrame, label: str, name: str) -> DataFrame:
     """Index of a label among those that occur, in lexicographic order; null stays null."""
     kinds = df.select(label).where(F.col(label).isNotNull()).distinct()
-    kinds = kinds.withColumn(name, (F.dense_rank().over(Window.orderBy(label)) - 1).cast("int"))
-    return df.join(F.broadcast(kinds), label, "left")
+    kinds = written(kinds.withColumn(name, (F.dense_rank().over(Window.orderBy(label)) - 1).cast("int")))
+    return df.join(F.broadcast(kinds) if kinds.count() <= BROADCAST_LABELS else kinds, label, "left")
 
 
 def rule_ordinal(label: Column, rules: tuple[tuple[str, float | None], ...]) -> Column:

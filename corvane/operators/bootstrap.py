@@ -2,19 +2,29 @@
 
 Draws come from a hash of (seed, replicate, slot), so the table of weights is
 the same in every run and can be stored or checked with SQL.  Rows are summed by
-prompt and score before they meet the weights.
+prompt and score, meet their prompt's weights of all replicates as one array,
+and are ordered once: each range of scores adds up its share for all replicates
+at once, and what lies below a range is added afterwards.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .metrics import auroc, spread
+from .metrics import spread
 from .ranking import global_rank
 
+REPLICATES = 500
+#: Cells that are weighted at once, times replicates.
+CHUNK = 1 << 20
+
 
-def bootstrap_weights(prompts: DataFrame, replicates: int, seed: int = 42, prompt: str = "prompt_id") -> DataFrame:
+def bootstrap_weights(prompts: DataFrame, replicates: int = REPLICATES, seed: int = 42, prompt: str = "prompt_id") -> DataFrame:
     """(rep, prompt, w): how often each prompt is drawn in a replicate, with replacement, n draws each."""
     numbered = global_rank(prompts.select(prompt).distinct(), [F.col(prompt)], "_i").withColumn("_i", F.col("_i") - 1)
     n = numbered.agg(F.count("*").alias("_n"))
@@ -24,12 +34,66 @@ def bootstrap_weights(prompts: DataFrame, replicates: int, seed: int = 42, promp
     return counts.join(numbered, "_i").select("rep", prompt, "w")
 
 
-def weighted_auroc(rows: DataFrame, weights: DataFrame, score: str, label: str, by: list[str] | None = None, prompt: str = "prompt_id") -> DataFrame:
-    """AUROC for each replicate (and group), from rows summed by prompt and score."""
+def weight_arrays(weights: DataFrame, replicates: int = REPLICATES, prompt: str = "prompt_id") -> DataFrame:
+    """(prompt, w): the weights of a prompt in all replicates, in order."""
+    drawn = weights.groupBy(prompt).agg(F.map_from_entries(F.collect_list(F.struct("rep", "w"))).alias("_m"))
+    return drawn.select(prompt, F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda r: F.coalesce(F.try_element_at("_m", r), F.lit(0)).cast("int")).alias("w"))
+
+
+def _ranges(replicates: int) -> Callable:
+    """(group, score, p, n, w) in order to one row a group: its positives, negatives and pairs won within this range, for each replicate."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last, pos, neg, won = None, None, *(np.zeros(replicates) for _ in range(3))
+        tied_pos, tied_neg = np.zeros(replicates), np.zeros(replicates)
+
+        def close() -> None:
+            """Counts the pairs of the positives of one score."""
+            nonlocal pos, neg, won
+            won = won + tied_pos * (neg + tied_neg * 0.5)
+            pos, neg = pos + tied_pos, neg + tied_neg
+
+        for whole in batches:
+            step = max(1, CHUNK // replicates)
+            for batch in (whole.slice(i, step) for i in range(0, whole.num_rows, step)):
+                group, score = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                w = batch.column(4).flatten().to_numpy().reshape(-1, replicates).astype(float)
+                new = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (score[1:] != score[:-1])]))
+                p, n = (np.add.reduceat(w * batch.column(c).to_numpy()[:, None], new, axis=0) for c in (2, 3))
+                for g, x, one, two in zip(group[new].tolist(), score[new].tolist(), p, n, strict=True):
+                    if (g, x) != (at, last):
+                        close()
+                        if g != at and at is not None:
+                            yield _range_row(at, pos, neg, won)
+                            pos, neg, won = (np.zeros(replicates) for _ in range(3))
+                        at, last, tied_pos, tied_neg = g, x, np.zeros(replicates), np.zeros(replicates)
+                    tied_pos, tied_neg = tied_pos + one, tied_neg + two
+        if at is not None:
+            close()
+            yield _range_row(at, pos, neg, won)
+
+    return run
+
+
+def _range_row(group: int, *sums: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([group], pa.int64()), *(pa.array([x.tolist()], pa.list_(pa.float64())) for x in sums)], names=["_g", "_pos", "_neg", "_won"])
+
+
+def weighted_auroc(rows: DataFrame, weights: DataFrame, score: str, label: str, by: list[str] | None = None, replicates: int = REPLICATES, prompt: str = "prompt_id") -> DataFrame:
+    """AUROC for each replicate (and group): by, rep, n_pos, n_neg, auroc, null where a class is missing. ``weights``: (rep, prompt, w)."""
     by = by or []
-    cells = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*by, prompt, score, label).agg(F.count("*").alias("_c"))
-    drawn = cells.join(weights, prompt).withColumn("_w", F.col("_c") * F.col("w"))
-    return auroc(drawn, score, label, [*by, "rep"], weight="_w")
+    y = F.col(label)
+    cells = rows.where(F.col(score).isNotNull() & y.isNotNull()).groupBy(*by, prompt, F.col(score).cast("double").alias("_s")).agg(F.count_if(y == 1).alias("_p"), F.count_if(y == 0).alias("_n"))
+    group = F.xxhash64(*by) if by else F.lit(0).cast("long")  # a number that names the group for the ordered pass
+    drawn = cells.join(weight_arrays(weights, replicates, prompt), prompt).select(group.alias("_g"), "_s", "_p", "_n", "w")
+    ranged = drawn.repartitionByRange("_g", "_s").sortWithinPartitions("_g", "_s").mapInArrow(_ranges(replicates), "_g long, _pos array<double>, _neg array<double>, _won array<double>")
+    each = ranged.withColumn("_range", F.spark_partition_id()).select("_g", "_range", F.posexplode(F.arrays_zip("_pos", "_neg", "_won")).alias("rep", "x"))
+    below = Window.partitionBy("_g", "rep").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.select("_g", "rep", "x._pos", "x._neg", (F.col("x._won") + F.col("x._pos") * F.coalesce(F.sum("x._neg").over(below), F.lit(0.0))).alias("_won"))
+    out = each.groupBy("_g", "rep").agg(F.sum("_pos").cast("long").alias("n_pos"), F.sum("_neg").cast("long").alias("n_neg"), F.sum("_won").alias("_won"))
+    if by:
+        out = out.join(cells.select(*by).distinct().withColumn("_g", group), "_g")
+    return out.select(*by, "rep", "n_pos", "n_neg", F.try_divide("_won", (F.col("n_pos") * F.col("n_neg")).cast("double")).alias("auroc"))
 
 
 def interval(values: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
@@ -39,16 +103,16 @@ def interval(values: DataFrame, value: str, by: list[str] | None = None) -> Data
     )
 
 
-def spread_difference(rows: DataFrame, weights: DataFrame, score: str, label: str, bin_a: str, bin_b: str, prompt: str = "prompt_id") -> DataFrame:
+def spread_difference(rows: DataFrame, weights: DataFrame, score: str, label: str, bin_a: str, bin_b: str, replicates: int = REPLICATES, prompt: str = "prompt_id") -> DataFrame:
     """Per replicate: spread of AUROC over the bins of one axis less that over another's."""
-    one = spread(weighted_auroc(rows.where(F.col(bin_a).isNotNull()), weights, score, label, [bin_a], prompt), "auroc", ["rep"], "da").select("rep", "da")
-    two = spread(weighted_auroc(rows.where(F.col(bin_b).isNotNull()), weights, score, label, [bin_b], prompt), "auroc", ["rep"], "db").select("rep", "db")
+    one = spread(weighted_auroc(rows.where(F.col(bin_a).isNotNull()), weights, score, label, [bin_a], replicates, prompt), "auroc", ["rep"], "da").select("rep", "da")
+    two = spread(weighted_auroc(rows.where(F.col(bin_b).isNotNull()), weights, score, label, [bin_b], replicates, prompt), "auroc", ["rep"], "db").select("rep", "db")
     return one.join(two, "rep").select("rep", (F.col("da") - F.col("db")).alias("difference"))
 
 
-def lift(rows: DataFrame, weights: DataFrame, with_: str, without: str, label: str, by: list[str] | None = None, prompt: str = "prompt_id") -> DataFrame:
+def lift(rows: DataFrame, weights: DataFrame, with_: str, without: str, label: str, by: list[str] | None = None, replicates: int = REPLICATES, prompt: str = "prompt_id") -> DataFrame:
     """Per replicate (and group): AUROC of one score less that of another."""
     keys = [*(by or []), "rep"]
-    one = weighted_auroc(rows, weights, with_, label, by, prompt).select(*keys, F.col("auroc").alias("a"))
-    two = weighted_auroc(rows, weights, without, label, by, prompt).select(*keys, F.col("auroc").alias("b"))
+    one = weighted_auroc(rows, weights, with_, label, by, replicates, prompt).select(*keys, F.col("auroc").alias("a"))
+    two = weighted_auroc(rows, weights, without, label, by, replicates, prompt).select(*keys, F.col("auroc").alias("b"))
     return one.join(two, keys).select(*keys, (F.col("a") - F.col("b")).alias("lift"))

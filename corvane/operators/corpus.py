@@ -1,21 +1,30 @@
 """Corpus counting: terms, document and window co-occurrence.
 
-The engine owns the index: n-grams of the asked lengths are formed in the
-JVM, restricted to the asked terms before anything is shuffled, and pairs are
-counted over (term, document) postings of those terms only, driven from the
-rarer term.  A term that is asked but never found counts 0; an empty term
-counts null and says so.
+The engine owns the index.  One pass over the corpus forms the n-grams of the
+asked lengths in the JVM, keeps those that are asked before anything is
+shuffled, and writes them as postings (term, document, position); terms of any
+length are found by their first words and confirmed on the rest.  Entity counts,
+pairs in documents and pairs in windows are all taken from the postings; pairs
+are driven from the rarer term.  A term that is asked but never found counts 0;
+an empty term counts null and says so.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ngrams, normalize_term
+from ..shared import written
 
 #: Up to so many asked terms their table goes to every task (some 10 MB).
 BROADCAST_TERMS = 200_000
+#: Longer terms are looked up by so many first words.
+HEAD_WORDS = 8
+BACKEND = "corvane_corpus"
+RESOLVED, EMPTY = "resolved", "excluded_empty_normalized_query"
+#: A status that begins so rules out its count.
+FAILED = "^(api_|timeout|rate_limited|error|excluded_|cache_miss|local_index_absent)"
 
 
 def corpus_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -24,32 +33,40 @@ def corpus_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     return docs.select(F.col(doc_id).alias("doc"), tokens.alias("tokens"))
 
 
-def _asked(terms: DataFrame, column: str) -> DataFrame:
-    """Distinct normalised terms with their length in words."""
-    out = terms.select(normalize_term(F.col(column)).alias("term")).where("term <> ''").distinct()
-    return out.withColumn("words", F.size(F.split("term", " ")))
-
-
-def occurrences(corpus: DataFrame, asked: DataFrame) -> DataFrame:
-    """(term, doc, position) of every occurrence of the asked terms."""
-    lengths = [r.words for r in asked.select("words").distinct().collect()]
-    small = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    out = None
-    for n in sorted(lengths) or [1]:
-        grams = corpus.select("doc", F.posexplode(ngrams(F.col("tokens"), n) if n > 1 else F.col("tokens")).alias("position", "term"))
-        want = asked.where(F.col("words") == n).select("term")
-        found = grams.join(F.broadcast(want) if small else want, "term", "left_semi").select("term", "doc", F.col("position").cast("long").alias("position"))
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-def count_entities(corpus: DataFrame, terms: DataFrame, column: str = "term") -> DataFrame:
-    """(term, raw_count, status): occurrences of each distinct normalised term."""
-    asked = _asked(terms, column)
-    counts = occurrences(corpus, asked).groupBy("term").agg(F.count("*").alias("n"))
-    found = asked.select("term").join(counts, "term", "left").select("term", F.coalesce("n", F.lit(0)).cast("long").alias("raw_count"), F.lit("resolved").alias("status"))
-    empty = terms.select(normalize_term(F.col(column)).alias("term")).where("term = ''").distinct()
-    return found.unionByName(empty.select("term", F.lit(None).cast("long").alias("raw_count"), F.lit("excluded_empty_normalized_query").alias("status")))
+def postings(corpus: DataFrame, terms: DataFrame, column: str = "term") -> DataFrame:
+    """(term, doc, position) of every occurrence of the distinct normalised terms, written to the shared folder."""
+    split = F.split("term", " ")
+    asked = terms.select(normalize_term(F.col(column)).alias("term")).where("term <> ''").distinct()
+    asked = written(asked.select("term", F.size(split).alias("words"), F.array_join(F.slice(split, 1, HEAD_WORDS), " ").alias("head")))
+    lengths = sorted(r.n for r in asked.select(F.least("words", F.lit(HEAD_WORDS)).alias("n")).distinct().collect()) or [1]
+    near = lambda df: F.broadcast(df) if asked.count() <= BROADCAST_TERMS else df
+    placed = lambda n: F.transform(ngrams(F.col("tokens"), n), lambda t, i: F.struct(i.cast("long").alias("position"), t.alias("head")))
+    grams = corpus.select("doc", F.explode(F.concat(*[placed(n) for n in lengths])).alias("g")).select("doc", "g.position", "g.head")
+    found = grams.join(near(asked), "head").select("term", "words", "doc", "position")
+    if lengths[-1] < HEAD_WORDS:
+        return written(found.select("term", "doc", "position"))
+    found = written(found)
+    long = found.where(F.col("words") > HEAD_WORDS).join(corpus, "doc")
+    long = long.where(F.array_join(F.slice("tokens", (F.col("position") + 1).cast("int"), F.col("words")), " ") == F.col("term"))
+    return written(found.where(F.col("words") <= HEAD_WORDS).select("term", "doc", "position").union(long.select("term", "doc", "position")))
+
+
+def _provenance(query: Column, kind: str, status: Column, index_ref: str) -> list[Column]:
+    """Where a count comes from: these are columns of every count."""
+    return [
+        F.lit(BACKEND).alias("backend_id"), query.alias("query"), F.lit(kind).alias("query_kind"), status.alias("status"), F.lit(index_ref).alias("index_ref"), F.lit(False).alias("approximate"),
+        status.rlike(FAILED).alias("excluded"),
+    ]
+
+
+def count_entities(corpus: DataFrame, terms: DataFrame, column: str = "term", places: DataFrame | None = None, index_ref: str = "corpus") -> DataFrame:
+    """(term, raw_count and provenance) for each distinct normalised term: its occurrences. ``places``: postings that hold the terms already."""
+    places = postings(corpus, terms, column) if places is None else places
+    counts = places.groupBy("term").agg(F.count("*").alias("n"))
+    asked = terms.select(normalize_term(F.col(column)).alias("term")).distinct().join(counts, "term", "left")
+    full = F.col("term") != ""
+    n = F.when(full, F.coalesce("n", F.lit(0))).cast("long")
+    return asked.select("term", n.alias("raw_count"), *_provenance(F.col("term"), "entity_frequency", F.when(full, RESOLVED).otherwise(EMPTY), index_ref))
 
 
 def distinct_pairs(pairs: DataFrame, left: str = "left", right: str = "right") -> DataFrame:
@@ -58,32 +75,48 @@ def distinct_pairs(pairs: DataFrame, left: str = "left", right: str = "right") -
     return pairs.select(F.least(a, b).alias("left"), F.greatest(a, b).alias("right")).where("left <> '' and right <> '' and left <> right").distinct()
 
 
-def count_pairs(corpus: DataFrame, pairs: DataFrame, unit: str = "document", window: int = 100) -> DataFrame:
-    """(left, right, raw_count) for distinct pairs: documents with both terms, or position pairs at most ``window`` words apart."""
-    asked_pairs = distinct_pairs(pairs)
-    terms = _asked(asked_pairs.select("left").union(asked_pairs.select("right")), "left")
-    places = occurrences(corpus, terms)
+def count_pairs(corpus: DataFrame, pairs: DataFrame, unit: str = "document", window: int = 100, places: DataFrame | None = None, index_ref: str = "corpus") -> DataFrame:
+    """(left, right, raw_count and provenance) for distinct pairs: documents with both terms, or position pairs at most ``window`` words apart."""
+    asked = written(distinct_pairs(pairs))
+    both = asked.select("left").union(asked.select("right")).withColumnRenamed("left", "term")
+    places = (postings(corpus, both) if places is None else places).join(both.distinct(), "term", "left_semi")
     if unit == "document":
-        posts = places.select("term", "doc").distinct()
+        posts = written(places.select("term", "doc").distinct())
         sizes = posts.groupBy("term").agg(F.count("*").alias("df"))
-        sized = asked_pairs.join(sizes.withColumnRenamed("term", "left").withColumnRenamed("df", "ldf"), "left").join(sizes.withColumnRenamed("term", "right").withColumnRenamed("df", "rdf"), "right")
-        sized = sized.withColumn("rare", F.when(F.col("ldf") <= F.col("rdf"), F.col("left")).otherwise(F.col("right"))).withColumn("other", F.when(F.col("ldf") <= F.col("rdf"), F.col("right")).otherwise(F.col("left")))
+        sized = asked.join(sizes.withColumnRenamed("term", "left").withColumnRenamed("df", "ldf"), "left").join(sizes.withColumnRenamed("term", "right").withColumnRenamed("df", "rdf"), "right")
+        least = F.col("ldf") <= F.col("rdf")
+        sized = sized.withColumn("rare", F.when(least, F.col("left")).otherwise(F.col("right"))).withColumn("other", F.when(least, F.col("right")).otherwise(F.col("left")))
         hits = sized.join(posts.withColumnRenamed("term", "rare"), "rare").join(posts.withColumnRenamed("term", "other"), ["other", "doc"])
         counts = hits.groupBy("left", "right").agg(F.count("*").alias("n"))
     else:
         cell = (F.col("position") / window).cast("long")
         one = places.select(F.col("term").alias("left"), "doc", F.col("position").alias("p"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
         two = places.select(F.col("term").alias("right"), "doc", F.col("position").alias("q"), cell.alias("cell"))
-        near = asked_pairs.join(one, "left").join(two, ["right", "doc", "cell"]).where(F.abs(F.col("p") - F.col("q")) <= window)
+        near = asked.join(one, "left").join(two, ["right", "doc", "cell"]).where(F.abs(F.col("p") - F.col("q")) <= window)
         counts = near.groupBy("left", "right").agg(F.count("*").alias("n"))
-    return asked_pairs.join(counts, ["left", "right"], "left").select("left", "right", F.coalesce("n", F.lit(0)).cast("long").alias("raw_count"))
+    out = asked.join(counts, ["left", "right"], "left")
+    query = F.concat_ws(" && ", "left", "right")
+    return out.select("left", "right", F.coalesce("n", F.lit(0)).cast("long").alias("raw_count"), *_provenance(query, "entity_pair_cooccurrence", F.lit(RESOLVED), index_ref))
+
+
+def choose_backend(stored: bool, corpus: bool, allowed: tuple[str, ...] = ("stored", "corpus")) -> str:
+    """Which backend answers, in order: stored counts, the corpus itself, none; a backend that isn't allowed is never taken in place of another."""
+    for name, there in (("stored", stored), ("corpus", corpus)):
+        if there and name in allowed:
+            return name
+    return "missing"
+
+
+def missing_counts(wanted: DataFrame, kind: str) -> DataFrame:
+    """What the missing backend says of each ``query``: no count, and that nothing stood in for it."""
+    return wanted.select("query", F.lit(None).cast("long").alias("raw_count"), F.lit("missing").alias("backend_id"), F.lit(kind).alias("query_kind"), F.lit("local_index_absent").alias("status"), F.lit(None).cast("string").alias("index_ref"), F.lit(False).alias("approximate"), F.lit(True).alias("excluded"))
 
 
 def lookup_counts(wanted: DataFrame, fixture: DataFrame, kind: str, allow_approximate: bool = False) -> DataFrame:
     """Counts for ``query`` from a stored table, fail-closed: what is missing, approximate or failed stays null with its status."""
     stored = fixture.where(F.col("kind") == kind).select("query", F.col("raw_count").alias("_n"), F.col("status").alias("_s"), F.col("approximate").alias("_a"))
     out = wanted.join(stored, "query", "left")
-    bad = F.col("_s").rlike("^(api_|timeout|rate_limited|error|excluded_|cache_miss|local_index_absent)") | (F.coalesce("_a", F.lit(False)) & F.lit(not allow_approximate))
+    bad = F.col("_s").rlike(FAILED) | (F.coalesce("_a", F.lit(False)) & F.lit(not allow_approximate))
     excluded = F.col("_n").isNull() | F.coalesce(bad, F.lit(False))
     return out.select(*wanted.columns, F.when(~excluded, F.col("_n")).alias("raw_count"), F.coalesce("_s", F.lit("cache_miss")).alias("status"), excluded.alias("excluded"))
 

@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.maths import ENTITY_SCALE, LOW_FREQUENCY, NGRAM_CEILING, PAIR_SCALE, corpus_risk, coverage, log_axis, open_log_axis
 from ..functions.text import ngrams, normalize_term, overlap_match, space_tokens
-from .corpus import bridge_pairs, count_entities, count_pairs, entity_pairs
-
-#: A status that begins so rules out its count.
-FAILED = "^(api_|timeout|rate_limited|error|excluded_|cache_miss|local_index_absent)"
+from ..shared import written
+from .corpus import bridge_pairs, count_entities, count_pairs, entity_pairs, postings
 
 
 def row_status(n_entities: str, n_bad_backend: str, n_approximate: str, n_missing: str, n_fallback: str):
@@ -47,7 +45,7 @@ def bridge_features(rows: DataFrame, corpus: DataFrame, key: str, question: str,
 
     Missing counts are left out; with none left everything is 0 and the flag 1.
     """
-    pairs = bridge_pairs(rows, question, answer, [key])
+    pairs = written(bridge_pairs(rows, question, answer, [key]))
     counted = count_pairs(corpus, pairs)
     keyed = pairs.withColumns({"a": F.least("left", "right"), "b": F.greatest("left", "right")}).drop("left", "right")
     joined = keyed.join(counted.select(F.col("left").alias("a"), F.col("right").alias("b"), F.col("raw_count").alias("n")), ["a", "b"], "left").where("n is not null")
@@ -64,13 +62,16 @@ def ngram_coverage(rows: DataFrame, corpus: DataFrame, key: str, text: str, size
     """Counts of a text's n-grams in the corpus, per n: count, zero_count, min, mean, axis. Missing counts are 0; texts too short are all 0."""
     tokens = rows.select(key, space_tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
     out = tokens.select(key, F.size("t").alias("n_tokens"))
+    sized = lambda n: F.transform(ngrams(F.col("t"), n), lambda g: F.struct(F.lit(n).alias("size"), g.alias("gram")))
+    grams = written(tokens.select(key, F.explode(F.concat(*[sized(n) for n in sizes])).alias("x")).select(key, "x.size", normalize_term(F.col("x.gram")).alias("term")))
+    asked = grams.select("term").distinct()
+    counts = count_entities(corpus, asked, places=postings(corpus, asked)).select("term", "raw_count")
+    # Grams are matched by their normalised form; one that has none counts 0.
+    joined = grams.join(counts, "term", "left").withColumn("n", F.coalesce("raw_count", F.lit(0)))
+    agg = joined.groupBy(key, "size").agg(F.count("*").alias("count"), F.count_if(F.col("n") == 0).alias("zero_count"), F.min("n").alias("min"), F.avg("n").alias("mean"))
     for n in sizes:
-        grams = tokens.select(key, F.explode(ngrams(F.col("t"), n)).alias("gram"))
-        counts = count_entities(corpus, grams.select("gram").distinct(), "gram").select("term", "raw_count")
-        # Grams are matched by their normalised form; one that has none counts 0.
-        joined = grams.withColumn("term", normalize_term(F.col("gram"))).join(counts, "term", "left").withColumn("n", F.coalesce("raw_count", F.lit(0)))
-        agg = joined.groupBy(key).agg(F.count("*").alias(f"ngram_{n}_count"), F.count_if(F.col("n") == 0).alias(f"ngram_{n}_zero_count"), F.min("n").alias(f"ngram_{n}_min"), F.avg("n").alias(f"ngram_{n}_mean"))
-        out = out.join(agg, key, "left").na.fill(0, [f"ngram_{n}_count", f"ngram_{n}_zero_count", f"ngram_{n}_min", f"ngram_{n}_mean"])
+        names = {c: f"ngram_{n}_{c}" for c in ("count", "zero_count", "min", "mean")}
+        out = out.join(agg.where(F.col("size") == n).select(key, *[F.col(c).alias(x) for c, x in names.items()]), key, "left").na.fill(0, list(names.values()))
         out = out.withColumn(f"ngram_{n}_axis", open_log_axis(F.col(f"ngram_{n}_mean"), NGRAM_CEILING))
     return out
 

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
+from ..shared import written
 from .ranking import global_rank
 
-# The input columns of the two fusion families.
-CORE_INPUTS = ("semantic_entropy", "cluster_uncertainty", "sample_nll", "sample_logit_variance", "sample_logsumexp_mean", "sample_sequence_log_prob")
-CORPUS_INPUTS = (
-    "corpus_axis_bin_10", "frequency_axis", "pair_axis", "frequency_min", "bridge_axis", "bridge_min", "bridge_zero_flag",
-    "ngram_3_axis", "ngram_5_axis", "ngram_3_zero_count", "ngram_5_zero_count",
-)
+#: Spark's own limit; trees end where leaves are pure well before it.
+MAX_DEPTH = 30
+
+
+def numbers(rows: DataFrame, but: list[str]) -> list[str]:
+    """The numeric columns of a table of features, for use as inputs, without keys and labels."""
+    return [f.name for f in rows.schema.fields if f.name not in but and isinstance(f.dataType, NumericType)]
 
 
 def grouped_folds(rows: DataFrame, folds: int = 5, prompt: str = "prompt_id") -> DataFrame:
@@ -26,11 +31,11 @@ def grouped_folds(rows: DataFrame, folds: int = 5, prompt: str = "prompt_id") ->
 
 
 def model(kind: str, n_rows: int):
-    """logistic (L2 with unit cost, unscaled), forest (200 trees) or boosting (150 trees of depth 3)."""
+    """logistic (L2 with unit cost, unscaled), forest (200 full trees) or boosting (150 trees of depth 3)."""
     if kind == "logistic":
-        return LogisticRegression(maxIter=5000, regParam=1.0 / max(n_rows, 1), elasticNetParam=0.0, standardization=False)
+        return LogisticRegression(maxIter=5000, tol=1e-4, regParam=1.0 / max(n_rows, 1), elasticNetParam=0.0, standardization=False)
     if kind == "forest":
-        return RandomForestClassifier(numTrees=200, seed=42, maxDepth=16)
+        return RandomForestClassifier(numTrees=200, seed=42, maxDepth=MAX_DEPTH)
     if kind == "boosting":
         return GBTClassifier(maxIter=150, maxDepth=3, stepSize=0.1, seed=42)
     raise ValueError(f"unknown model {kind!r}")
@@ -39,17 +44,27 @@ def model(kind: str, n_rows: int):
 def out_of_fold(rows: DataFrame, inputs: list[str], label: str, kind: str, folds: int = 5, prompt: str = "prompt_id", estimator=None) -> DataFrame:
     """The rows with ``score``: the probability of label 1 from models that did not see the row's prompt.
 
-    Inputs that the rows lack are skipped; null inputs are 0.
+    Inputs that the rows lack are skipped; null and NaN inputs are 0.
     """
     have = [c for c in inputs if c in rows.columns]
     data = rows if "fold" in rows.columns else grouped_folds(rows, folds, prompt)
-    clean = data.select(*data.columns, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_x{i}") for i, c in enumerate(have)], F.col(label).cast("double").alias("_y"))
-    clean = VectorAssembler(inputCols=[f"_x{i}" for i in range(len(have))], outputCol="_features").transform(clean).drop(*[f"_x{i}" for i in range(len(have))]).cache()
-    out = None
-    for fold in range(folds):
-        train = clean.where(F.col("fold") != fold)
-        est = (estimator or model(kind, train.count())).copy()
-        fitted = est.setFeaturesCol("_features").setLabelCol("_y").setProbabilityCol("_p").setPredictionCol("_yhat").setRawPredictionCol("_raw").fit(train)
-        part = fitted.transform(clean.where(F.col("fold") == fold)).select(*data.columns, vector_to_array("_p")[1].alias("score"))
-        out = part if out is None else out.unionByName(part)
+    clean = data.select(*data.columns, *[F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(f"_x{i}") for i, c in enumerate(have)], F.col(label).cast("double").alias("_y"))
+    clean = written(clean)
+    ready = VectorAssembler(inputCols=[f"_x{i}" for i in range(len(have))], outputCol="_features").transform(clean).drop(*[f"_x{i}" for i in range(len(have))])
+    sizes = {r.fold: r["count"] for r in clean.groupBy("fold").count().collect()}  # one row a fold
+
+    def fold_scores(fold: int) -> DataFrame:
+        train = ready.where(F.col("fold") != fold).cache()
+        try:
+            est = (estimator or model(kind, sum(sizes.values()) - sizes.get(fold, 0))).copy()
+            fitted = est.setFeaturesCol("_features").setLabelCol("_y").setProbabilityCol("_p").setPredictionCol("_yhat").setRawPredictionCol("_raw").fit(train)
+        finally:
+            train.unpersist()
+        return fitted.transform(ready.where(F.col("fold") == fold)).select(*data.columns, vector_to_array("_p")[1].alias("score"))
+
+    with ThreadPool(folds) as pool:  # folds wait on the cluster side by side
+        parts = pool.map(fold_scores, range(folds))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out

@@ -3,28 +3,16 @@
 A window without a partition key sends all rows to one task.  Here rows are
 range-partitioned by the order instead, sums run within each range, and the
 totals of the ranges before it, a handful of rows, are added.  The ranges are
-checkpointed, as two evaluations could draw different borders.
+written to the shared folder, as two evaluations could draw different borders,
+so callers should pass the columns they need and no more.
 """
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the cluster's shared folder; in a temporary one only where none is set."""
-    spark = df.sparkSession
-    place = spark.conf.get("spark.checkpoint.dir", None) or _own.setdefault("dir", "")
-    if not place:
-        place = _own["dir"] = tempfile.mkdtemp(prefix="corvane-")
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(place)
-    return df.checkpoint(eager=True)
+from ..shared import written
 
 
 def running_sums(df: DataFrame, by: list[str], order: list[Column], sums: dict[str, Column]) -> DataFrame:
@@ -34,8 +22,7 @@ def running_sums(df: DataFrame, by: list[str], order: list[Column], sums: dict[s
     """
     keys = [f"_o{i}" for i in range(len(order))]
     rows = df.select("*", *[o.alias(k) for o, k in zip(order, keys, strict=True)], *[v.alias(f"_v_{n}") for n, v in sums.items()])
-    rows = rows.repartitionByRange(*by, *keys) if by or keys else rows
-    rows = cut(rows.withColumn("_range", F.spark_partition_id()))
+    rows = written(rows.repartitionByRange(*by, *keys).withColumn("_range", F.spark_partition_id()))
     inside = Window.partitionBy(*by, "_range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy(*by, "_range").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])

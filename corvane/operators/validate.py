@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.maths import close
 from ..schemas import REQUIRED_CANDIDATE_FIELDS, SCHEMA_VERSION
 
-LEAKAGE_WORDS = ("is_correct", "label", "hallucination", "correctness")
+# Hints of correctness in a feature's source, roles that may not be trained on, and the one feature the hints don't count for.
+LEAKAGE_HINTS = ("gold", "correct_answers", "gold_answers", "right_answer", "correctness", "is_hallucination", "label")
+PROHIBITED_ROLES = ("label_only", "correctness_derived")
+HINTS_ALLOWED = "semantic_energy_proxy"
+TEXT_ONLY = "candidate_text"
 
 
 def with_schema_version(df: DataFrame, version: str = SCHEMA_VERSION) -> DataFrame:
@@ -66,11 +70,17 @@ def window_faults(tokens: DataFrame, key: str, position: str) -> DataFrame:
 
 
 def provenance_faults(provenance: DataFrame) -> DataFrame:
-    """Trainable features that depend on correctness, or whose source names a label."""
-    leak = F.lit(False)
-    for w in LEAKAGE_WORDS:
-        leak = leak | F.lower("source").contains(w)
-    return provenance.where(F.col("trainable") & (F.col("depends_on_correctness") | leak)).select("feature_name", "source")
+    """(feature_name, source, fault): trainable features that depend on correctness, have a prohibited role or a source that hints at a label, and any whose source is the candidate's text alone."""
+    source = F.lower("source")
+    hinted = F.exists(F.array(*[F.lit(h) for h in LEAKAGE_HINTS]), lambda h: F.contains(source, h))
+    faults = [
+        ("depends_on_correctness", F.col("trainable") & F.col("depends_on_correctness")),
+        ("prohibited_role", F.col("trainable") & F.col("role").isin(*PROHIBITED_ROLES)),
+        ("leakage_hint", F.col("trainable") & hinted & (F.col("feature_name") != HINTS_ALLOWED)),
+        ("candidate_text", F.contains(source, F.lit(TEXT_ONLY))),
+    ]
+    named = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in faults]), lambda x: x.isNotNull())
+    return provenance.select("feature_name", "source", F.explode(named).alias("fault"))
 
 
 def duplicates(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -46,3 +46,11 @@ def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = F.split(F.regexp_replace(F.lower("text"), "[^a-z0-9 ]+", ""), " +")
     b = table(spark, sf_dir, "benchmark").select(w.alias("w"))
     return b.select(F.explode(F.array(F.get("w", F.lit(0)), F.concat_ws(" ", F.get("w", F.lit(1)), F.get("w", F.lit(2))), F.get("w", F.lit(3)))).alias("term")).where("term is not null").distinct()
+
+
+def item_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_id, entities): the same terms, those of an item together."""
+    w = F.split(F.regexp_replace(F.lower("text"), "[^a-z0-9 ]+", ""), " +")
+    b = table(spark, sf_dir, "benchmark").select("item_id", w.alias("w"))
+    found = F.array(F.get("w", F.lit(0)), F.concat_ws(" ", F.get("w", F.lit(1)), F.get("w", F.lit(2))), F.get("w", F.lit(3)))
+    return b.select("item_id", F.filter(found, lambda t: t.isNotNull()).alias("entities"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize_term, phrase_candidates
 from ..operators import binning, corpus, features, metrics
-from .bindings import labelled_documents, table, terms, turns
+from .bindings import item_terms, labelled_documents, table, terms, turns
 from .q_text import _first_seen, _phrases
 from .registry import LABELLED, TERMS, TURNS, norm, query, response, sql_auroc
 
@@ -17,13 +17,18 @@ _TOKENS = f"(SELECT doc_id AS doc, list_filter(regexp_split_to_array({norm('text
 def _occurrences(asked: str) -> str:
     """(term, doc, position) of asked terms (a relation with ``term``), in SQL."""
     return f"""(SELECT a.term, g.doc, g.position FROM (SELECT DISTINCT term, len(regexp_split_to_array(term, ' ')) AS words FROM {asked} WHERE term <> '') a
-        JOIN (SELECT doc, n, unnest(range(greatest(len(t) - n + 1, 0))) AS position, unnest(list_transform(range(1, greatest(len(t) - n + 2, 1)), lambda i: array_to_string(t[i:i+n-1], ' '))) AS term FROM {_TOKENS}, range(1, 9) r(n)
-              WHERE n IN (SELECT DISTINCT len(regexp_split_to_array(term, ' ')) FROM {asked} WHERE term <> '')) g ON g.term = a.term AND g.n = a.words)"""
+        JOIN (SELECT doc, n, unnest(range(greatest(len(t) - n + 1, 0))) AS position, unnest(list_transform(range(1, greatest(len(t) - n + 2, 1)), lambda i: array_to_string(t[i:i+n-1], ' '))) AS term
+              FROM {_TOKENS}, (SELECT DISTINCT len(regexp_split_to_array(term, ' ')) AS n FROM {asked} WHERE term <> '')) g ON g.term = a.term AND g.n = a.words)"""
 
 
 _ASKED = f"(SELECT DISTINCT {norm('term')} AS term FROM {TERMS})"
-_PAIRS = f'''(SELECT DISTINCT a.term AS "left", b.term AS "right" FROM {_ASKED} a JOIN {_ASKED} b ON a.term < b.term WHERE a.term <> '' AND substr(md5(a.term), 1, 1) = substr(md5(b.term), 1, 1))'''
+_ITEM_TERMS = """(SELECT item_id, list_distinct([w[1], concat_ws(' ', w[2], w[3]), w[4]]) AS e FROM
+    (SELECT item_id, regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9 ]+', '', 'g'), ' +') AS w FROM benchmark))"""
+_PAIRS = f'''(SELECT DISTINCT least({norm('l')}, {norm('r')}) AS "left", greatest({norm('l')}, {norm('r')}) AS "right" FROM (SELECT unnest(e) AS l, e FROM {_ITEM_TERMS}), unnest(e) u(r)
+    WHERE l < r AND {norm('l')} <> '' AND {norm('r')} <> '' AND {norm('l')} <> {norm('r')})'''
 _BOTH = f'(SELECT "left" AS term FROM {_PAIRS} UNION SELECT "right" FROM {_PAIRS})'
+_KIND = "'corvane_corpus' AS backend_id, {q} AS query, '{k}' AS query_kind, {s} AS status, 'corpus' AS index_ref, FALSE AS approximate, {x} AS excluded"
+_PAIR_KIND = _KIND.format(q="\"left\" || ' && ' || \"right\"", k="entity_pair_cooccurrence", s="'resolved'", x="FALSE")
 
 
 def _corpus(spark: SparkSession, sf: str) -> DataFrame:
@@ -31,19 +36,22 @@ def _corpus(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
-    t = terms(spark, sf).select(normalize_term(F.col("term")).alias("t")).where("t <> ''").distinct().withColumn("h", F.substring(F.md5(F.col("t").cast("binary")), 1, 1))
-    return t.select("h", F.col("t").alias("left")).join(t.select("h", F.col("t").alias("right")), "h").where("left < right").select("left", "right")
+    """The pairs of each benchmark item's terms."""
+    return corpus.entity_pairs(item_terms(spark, sf), "entities")
 
 
-@query(f"SELECT t.term, CASE WHEN t.term <> '' THEN count(o.doc) END AS raw_count, CASE WHEN t.term <> '' THEN 'resolved' ELSE 'excluded_empty_normalized_query' END AS status FROM (SELECT DISTINCT term FROM {_ASKED}) t LEFT JOIN {_occurrences(_ASKED)} o USING (term) GROUP BY t.term")
+@query(
+    f"""SELECT t.term, CASE WHEN t.term <> '' THEN count(o.doc) END AS raw_count, {_KIND.format(q='t.term', k='entity_frequency', s="CASE WHEN t.term <> '' THEN 'resolved' ELSE 'excluded_empty_normalized_query' END", x="t.term = ''")}
+        FROM (SELECT DISTINCT term FROM {_ASKED}) t LEFT JOIN {_occurrences(_ASKED)} o USING (term) GROUP BY t.term"""
+)
 def entity_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Occurrences of each asked term in the corpus."""
+    """Occurrences of each asked term in the corpus, with their provenance."""
     return corpus.count_entities(_corpus(spark, sf), terms(spark, sf))
 
 
 @query(
     f"""WITH o AS (SELECT DISTINCT term, doc FROM {_occurrences(_BOTH)}), c AS (SELECT p."left", p."right", count(*) AS n FROM {_PAIRS} p JOIN o x ON x.term = p."left" JOIN o y ON y.term = p."right" AND y.doc = x.doc GROUP BY ALL)
-        SELECT p."left", p."right", coalesce(n, 0)::BIGINT AS raw_count FROM {_PAIRS} p LEFT JOIN c USING ("left", "right")"""
+        SELECT p."left", p."right", coalesce(n, 0)::BIGINT AS raw_count, {_PAIR_KIND} FROM {_PAIRS} p LEFT JOIN c USING ("left", "right")"""
 )
 def pair_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Documents in which both terms of a pair occur."""
@@ -52,7 +60,7 @@ def pair_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"""WITH o AS (SELECT * FROM {_occurrences(_BOTH)}), c AS (SELECT p."left", p."right", count(*) AS n FROM {_PAIRS} p JOIN o x ON x.term = p."left" JOIN o y ON y.term = p."right" AND y.doc = x.doc AND abs(x.position - y.position) <= 100 GROUP BY ALL)
-        SELECT p."left", p."right", coalesce(n, 0)::BIGINT AS raw_count FROM {_PAIRS} p LEFT JOIN c USING ("left", "right")"""
+        SELECT p."left", p."right", coalesce(n, 0)::BIGINT AS raw_count, {_PAIR_KIND} FROM {_PAIRS} p LEFT JOIN c USING ("left", "right")"""
 )
 def pair_counts_in_window(spark: SparkSession, sf: str) -> DataFrame:
     """Position pairs of both terms at most 100 words apart."""
@@ -107,7 +115,8 @@ def candidate_axes(spark: SparkSession, sf: str) -> DataFrame:
     """Frequency and co-occurrence axes of answers, from direct corpus counts."""
     rows, docs = _qa(spark, sf), _corpus(spark, sf)
     one, two = corpus.asked_terms(rows, "entities")
-    out = features.entity_axes(rows, corpus.count_entities(docs, one), corpus.count_pairs(docs, two), "id", "entities")
+    places = corpus.postings(docs, one)  # the pairs' terms are among them
+    out = features.entity_axes(rows, corpus.count_entities(docs, one, places=places), corpus.count_pairs(docs, two, places=places), "id", "entities")
     return out.select("id", "n_entities", "n_pairs", "counts_complete", F.round("frequency_mean", 6).alias("frequency_mean"), "frequency_min", F.round("pair_mean", 6).alias("pair_mean"), "frequency_axis", "pair_axis", "low_frequency_flag", "zero_pair_flag")
 
 
@@ -143,17 +152,17 @@ def ngram_support(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumns({f"ngram_{n}_{c}": F.round(f"ngram_{n}_{c}", 6) for n in (3, 5) for c in ("mean", "axis")})
 
 
-_OVER = rf"""(SELECT s.id, g.item_id, len(s.w) > 0 AND (len(list_intersect(s.w, g.w))::DOUBLE / nullif(len(list_distinct(list_concat(s.w, g.w))), 0) >= 0.5 OR (s.c <> '' AND g.c <> '' AND (contains(s.c, g.c) OR contains(g.c, s.c)))) AS m FROM
-    (SELECT doc_id AS id, doc_id % 8 AS k, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: t <> '')) AS w, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS c FROM documents) s JOIN
-    (SELECT item_id, item_id % 8 AS k, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: t <> '')) AS w, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS c FROM benchmark) g USING (k))"""
+_SETS = lambda x: f"list_distinct(list_filter(regexp_split_to_array(lower({x}), '[^a-z0-9]+'), lambda t: t <> '')) AS w, lower(trim(regexp_replace({x}, '\\s+', ' ', 'g'))) AS c"
+_OVER = f"""(SELECT s.id, len(s.w) > 0 AND (len(list_intersect(s.w, g.w))::DOUBLE / nullif(len(list_distinct(list_concat(s.w, g.w))), 0) >= 0.5 OR (s.c <> '' AND g.c <> '' AND (contains(s.c, g.c) OR contains(g.c, s.c)))) AS m FROM
+    (SELECT conv_id * 100 + turn AS id, conv_id, {_SETS('answer')} FROM {TURNS}) s JOIN (SELECT conv_id, {_SETS('question')} FROM {TURNS}) g USING (conv_id))"""
 
 
 @query(f"SELECT id, max(coalesce(m, FALSE)::INT) AS is_correct, count(*) AS n_candidates FROM {_OVER} GROUP BY id")
 def overlap_correctness(spark: SparkSession, sf: str) -> DataFrame:
-    """Answers against their group's gold answers by token overlap."""
-    s = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 8).alias("prompt_id"), F.col("text").alias("response_text"))
-    g = table(spark, sf, "benchmark").select((F.col("item_id") % 8).alias("prompt_id"), F.col("text").alias("answer"))
-    return features.overlap_labels(s, g, ["id"])
+    """Answers against all texts that their conversation holds as gold, by token overlap."""
+    t = turns(spark, sf)
+    s = t.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("conv_id").alias("prompt_id"), F.col("answer").alias("response_text"))
+    return features.overlap_labels(s, t.select(F.col("conv_id").alias("prompt_id"), F.col("question").alias("answer")), ["id"])
 
 
 @query(

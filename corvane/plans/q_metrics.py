@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fixed, percent
-from ..operators import binning, bootstrap, metrics
-from ..operators.fusion import grouped_folds, out_of_fold
+from ..functions.tokens import token_stats
+from ..operators import binning, bootstrap, corpus, features, metrics, semantic
+from ..operators.fusion import grouped_folds, numbers, out_of_fold
 from ..operators.ranking import global_rank, running_sums
 from .bindings import labelled_documents, samples, scored_events, table
 from .registry import EVENTS, LABELLED, SAMPLES, query, sql_auprc, sql_aurac, sql_auroc, sql_rank_bins
@@ -19,11 +20,12 @@ LONG = f"(SELECT event_id, prompt_id, dataset, is_correct, method, score FROM {E
 
 
 def _binned_docs(spark: SparkSession, sf: str) -> DataFrame:
-    return binning.rank_bins(labelled_documents(spark, sf), "n_chars", ["doc_id"], 10, "bin")
+    return binning.rank_bins(labelled_documents(spark, sf).select("doc_id", "n_chars", "is_correct"), "n_chars", ["doc_id"], 10, "bin")
 
 
-def _binned_events(spark: SparkSession, sf: str) -> DataFrame:
-    return binning.rank_bins(scored_events(spark, sf), "s_mod", ["event_id"], 10, "bin")
+def _binned_events(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    rows = scored_events(spark, sf)
+    return binning.rank_bins(rows.select(*dict.fromkeys(["event_id", "s_mod", *columns])) if columns else rows, "s_mod", ["event_id"], 10, "bin")
 
 
 def _long(spark: SparkSession, sf: str) -> DataFrame:
@@ -49,7 +51,8 @@ def auroc_by_dataset(spark: SparkSession, sf: str) -> DataFrame:
 _FLIP = f"(SELECT l.* EXCLUDE (score), CASE WHEN a.auroc < 0.5 THEN -score ELSE score END AS score, a.auroc < 0.5 AS flipped FROM {LONG} l JOIN {sql_auroc(LONG, 'score', 'is_correct', ['method'])} a USING (method))"
 _SCALED = f"(SELECT * EXCLUDE (score), (score - min(score) OVER m) / (max(score) OVER m - min(score) OVER m + 1e-9) AS score FROM {_FLIP} WINDOW m AS (PARTITION BY method))"
 _CLIP = f"(SELECT *, greatest(least(score, 1 - 1e-6), 1e-6) AS s FROM {_SCALED})"
-_CALIBRATION = f"""(SELECT method, sum(sq) / sum(n) AS brier, sum(n * abs(conf - acc)) / sum(n) AS ece FROM (SELECT method, floor(s * 10) AS b, count(*) AS n, avg(s) AS conf, avg(is_correct) AS acc,
+_EDGES = " + ".join(f"(s >= '{i * 0.1!r}'::DOUBLE)::INT" for i in range(1, 10))
+_CALIBRATION = f"""(SELECT method, sum(sq) / sum(n) AS brier, sum(n * abs(conf - acc)) / sum(n) AS ece FROM (SELECT method, {_EDGES} AS b, count(*) AS n, avg(s) AS conf, avg(is_correct) AS acc,
     sum((s - is_correct) * (s - is_correct)) AS sq FROM {_CLIP} GROUP BY ALL) GROUP BY method)"""
 
 
@@ -60,20 +63,14 @@ _CALIBRATION = f"""(SELECT method, sum(sq) / sum(n) AS brier, sum(n * abs(conf -
 )
 def single_signal_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """Each signal oriented and scaled: AUROC, AUPRC, AURAC, Brier, ECE."""
-    rows = metrics.oriented(_long(spark, sf), "score", "is_correct", ["method"])
-    rows = metrics.min_max(rows, "score", ["method"])
+    long = _long(spark, sf).select("event_id", "is_correct", "method", "score")
+    rows = metrics.min_max(metrics.oriented(long, "score", "is_correct", ["method"]), "score", ["method"])
     out = rows.groupBy("method").agg(F.bool_or("flipped").alias("flipped"))
-    for part in (
-        metrics.auroc(rows, "score", "is_correct", ["method"]).select("method", "auroc"),
-        metrics.auprc(rows, "score", "is_correct", ["method"]),
-        metrics.aurac(rows, "score", "is_correct", ["event_id"], ["method"]),
-        metrics.brier_ece(rows, "score", "is_correct", ["method"]),
-    ):
-        out = out.join(part, "method")
+    out = out.join(metrics.ranked(rows, "score", "is_correct", ["event_id"], ["method"]), "method").join(metrics.brier_ece(rows, "score", "is_correct", ["method"]), "method")
     return out.select("method", "flipped", *[F.round(c, 6).alias(c) for c in ("auroc", "auprc", "aurac", "brier", "ece")])
 
 
-@query(f"SELECT dataset, method, round(brier, 6) AS brier, round(ece, 6) AS ece FROM {_CALIBRATION.replace('method, ', 'dataset, method, ', 2).replace('GROUP BY method', 'GROUP BY dataset, method').replace('SELECT dataset, method, floor', 'SELECT dataset, method, floor')}")
+@query(f"SELECT dataset, method, round(brier, 6) AS brier, round(ece, 6) AS ece FROM {_CALIBRATION.replace('method, ', 'dataset, method, ', 2).replace('GROUP BY method', 'GROUP BY dataset, method')}")
 def calibration_by_dataset(spark: SparkSession, sf: str) -> DataFrame:
     rows = metrics.min_max(metrics.oriented(_long(spark, sf), "score", "is_correct", ["method"]), "score", ["method"])
     out = metrics.brier_ece(rows, "score", "is_correct", ["dataset", "method"])
@@ -89,7 +86,7 @@ _LONG_BIN = f"(SELECT l.*, b.bin FROM {LONG} l JOIN (SELECT event_id, bin FROM {
         JOIN {sql_aurac(_LONG_BIN, 'score', 'is_correct', 'event_id', ['method', 'bin'])} USING (method, bin)"""
 )
 def metrics_by_bin(spark: SparkSession, sf: str) -> DataFrame:
-    bins = _binned_events(spark, sf).select("event_id", "bin")
+    bins = _binned_events(spark, sf, "event_id").select("event_id", "bin")
     out = metrics.by_bin(_long(spark, sf).join(bins, "event_id"), "score", "is_correct", "bin", ["event_id"], ["method"])
     return out.withColumns({c: F.round(c, 6) for c in ("auroc", "aurac")})
 
@@ -99,8 +96,7 @@ def metrics_by_bin(spark: SparkSession, sf: str) -> DataFrame:
         JOIN {sql_auprc(LONG, 'score', 'is_correct', ['method', 'dataset'])} USING (method, dataset)"""
 )
 def metrics_by_dataset(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _long(spark, sf)
-    out = metrics.auroc(rows, "score", "is_correct", ["method", "dataset"]).join(metrics.auprc(rows, "score", "is_correct", ["method", "dataset"]), ["method", "dataset"])
+    out = metrics.ranked(_long(spark, sf), "score", "is_correct", ["event_id"], ["method", "dataset"]).drop("aurac")
     return out.withColumns({c: F.round(c, 6) for c in ("auroc", "auprc")})
 
 
@@ -109,7 +105,7 @@ _DS_BIN = sql_auroc(BINNED_EVENTS, "s_value", "is_correct", ["dataset", "bin"])
 
 @query(f"SELECT dataset, round(max(auroc) - min(auroc), 6) AS delta, count(auroc) AS n_bins FROM {_DS_BIN} GROUP BY dataset")
 def spread_by_dataset(spark: SparkSession, sf: str) -> DataFrame:
-    area = metrics.auroc(_binned_events(spark, sf), "s_value", "is_correct", ["dataset", "bin"])
+    area = metrics.auroc(_binned_events(spark, sf, "s_value", "is_correct", "dataset"), "s_value", "is_correct", ["dataset", "bin"])
     return metrics.spread(area, "auroc", ["dataset"]).withColumn("delta", F.round("delta", 6))
 
 
@@ -119,7 +115,7 @@ def spread_by_dataset(spark: SparkSession, sf: str) -> DataFrame:
 )
 def sensitivity_to_datasets(spark: SparkSession, sf: str) -> DataFrame:
     """Spread over bins with each dataset left out (-1: none), and its ratio to the whole."""
-    rows = _binned_events(spark, sf).withColumn("excluded", F.explode(F.array(*[F.lit(i) for i in range(-1, 4)]))).where("dataset <> excluded")
+    rows = _binned_events(spark, sf, "s_value", "is_correct", "dataset").withColumn("excluded", F.explode(F.array(*[F.lit(i) for i in range(-1, 4)]))).where("dataset <> excluded")
     out = metrics.spread(metrics.auroc(rows, "s_value", "is_correct", ["excluded", "bin"]), "auroc", ["excluded"])
     whole = out.where("excluded = -1").select(F.col("delta").alias("_w"))
     return out.crossJoin(F.broadcast(whole)).select("excluded", F.round("delta", 6).alias("delta"), F.round(F.try_divide("delta", "_w"), 6).alias("ratio"))
@@ -128,14 +124,15 @@ def sensitivity_to_datasets(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     f"""WITH a AS (SELECT method, bin, auroc FROM {sql_auroc(_LONG_BIN, 'score', 'is_correct', ['method', 'bin'])} WHERE auroc IS NOT NULL),
         r AS (SELECT method, rank() OVER (PARTITION BY method ORDER BY bin) + (count(*) OVER (PARTITION BY method, bin) - 1) / 2.0 AS x,
-              rank() OVER (PARTITION BY method ORDER BY auroc) + (count(*) OVER (PARTITION BY method, auroc) - 1) / 2.0 AS y FROM a)
-        SELECT method, CASE WHEN count(*) >= 3 THEN round(corr(x, y), 6) END AS rho, count(*) AS n_bins FROM r GROUP BY method"""
+              rank() OVER (PARTITION BY method ORDER BY auroc) + (count(*) OVER (PARTITION BY method, auroc) - 1) / 2.0 AS y FROM a),
+        c AS (SELECT method, CASE WHEN count(*) >= 3 THEN corr(x, y) END AS rho, count(*) AS n_bins FROM r GROUP BY method), t AS (SELECT *, 1 - rho * rho AS c FROM c)
+        SELECT method, round(rho, 6) AS rho, n_bins, round(CASE WHEN n_bins = 10 THEN 1 - abs(rho) * (1 + c / 2 + 3 * c * c / 8 + 5 * c * c * c / 16) END, 6) AS p_value FROM t"""
 )
 def spearman_grid(spark: SparkSession, sf: str) -> DataFrame:
-    """Rank correlation of a bin's number with its AUROC, for every signal in one job."""
-    bins = _binned_events(spark, sf).select("event_id", "bin")
+    """Rank correlation of a bin's number with its AUROC and its p, for every signal in one job."""
+    bins = _binned_events(spark, sf, "event_id").select("event_id", "bin")
     area = metrics.auroc(_long(spark, sf).join(bins, "event_id"), "score", "is_correct", ["method", "bin"])
-    return metrics.spearman(area, "bin", "auroc", ["method"]).withColumn("rho", F.round("rho", 6))
+    return metrics.spearman(area, "bin", "auroc", ["method"]).withColumns({c: F.round(c, 6) for c in ("rho", "p_value")})
 
 
 @query(
@@ -154,18 +151,18 @@ def _sql_draws(reps: int, seed: int = 42) -> str:
         JOIN (SELECT prompt_id, row_number() OVER (ORDER BY prompt_id) - 1 AS i FROM (SELECT DISTINCT prompt_id FROM {EVENTS})) q ON q.i = d.j GROUP BY ALL)"""
 
 
-@query(f"SELECT rep::INT AS rep, prompt_id, w FROM {_sql_draws(5)}")
+@query(f"SELECT rep::INT AS rep, prompt_id, w FROM {_sql_draws(bootstrap.REPLICATES)}")
 def bootstrap_weight_table(spark: SparkSession, sf: str) -> DataFrame:
-    return bootstrap.bootstrap_weights(scored_events(spark, sf), 5)
+    return bootstrap.bootstrap_weights(scored_events(spark, sf))
 
 
-_DRAWN = f"(SELECT e.*, d.rep, d.w FROM {BINNED_EVENTS} e JOIN {_sql_draws(20)} d USING (prompt_id))"
+_DRAWN = f"(SELECT e.*, d.rep, d.w FROM {BINNED_EVENTS} e JOIN {_sql_draws(bootstrap.REPLICATES)} d USING (prompt_id))"
 
 
 @query(f"SELECT round(avg(auroc), 6) AS mean, round(quantile_cont(auroc, 0.025), 6) AS low, round(quantile_cont(auroc, 0.975), 6) AS high, avg((auroc > 0)::INT) AS share_positive, count(*) AS n_reps FROM {sql_auroc(_DRAWN, 's_value', 'is_correct', ['rep'], 'w')}")
 def bootstrap_auroc(spark: SparkSession, sf: str) -> DataFrame:
     rows = scored_events(spark, sf)
-    out = bootstrap.interval(bootstrap.weighted_auroc(rows, bootstrap.bootstrap_weights(rows, 20), "s_value", "is_correct"), "auroc")
+    out = bootstrap.interval(bootstrap.weighted_auroc(rows, bootstrap.bootstrap_weights(rows), "s_value", "is_correct"), "auroc")
     return out.withColumns({c: F.round(c, 6) for c in ("mean", "low", "high")})
 
 
@@ -176,8 +173,8 @@ def bootstrap_auroc(spark: SparkSession, sf: str) -> DataFrame:
 )
 def bootstrap_spread_difference(spark: SparkSession, sf: str) -> DataFrame:
     """Spread over one axis less spread over another, with its interval."""
-    rows = _binned_events(spark, sf)
-    out = bootstrap.interval(bootstrap.spread_difference(rows, bootstrap.bootstrap_weights(rows, 20), "s_value", "is_correct", "bin", "dataset"), "difference")
+    rows = _binned_events(spark, sf, "prompt_id", "s_value", "is_correct", "dataset")
+    out = bootstrap.interval(bootstrap.spread_difference(rows, bootstrap.bootstrap_weights(rows), "s_value", "is_correct", "bin", "dataset"), "difference")
     return out.withColumns({c: F.round(c, 6) for c in ("mean", "low", "high")})
 
 
@@ -186,8 +183,8 @@ def bootstrap_spread_difference(spark: SparkSession, sf: str) -> DataFrame:
         SELECT bin, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high, avg((v > 0)::INT) AS share_positive, count(*) AS n_reps FROM x WHERE v IS NOT NULL GROUP BY bin"""
 )
 def bootstrap_lift_by_bin(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _binned_events(spark, sf)
-    out = bootstrap.interval(bootstrap.lift(rows, bootstrap.bootstrap_weights(rows, 20), "s_value", "s_fold", "is_correct", ["bin"]), "lift", ["bin"])
+    rows = _binned_events(spark, sf, "prompt_id", "s_value", "s_fold", "is_correct")
+    out = bootstrap.interval(bootstrap.lift(rows, bootstrap.bootstrap_weights(rows), "s_value", "s_fold", "is_correct", ["bin"]), "lift", ["bin"])
     return out.withColumns({c: F.round(c, 6) for c in ("mean", "low", "high")})
 
 
@@ -222,7 +219,7 @@ def cutoff_bins(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT doc_id, k, round(sum(is_correct) OVER w / k, 6) AS accuracy FROM (SELECT *, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS k FROM {LABELLED}) WINDOW w AS (ORDER BY k ROWS UNBOUNDED PRECEDING)")
 def cumulative_accuracy(spark: SparkSession, sf: str) -> DataFrame:
-    rows = running_sums(labelled_documents(spark, sf), [], [-F.col("n_chars"), F.col("doc_id")], {"hits": F.col("is_correct").cast("long"), "k": F.lit(1).cast("long")})
+    rows = running_sums(labelled_documents(spark, sf).select("doc_id", "n_chars", "is_correct"), [], [-F.col("n_chars"), F.col("doc_id")], {"hits": F.col("is_correct").cast("long"), "k": F.lit(1).cast("long")})
     return rows.select("doc_id", "k", F.round(F.col("hits") / F.col("k"), 6).alias("accuracy"))
 
 
@@ -255,13 +252,18 @@ def grouped_fold_sizes(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("fold").agg(F.count("*").alias("n_rows"), F.countDistinct("prompt_id").alias("n_prompts"), F.sum("is_correct").cast("long").alias("n_correct"))
 
 
-def _fusion(spark: SparkSession, sf: str, kind: str, estimator=None) -> DataFrame:
-    rows = labelled_documents(spark, sf).select(
-        "doc_id", F.col("source").alias("prompt_id"), "is_correct", F.log1p("n_chars").alias("length"), (F.size(F.split("text", " ")) / F.col("n_chars")).alias("words"),
-        (F.size(F.array_distinct(F.split("text", " "))) / F.size(F.split("text", " "))).alias("distinct"), F.col("toxic").alias("flag"),
-    )
-    out = out_of_fold(rows, ["length", "words", "distinct", "flag", "absent"], "is_correct", kind, estimator=estimator)
-    return out.select(F.lit(kind).alias("method"), "doc_id", "prompt_id", "fold", "is_correct", "score")
+def _fusion(spark: SparkSession, sf: str, kind: str, support: bool = True) -> DataFrame:
+    """Out-of-fold scores from all numbers that the signal tables hold, and with ``support`` those of the support tables too."""
+    s = samples(spark, sf)
+    stats = token_stats(F.col("selected_token_logits"), F.col("logsumexp"))
+    rows = s.select("prompt_id", "sample_index", (F.col("response_text") == "label_1").cast("int").alias("is_correct"), *[c.alias(k) for k, c in stats.items() if k != "n_tokens"])
+    rows = rows.join(semantic.semantic_features(semantic.cluster_table(s, semantic.same_text_clusters(s)), s).select("prompt_id", "semantic_entropy", "cluster_uncertainty"), "prompt_id")
+    if support:
+        items = table(spark, sf, "benchmark").select(F.col("item_id").alias("prompt_id"), "text")
+        counts = features.ngram_coverage(items, corpus.corpus_tokens(table(spark, sf, "documents")), "prompt_id", "text")
+        rows = rows.join(counts.select("prompt_id", *[c for c in counts.columns if c.endswith(("_axis", "_zero_count"))]), "prompt_id", "left")
+    out = out_of_fold(rows, numbers(rows, ["prompt_id", "sample_index", "is_correct"]), "is_correct", kind)
+    return out.select(F.lit(kind).alias("method"), F.lit(support).alias("with_support"), "prompt_id", "sample_index", "fold", "is_correct", "score")
 
 
 @query()
@@ -269,6 +271,12 @@ def fusion_logistic(spark: SparkSession, sf: str) -> DataFrame:
     return _fusion(spark, sf, "logistic")
 
 
+@query()
+def fusion_logistic_signals(spark: SparkSession, sf: str) -> DataFrame:
+    """The same without the support tables."""
+    return _fusion(spark, sf, "logistic", support=False)
+
+
 @query()
 def fusion_forest(spark: SparkSession, sf: str) -> DataFrame:
     return _fusion(spark, sf, "forest")
@@ -276,9 +284,7 @@ def fusion_forest(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def fusion_boosting(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.ml.classification import GBTClassifier
-
-    return _fusion(spark, sf, "boosting", GBTClassifier(maxIter=20, maxDepth=3, stepSize=0.1, seed=42))
+    return _fusion(spark, sf, "boosting")
 
 
 @query(
@@ -290,11 +296,11 @@ def fusion_boosting(spark: SparkSession, sf: str) -> DataFrame:
 )
 def headline(spark: SparkSession, sf: str) -> DataFrame:
     """The numbers of a report in one row."""
-    rows, binned = scored_events(spark, sf), _binned_events(spark, sf)
+    rows, binned = scored_events(spark, sf), _binned_events(spark, sf, "s_value", "is_correct")
     at = lambda b: F.max(F.when(F.col("bin") == b, F.col("auroc")))
     bins = metrics.auroc(binned, "s_value", "is_correct", ["bin"]).agg((F.max("auroc") - F.min("auroc")).alias("delta"), at(0).alias("lowest_bin"), at(9).alias("highest_bin"))
     counts = rows.agg(F.count("*").alias("n_rows"), F.countDistinct("prompt_id").alias("n_prompts"), F.avg("is_correct").alias("accuracy"))
-    out = counts.crossJoin(metrics.auroc(rows, "s_value", "is_correct").select("auroc")).crossJoin(metrics.aurac(rows, "s_value", "is_correct", ["event_id"])).crossJoin(bins)
+    out = counts.crossJoin(metrics.ranked(rows, "s_value", "is_correct", ["event_id"]).select("auroc", "aurac")).crossJoin(bins)
     return out.select("n_rows", "n_prompts", *[F.round(c, 6).alias(c) for c in ("accuracy", "auroc", "aurac", "delta", "lowest_bin", "highest_bin")], fixed(F.col("auroc"), 3).alias("auroc_text"), percent(F.col("accuracy")).alias("accuracy_text"))
 
 

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.tokens import token_stats
 from ..operators import semantic, validate
 from ..operators.binning import rank_bins
-from ..operators.ranking import _own, cut
 from ..schemas import CANDIDATES, SCHEMA_VERSION
+from ..shared import scratch
 from ..sources import readers, writers
 from ..streaming.incremental import label_rates, missing_items
 from .bindings import samples, scored_events, table, turns
@@ -19,15 +17,6 @@ from .q_semantic import _FEATURES, _STATS
 from .registry import EVENTS, SAMPLES, TURNS, query
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A fresh place in the cluster's shared folder."""
-    place = spark.conf.get("spark.checkpoint.dir", None) or _own.get("dir")
-    if not place:
-        cut(spark.range(1))
-        place = _own["dir"]
-    return f"{place}/corvane-{uuid.uuid4().hex}"
-
-
 @query(
     f"""WITH d AS (SELECT prompt_id, sample_index, round(-mean_like, 6) AS sample_nll FROM {_STATS}), p AS (SELECT prompt_id, max(response_text) AS top_text, count(*) AS n FROM {SAMPLES} WHERE prompt_id % 4 <> 0 GROUP BY prompt_id),
         b AS (SELECT prompt_id, least((row_number() OVER (ORDER BY semantic_entropy, prompt_id) - 1) * 10 // count(*) OVER (), 9)::INT AS bin FROM {_FEATURES})
@@ -148,17 +137,36 @@ def readiness_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return validate.readiness(table(spark, sf, "conversations").where("role <> 'system'"), 2, "conv_id")
 
 
-@query("SELECT 'f' || r AS feature_name, 'uses is_correct' AS source FROM range(3) t(r) WHERE r > 0")
+@query(
+    """SELECT feature_name, source, fault FROM (SELECT CASE item_id % 5 WHEN 4 THEN 'semantic_energy_proxy' ELSE 'f' || item_id END AS feature_name, CASE item_id % 5 WHEN 1 THEN 'Gold answers' WHEN 2 THEN 'candidate_text counts' WHEN 4 THEN 'correctness' ELSE 'corpus counts' END AS source,
+        unnest(list_filter([CASE WHEN item_id % 3 <> 0 AND item_id % 7 = 0 THEN 'depends_on_correctness' END, CASE WHEN item_id % 3 <> 0 AND item_id % 4 = 0 THEN 'prohibited_role' END, CASE WHEN item_id % 3 <> 0 AND item_id % 5 = 1 THEN 'leakage_hint' END,
+        CASE WHEN item_id % 5 = 2 THEN 'candidate_text' END], lambda x: x IS NOT NULL)) AS fault FROM benchmark)"""
+)
 def leakage_lint(spark: SparkSession, sf: str) -> DataFrame:
-    """Trainable features whose source names a label."""
-    rows = spark.range(4).select(F.concat(F.lit("f"), "id").alias("feature_name"), F.when(F.col("id").isin(1, 2), "uses is_correct").otherwise("corpus counts").alias("source"), F.lit(True).alias("trainable"), F.lit(False).alias("depends_on_correctness"))
+    """Features that correctness, or the candidate's text alone, stands behind."""
+    k = F.col("item_id")
+    rows = table(spark, sf, "benchmark").select(
+        F.when(k % 5 == 4, "semantic_energy_proxy").otherwise(F.concat(F.lit("f"), k)).alias("feature_name"),
+        F.when(k % 5 == 1, "Gold answers").when(k % 5 == 2, "candidate_text counts").when(k % 5 == 4, "correctness").otherwise("corpus counts").alias("source"),
+        (k % 3 != 0).alias("trainable"), (k % 7 == 0).alias("depends_on_correctness"), F.when(k % 4 == 0, "label_only").otherwise("feature").alias("role"),
+    )
     return validate.provenance_faults(rows)
 
 
+@query(
+    f"""SELECT prompt_id FROM (SELECT prompt_id, sum(p) AS total FROM (SELECT prompt_id, response_text, count(*) / any_value(CASE WHEN prompt_id % 4 = 0 THEN 9.0 ELSE 10.0 END) AS p FROM {SAMPLES} GROUP BY prompt_id, response_text) GROUP BY prompt_id) WHERE abs(total - 1) >= 1e-6"""
+)
+def cluster_partition_faults(spark: SparkSession, sf: str) -> DataFrame:
+    """Prompts whose clusters don't split the samples or whose probabilities don't sum to 1: every fourth is made to fail here."""
+    s = samples(spark, sf)
+    clusters = s.groupBy("prompt_id", "response_text").agg(F.collect_list("sample_index").alias("members"), F.min("sample_index").alias("representative"))
+    return validate.partition_faults(clusters.withColumn("probability", F.size("members") / F.when(F.col("prompt_id") % 4 == 0, 9.0).otherwise(10.0)))
+
+
 @query("SELECT item_id, text FROM benchmark")
 def jsonl_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Rows written as JSON lines and read back with an explicit schema."""
-    path = f"{_scratch(spark)}/items.jsonl"
+    path = f"{scratch(spark)}/items.jsonl"
     writers.write_jsonl(table(spark, sf, "benchmark"), path)
     return readers.read_jsonl(spark, path, "item_id bigint, text string")
 
@@ -170,7 +178,7 @@ def sample_artifact(spark: SparkSession, sf: str) -> DataFrame:
     doc = s.agg(F.collect_list(F.struct(*s.columns)).alias("samples"), F.countDistinct("prompt_id").cast("int").alias("prompt_group_count")).select(
         F.lit("free_samples").alias("artifact_type"), F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(10).alias("sample_count_per_prompt"), "prompt_group_count", "samples"
     )
-    path = f"{_scratch(spark)}/samples.json"
+    path = f"{scratch(spark)}/samples.json"
     writers.write_document(doc, path)
     return readers.read_free_samples(spark, path).select("prompt_id", "sample_index", "response_text", F.size("selected_token_logits").alias("n_tokens"), F.round(F.get("selected_token_logits", F.lit(0)), 6).alias("first_logit"))
 
@@ -180,7 +188,7 @@ def candidate_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates from a JSON document with a candidate_rows list, read by suffix."""
     t = turns(spark, sf)
     rows = t.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("candidate_id"), "question", F.col("answer").alias("candidate_text"))
-    path = f"{_scratch(spark)}/candidates.json"
+    path = f"{scratch(spark)}/candidates.json"
     writers.write_document(rows.agg(F.collect_list(F.struct(*rows.columns)).alias("candidate_rows")), path)
     return readers.read_candidates(spark, path, CANDIDATES).select("candidate_id", "question", "candidate_text")
 
@@ -188,16 +196,21 @@ def candidate_documents(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT vec_id // 10 AS prompt_id, (vec_id % 10)::INT AS sample_index, len(embedding)::INT AS n FROM embeddings")
 def shard_directory(spark: SparkSession, sf: str) -> DataFrame:
     """Rows appended as shards below folders, then read back from all of them."""
-    path = f"{_scratch(spark)}/shards"
+    path = f"{scratch(spark)}/shards"
     writers.append_shards(samples(spark, sf).select("prompt_id", "sample_index", F.size("selected_token_logits").alias("n"), (F.col("prompt_id") % 4).alias("shard")), path, "shard")
     return spark.read.schema("prompt_id bigint, sample_index int, n int").option("recursiveFileLookup", True).json(path)
 
 
-@query(f"SELECT conv_id, trim(question) AS question, trim(answer) AS primary_answer, len(list_distinct([trim(answer), upper(trim(question))]))::INT AS alias_count FROM {TURNS} WHERE trim(question) <> '' AND trim(answer) <> ''")
+@query(
+    f"""SELECT conv_id::VARCHAR AS question_id, 'turn ' || turn AS question_source, trim(question) AS question, trim(answer) AS primary_answer, len(list_distinct([trim(answer), upper(trim(question))]))::INT AS alias_count FROM {TURNS} WHERE trim(question) <> '' AND trim(answer) <> ''"""
+)
 def dataset_mapping(spark: SparkSession, sf: str) -> DataFrame:
-    """Question, primary answer and aliases from a nested answer."""
-    t = turns(spark, sf).select("conv_id", "question", F.struct(F.col("answer").alias("value"), F.array(F.upper(F.trim("question")), F.upper(F.trim("question"))).alias("aliases")).alias("answer"))
-    return readers.map_trivia(t).select("conv_id", "question", "primary_answer", "alias_count")
+    """Question, primary answer, aliases and metadata from a nested answer."""
+    t = turns(spark, sf).select(
+        F.col("conv_id").alias("question_id"), F.concat(F.lit("turn "), "turn").alias("question_source"), "question",
+        F.struct(F.col("answer").alias("value"), F.array(F.upper(F.trim("question")), F.upper(F.trim("question"))).alias("aliases")).alias("answer"),
+    )
+    return readers.map_trivia(t, bad="drop").select("question_id", "question_source", "question", "primary_answer", "alias_count")
 
 
 @query("SELECT date_trunc('day', ts) AS day, count(*) AS n_events, round(avg((event_type = 'purchase')::INT), 6) AS purchase_rate FROM events GROUP BY day")

@@ -96,15 +96,18 @@ _TRIPLE = """'[["The ' || replace(w[1], '"', '') || '", "is", "' || replace(w[2]
 
 
 @query(
-    rf"""WITH w AS (SELECT item_id, regexp_split_to_array(regexp_replace(text, '[^A-Za-z0-9 ]', '', 'g'), ' +') AS w FROM benchmark), e AS (SELECT item_id, ['The ' || w[1], w[2], w[3]] AS s, ['The ' || w[1], w[3]] AS q FROM w),
+    rf"""WITH w AS (SELECT item_id, regexp_split_to_array(regexp_replace(text, '[^A-Za-z0-9 ]', '', 'g'), ' +') AS w FROM benchmark), e AS (SELECT item_id, CASE WHEN item_id % 4 = 3 THEN ['The ' || w[1], w[2]] ELSE ['The ' || w[1], w[2], w[3]] END AS s, CASE WHEN item_id % 4 = 3 THEN ['The ' || w[1], w[2]] ELSE ['The ' || w[1], w[3]] END AS q FROM w),
         n AS (SELECT item_id, list_transform(s, lambda x: regexp_replace({norm('x')}, '^(a |an |the )', '')) AS s, list_transform(q, lambda x: regexp_replace({norm('x')}, '^(a |an |the )', '')) AS q FROM e)
         SELECT item_id, array_to_string(list_filter({_first_seen('s')}, lambda x: x <> ''), '|') AS statement_entities, array_to_string(list_filter({_first_seen('q')}, lambda x: x <> ''), '|') AS question_entities FROM n"""
 )
 def triplet_entity_lists(spark: SparkSession, sf: str) -> DataFrame:
-    """Entities from triplets in a model's answer text, surrounded by other text."""
+    """Entities from triplets in a model's answer: within other text, behind a prefix, as a literal of tuples, as a flat list."""
     w = F.split(F.regexp_replace("text", "[^A-Za-z0-9 ]", ""), " +")
     rows = table(spark, sf, "benchmark").select("item_id", w.alias("w"))
-    answer = F.concat(F.lit('Sure: [["The '), F.get("w", F.lit(0)), F.lit('", "is", "'), F.get("w", F.lit(1)), F.lit('"], ["'), F.get("w", F.lit(2)), F.lit('", "of"]] done'))
+    put = lambda form: F.format_string(form, *[F.get("w", F.lit(i)) for i in range(3)])
+    full = '[["The %1$s", "is", "%2$s"], ["%3$s", "of"]]'
+    forms = (f"Sure: {full} done", f"Entities: {full}", "[('The %1$s', 'is', '%2$s'), ('%3$s', 'of')]", '["The %1$s", "%2$s"]')
+    answer = F.when(F.col("item_id") % 4 == 0, put(forms[0])).when(F.col("item_id") % 4 == 1, put(forms[1])).when(F.col("item_id") % 4 == 2, put(forms[2])).otherwise(put(forms[3]))
     t = text.parse_triplets(answer)
     make = lambda role: F.array_join(text.normalize_entities(text.triplet_entities(t, F.lit(role))), "|")
     return rows.select("item_id", make("declarative").alias("statement_entities"), make("question").alias("question_entities"))
@@ -188,12 +191,15 @@ def logit_margins(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT prompt_id, round(avg(-lse), 6) AS window_energy, round(avg(-(l - z)), 6) AS window_nll, count(*) AS n_tokens FROM (SELECT prompt_id, unnest(l) AS l, unnest(z) AS z, unnest(z) AS lse, unnest(range(len(l))) AS pos FROM {SAMPLES} WHERE sample_index = 0) WHERE pos >= 8 AND pos < 40 GROUP BY prompt_id"""
+    f"""SELECT prompt_id, sample_index, round(avg(-z), 6) AS window_energy, round(avg(-(l - z)), 6) AS window_nll, count(*) AS n_tokens FROM (SELECT prompt_id, sample_index, unnest(l) AS l, unnest(z) AS z, unnest(range(len(l))) AS pos FROM {SAMPLES}) WHERE pos >= 8 + sample_index AND pos <= 40 GROUP BY ALL"""
 )
 def answer_window_energy(spark: SparkSession, sf: str) -> DataFrame:
-    """Energy and likelihood over the answer's window of tokens only."""
-    t = samples(spark, sf).where("sample_index = 0").select("prompt_id", F.posexplode(F.arrays_zip("selected_token_logits", "logsumexp")).alias("pos", "t")).where("pos >= 8 and pos < 40")
-    return t.groupBy("prompt_id").agg(F.round(F.avg(-F.col("t.logsumexp")), 6).alias("window_energy"), F.round(F.avg(F.col("t.logsumexp") - F.col("t.selected_token_logits")), 6).alias("window_nll"), F.count("*").alias("n_tokens"))
+    """Energy and likelihood of every candidate over its answer's window of tokens only."""
+    l, z = F.col("selected_token_logits"), F.col("logsumexp")  # noqa: E741
+    size = F.lit(33) - F.col("sample_index")  # a window of tokens 8 + index .. 40
+    inside = samples(spark, sf).select("prompt_id", "sample_index", F.slice(l, 9 + F.col("sample_index"), size).alias("l"), F.slice(z, 9 + F.col("sample_index"), size).alias("z"))
+    nll = F.zip_with("l", "z", lambda a, b: b - a)
+    return inside.select("prompt_id", "sample_index", F.round(-maths.array_mean(F.col("z")), 6).alias("window_energy"), F.round(maths.array_mean(nll), 6).alias("window_nll"), F.size("l").cast("long").alias("n_tokens"))
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import CANDIDATES, FREE_SAMPLES
@@ -83,37 +83,47 @@ def seeded_sample(df: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
     return df.withColumn("_h", F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")).cast("binary"))).orderBy("_h", key).limit(k).drop("_h")
 
 
-def map_trivia(rows: DataFrame) -> DataFrame:
-    """(question, answer struct<value, aliases>) to question, primary, aliases."""
-    return _mapped(rows, F.trim("answer.value"), F.coalesce(F.col("answer.aliases"), F.array().cast("array<string>")))
+def map_trivia(rows: DataFrame, bad: str = "raise") -> DataFrame:
+    """(question, answer struct<value, aliases>) to question, primary_answer, aliases and metadata."""
+    return _mapped(rows, F.trim("answer.value"), F.coalesce(F.col("answer.aliases"), F.array().cast("array<string>")), ("question_id", "question_source"), bad)
 
 
-def map_extractive(rows: DataFrame, answers: str = "answers.text") -> DataFrame:
+def map_extractive(rows: DataFrame, answers: str = "answers.text", bad: str = "raise", metadata: tuple[str, ...] = ("id", "title")) -> DataFrame:
     """(question, list of answers): the first is primary."""
     clean = F.filter(F.transform(answers, lambda x: F.trim(x)), lambda x: x != "")
-    return _mapped(rows, F.get(clean, F.lit(0)), clean)
+    return _mapped(rows, F.get(clean, F.lit(0)), clean, metadata, bad)
 
 
-def map_open(rows: DataFrame) -> DataFrame:
-    return map_extractive(rows, "answer")
+def map_open(rows: DataFrame, bad: str = "raise") -> DataFrame:
+    return map_extractive(rows, "answer", bad, ())
 
 
-def map_arithmetic(rows: DataFrame) -> DataFrame:
+def map_arithmetic(rows: DataFrame, bad: str = "raise") -> DataFrame:
     """(Body, Question, Answer): the body goes before the question."""
     q = F.trim(F.concat_ws(" ", F.when(F.trim("Body") != "", F.trim("Body")), F.trim("Question")))
-    return _mapped(rows.withColumn("question", q), F.trim(F.col("Answer").cast("string")), F.array().cast("array<string>"))
+    return _mapped(rows.withColumn("question", q), F.trim(F.col("Answer").cast("string")), F.array().cast("array<string>"), ("ID", "Type", "Equation"), bad)
 
 
-def map_tagged(rows: DataFrame) -> DataFrame:
-    """(question, text with a tagged answer)."""
-    from ..functions.text import tagged_answer
+def map_tagged(rows: DataFrame, bad: str = "raise") -> DataFrame:
+    """(question, text with a tagged answer); says how long the text was and whether it had the tags."""
+    from ..functions.text import has_tagged_answer, tagged_answer
 
-    return _mapped(rows, tagged_answer(F.col("text")), F.array().cast("array<string>"))
+    more = rows.withColumns({"text_length": F.length("text"), "parsed_with_tag": has_tagged_answer(F.col("text"))})
+    return _mapped(more, tagged_answer(F.col("text")), F.array().cast("array<string>"), ("text_length", "parsed_with_tag"), bad)
 
 
-def _mapped(rows: DataFrame, primary, aliases) -> DataFrame:
+def _mapped(rows: DataFrame, primary: Column, aliases: Column, metadata: tuple[str, ...], bad: str) -> DataFrame:
+    """question, primary_answer, aliases, alias_count, the row's ids and what it has of ``metadata``.
+
+    A row without a question or an answer fails the job; with ``bad`` "drop" it is left out.
+    """
     clean = F.array_sort(F.array_distinct(F.filter(F.transform(aliases, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))))
     full = F.when(F.array_contains(clean, primary), clean).otherwise(F.concat(F.array(primary), clean))
-    keep = [c for c in rows.columns if c.endswith("_id")]
-    out = rows.select(*keep, F.trim("question").alias("question"), primary.alias("primary_answer"), full.alias("aliases"))
-    return out.where("question <> '' and primary_answer <> ''").withColumn("alias_count", F.size("aliases"))
+    keep = [c for c in rows.columns if c.endswith("_id") or c in metadata]
+    out = rows.select(*[F.col(c).cast("string").alias(c) if c in metadata else c for c in keep], F.trim("question").alias("question"), primary.alias("primary_answer"), full.alias("aliases"))
+    good = F.coalesce((F.col("question") != "") & (F.col("primary_answer") != ""), F.lit(False))
+    if bad == "drop":
+        out = out.where(good)
+    else:
+        out = out.withColumn("question", F.when(good, F.col("question")).otherwise(F.raise_error(F.lit("a row has no question or no answer"))))
+    return out.withColumn("alias_count", F.size("aliases"))

@@ -13,17 +13,14 @@ def missing_items(wanted: DataFrame, done: DataFrame, keys: list[str]) -> DataFr
 
 
 def collect_shards(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, keys: list[str]) -> StreamingQuery:
-    """Appends the rows of new shard files to a table once each, also after a restart; keys already there are passed over."""
-
-    def add(batch: DataFrame, epoch: int) -> None:
-        from ..sources.readers import read_optional
-
-        fresh = batch.dropDuplicates(keys)
-        done = read_optional(batch.sparkSession, target)
-        (missing_items(fresh, done, keys) if done is not None else fresh).write.mode("append").parquet(target)
+    """Appends the rows of new shard files to a Parquet table once each, also after a restart; the first row of a key stays.
 
+    The keys seen so far are the query's state, partitioned and kept with the
+    checkpoint, so a batch costs what it holds and not what the table holds.
+    Keys that something else wrote to the table are not known.
+    """
     stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).json(source)
-    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(add).start()
+    return stream.dropDuplicates(keys).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def label_rates(events: DataFrame, window: str = "1 day", late: str = "2 days") -> DataFrame:

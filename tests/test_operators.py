@@ -146,9 +146,67 @@ def test_fusion_separates(spark):
     assert one(metrics.auroc(out_of_fold(rows, ["x", "none"], "y", "logistic"), "score", "y")).auroc > 0.95
 
 
-def test_spearman_p():
-    assert abs(metrics.spearman_p(0.648, 10) - 0.0426) < 5e-4
-    assert metrics.spearman_p(0.5, 2) is None
+def test_spearman_p(spark):
+    rows = [(0.648, 10), (0.5, 2), (1.0, 5), (0.0, 9), (-0.9, 4), (0.3, 3), (0.4, 11)]
+    got = [r.p for r in spark.createDataFrame(rows, "r double, n int").select(maths.spearman_p(F.col("r"), F.col("n")).alias("p")).collect()]
+    assert got[1] is None
+    # Student's t in closed form for one to three degrees, tables for the rest
+    assert abs(got[0] - 0.0426) < 5e-4 and got[2] == 0 and got[3] == 1 and abs(got[4] - 0.1) < 1e-12 and abs(got[5] - (1 - 2 / math.pi * math.asin(0.3))) < 1e-12 and abs(got[6] - 0.2229) < 5e-4
+
+
+def test_ece_uses_the_edges(spark):
+    rows = [(0.25, 0), (0.3, 1)]  # 0.3 lies under the fourth edge, 3 * 0.1
+    assert abs(one(metrics.brier_ece(spark.createDataFrame(rows, "s double, y int"), "s", "y")).ece - 0.225) < 1e-12
+
+
+def test_interval_bins(spark):
+    rules = [{"id": "low", "upper": 0.1, "upper_inclusive": False}, {"id": "mid", "lower": 0.1, "upper": 0.4}, {"id": "high", "lower": 0.4, "lower_inclusive": False}]
+    got = [r.b for r in spark.createDataFrame([(0.0,), (0.1,), (0.4,), (0.5,), (None,)], "v double").select(binning.interval_bin(F.col("v"), rules).alias("b")).collect()]
+    assert got == ["low", "mid", "mid", "high", None]
+
+
+def test_ranked_equals_the_single_metrics(spark):
+    df = spark.range(400).select("id", (F.col("id") * 17 % 23).cast("double").alias("s"), (F.col("id") * 7 % 5 < 2).cast("int").alias("y"), (F.col("id") % 3).alias("g"))
+    for by in ([], ["g"]):
+        key = lambda r, by=by: tuple(r[c] for c in by)
+        got = {key(r): r for r in metrics.ranked(df, "s", "y", ["id"], by).collect()}
+        for name, part in (("auroc", metrics.auroc(df, "s", "y", by)), ("auprc", metrics.auprc(df, "s", "y", by)), ("aurac", metrics.aurac(df, "s", "y", ["id"], by))):
+            assert all(abs(got[key(r)][name] - r[name]) < 1e-12 for r in part.collect())
+
+
+def test_bootstrap_equals_repeated_rows(spark):
+    rows = [(p, float(i * 7 % 11), (i * 5 + p) % 3 == 0, "ab"[p % 2]) for i in range(90) for p in [i % 13]]
+    df = spark.createDataFrame(rows, "prompt_id long, s double, y boolean, g string").withColumn("y", F.col("y").cast("int"))
+    w = bootstrap.bootstrap_weights(df, 20)
+    weights = {(r.rep, r.prompt_id): r.w for r in w.collect()}
+    got = {(r.g, r.rep): r.auroc for r in bootstrap.weighted_auroc(df, w, "s", "y", ["g"], 20).collect()}
+    for g in "ab":
+        for rep in range(20):
+            drawn = [(s, y) for p, s, y, x in rows if x == g for _ in range(weights.get((rep, p), 0))]
+            pos, neg = [s for s, y in drawn if y], [s for s, y in drawn if not y]
+            want = sum((a > b) + (a == b) / 2 for a in pos for b in neg) / (len(pos) * len(neg)) if pos and neg else None
+            assert got.get((g, rep)) == want or abs(got[g, rep] - want) < 1e-12
+
+
+def test_triplets(spark):
+    forms = {
+        '[["a b", "is", "c"], ["d"]]': [["a b", "is", "c"], ["d"]], "Entities: [['a', 'b'], ['c', None]]": [["a", "b"], ["c"]], "[('a', 'is', 'b'), ('c',)]": [["a", "is", "b"], ["c"]],
+        '["x", " y "]': [["x"], ["y"]], 'Well: [["a"], ["b", "c"]] so': [["a"], ["b", "c"]], "nothing": None, "[]": [],
+    }
+    df = spark.createDataFrame([(t,) for t in forms], "t string").select("t", text.parse_triplets(F.col("t")).alias("x"))
+    assert {r.t: r.x for r in df.collect()} == forms
+
+
+def test_provenance_lint(spark):
+    rows = [("f", "Right_Answer text", True, False, "feature"), ("g", "counts", True, True, "label_only"), ("h", "label", False, False, "label_only"), ("semantic_energy_proxy", "gold", True, False, "x"), ("k", "from candidate_text", False, False, "x")]
+    got = {(r.feature_name, r.fault) for r in validate.provenance_faults(spark.createDataFrame(rows, "feature_name string, source string, trainable boolean, depends_on_correctness boolean, role string")).collect()}
+    assert got == {("f", "leakage_hint"), ("g", "depends_on_correctness"), ("g", "prohibited_role"), ("k", "candidate_text")}
+
+
+def test_backends_are_never_swapped(spark):
+    assert [corpus.choose_backend(*x) for x in ((True, True), (False, True), (False, False), (True, True, ("corpus",)), (True, False, ("corpus",)))] == ["stored", "corpus", "missing", "corpus", "missing"]
+    r = one(corpus.missing_counts(spark.createDataFrame([("x",)], "query string"), "entity_frequency"))
+    assert r.raw_count is None and r.excluded and r.status == "local_index_absent"
 
 
 def test_contracts(spark):

@@ -68,11 +68,13 @@ def test_ragged_logits_fail(spark, tmp_path):
 
 def test_mappers(spark):
     rows = spark.createDataFrame([("1", "q ", ["b", " a", "", "b"]), ("2", "q", [])], "row_id string, question string, answer array<string>")
-    assert [tuple(r) for r in readers.map_open(rows).collect()] == [("1", "q", "b", ["a", "b"], 2)]
-    rows = spark.createDataFrame([("Body.", "How many?", 3)], "Body string, Question string, Answer int")
-    assert [tuple(r) for r in readers.map_arithmetic(rows).collect()] == [("Body. How many?", "3", ["3"], 1)]
+    assert [tuple(r) for r in readers.map_open(rows, bad="drop").collect()] == [("1", "q", "b", ["a", "b"], 2)]
+    with pytest.raises(Exception, match="no question or no answer"):
+        readers.map_open(rows).collect()
+    rows = spark.createDataFrame([("Body.", "How many?", 3, "7", "sum")], "Body string, Question string, Answer int, ID string, Type string")
+    assert [r.asDict() for r in readers.map_arithmetic(rows).collect()] == [{"ID": "7", "Type": "sum", "question": "Body. How many?", "primary_answer": "3", "aliases": ["3"], "alias_count": 1}]
     rows = spark.createDataFrame([("q", "<answer> yes\n <context> more"), ("q", "no tags")], "question string, text string")
-    assert [r.primary_answer for r in readers.map_tagged(rows).collect()] == ["yes", "no tags"]
+    assert [(r.primary_answer, r.parsed_with_tag) for r in readers.map_tagged(rows).collect()] == [("yes", "true"), ("no tags", "false")]
 
 
 def test_provenance_and_macros(spark):
