@@ -42,9 +42,10 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Null and empty texts are one group.  Repeated rows are one document; a row
     without a doc_id stays only where no equal text has one.
     """
-    kept = exact_dedup(docs, keep="largest").where("kept").select(F.col("doc_id").alias("keep"), F.col("text_sha256").alias("keep_sha")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("sha"))
-    rows = rows.join(kept, (F.col("sha") == F.col("keep_sha")) & F.col("id").eqNullSafe(F.col("keep")), "left_semi")
+    named = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("id")
+    kept = exact_dedup(docs, keep="largest").where("kept").select(named, F.unhex("text_sha256").alias("sha")).distinct()
+    rows = docs.select(named, F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)).alias("sha"), F.struct("*").alias("row"))
+    rows = rows.join(kept, ["id", "sha"], "left_semi")
     once = Window.partitionBy("id", "sha").orderBy("id")  # rows that share an id and a text
     return rows.withColumn("turn", F.row_number().over(once)).where("turn = 1").select("row.*")
 

@@ -62,7 +62,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import VOCABULARY, load_vocabulary, token_counts
 
-    return token_counts(_table(spark, sf_dir, "documents"), load_vocabulary(VOCABULARY))
+    return token_counts(_table(spark, sf_dir, "documents"), load_vocabulary(spark.conf.get("corvane.vocabulary", VOCABULARY)))
 
 
 def op10_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,6 +113,17 @@ SQL = {
         a AS (SELECT doc_id, sum(CASE WHEN gone THEN strlen(piece) ELSE 0 END)::BIGINT AS n_removed, count_if(opens)::BIGINT AS n_spans, coalesce(string_agg(CASE WHEN NOT gone THEN piece END, '' ORDER BY i), '') AS kept FROM e GROUP BY doc_id)
         SELECT doc_id, strlen(d.text)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(lead || coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN a USING (doc_id)
     """,
+    "op8_suffix_dedup": r"""
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+        c AS (SELECT doc_id, n, b, substr(h, 2000 * b + 1, 2198) AS part FROM (SELECT doc_id, n, h, unnest(range(0, (n + 999) // 1000)) AS b FROM d)),
+        w AS (SELECT doc_id, 1000 * b + j AS p, md5(substr(part, 2 * j + 1, 200)) AS k FROM (SELECT *, unnest(range(0, greatest(least(1000, n - 99 - 1000 * b), 0))) AS j FROM c)),
+        f AS (SELECT doc_id, p FROM w QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, p) > 1),
+        g AS (SELECT *, sum(CASE WHEN before IS NULL OR p > before + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS island FROM (SELECT *, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM f)),
+        s AS (SELECT doc_id, island, min(p) AS a, max(p) + 100 AS z FROM g GROUP BY doc_id, island),
+        k AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS from_ FROM s),
+        r AS (SELECT d.doc_id, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * from_ + 1, 2 * (a - from_)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS kept FROM k JOIN d USING (doc_id) GROUP BY d.doc_id)
+        SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id)
+    """,
     "op2_mixing": r"""
         WITH d AS (SELECT doc_id, 'dom' || (coalesce(try_cast(regexp_extract(source, '([0-9]+)', 1) AS BIGINT), 0) % 4)::VARCHAR AS domain,
                  coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source,

@@ -1,11 +1,7 @@
-"""Written tables and connected components over shared storage."""
+"""Buckets and connected components over tables in the shared folder."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,51 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Links that one task unites (16 bytes each); longer tables are contracted until they are that short.
-UNITE = 2_000_000
-
-_own: dict[str, str] = {}
-_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is set and all runs on this machine (tests)."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        place = _own.get("dir") or _own.setdefault("dir", tempfile.mkdtemp(prefix="corvane-shared-"))
-    return place
-
-
-def _file(spark: SparkSession, path: str):
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+from ..shared import drop, quoted, written
 
+__all__ = ["buckets", "components", "drop", "quoted", "written"]
 
-def written(df: DataFrame) -> DataFrame:
-    """A Parquet table in the shared folder, read back; it goes with ``drop`` or when the application ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corvane-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    where, files = _file(spark, path)
-    files.deleteOnExit(where)
-    out = spark.read.schema(df.schema).parquet(path)
-    _paths[out] = path
-    return out
-
-
-def drop(*tables: DataFrame) -> None:
-    """Deletes written tables that nothing reads any more."""
-    for table in tables:
-        if path := _paths.pop(table, None):
-            where, files = _file(table.sparkSession, path)
-            files.delete(where, True)
-
-
-def quoted(name: str) -> str:
-    """A column name, dots and all, for select and col."""
-    return "`" + name.replace("`", "``") + "`"
+#: Links that one task unites (16 bytes each); longer tables are contracted until they are that short.
+UNITE = 2_000_000
 
 
 def buckets(spark: SparkSession, least: int = 8, times: float = 1) -> int:

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .textcore import slices, utf8, words
 
+#: Where the query finds its vocabulary, unless the session names another in corvane.vocabulary.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 CACHE_WORDS = 200_000
 
@@ -138,7 +139,9 @@ def token_counts(docs: DataFrame, vocabulary: list[bytes], lead: bytes = b" ", l
     Words stand between ASCII white space; each is matched with ``lead`` in
     front, as byte-level vocabularies mark where a word begins.  A word that no
     sequence of tokens found greedily makes up counts as one token and as
-    unknown.  A null or empty text has none.  Repeated rows get a row each.
+    unknown.  A null or empty text has none; long texts and words are counted
+    whole.  Repeated rows and rows without a doc_id get a row each, an empty
+    table gives none; other columns are not looked at.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Automaton.build(vocabulary))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(counter(lambda: shared.value, lead, lower), "doc_id long, n_words long, n_tokens long, n_unknown long")
