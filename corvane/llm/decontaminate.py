@@ -97,7 +97,7 @@ def index_of(rows: list, shingle: int, percent: int) -> dict[str, Any]:
     """The index of a block of prepared items, by size in words."""
     sizes: dict[int, dict[str, Any]] = {}
     for size in sorted({r.size for r in rows}):
-        own = sorted((r for r in rows if r.size == size), key=lambda r: r.item_id)
+        own = sorted((r for r in rows if r.size == size), key=lambda r: (r.item_id is None, r.item_id or 0, r.keys))
         sizes[size] = {
             "ids": [r.item_id for r in own], "prints": np.frombuffer(b"".join(r.print for r in own), np.uint8).reshape(-1, BLOCKS),
             "keys": np.frombuffer(b"".join(r.keys for r in own), np.uint64), "counts": np.frombuffer(b"".join(r.counts for r in own), np.int32), "at": np.cumsum([0, *(len(r.keys) // 8 for r in own)]),
@@ -247,7 +247,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, percen
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, percent: int = 80, block_bytes: int = ITEM_BYTES) -> DataFrame:
     """The rows in which no item was found, with all their columns; nulls, repeated rows and the rest as above."""
-    context, text = docs.sparkSession.sparkContext, docs.columns.index("text")
+    context, names, text = docs.sparkSession.sparkContext, docs.columns, docs.columns.index("text")
+    docs = docs.toDF(*(f"_c{i}" for i in range(len(names))))
     for index, last in blocks_of(benchmark, shingle, percent, block_bytes):
         shared = context.broadcast(index)
         found = docs.mapInArrow(sift(lambda shared=shared: shared.value, text), docs.schema)
@@ -257,4 +258,4 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, perc
             drop(docs)
             found = after
         docs = found
-    return docs
+    return docs.toDF(*names)

@@ -229,20 +229,81 @@ def test_zstandard_layer():
     assert any(s[0] == "assign" for s in secrets.all_spans(text)[1])
 
 
-def test_kneser_ney_sums_to_one():
-    model = language_id.fit({"a": ["abba abc cab", "bab a"]})
-    letters = "abc"
-    for context in ("", "a", "ab", "ba", "cab", "bbb"):
-        total = 0.0
-        for c in [*letters, " "]:
-            word = np.array([32, *map(ord, context + c.strip()), 32][: len(context) + 2], np.uint64)
-            pos, g = language_id._grams(word, np.array([0, len(word)]))
-            out = np.zeros((len(word), 1))
-            full = language_id.word_scores(model, word, np.array([0, len(word)]))[0, 0]
-            head = language_id.word_scores(model, word[:-1], np.array([0, len(word) - 1]))[0, 0]
-            assert out.shape and len(pos) == len(g[0])
-            total += math.exp(full - head)
-        assert total <= 1 + 1e-5 and total > 0.8  # the rest is for symbols never seen
+class KneserNey:
+    """Interpolated Kneser-Ney over words padded by a mark, order by order from plain dictionaries."""
+
+    def __init__(self, text, order=5):
+        self.order = order
+        words = [f" {w} " for w in "".join(c if c.isalpha() else " " for c in text.lower()).split()]
+        self.symbols = {c for w in words for c in w}
+        raw = [Counter(w[p - k + 1 : p + 1] for w in words for p in range(max(1, k - 1), len(w))) for k in range(1, order + 1)]
+        self.counts, self.discount, self.total, self.taken = [], [], [], []
+        for k in range(1, order + 1):
+            counts = dict(raw[k - 1])
+            if k < order:
+                kinds = Counter(g[1:] for g in raw[k])
+                counts = {g: c if (k > 1 and g[0] == " ") or not kinds[g] else kinds[g] for g, c in counts.items()}
+            n1, n2 = (sum(c == n for c in counts.values()) for n in (1, 2))
+            d = min(max(n1 / (n1 + 2 * n2) if n1 else 0.5, 0.1), 0.95)
+            total, taken = Counter(), defaultdict(float)
+            for g, c in counts.items():
+                total[g[:-1]] += c
+                taken[g[:-1]] += min(c, d)
+            self.counts.append(counts)
+            self.discount.append(d)
+            self.total.append(total)
+            self.taken.append(taken)
+
+    def p(self, symbol, context):
+        context = context[-(self.order - 1) :]
+        k = len(context) + 1
+        below = self.p(symbol, context[1:]) if context else 1 / (len(self.symbols) + 1)
+        total = self.total[k - 1][context]
+        return max(self.counts[k - 1].get(context + symbol, 0) - self.discount[k - 1], 0) / total + self.taken[k - 1][context] / total * below if total else below
+
+    def word(self, w):
+        w = f" {w} "
+        return sum(math.log(self.p(w[i], w[:i])) for i in range(1, len(w)))
+
+
+def test_kneser_ney_equals_brute_force(texts):
+    samples = {lang: [t for _, t, x in texts if x == lang][:3] for lang in ("en", "fr")}
+    model = language_id.fit(samples)
+    probes = sorted({w for t in samples["en"] for w in re.findall("[a-z]+", t.lower())})[:60] + ["zzz", "qxqx", "unbekannt", "été", "s", "thethethe", "żółć"]
+    for i, lang in enumerate(model["langs"]):
+        one = language_id.fit({lang: samples[lang]})  # the floor is that of this language's own symbols
+        brute = KneserNey(" ".join(samples[lang]))
+        for w in probes:
+            word = np.array([32, *map(ord, w), 32], np.uint64)
+            got = language_id.word_scores(one, word, np.array([0, len(word)]))[0, 0]
+            assert math.isclose(got, brute.word(w), rel_tol=1e-5, abs_tol=1e-4), (lang, w)
+        for context in (" ", " t", " th", "qq", "e", " le"):
+            assert abs(sum(brute.p(c, context) for c in brute.symbols) + brute.p("\0", context) - 1) < 1e-9
+        assert model["langs"][i] == lang
+
+
+def test_other_languages_code_and_noise_are_rejected(spark, texts):
+    rng = random.Random(8)
+    foreign = {
+        1: "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa. " * 2,
+        2: "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства. " * 2,
+        3: "人人生而自由在尊严和权利上一律平等他们赋有理性和良心并应以兄弟关系的精神相对待" * 4,
+        4: " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(9)) for _ in range(60)),
+        5: "void xq(int**p){for(;;)if(!*p++)x^=1<<k;}#define ZQ(k)((k)&0xff)\nfn zzk<'a>(&mut sq:Vec<u8>)->Rxk{sq.pq();}" * 4,
+        6: "7342 9951 -- 88 :: 11 !! 0",
+    }
+    df = spark.createDataFrame([(1000 + i, t, x) for i, t, x in texts] + [(k, t, None) for k, t in foreign.items()], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.rejected for r in language_id.identify(df, language_id.train(df, F.lit(True))).collect()}
+    assert [k for k in foreign if not got[k]] == []
+    assert not any(v for k, v in got.items() if k >= 1000)
+
+
+def test_language_of_long_texts_only_is_learnt(make, texts):
+    some = {x: next(t for _, t, y in texts if y == x and 300 < len(t)) for x in ("en", "fr")}
+    rows = [(i, some["en"], "en", "s") for i in range(10)] + [(100 + i, (some["fr"] + " ") * (60 + i), "fr", "s") for i in range(8)]
+    model = language_id.train(make(rows), F.lit(True), sample_chars=len(some["fr"]) * 10)
+    assert model["langs"] == ["en", "fr"]
+    assert language_id.identify(make([(1, some["fr"])]), model).first().lang_pred == "fr"
 
 
 # --- token counts --------------------------------------------------------------------
