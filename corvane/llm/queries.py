@@ -124,6 +124,19 @@ SQL = {
         r AS (SELECT d.doc_id, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * from_ + 1, 2 * (a - from_)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS kept FROM k JOIN d USING (doc_id) GROUP BY d.doc_id)
         SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id)
     """,
+    "op7_token_counts": r"""
+        WITH v AS (SELECT DISTINCT hex(from_base64(t)) AS x FROM read_csv('/opt/tokenizers/byte_bpe_50k.tiktoken', delim = ' ', header = FALSE, quote = '', escape = '', columns = {'t': 'VARCHAR', 'r': 'BIGINT'}) WHERE t <> ''),
+        m AS (SELECT max(len(x)) // 2 AS longest FROM v),
+        w AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS word FROM documents),
+        u AS (SELECT word, hex(encode(' ' || word)) AS x FROM (SELECT DISTINCT word FROM w)),
+        p AS (SELECT word, x, unnest(range(len(x) // 2)) AS p FROM u),
+        k AS (SELECT word, p, substr(x, 2 * p + 1, 2 * k) AS piece, k FROM (SELECT word, x, p, unnest(range(1, least(longest, len(x) // 2 - p) + 1)) AS k FROM p, m)),
+        b AS (SELECT word, p, max(k) AS k FROM k JOIN v ON v.x = k.piece GROUP BY word, p),
+        l AS (SELECT word, [{'p': 0::BIGINT, 'k': 0::BIGINT}] || list({'p': p::BIGINT, 'k': k::BIGINT} ORDER BY p) AS s FROM b GROUP BY word),
+        r AS (SELECT u.word, list_reduce(s, lambda a, y: CASE WHEN y.p = a.p THEN {'p': a.p + y.k, 'k': a.k + 1} ELSE a END) AS e, len(x) // 2 AS n FROM u LEFT JOIN l USING (word)),
+        c AS (SELECT word, CASE WHEN e.p = n THEN e.k ELSE 1 END AS tokens, (e.p IS DISTINCT FROM n)::INT AS unknown FROM r)
+        SELECT doc_id, count(c.word) AS n_words, coalesce(sum(tokens), 0)::BIGINT AS n_tokens, coalesce(sum(unknown), 0)::BIGINT AS n_unknown FROM documents LEFT JOIN w USING (doc_id) LEFT JOIN c USING (word) GROUP BY doc_id
+    """,
     "op2_mixing": r"""
         WITH d AS (SELECT doc_id, 'dom' || (coalesce(try_cast(regexp_extract(source, '([0-9]+)', 1) AS BIGINT), 0) % 4)::VARCHAR AS domain,
                  coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source,
