@@ -104,11 +104,13 @@ SQL = {
     "op10_sentence_dedup": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract(coalesce(text, ''), '^[\x20\x09-\x0D]*') AS lead FROM documents),
         p AS (SELECT doc_id, lead, list_filter(string_split(regexp_replace(substr(text, len(lead) + 1), '([.!?][\x20\x09-\x0D]+|[\x20\x09\x0B-\x0D]*\n[\x20\x09-\x0D]*|[。！？][\x20\x09-\x0D]*)', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS p FROM d),
-        s AS (SELECT doc_id, unnest(range(1, len(p) + 1)) AS i, unnest(p) AS piece FROM p),
-        k AS (SELECT *, trim(regexp_replace(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS words FROM s),
-        r AS (SELECT doc_id, i, piece, words || chr(1) || lead(words) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM k),
-        f AS (SELECT *, run IS NOT NULL AND row_number() OVER (PARTITION BY run ORDER BY doc_id, i) > 1 AS later FROM r),
-        c AS (SELECT *, later OR coalesce(lag(later) OVER (PARTITION BY doc_id ORDER BY i), FALSE) AS gone FROM f),
+        q AS (SELECT doc_id, flatten(list_transform(p, lambda x: CASE WHEN len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) > 30
+            THEN list_filter(string_split(regexp_replace(x, '([^\x20\x09-\x0D]{10,}[\x20\x09-\x0D]+)', '\1' || chr(1), 'g'), chr(1)), lambda y: y <> '') ELSE [x] END)) AS p FROM p),
+        t AS (SELECT doc_id, p, list_transform(p, lambda x: trim(regexp_replace(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'))) AS w FROM q),
+        s AS (SELECT doc_id, unnest(range(1, len(p) + 1)) AS i, unnest(p) AS piece FROM t),
+        r AS (SELECT doc_id, i, k, array_to_string(w[i:i+k-1], chr(1)) AS run FROM (SELECT doc_id, w, k, unnest(range(1, greatest(len(w) - k + 2, 1))) AS i FROM t, range(2, 17) g(k))),
+        f AS (SELECT doc_id, i, k FROM r WHERE len(regexp_extract_all(run, '[^\x01 ]+')) >= 16 QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, i) > 1),
+        c AS (SELECT s.*, g.i IS NOT NULL AS gone FROM s LEFT JOIN (SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS i FROM f) g USING (doc_id, i)),
         e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), FALSE) AS opens FROM c),
         a AS (SELECT doc_id, sum(CASE WHEN gone THEN strlen(piece) ELSE 0 END)::BIGINT AS n_removed, count_if(opens)::BIGINT AS n_spans, coalesce(string_agg(CASE WHEN NOT gone THEN piece END, '' ORDER BY i), '') AS kept FROM e GROUP BY doc_id)
         SELECT doc_id, strlen(d.text)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(lead || coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN a USING (doc_id)

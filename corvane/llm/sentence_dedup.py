@@ -1,13 +1,16 @@
 """Substring dedup over sliding sentence spans.
 
-Every run of RUN consecutive sentences is hashed (128 bits), runs meet by hash
-over the whole corpus, and sentences that some run covers which is not the
-first of its kind are removed.  A longer run repeats exactly where each run of
-two in it does, at the same or an earlier place, so runs of two stand for all
-runs of two or more; a single repeated sentence is no run.
+Every run of RUN or more consecutive sentences with WORDS words or more is
+looked for over the whole corpus by hash (128 bits), and sentences that some
+run covers which is not the first of its kind are removed.  Shorter runs
+("THE!! END!!") coincide between unrelated texts.  A run repeats exactly where
+the shortest such runs that begin and end at each of its sentences do, so only
+these are hashed: they slide over the text and stand for all longer ones.
 
 A sentence ends with a word that ends in . ! or ?, after the marks of scripts
-that put no space behind them, or at a line's end.
+that put no space behind them, or at a line's end.  One of more than LONG words
+ends after every word of LONG_WORD characters or more as well, so that what
+repeats within it is found wherever it begins.
 
 What repeats within a block of documents is settled there and travels once.
 """
@@ -28,6 +31,9 @@ from .suffix_dedup import removal
 from .textcore import slices, splitmix, utf8, words
 
 RUN = 2
+WORDS = 16
+LONG = 30
+LONG_WORD = 10
 BLOCK = 4 << 20
 IS_END = np.zeros(256, bool)
 IS_END[list(b".!?")] = True
@@ -44,19 +50,22 @@ def after_marks(piece: np.ndarray) -> np.ndarray:
 
 
 def sentences(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(text, start in it, end, two hashes) of each sentence of some texts, with the white space behind it."""
+    """(text, start in it, end, words, two hashes) of each sentence of some texts, with the white space behind it."""
     base = int(off[0])
     piece, bounds = buf[base : int(off[-1])], off - base
     marks = after_marks(piece)
     h, s, e, h2 = words(piece, np.union1d(bounds[1:-1], marks[marks < len(piece)]), lanes=2)
     if not len(h):
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
     text = np.searchsorted(bounds, s, "right") - 1
     lines = np.concatenate([[0], np.cumsum(piece == 10)])
     closes = IS_END[piece[e - 1]] | np.isin(e, marks)
     closes[:-1] |= (lines[s[1:]] > lines[e[:-1]]) | (text[1:] != text[:-1])
-    first = np.flatnonzero(np.concatenate([[True], closes[:-1]]))
-    size = np.diff(np.append(first, len(h)))
+    sized = lambda: (first := np.flatnonzero(np.concatenate([[True], closes[:-1]])), np.diff(np.append(first, len(h))))
+    _, size = sized()
+    chars = np.concatenate([[0], np.cumsum((piece & 0xC0) != 0x80)])
+    closes |= np.repeat(size > LONG, size) & (chars[e] - chars[s] >= LONG_WORD)
+    first, size = sized()
     place = splitmix((np.arange(len(h)) - np.repeat(first, size)).astype(np.uint64))
     with np.errstate(over="ignore"):  # a word is mixed with its place before it is added
         one, two = (splitmix(np.add.reduceat(splitmix(x + place), first) + size.astype(np.uint64)) for x in (h, h2))
@@ -65,25 +74,35 @@ def sentences(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     end = np.append(start[1:], 0)
     last = np.append(text[1:] != text[:-1], True)
     end[last] = bounds[text[last] + 1]
-    return text, start - bounds[text], end - bounds[text], one, two
+    return text, start - bounds[text], end - bounds[text], size, one, two
 
 
-def split(parts: int, run: int) -> Callable:
+def spans(text: np.ndarray, size: np.ndarray, run: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first sentence, how many) of the shortest runs of ``run`` sentences and ``least`` words that begin or end at each sentence."""
+    i, total = np.arange(len(text)), np.concatenate([[0], np.cumsum(size)])
+    stop = np.maximum(np.searchsorted(total, total[:-1] + least), i + run)
+    begin = np.minimum(np.searchsorted(total, total[1:] - least, "right") - 1, i + 1 - run)
+    on, back = stop <= np.searchsorted(text, text, "right"), begin >= np.searchsorted(text, text)
+    both = np.unique(np.column_stack([np.append(i[on], begin[back]), np.append(stop[on], i[back] + 1)]), axis=0)
+    return both[:, 0], both[:, 1] - both[:, 0]
+
+
+def split(parts: int, run: int, least: int) -> Callable:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = utf8(batch.column(1))
             ids = batch.column(0).to_numpy()
             for i, j in slices(off, BLOCK):
-                text, start, end, one, two = sentences(buf, off[i : j + 1])
-                m = len(text) - run + 1
-                if m <= 0:
+                text, start, end, size, one, two = sentences(buf, off[i : j + 1])
+                at, many = spans(text, size, run, least)
+                if not len(at):
                     continue
-                x, y = one[:m], two[:m]
+                x, y = many.astype(np.uint64), many.astype(np.uint64)
                 with np.errstate(over="ignore"):
-                    for k in range(1, run):
-                        x, y = splitmix(x * np.uint64(3) + one[k : k + m]), splitmix(y * np.uint64(5) + two[k : k + m])
-                whole = text[:m] == text[run - 1 :]
-                x, y, place, n, doc = x[whole], y[whole], start[:m][whole], (end[run - 1 :] - start[:m])[whole], ids[i + text[:m][whole]]
+                    for k in range(int(many.max())):
+                        on = many > k
+                        x[on], y[on] = splitmix(x[on] * np.uint64(3) + one[at[on] + k]), splitmix(y[on] * np.uint64(5) + two[at[on] + k])
+                place, n, doc = start[at], end[at + many - 1] - start[at], ids[i + text[at]]
                 order, lead, head = first_of_equal(x, y, doc, place)
                 x, y, doc, place, n = (v[order] for v in (x, y, doc, place, n))
                 later = ~lead & ((doc != doc[head]) | (place != place[head]))
@@ -111,11 +130,12 @@ def settle(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out, ignore_index=True)
 
 
-def removed_sentences(docs: DataFrame, run: int = RUN) -> DataFrame:
+def removed_sentences(docs: DataFrame, run: int = RUN, least: int = WORDS) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, edges.
 
-    Runs of ``run`` sentences are equal when their sentences have the same
-    words, ASCII capitals as small letters, whatever the white space.  The
+    Runs of ``run`` or more sentences with ``least`` or more words are equal
+    when their sentences have the same words, ASCII capitals as small letters,
+    whatever the white space.  The
     first is the one with the smallest doc_id, then the earliest.  n_removed
     counts bytes, n_spans maximal removed stretches, ``edges`` lists where they
     begin and end.  A null text counts as empty; texts with too few sentences
@@ -127,7 +147,7 @@ def removed_sentences(docs: DataFrame, run: int = RUN) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     nulls, docs = docs.where("doc_id is null"), docs.where("doc_id is not null")
-    spans = docs.mapInArrow(split(buckets(docs.sparkSession), run), PACKED).groupBy("bucket").applyInPandas(lambda pdf: settle(pdf), FOUND)
+    spans = docs.mapInArrow(split(buckets(docs.sparkSession), run, least), PACKED).groupBy("bucket").applyInPandas(lambda pdf: settle(pdf), FOUND)
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("place", "n")).alias("spans"))
     whole = docs.join(spans, "doc_id", "left").select("doc_id", "text", "spans")
     whole = whole.union(nulls.select("doc_id", "text", F.lit(None).cast("array<struct<place:bigint,n:bigint>>")))
