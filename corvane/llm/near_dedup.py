@@ -11,9 +11,10 @@ so placing takes one pass.
 Each set is first compared with one leader; members that verified links already
 join need no further comparison among themselves.  What still lies in different
 components of a node is compared exhaustively, within one task, in nodes of
-bounded size.  Larger nodes first compare one member a component with their
-leader; if several components are left, their members are dealt into blocks and
-every two blocks become a node, so that no pair is lost.  Links are looked for
+bounded size.  Larger nodes first compare one member of each component with some
+of the largest one; if several components are left, the members outside the
+largest are dealt into blocks that meet each other block of the node, each two a
+node, so that no pair is lost.  Links are looked for
 with 64-bit hashes of the shingles and each that is found is confirmed on the
 words of both whole texts.
 
@@ -39,6 +40,8 @@ COORDINATES = UNIT * UNITS * TREES
 #: Nodes of up to so many sets and bytes of text are compared in one task.
 NODE_SETS = 1024
 NODE_BYTES = 16 << 20
+#: How many members of its largest component the others of a wide node meet before blocks of them are compared.
+STARS = 3
 #: Standard errors of the signature's estimate by which a candidate may miss the threshold: 1.7e-8 of pairs at 0.8 miss it by more.
 SLACK = 6.0
 
@@ -290,27 +293,37 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, trees:
     for last in (False, True):
         placed = place(members, reached)
         sizes = texts.groupBy(F.col("doc_id").alias("id")).agg(F.max("bytes").alias("bytes"))
-        groups = written(placed.join(sizes, "id").groupBy("node", "component").agg(F.count("*").alias("n"), F.min("id").alias("rep"), F.sum("bytes").alias("bytes")))
-        nodes = groups.groupBy("node").agg(F.sum("n").alias("size"), F.sum("bytes").alias("bytes"), F.min("rep").alias("leader"))
+        nodes = placed.join(sizes, "id").groupBy("node").agg(F.count("*").alias("size"), F.sum("bytes").alias("bytes"))
         nodes = written(nodes.withColumn("wide", F.lit(False) if last else (F.col("size") > node_sets) | (F.col("bytes") > NODE_BYTES)))
-        wide, close = nodes.where("wide"), nodes.where("not wide").select("node")
-        close = placed.join(close, "node").join(sets, "id").select("node", "id", "component", "n", "sig")
+        close = placed.join(nodes.where("not wide").select("node"), "node").join(sets, "id").select("node", "id", "component", "n", "sig")
         active = written(close.repartition("node").sortWithinPartitions("node").mapInArrow(plausible(percent), "node long, id long, component long"))
         full = active.join(texts.select(F.col("doc_id").alias("id"), "text"), "id").select("node", "id", "component", "text")
         links = links.union(written(full.repartition("node").sortWithinPartitions("node").mapInArrow(compared(shingle, percent), "a long, b long")))
-        crowded = bool(wide.take(1))
-        if crowded:
-            stars = groups.join(wide.select("node", "leader"), "node").where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b"))
-            links = links.union(verified(stars.distinct()))
         reached = components(links).withColumnRenamed("node", "id")
-        drop(groups, active)
-        if not crowded:
+        drop(active)
+        wide = nodes.where("wide").select("node", F.greatest(F.col("size") / node_sets, F.col("bytes") / NODE_BYTES).alias("fill"), "size")
+        if not wide.take(1):
             break
-        # Every two blocks of a wide node that still holds several components make a node; two blocks hold some four fifths of the bounds.
-        blocks = F.ceil(2.5 * F.greatest(F.col("size") / node_sets, F.col("bytes") / NODE_BYTES)).cast("long")
-        crowd = place(placed.select("node", "id").join(wide.select("node"), "node"), reached)
-        dealt = crowd.join(wide.select("node", blocks.alias("blocks")), "node").withColumn("mine", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        # The other components of a wide node meet several members of its largest one first: few are left then.
+        crowd = placed.join(wide.select("node"), "node")
+        for turn in range(STARS):
+            crowd = place(crowd.select("node", "id"), reached)
+            groups = crowd.groupBy("node", "component").agg(F.count("*").alias("n"), F.min("id").alias("rep"), F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("lead"))
+            largest = groups.groupBy("node").agg(F.max(F.struct("n", "component", "lead")).alias("top"))
+            stars = groups.join(largest, "node").where("component <> top.component").select(F.col("top.lead").alias("a"), F.col("rep").alias("b"))
+            links = links.union(verified(stars.distinct()))
+            reached = components(links).withColumnRenamed("node", "id")
+        # Blocks of what is left meet all other blocks of the node, two of them, some four fifths of the bounds, being a node;
+        # blocks of the largest component need not meet each other.
+        crowd = place(crowd.select("node", "id"), reached)
+        counts = crowd.groupBy("node", "component").agg(F.count("*").alias("n"))
+        largest = counts.groupBy("node").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n")).join(wide, "node")
+        share = lambda n: F.ceil(2.5 * F.col("fill") * n / F.col("size")).cast("long")
+        largest = largest.select("node", F.col("top.component").alias("major"), share(F.col("top.n")).alias("majors"), share(F.col("n") - F.col("top.n")).alias("minors"))
+        dealt = crowd.join(largest, "node").withColumn("is_major", F.col("component") == F.col("major"))
+        mine = F.pmod(F.xxhash64("id", F.lit(1)), F.when(F.col("is_major"), F.col("majors")).otherwise(F.col("minors")))
+        others = F.when(F.col("is_major"), F.col("minors")).otherwise(F.col("minors") + F.col("majors"))  # blocks of the largest component are numbered after the rest
+        dealt = dealt.withColumn("mine", F.when(F.col("is_major"), F.col("minors")).otherwise(0) + mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), others - 1)))
         members = written(dealt.select(F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")).alias("node"), "id"))
     of_class = classes.select("k1", "k2", "id").join(reached, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component_id"))
     out = sketches.where(named).select("doc_id", "n", "k1", "k2").join(of_class, ["k1", "k2"]).select("doc_id", "n", "component_id")
