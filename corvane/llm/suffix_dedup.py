@@ -453,7 +453,8 @@ def removed_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     Other columns are not looked at.  An empty table gives no rows.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    same = docs.schema["doc_id"].dataType.simpleString() == "bigint"  # a cast to itself would keep Spark from shuffling the texts once only
+    docs = docs.select("doc_id" if same else F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     nulls, docs = docs.where("doc_id is null"), docs.where("doc_id is not null")
     parts = buckets(spark, times=3)
     crowded = spark.sparkContext.broadcast(hot_grams(docs, length, gram, parts))
