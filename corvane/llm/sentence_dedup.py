@@ -28,13 +28,13 @@ from pyspark.sql import functions as F
 from .packed import FOUND, PACKED, SEGMENT, SPAN, column, deal, first_of_equal, found, packed_batch, packed_rows
 from .store import buckets
 from .suffix_dedup import removal
-from .textcore import slices, splitmix, utf8, words
+from .textcore import release, slices, splitmix, utf8, words
 
 RUN = 2
 WORDS = 16
 LONG = 30
 LONG_WORD = 10
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 IS_END = np.zeros(256, bool)
 IS_END[list(b".!?")] = True
 #: Marks after which a sentence ends without white space.
@@ -58,12 +58,12 @@ def sentences(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     if not len(h):
         return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
     text = np.searchsorted(bounds, s, "right") - 1
-    lines = np.concatenate([[0], np.cumsum(piece == 10)])
+    lines = np.cumsum(np.append(False, piece == 10), dtype=np.int32)
     closes = IS_END[piece[e - 1]] | np.isin(e, marks)
     closes[:-1] |= (lines[s[1:]] > lines[e[:-1]]) | (text[1:] != text[:-1])
     sized = lambda: (first := np.flatnonzero(np.concatenate([[True], closes[:-1]])), np.diff(np.append(first, len(h))))
     _, size = sized()
-    chars = np.concatenate([[0], np.cumsum((piece & 0xC0) != 0x80)])
+    chars = np.cumsum(np.append(False, (piece & 0xC0) != 0x80), dtype=np.int32)
     closes |= np.repeat(size > LONG, size) & (chars[e] - chars[s] >= LONG_WORD)
     first, size = sized()
     place = splitmix((np.arange(len(h)) - np.repeat(first, size)).astype(np.uint64))
@@ -83,8 +83,9 @@ def spans(text: np.ndarray, size: np.ndarray, run: int, least: int) -> tuple[np.
     stop = np.maximum(np.searchsorted(total, total[:-1] + least), i + run)
     begin = np.minimum(np.searchsorted(total, total[1:] - least, "right") - 1, i + 1 - run)
     on, back = stop <= np.searchsorted(text, text, "right"), begin >= np.searchsorted(text, text)
-    both = np.unique(np.column_stack([np.append(i[on], begin[back]), np.append(stop[on], i[back] + 1)]), axis=0)
-    return both[:, 0], both[:, 1] - both[:, 0]
+    wide = max(run, least) + 1  # a sentence has a word at least, so no run is longer
+    both = np.unique(np.append(i[on] * wide + stop[on] - i[on], begin[back] * wide + i[back] + 1 - begin[back]))
+    return both // wide, both % wide
 
 
 def split(parts: int, run: int, least: int) -> Callable:
@@ -113,6 +114,7 @@ def split(parts: int, run: int, least: int) -> Callable:
                         *packed_rows(deal(x[lead], parts), SEGMENT, x[lead], y[lead], doc[lead], place[lead], n[lead]),
                     ]
                 )
+                release()
 
     return work
 
