@@ -19,6 +19,8 @@ from ..shared import written
 
 #: Up to so many asked terms their table goes to every task (some 10 MB).
 BROADCAST_TERMS = 200_000
+#: Input that is about a task's worth.
+SPLIT_BYTES = 128 << 20
 #: Longer terms are looked up by so many first words.
 HEAD_WORDS = 8
 BACKEND = "corvane_corpus"
@@ -27,10 +29,17 @@ RESOLVED, EMPTY = "resolved", "excluded_empty_normalized_query"
 FAILED = "^(api_|timeout|rate_limited|error|excluded_|cache_miss|local_index_absent)"
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """A small input of fewer files than cores is dealt out to all of them; anything larger stays where it is."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    small = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= cores * SPLIT_BYTES
+    return docs.repartition(cores) if small and 0 < len(docs.inputFiles()) < cores else docs
+
+
 def corpus_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, tokens): words of the normalised text."""
     tokens = F.filter(F.split(normalize_term(F.coalesce(F.col(text), F.lit(""))), " "), lambda t: t != "")
-    return docs.select(F.col(doc_id).alias("doc"), tokens.alias("tokens"))
+    return spread(docs.select(doc_id, text)).select(F.col(doc_id).alias("doc"), tokens.alias("tokens"))
 
 
 def postings(corpus: DataFrame, terms: DataFrame, column: str = "term") -> DataFrame:
