@@ -1,6 +1,8 @@
 """Hand-checked fixtures and properties of the operators."""
 
 import math
+import random
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -108,6 +110,42 @@ def test_corpus_counts_terms_of_any_length(spark):
     assert [r.raw_count for r in corpus.count_pairs(docs, p).collect()] == [1]
 
 
+def test_pairs_meet_in_blocks_as_in_brute_force(spark, monkeypatch):
+    """Bitmaps, rare terms, blocks of documents and pairs, repeated documents: no pair is formed in a document, none is lost."""
+    from corvane.operators import cooccurrence
+
+    monkeypatch.setattr(cooccurrence, "PAIRS", 100)
+    monkeypatch.setattr(cooccurrence, "LEAST", 40)
+    draw = random.Random(3)
+    texts = [[f"w{int(40 * draw.random() ** 3)}" for _ in range(draw.randrange(30))] for _ in range(120)]
+    rows = [(i % 110, " ".join(t).replace("w1", "W\u00e91.")) for i, t in enumerate(texts)] + [(None, "w0 w1 w2")]
+    docs = corpus.corpus_tokens(spark.createDataFrame(rows, "doc_id int, text string"))
+    pairs = [(f"w{a}", f"w{b}") for a in range(40) for b in range(a + 1, 40)]
+    asked = spark.createDataFrame(pairs, "left string, right string")
+    held, places = defaultdict(set), defaultdict(list)
+    for i, t in enumerate(texts):
+        for p, w in enumerate(t):
+            held[w].add(i % 110)
+            places[w, i % 110].append(p)
+    for unit, want in (("document", lambda a, b: len(held[a] & held[b])), ("window", lambda a, b: sum(abs(p - q) <= 5 for d in range(110) for p in places.get((a, d), []) for q in places.get((b, d), [])))):
+        got = {(r.left, r.right): r.raw_count for r in corpus.count_pairs(docs, asked, unit, 5).collect()}
+        assert got == {(min(p), max(p)): want(*p) for p in pairs}
+
+
+def test_corpus_words_are_those_of_normalised_text(spark):
+    import pyarrow as pa
+
+    from corvane.functions import packed
+    from corvane.functions.text import normalize_term
+
+    raw = ["", "A\u00a0b  c\td.e -- it's", "\u212aelvin \u0130x\n\nx", "...", " y"]
+    lowered = spark.createDataFrame([(r,) for r in raw], "t string").select(F.lower("t"), normalize_term(F.col("t"))).collect()
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in lowered])], names=["text"])
+    part, first, words = next(packed.token_slices(batch, 0))
+    words = words.to_pylist()
+    assert [words[first[i] : first[i + 1]] for i in range(len(raw))] == [[w for w in r[1].split(" ") if w] for r in lowered]
+
+
 def test_missing_count_nulls_the_row(spark):
     rows = spark.createDataFrame([("a", ["x", "y"]), ("b", ["x"]), ("c", [])], "candidate_id string, entities array<string>")
     counts = spark.createDataFrame([("x", 10)], "term string, raw_count long")
