@@ -162,7 +162,7 @@ _DRAWN = f"(SELECT e.*, d.rep, d.w FROM {BINNED_EVENTS} e JOIN {_sql_draws(boots
 @query(f"SELECT round(avg(auroc), 6) AS mean, round(quantile_cont(auroc, 0.025), 6) AS low, round(quantile_cont(auroc, 0.975), 6) AS high, avg((auroc > 0)::INT) AS share_positive, count(*) AS n_reps FROM {sql_auroc(_DRAWN, 's_value', 'is_correct', ['rep'], 'w')}")
 def bootstrap_auroc(spark: SparkSession, sf: str) -> DataFrame:
     rows = scored_events(spark, sf)
-    out = bootstrap.interval(bootstrap.weighted_auroc(rows, bootstrap.bootstrap_weights(rows), "s_value", "is_correct"), "auroc")
+    out = bootstrap.interval(bootstrap.weighted_auroc(rows, bootstrap.packed_weights(rows), "s_value", "is_correct"), "auroc")
     return out.withColumns({c: F.round(c, 6) for c in ("mean", "low", "high")})
 
 
@@ -174,7 +174,7 @@ def bootstrap_auroc(spark: SparkSession, sf: str) -> DataFrame:
 def bootstrap_spread_difference(spark: SparkSession, sf: str) -> DataFrame:
     """Spread over one axis less spread over another, with its interval."""
     rows = _binned_events(spark, sf, "prompt_id", "s_value", "is_correct", "dataset")
-    out = bootstrap.interval(bootstrap.spread_difference(rows, bootstrap.bootstrap_weights(rows), "s_value", "is_correct", "bin", "dataset"), "difference")
+    out = bootstrap.interval(bootstrap.spread_difference(rows, bootstrap.packed_weights(rows), "s_value", "is_correct", "bin", "dataset"), "difference")
     return out.withColumns({c: F.round(c, 6) for c in ("mean", "low", "high")})
 
 
@@ -184,7 +184,7 @@ def bootstrap_spread_difference(spark: SparkSession, sf: str) -> DataFrame:
 )
 def bootstrap_lift_by_bin(spark: SparkSession, sf: str) -> DataFrame:
     rows = _binned_events(spark, sf, "prompt_id", "s_value", "s_fold", "is_correct")
-    out = bootstrap.interval(bootstrap.lift(rows, bootstrap.bootstrap_weights(rows), "s_value", "s_fold", "is_correct", ["bin"]), "lift", ["bin"])
+    out = bootstrap.interval(bootstrap.lift(rows, bootstrap.packed_weights(rows), "s_value", "s_fold", "is_correct", ["bin"]), "lift", ["bin"])
     return out.withColumns({c: F.round(c, 6) for c in ("mean", "low", "high")})
 
 

@@ -226,6 +226,22 @@ def test_bootstrap_equals_repeated_rows(spark):
             assert got.get((g, rep)) == want or abs(got[g, rep] - want) < 1e-12
 
 
+def test_bootstrap_packs_weights_a_byte_does_not_hold(spark):
+    """Packed weights add up to the drawn ones, whole ranges and single rows give the same area."""
+    weights = spark.createDataFrame([(0, 1, 700), (0, 2, 3), (1, 2, 255)], "rep int, prompt_id long, w long")
+    packed = bootstrap.weight_arrays(weights, 2)
+    assert packed.schema["w"].dataType.typeName() == "binary"
+    total = defaultdict(lambda: [0, 0])
+    for r in packed.collect():
+        total[r.prompt_id] = [a + b for a, b in zip(total[r.prompt_id], r.w, strict=True)]
+    assert dict(total) == {1: [700, 0], 2: [3, 255]}
+    rows = spark.createDataFrame([(1, 1.0, 1), (1, 2.0, 0), (2, 1.0, 0), (2, 3.0, 1)], "prompt_id long, s double, y int")
+    got = {r.rep: (r.n_pos, r.n_neg, r.auroc) for r in bootstrap.weighted_auroc(rows, packed, "s", "y", replicates=2).collect()}
+    assert got == {0: (703, 703, (700 * 1.5 + 3 * 703) / 703**2), 1: (255, 255, 1.0)}
+    drawn = bootstrap.packed_weights(spark.range(30).withColumnRenamed("id", "prompt_id"), 4).collect()
+    assert [sum(r.w[i] for r in drawn) for i in range(4)] == [30] * 4
+
+
 def test_triplets(spark):
     forms = {
         '[["a b", "is", "c"], ["d"]]': [["a b", "is", "c"], ["d"]], "Entities: [['a', 'b'], ['c', None]]": [["a", "b"], ["c"]], "[('a', 'is', 'b'), ('c',)]": [["a", "is", "b"], ["c"]],
