@@ -133,5 +133,5 @@ def counted(docs: DataFrame, n_docs: int, pairs: DataFrame, n_pairs: int, count:
         some = np.flatnonzero(n)
         return pa.table({"l": pa.array(left[some], pa.int32()), "r": pa.array(right[some], pa.int32()), "n": pa.array(n[some], pa.int64())})
 
-    met = one.groupBy("_b", "_p").cogroup(two.groupBy("_b", "_p")).applyInArrow(run, "l int, r int, n long")
+    met = one.repartition(2 * b * p, "_b", "_p").groupBy("_b", "_p").cogroup(two.repartition(2 * b * p, "_b", "_p").groupBy("_b", "_p")).applyInArrow(run, "l int, r int, n long")
     return met.groupBy("l", "r").agg(F.sum("n").alias("n"))

@@ -184,6 +184,27 @@ def test_fusion_separates(spark):
     assert one(metrics.auroc(out_of_fold(rows, ["x", "none"], "y", "logistic"), "score", "y")).auroc > 0.95
 
 
+def test_forest_grows_whole_trees_on_other_folds(spark):
+    """200 trees a fold, each row scored once by trees that split an exclusive or; the scores don't follow the row's own label."""
+    rows = spark.range(600).select("id", (F.col("id") % 60).alias("prompt_id"), (F.col("id") * 7 % 13).cast("double").alias("a"), (F.col("id") * 5 % 17).cast("double").alias("b"))
+    rows = rows.withColumn("y", ((F.col("a") > 6) != (F.col("b") > 8)).cast("int"))
+    out = out_of_fold(rows, ["a", "b"], "y", "forest").toPandas()
+    assert sorted(out.id) == list(range(600)) and out.score.between(0, 1).all()
+    assert ((out.score > 0.5) == out.y).mean() > 0.95
+    noise = out_of_fold(rows.withColumn("y", (F.xxhash64("id") % 2 == 0).cast("int")), ["a", "b"], "y", "forest")
+    assert abs(one(metrics.auroc(noise, "score", "y")).auroc - 0.5) < 0.12
+
+
+def test_grown_trees_stop_where_leaves_are_pure():
+    import numpy as np
+
+    from corvane.operators import trees
+
+    x = np.arange(32, dtype=np.uint8)[None, :]
+    y = np.array([0, 1] * 16)
+    assert (trees.grow(x, y, np.ones(32), np.arange(32), np.random.default_rng(0)) == y).all()
+
+
 def test_spearman_p(spark):
     rows = [(0.648, 10), (0.5, 2), (1.0, 5), (0.0, 9), (-0.9, 4), (0.3, 3), (0.4, 11)]
     got = [r.p for r in spark.createDataFrame(rows, "r double, n int").select(maths.spearman_p(F.col("r"), F.col("n")).alias("p")).collect()]
