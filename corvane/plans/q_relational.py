@@ -175,9 +175,9 @@ def jsonl_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 def sample_artifact(spark: SparkSession, sf: str) -> DataFrame:
     """A free-sample document with a checked header, written and read back."""
     s = samples(spark, sf).select(F.col("dataset").cast("string").alias("dataset"), F.col("prompt_id").cast("string").alias("prompt_id"), "sample_index", "response_text", "selected_token_logits", "logsumexp")
-    doc = s.agg(F.collect_list(F.struct(*s.columns)).alias("samples"), F.countDistinct("prompt_id").cast("int").alias("prompt_group_count")).select(
-        F.lit("free_samples").alias("artifact_type"), F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(10).alias("sample_count_per_prompt"), "prompt_group_count", "samples"
-    )
+    groups = s.agg(F.countDistinct("prompt_id").cast("int").alias("prompt_group_count"))
+    parts = writers.listed(s, "samples").crossJoin(F.broadcast(groups))
+    doc = parts.select(F.lit("free_samples").alias("artifact_type"), F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(10).alias("sample_count_per_prompt"), "prompt_group_count", "samples")
     path = f"{scratch(spark)}/samples.json"
     writers.write_document(doc, path)
     return readers.read_free_samples(spark, path).select("prompt_id", "sample_index", "response_text", F.size("selected_token_logits").alias("n_tokens"), F.round(F.get("selected_token_logits", F.lit(0)), 6).alias("first_logit"))
@@ -189,7 +189,7 @@ def candidate_documents(spark: SparkSession, sf: str) -> DataFrame:
     t = turns(spark, sf)
     rows = t.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("candidate_id"), "question", F.col("answer").alias("candidate_text"))
     path = f"{scratch(spark)}/candidates.json"
-    writers.write_document(rows.agg(F.collect_list(F.struct(*rows.columns)).alias("candidate_rows")), path)
+    writers.write_document(writers.listed(rows, "candidate_rows"), path)
     return readers.read_candidates(spark, path, CANDIDATES).select("candidate_id", "question", "candidate_text")
 
 

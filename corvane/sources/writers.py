@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import drop, written
+
+#: Rows of one document at most.
+DOCUMENT_ROWS = 10_000
+
 
 def write_table(df: DataFrame, path: str, mode: str = "errorifexists", partition_by: list[str] | None = None) -> None:
     writer = df.write.mode(mode)
@@ -15,9 +20,20 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).json(path)
 
 
+def listed(df: DataFrame, name: str) -> DataFrame:
+    """The rows as lists of DOCUMENT_ROWS at most, one list at least: each becomes a document of its own."""
+    rows = df.select(F.struct(*df.columns).alias("_x")).withColumn("_id", F.monotonically_increasing_id())
+    part = F.struct(F.shiftright("_id", 33).alias("task"), F.floor(F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) / DOCUMENT_ROWS).alias("part"))
+    lists = rows.groupBy(part.alias("_part")).agg(F.collect_list("_x").alias(name)).select(name)
+    none = df.sparkSession.range(1).join(rows.select(F.lit(1).alias("_any")).limit(1), F.lit(True), "left").where("_any is null")
+    return lists.union(none.select(F.array().cast(lists.schema[name].dataType).alias(name)))
+
+
 def write_document(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Few rows as a JSON document in one file."""
-    df.select(F.to_json(F.struct(*df.columns))).coalesce(1).write.mode(mode).text(path)
+    """JSON documents below one path, a file each: a row is a whole document, header and all, so that readers share them out."""
+    docs = written(df.select(F.to_json(F.struct(*df.columns)).alias("value")))
+    docs.repartition(max(1, docs.count())).write.mode(mode).option("maxRecordsPerFile", 1).text(path)
+    drop(docs)
 
 
 def write_full_logits(df: DataFrame, path: str, vocabulary: int, column: str = "full_logits", mode: str = "errorifexists") -> None:

@@ -103,3 +103,17 @@ def test_rates_stream_like_batch(spark, sf_dir, tmp_path):
     q.awaitTermination()
     batch = label_rates(spark.read.parquet(f"{sf_dir}/events.parquet"))
     assert sorted(map(tuple, spark.table("rates").collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_documents_are_parts_that_tasks_share(spark, tmp_path, monkeypatch):
+    """Each part has its header and a bounded number of rows; all rows come back, and an empty list keeps its header."""
+    from corvane.sources import readers, writers
+
+    monkeypatch.setattr(writers, "DOCUMENT_ROWS", 10)
+    rows = spark.range(0, 45, 1, 2).selectExpr("cast(id as string) candidate_id", "'q' question", "'a' candidate_text")
+    path = f"{tmp_path}/c.json"
+    writers.write_document(writers.listed(rows, "candidate_rows"), path)
+    files = spark.read.text(path).selectExpr("value", "input_file_name() f")
+    assert files.groupBy("f").count().where("count > 1").count() == 0 and files.count() == 6
+    assert {r.candidate_id for r in readers.read_candidates(spark, path, "candidate_id string, question string, candidate_text string").collect()} == {str(i) for i in range(45)}
+    assert writers.listed(rows.where("candidate_id < ''"), "candidate_rows").collect()[0].candidate_rows == []
