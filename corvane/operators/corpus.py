@@ -24,6 +24,8 @@ from ..shared import written
 from .cooccurrence import close_places, counted, shared_documents
 from .ranking import global_rank
 
+#: Up to so many hashes their table goes to every task (some 60 MB).
+BROADCAST_HASHES = 2_000_000
 #: Input that is about a task's worth.
 SPLIT_BYTES = 128 << 20
 BACKEND = "corvane_corpus"
@@ -100,6 +102,14 @@ def _totals(rows: DataFrame, n: int, batch_terms: Callable) -> DataFrame:
     return rows.mapInArrow(run, "t int, n long").groupBy("t").agg(F.sum("n").alias("n"))
 
 
+def frequent(rows: DataFrame, value: str, over: int) -> DataFrame:
+    """(value, n) of the values that occur more than ``over`` times: only 32-bit hashes of all are shuffled, then the values whose hashes occur so often."""
+    hashes = written(rows.groupBy(F.hash(value).alias("_h")).agg(F.count("*").alias("_n")).where(F.col("_n") > over).select("_h"))
+    often = F.broadcast(hashes) if hashes.count() <= BROADCAST_HASHES else hashes
+    kept = rows.withColumn("_h", F.hash(value)).join(often, "_h", "left_semi")
+    return kept.groupBy(value).agg(F.count("*").alias("n")).where(F.col("n") > over)
+
+
 def _provenance(query: Column, kind: str, status: Column, index_ref: str) -> list[Column]:
     """Where a count comes from: these are columns of every count."""
     return [

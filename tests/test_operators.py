@@ -146,6 +146,13 @@ def test_corpus_words_are_those_of_normalised_text(spark):
     assert [words[first[i] : first[i + 1]] for i in range(len(raw))] == [[w for w in r[1].split(" ") if w] for r in lowered]
 
 
+@pytest.mark.parametrize("most", [0, 1000])
+def test_frequent_values_are_counted_exactly_with_and_without_broadcast(spark, monkeypatch, most):
+    monkeypatch.setattr(corpus, "BROADCAST_HASHES", most)
+    rows = spark.range(400).select(F.when(F.col("id") < 60, "often").when(F.col("id") < 80, "just not").otherwise(F.col("id").cast("string")).alias("v"))
+    assert [(r.v, r.n) for r in corpus.frequent(rows, "v", 20).collect()] == [("often", 60)]
+
+
 def test_missing_count_nulls_the_row(spark):
     rows = spark.createDataFrame([("a", ["x", "y"]), ("b", ["x"]), ("c", [])], "candidate_id string, entities array<string>")
     counts = spark.createDataFrame([("x", 10)], "term string, raw_count long")
