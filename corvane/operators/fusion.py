@@ -1,10 +1,10 @@
-"""Learned fusion of signals with prompt-grouped cross-validation on pyspark.ml."""
+"""Learned fusion of signals with prompt-grouped cross-validation, on pyspark.ml and the trees of ``trees``."""
 
 from __future__ import annotations
 
 from multiprocessing.pool import ThreadPool
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -29,11 +29,9 @@ def grouped_folds(rows: DataFrame, folds: int = 5, prompt: str = "prompt_id") ->
 
 
 def model(kind: str, n_rows: int):
-    """logistic (L2 with unit cost, unscaled) or boosting (150 trees of depth 3); the forest grows in ``trees``."""
+    """logistic (L2 with unit cost, unscaled); the forest grows and boosting runs in ``trees``."""
     if kind == "logistic":
         return LogisticRegression(maxIter=5000, tol=1e-4, regParam=1.0 / max(n_rows, 1), elasticNetParam=0.0, standardization=False)
-    if kind == "boosting":
-        return GBTClassifier(maxIter=150, maxDepth=3, stepSize=0.1, seed=42)
     raise ValueError(f"unknown model {kind!r}")
 
 
@@ -46,8 +44,8 @@ def out_of_fold(rows: DataFrame, inputs: list[str], label: str, kind: str, folds
     data = rows if "fold" in rows.columns else grouped_folds(rows, folds, prompt)
     clean = data.select(*data.columns, *[F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(f"_x{i}") for i, c in enumerate(have)], F.col(label).cast("double").alias("_y"))
     clean = written(clean)
-    if kind == "forest" and estimator is None:
-        return trees.forest_scores(clean, data.columns, len(have), folds)
+    if kind in ("forest", "boosting") and estimator is None:
+        return (trees.forest_scores if kind == "forest" else trees.boosting_scores)(clean, data.columns, len(have), folds)
     ready = VectorAssembler(inputCols=[f"_x{i}" for i in range(len(have))], outputCol="_features").transform(clean).drop(*[f"_x{i}" for i in range(len(have))])
     sizes = {r.fold: r["count"] for r in clean.groupBy("fold").count().collect()}  # one row a fold
 

@@ -212,6 +212,44 @@ def test_grown_trees_stop_where_leaves_are_pure():
     assert (trees.grow(x, y, np.ones(32), np.arange(32), np.random.default_rng(0)) == y).all()
 
 
+def test_boosting_is_sparks_own_in_few_jobs(spark):
+    """Each round and level of Spark's boosting was a job a fold, some 2,000 in all; the scores stay the same to rounding."""
+    import numpy as np
+    from pyspark.ml.classification import GBTClassifier
+
+    from corvane.operators import trees
+
+    def job() -> int:
+        spark.sparkContext.setJobGroup("boosting", "")
+        spark.range(1).count()
+        return max(spark.sparkContext.statusTracker().getJobIdsForGroup("boosting"))
+
+    rows = spark.range(600).select("id", (F.col("id") % 60).alias("prompt_id"), (F.col("id") * 7 % 113).cast("double").alias("a"), (F.col("id") * 5 % 7).cast("double").alias("b"))
+    rows = rows.withColumn("y", (((F.col("a") > 50) != (F.col("b") > 3)) | (F.col("id") % 11 == 0)).cast("int"))
+    before = job()
+    out = out_of_fold(rows, ["a", "b"], "y", "boosting").toPandas()
+    assert job() - before < 60
+    assert sorted(out.id) == list(range(600)) and ((out.score > 0.5) == out.y).mean() > 0.8
+    theirs = out_of_fold(rows, ["a", "b"], "y", "boosting", folds=2, estimator=GBTClassifier(maxIter=4, maxDepth=3, stepSize=0.1, seed=42)).toPandas().sort_values("id")
+    x, y, fold = [theirs[c].to_numpy(float) for c in "ab"], theirs.y.to_numpy(), theirs.fold.to_numpy()
+    for f in range(2):
+        ours = trees.boost(x, y, np.flatnonzero(fold != f), np.flatnonzero(fold == f), rounds=4)
+        assert np.abs(ours - theirs.score[fold == f]).max() < 1e-9
+
+
+def test_boosting_splits_what_it_can(spark):
+    """No inputs that differ, and no labels that do: the share of label 1 is all there is to learn."""
+    import numpy as np
+
+    from corvane.operators import trees
+
+    every = np.arange(8)
+    flat = trees.boost([np.zeros(8)], np.array([0, 1, 1, 1] * 2), every, every)
+    assert np.ptp(flat) == 0 and abs(flat[0] - 0.75) < 1e-3
+    assert (trees.boost([every * 1.0], np.ones(8), every, every) > 0.9).all()
+    assert trees.split_points(np.repeat(np.arange(200.0), 3)).size == 31
+
+
 def test_spearman_p(spark):
     rows = [(0.648, 10), (0.5, 2), (1.0, 5), (0.0, 9), (-0.9, 4), (0.3, 3), (0.4, 11)]
     got = [r.p for r in spark.createDataFrame(rows, "r double, n int").select(maths.spearman_p(F.col("r"), F.col("n")).alias("p")).collect()]
